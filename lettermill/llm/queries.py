@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .near_dup import near_duplicates
+from .token_files import token_files
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), columns=["doc_id"])
+    return found.select("doc_id", *[F.col(f"contamination.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_near_duplicates,)}
+    return {f.__name__: f for f in (op1_decontaminate, op8_token_files, op9_near_duplicates,)}
 
 
 def oracle_sql() -> dict[str, str]:
