@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_files import token_files
@@ -30,8 +31,15 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_read(spark, folder, "documents"), percent=85)
 
 
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.decode(bpe.encode(_read(spark, folder, "documents"), ranks, pattern, columns=["doc_id"]), ranks, pattern)
+    n_tokens = F.expr("octet_length(token_ids) div 4").cast("long")
+    return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op8_token_files, op9_near_duplicates,)}
+    return {f.__name__: f for f in (op1_decontaminate, op8_token_files, op9_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
