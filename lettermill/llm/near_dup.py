@@ -6,7 +6,7 @@
 3. Representatives are banded. The members of a band's bucket take the bucket's smallest id as leader, and each
    representative joins the group of its smallest leader (leaders are followed once more).
 4. Groups are dealt into chunks of bounded size. Chunks whose groups meet in some bucket, and the chunks of one group,
-   are held against each other: pairs whose estimated similarity can't be ruled out are compared on whole sets. Only
+   are held against each other (chunks of small groups packed together): pairs whose estimated similarity can't be ruled out are compared on whole sets. Only
    a spanning forest of the confirmed links leaves the task, never all pairs.
 5. Components of the confirmed links give each document's component.
 """
@@ -158,16 +158,20 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     several = meets.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key")
     meets = meets.join(several, "key")
     across = meets.join(meets.toDF("key", "other"), "key").filter("grp < other").select("grp", "other").distinct()
-    right = sizes.select(F.col("grp").alias("other"), F.col("chunks").alias("others"))
-    across = across.join(sizes.select("grp", "chunks"), "grp").join(right, "other")
     chunk = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    across = across.withColumn("i", chunk("chunks")).withColumn("j", chunk("others"))
-    within = sizes.filter("n > 1").select("grp", F.col("grp").alias("other"), "chunks").withColumn("i", chunk("chunks")).withColumn("j", F.explode(F.sequence("i", F.col("chunks") - 1)))
-    units = across.select("grp", "other", "i", "j").unionByName(within.select("grp", "other", "i", "j"))
-    same = (F.col("grp") == F.col("other")) & (F.col("i") == F.col("j"))
     spot = lambda g, c, s: F.struct(F.struct(F.col(g).alias("grp"), F.col(c).alias("chunk")).alias("place"), F.lit(s).alias("side"))
-    sides = F.when(same, F.array(spot("grp", "i", 2))).otherwise(F.array(spot("grp", "i", 0), spot("other", "j", 1)))
-    units = units.select(F.xxhash64("grp", "i", "other", "j").alias("unit"), F.inline(sides))
+    # the chunks of the smaller groups that meet a larger one are packed into bins, so that its chunks repeat once a bin
+    left, right = (sizes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "n", "chunks")]) for x in "ab")
+    across = across.join(left, F.col("grp") == F.col("grp_a")).join(right, F.col("other") == F.col("grp_b"))
+    first_larger = F.col("n_a") >= F.col("n_b")
+    across = across.select(*[F.when(first_larger, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("grp", "n", "chunks")])
+    bins = across.groupBy("grp_a").agg(F.expr(f"int((sum(n_b) + {CHUNK - 1}) div {CHUNK})").alias("bins"))
+    pieces = across.withColumn("j", chunk("chunks_b")).join(bins, "grp_a").withColumn("bin", F.pmod(F.xxhash64("grp_b", "j"), "bins"))
+    pieces = pieces.withColumn("i", chunk("chunks_a")).withColumn("unit", F.xxhash64("grp_a", "i", "bin"))
+    met = pieces.select("unit", F.inline(F.array(spot("grp_b", "j", 1)))).union(pieces.select("unit", "grp_a", "i").distinct().select("unit", F.inline(F.array(spot("grp_a", "i", 0)))))
+    within = sizes.filter("n > 1").withColumn("i", chunk("chunks")).withColumn("j", F.explode(F.sequence("i", F.col("chunks") - 1)))
+    sides = F.when(F.expr("i = j"), F.array(spot("grp", "i", 2))).otherwise(F.array(spot("grp", "i", 0), spot("grp", "j", 1)))
+    units = within.select(F.xxhash64("grp", "i", "j", F.lit("within")).alias("unit"), F.inline(sides)).union(met)
 
     wanted = placed.join(reps.select("rep", "fp"), "rep").select("rep", "place", "fp")
     if sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_IDS:
