@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, site_lines, url_rules
 from .decontaminate import contamination
 from .near_dup import near_duplicates
+from .token_counts import length_histogram
 from .token_files import token_files
 
 
@@ -23,6 +24,20 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"contamination.{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return length_histogram(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = site_lines.drop_boilerplate(_read(spark, folder, "documents"), F.col("source"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    return url_rules.judge(_read(spark, folder, "pages"), rules)
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -39,8 +54,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op8_token_files, op9_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_token_counts, op5_site_lines, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_site_lines": site_lines.SQL, "op7_url_rules": url_rules.SQL}
