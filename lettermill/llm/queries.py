@@ -13,6 +13,8 @@ from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_counts import length_histogram
 from .token_files import token_files
+from .top_k import SQL as TOP_K_SQL
+from .top_k import top_k
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def op5_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge(_read(spark, folder, "pages"), rules)
@@ -54,8 +61,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_token_counts, op5_site_lines, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_site_lines": site_lines.SQL, "op7_url_rules": url_rules.SQL}
+    return {"op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}
