@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, site_lines, url_rules
+from . import bpe, language, pii, site_lines, url_rules
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_counts import length_histogram
@@ -32,6 +32,13 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    found = pii.personal_data(docs, pii.train(docs), columns=["doc_id"])
+    counts = [F.col(f"pii.n_{kind}").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("pii.base", 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return length_histogram(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -67,7 +74,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
