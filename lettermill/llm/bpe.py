@@ -16,12 +16,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Splitter, ranked
-from .shared import by_batch, small_batches
+from .shared import as_bytes, by_batch, small_batches
 
 #: Bytes of text in a block; one task holds a block's distinct words and their ids.
 BLOCK_BYTES = 16_000_000
@@ -51,6 +52,18 @@ def _unpacked(lengths: bytes, body: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts as compressed bytes: they cross the network once, and most of what crosses is text."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    packed = [None if x is None else squeeze(x) for x in as_bytes(batch.column("text"))]
+    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(packed, pa.binary()), batch.column("block")], ["row", "packed", "block"])
+
+
+def _texts(column: pa.Array) -> list[str | None]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else expand(x).decode() for x in column.to_pylist()]
+
+
 def _distinct(pattern: str, buckets: int):
     """The distinct words of each block, by bucket; the rows of a block are together."""
 
@@ -65,7 +78,7 @@ def _distinct(pattern: str, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "bucket", "lengths", "body"])
 
         for batch in batches:
-            for at, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for at, text in zip(batch.column("block").to_pylist(), _texts(batch.column("packed")), strict=True):
                 if at != block:
                     if words:
                         yield rows()
@@ -111,7 +124,8 @@ def _assembled(pattern: str, buckets: int, wide: bool, keep_text: bool):
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         split, number = Splitter(pattern), Numbers()
-        positions = [np.fromiter(map(number.__getitem__, split(t)), np.int32) if t else np.empty(0, np.int32) for t in texts["text"].to_pylist()]
+        held = _texts(texts["packed"])
+        positions = [np.fromiter(map(number.__getitem__, split(t)), np.int32) if t else np.empty(0, np.int32) for t in held]
         of_bucket = _by_bucket(number, buckets)
         ids = [b""] * len(number)
         for bucket, lengths, body in zip(words["bucket"].to_pylist(), words["lengths"].to_pylist(), words["ids"].to_pylist(), strict=True):
@@ -120,7 +134,7 @@ def _assembled(pattern: str, buckets: int, wide: bool, keep_text: bool):
         out = [b"".join(map(ids.__getitem__, p.tolist())) for p in positions]
         if not wide:
             out = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out]
-        kept = [(texts["text"], "text")] * keep_text
+        kept = [(pa.array(held, pa.string()), "text")] * keep_text
         return pa.table([texts["row"], *(c for c, _ in kept), pa.array(out, pa.binary())], names=["row", *(n for _, n in kept), "token_ids"])
 
     return run
@@ -142,11 +156,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
     key = F.pmod(F.xxhash64(row, text), F.lit(blocks)).cast("int").alias("block")
-    dealt = docs.select(row, text, key).repartition("block")
+    rows = docs.select(row, text, key)
+    squeezed = T.StructType([rows.schema["row"], T.StructField("packed", T.BinaryType()), rows.schema["block"]])
+    dealt = rows.mapInArrow(by_batch(lambda: _squeezed), squeezed).repartition("block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_distinct(pattern, buckets), "block int, bucket int, lengths binary, body binary")
     asked = asked.repartition("bucket").sortWithinPartitions("bucket")
     answered = asked.mapInArrow(_encoded(ranks, pattern, wide), "block int, bucket int, lengths binary, ids binary")
-    out = T.StructType([dealt.schema["row"], *([dealt.schema["text"]] if "text" in columns else []), T.StructField("token_ids", T.BinaryType())])
+    out = T.StructType([dealt.schema["row"], *([rows.schema["text"]] if "text" in columns else []), T.StructField("token_ids", T.BinaryType())])
     joined = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled(pattern, buckets, wide, "text" in columns), out)
     return joined.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], "token_ids")
 
