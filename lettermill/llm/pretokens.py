@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -59,16 +60,20 @@ def byte_characters() -> str:
 
 
 class _Remembered(dict):
-    """Pre-token to its ids as bytes of ``kind``."""
+    """Pre-token to its ids as bytes of ``kind``; of those not met for long, the older half is forgotten."""
 
     def __init__(self, encode, kind):
         super().__init__()
-        self.encode, self.kind = encode, kind
+        self.encode, self.code, self.older = encode, kind.char, {}
 
     def __missing__(self, piece: str) -> bytes:
-        value = np.array(self.encode(piece), self.kind).tobytes()
+        value = self.older.get(piece)
+        if value is None:
+            ids = self.encode(piece)
+            value = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(piece) <= LONGEST:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -101,6 +106,12 @@ class LibraryEncoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
+@lru_cache
+def library_encoder(path: str, pattern: str) -> LibraryEncoder:
+    """One encoder a worker process: what it remembers serves all tasks of the process."""
+    return LibraryEncoder(path, pattern)
+
+
 @lru_cache
 def ranked(path: str, pattern: str) -> tiktoken.Encoding:
     """The tiktoken encoding of a rank file, without special tokens."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pretokens import LibraryEncoder
+from .pretokens import library_encoder
 from .shared import shared_folder, small_batches, written
 
 #: Ids in a sequence, sequences in a batch, and ids after which a file ends with the document at hand.
@@ -67,7 +67,7 @@ def arrow_file(ids: np.ndarray, sizes: list[int], doc_ids: list[int | None], par
 
 def _packed(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = LibraryEncoder(path, pattern)
+        encode = library_encoder(path, pattern)
         end = np.array([end_id], encode.kind).tobytes()
         width, part, start = encode.kind.itemsize, TaskContext.get().partitionId(), 0
         held: list[bytes] = []
