@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .pretokens import ranked
-from .shared import by_batch, small_batches
+from .shared import by_batch, small_batches, written
 
 #: Lengths in a span of the two-level suffix sums.
 SPAN = 1024
@@ -42,7 +42,8 @@ def length_histogram(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_lengths(ranks, pattern), "n_tokens long, n_docs long")
-    lengths = parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("span", F.expr(f"n_tokens div {SPAN}"))
+    counted = written(parts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")  # texts are encoded once
+    lengths = counted.withColumn("span", F.expr(f"n_tokens div {SPAN}"))
     within = W.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     longer = W.orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)
     weight = F.col("n_docs") * F.col("n_tokens")
