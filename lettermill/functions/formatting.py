@@ -54,6 +54,7 @@ def collision_free(files: DataFrame, name: str, order: str) -> DataFrame:
 
 def human_bytes(value: Column) -> Column:
     """Bytes in steps of 1024 with one decimal above a step."""
+    value = value.cast("long")
     out = F.concat(value.cast("string"), F.lit(" B"))
     for step, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         size = 1024**step

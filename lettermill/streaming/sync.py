@@ -25,7 +25,11 @@ def flatten_history(pages: DataFrame) -> DataFrame:
     records = pages.select("page", F.posexplode("history").alias("position", "h"))
     kinds = (("added", "messagesAdded", 0), ("labels", "labelsAdded", 1), ("labels", "labelsRemoved", 1), ("deleted", "messagesDeleted", 2))
     empty = F.array().cast("array<struct<kind: string, step: int, message_id: string>>")
-    events = [F.transform(F.col(f"h.{name}"), lambda x, kind=kind, step=step: F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("step"), x["message"]["id"].alias("message_id"))) for kind, name, step in kinds]
+
+    def listed(kind: str, name: str, step: int) -> Column:
+        return F.transform(F.col(f"h.{name}"), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(step).alias("step"), x["message"]["id"].alias("message_id")))
+
+    events = [listed(*k) for k in kinds]
     flat = F.concat(*[F.coalesce(e, empty) for e in events])
     return records.select("page", "position", F.col("h.id").alias("record"), F.inline(flat))
 
