@@ -25,7 +25,7 @@ CALIBRATION = 5
 #: n-gram sizes, bits of an n-gram's hash, and features kept (those in most documents of the sample).
 SIZES, BITS, FEATURES = (1, 2, 3), 18, 16_384
 #: FTRL: learning rate, its smoothing, L1 and L2 penalties, passes.
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.5, 3
+ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1.0, 0.5, 3
 #: Characters whose n-grams are counted at once.
 PIECE = 1 << 20
 UNKNOWN = "und"
