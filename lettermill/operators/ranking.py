@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -194,13 +195,17 @@ def term_scores(docs: DataFrame, term: Term) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.sum(F.col("weight") * one).alias("score"))
 
 
-def scored(docs: DataFrame, query: str) -> DataFrame:
-    """``doc_id, score`` (six decimals) of the rows that match a query."""
-    tree = parse(query)
+def combined(tree: object, of_term: Callable[[Term], DataFrame], docs: DataFrame) -> DataFrame:
+    """``doc_id, score`` (six decimals) of the rows for which a tree holds, from the scores of its terms."""
     found = list(dict.fromkeys(terms(tree)))
     if not found:
         return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     of = {term: f"t{i}" for i, term in enumerate(found)}
-    parts = [term_scores(docs, term).select("doc_id", F.lit(of[term]).alias("t"), "score") for term in found]
+    parts = [of_term(term).select("doc_id", F.lit(of[term]).alias("t"), "score") for term in found]
     wide = reduce(lambda a, b: a.unionByName(b), parts).groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("t") == t, F.col("score"))), F.lit(0.0)).alias(t) for t in of.values()])
     return wide.filter(_holds(tree, of)).select("doc_id", F.round(_score(tree, of), 6).alias("score"))
+
+
+def scored(docs: DataFrame, query: str) -> DataFrame:
+    """``doc_id, score`` of the rows that match a query."""
+    return combined(parse(query), lambda term: term_scores(docs, term), docs)

@@ -99,7 +99,7 @@ def search(docs: DataFrame, request: SearchRequest) -> DataFrame:
         return docs.limit(0).select(*_result(F.lit(0.0)))
     matching = docs.filter(filters(request))
     if text:
-        matching = matching.join(ranking.scored(docs, text), "doc_id").select(*_result(F.col("score")))
+        matching = matching.select(*_result(F.lit(0.0))).drop("score").join(ranking.scored(docs, text), "doc_id").select(*RESULT)  # snippets, not bodies
         return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
     return matching.select(*_result(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
 

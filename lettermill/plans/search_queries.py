@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import ranking, search
 from ..operators.search import SearchRequest
-from ..session import table
+from ..operators.stored_index import StoredIndex
+from ..session import scratch_folder, table
 from .registry import query
 from .views import MESSAGES, START_MS, STEP_MS, bm25_sql, messages, tokens_sql
 
@@ -180,3 +181,18 @@ def index_field_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query("select c_custkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ' ') as values_ from customer")
 def address_values(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", F.array_join(text.address_values("c_name"), " ").alias("values_"))
+
+
+def _stored(spark: SparkSession, folder: str) -> StoredIndex:
+    return StoredIndex.write(messages(spark, folder), scratch_folder(spark))
+
+
+@query(bm25_sql(["erth", "thion", "apache"], _FIELDS, f"timestamp_ms >= {START_MS + 30 * _DAY} and timestamp_ms < {START_MS + 200 * _DAY}"))
+def stored_search_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    request = SearchRequest(text="body:erth body:thion body:Apache", date_from=START_MS + 30 * _DAY, date_to=START_MS + 200 * _DAY)
+    return _ids(_stored(spark, folder).search(request))
+
+
+@query(_PHRASE)
+def stored_search_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return _ids(_stored(spark, folder).search(SearchRequest(text='body:"Apache License"')))

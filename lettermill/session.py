@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +41,9 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors see; of this machine only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
+    return f"{root.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
