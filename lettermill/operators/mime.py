@@ -221,3 +221,15 @@ def synthetic_fields(raw: str = "raw"):
     columns = [last(header).alias(name) for name, header in names.items()]
     columns[0] = last("date-unix").cast("long").alias("timestamp")
     return [*columns, body.alias("body"), F.octet_length(raw).cast("long").alias("raw_bytes")]
+
+
+def map_messages(df: DataFrame, function, schema: str, raw: str = "raw") -> DataFrame:
+    """Rows that a user's function gives for each parsed message: ``function(row, message)`` yields tuples of ``schema``."""
+    names = [f.name for f in ddl(schema)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [out for row in batch.to_dict("records") for out in function(row, parse(bytes(row[raw])))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return df.mapInPandas(run, schema)

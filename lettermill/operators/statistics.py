@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import nearest_rank
+from ..functions.types import ddl
+from .cas import MARKER
 
 LARGE = 64 * 1024
+COMPRESSED = ddl("text_gzip long, attachment_gzip long, text_zstd long, attachment_zstd long")
 
 
 def _sum(value: Column | str) -> Column:
@@ -79,6 +86,23 @@ def mime_report(parts: DataFrame) -> DataFrame:
     return parts.agg(*counters).crossJoin(unique)  # one row each
 
 
+@F.pandas_udf(COMPRESSED)
+def compressed_parts(raw: pd.Series) -> pd.DataFrame:
+    """gzip and zstd (level 3) sizes of a message up to its first attachment, and of the rest."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    rows = []
+    for value in raw:
+        text, mark, rest = bytes(value or b"").partition(MARKER)
+        rows.append((len(gzip.compress(text)), len(gzip.compress(mark + rest)), len(pack(text)), len(pack(mark + rest))))
+    return pd.DataFrame(rows, columns=COMPRESSED.names)
+
+
+def compression_stats(messages: DataFrame, raw: str = "raw") -> DataFrame:
+    """One row: summed compressed sizes of texts and attachments."""
+    sizes = messages.select(compressed_parts(raw).alias("c")).select("c.*")
+    return sizes.agg(*[_sum(c).alias(c) for c in COMPRESSED.names])
+
+
 def extraction_stats(results: DataFrame) -> DataFrame:
     """Counters over ``results(mime, outcome, bytes, text)``: encountered, supported, extracted, unsupported, failures."""
     outcome = F.col("outcome")

@@ -64,3 +64,17 @@ def validate(name: str, df: DataFrame, keys: bool = True) -> None:
     for key in KEYS[name] if keys else []:
         if df.groupBy(*key).count().filter("count > 1").limit(1).count():
             raise SchemaError(f"{name}: {key} is not unique")
+
+
+#: What a catalogue says of itself (fixed values).
+APPLICATION_ID, USER_VERSION = 0x4D454D31, 1
+
+
+def validate_catalogue(tables: dict[str, DataFrame], application_id: int, user_version: int) -> None:
+    """Raise SchemaError unless these are exactly the catalogue's tables, of this application and version."""
+    if (application_id, user_version) != (APPLICATION_ID, USER_VERSION):
+        raise SchemaError(f"another application or version: {application_id:#x}, {user_version}")
+    if set(tables) != set(CATALOGUE):
+        raise SchemaError(f"tables {sorted(tables)} are not {sorted(CATALOGUE)}")
+    for name, df in tables.items():
+        validate(name, df)

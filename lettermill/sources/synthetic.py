@@ -21,6 +21,55 @@ _BODIES = {"en": "The plan is attached for your review.", "fr": "Le plan est joi
 MESSAGE = "doc_id long, message_id string, timestamp long, sender string, recipients array<string>, subject string, body string, html string, account string, folder string, thread string, attachments array<struct<filename: string, mime: string, bytes: long, content_hash: string>>, raw binary"
 
 
+#: Body lengths: shares of ten thousand for short, medium and long bodies; the rest is very long (fixed values).
+BODIES = {"light": (8300, 1500, 190), "personal": (7200, 2200, 500), "heavy": (6000, 2600, 1000)}
+REPEATS = ((1, 3), (20, 80), (250, 750), (4000, 20_000))
+#: Attachment sizes: a profile's base, and multipliers by share of a hundred (fixed values).
+BASES = {"light": 512, "personal": 32 * 1024, "heavy": 256 * 1024}
+MULTIPLIERS = {1: 60, 4: 25, 32: 12, 256: 3}
+
+
+class Xorshift(random.Random):
+    """The xorshift64* generator as a source for ``random``; a seed is any number."""
+
+    def seed(self, a=0, version=2) -> None:
+        self.state = (hash_ if (hash_ := int(a) & MASK) else 1) ^ 0x9E3779B97F4A7C15
+
+    def next(self) -> int:
+        x = self.state
+        x ^= x >> 12
+        x = (x ^ x << 25) & MASK
+        self.state = x = x ^ x >> 27
+        return x * 0x2545F4914F6CDD1D & MASK
+
+    def getrandbits(self, k: int) -> int:
+        out = 0
+        for _ in range(0, k, 32):
+            out = out << 32 | self.next() >> 32
+        return out >> (-k % 32)
+
+    def random(self) -> float:
+        return (self.next() >> 11) / (1 << 53)
+
+
+MASK = (1 << 64) - 1
+
+
+def body_repeats(profile: str, rng: random.Random) -> int:
+    """How often a body repeats its term."""
+    roll = rng.randrange(10_000)
+    for share, (least, width) in zip((*BODIES[profile], 10_000), REPEATS, strict=True):
+        if roll < share:
+            return least + rng.randrange(width)
+        roll -= share
+    raise AssertionError
+
+
+def attachment_size(profile: str, rng: random.Random, largest: int) -> int:
+    """The base of a profile times a multiplier, at most ``largest``."""
+    return min(BASES[profile] * rng.choices([*MULTIPLIERS], [*MULTIPLIERS.values()])[0], max(largest, 512))
+
+
 @dataclass(frozen=True)
 class Corpus:
     messages: int
@@ -58,20 +107,19 @@ def message(corpus: Corpus, doc_id: int) -> dict:
     """One message; equal corpus and id give equal bytes."""
     import hashlib
 
-    rng = random.Random(f"{corpus.seed}:{doc_id}")
+    rng = Xorshift(corpus.seed * 0x9E3779B1 + doc_id + 1)
     rate, duplicates, largest = PROFILES[corpus.profile]
     address = lambda: f"{rng.choice(_NAMES)}@{rng.choice(('north', 'south'))}.example"
     language, term = rng.choice(sorted(_BODIES)), rng.choice(_TERMS)
     sender, recipients = address(), sorted({address() for _ in range(rng.randint(1, 3))})
-    repeats = rng.choices((2, 40, 400, 4000), (80, 17, 2.8, 0.2))[0]
-    body = f"{_BODIES[language]} {(term + ' ') * rng.randint(1, repeats)}".strip()
+    body = f"{_BODIES[language]} {(term + ' ') * body_repeats(corpus.profile, rng)}".strip()
     html = f"<html><body><p>{body[:200]}</p></body></html>" if rng.random() < 0.65 else None
     attachments, payloads = [], []
     if rng.randrange(100) < rate:
         shared = rng.randrange(100) < duplicates
-        source = random.Random(f"{corpus.seed}:shared:{rng.randrange(64)}") if shared else rng
+        source = Xorshift(corpus.seed + rng.randrange(64) * 0x85EBCA6B) if shared else rng
         mime = source.choice(sorted(MIMES))
-        payload = source.randbytes(min(largest, source.choices((512, 4096, 65_536, 1 << 20), (60, 25, 12, 3))[0])).replace(b"\r\n--", b"\r\n-.")
+        payload = source.randbytes(attachment_size(corpus.profile, source, largest)).replace(b"\r\n--", b"\r\n-.")
         payloads.append(payload)
         attachments.append({"filename": f"{term}-{doc_id}.dat", "mime": mime, "bytes": len(payload), "content_hash": hashlib.sha256(payload).hexdigest()})
     row = {

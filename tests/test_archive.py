@@ -267,3 +267,48 @@ def test_catalogue_changes(spark):
     merged = catalogue.merge(table, spark.createDataFrame([(1, "new"), (99, "added")], "k long, v string"), ["k"])
     assert {r["k"]: r["v"] for r in merged.collect()} == {i: f"v{i}" for i in range(50)} | {1: "new", 99: "added"}
     assert catalogue.next_doc_id(spark.createDataFrame([], "doc_id long")).first()[0] == 0
+
+
+def test_publish_and_frontiers(spark, tmp_path):
+    from lettermill.schemas import CATALOGUE
+    from lettermill.streaming import publish
+
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    for batch in (0, 1, 1):
+        publish.publish_batch({"messages": rows, "occurrences": rows}, str(tmp_path / "t"), batch)
+    rows.write.parquet(str(tmp_path / "t/messages/batch=9"))  # no marker
+    assert publish.published(spark, str(tmp_path / "t"), "messages").count() == 2
+    state = spark.createDataFrame([], CATALOGUE["imap_scan_state"])
+    messages = spark.createDataFrame([("i", "INBOX", 7)], "source_account string, mailbox string, uid_validity long")
+    assert publish.scan_state(state, "i", "INBOX") is None and publish.known_uid_validity(state, messages, "i", "INBOX") == 7 and publish.known_uid_validity(state, messages, "i", "x") is None
+    state = publish.advance(publish.advance(state, "i", "INBOX", 7, 10, 11, 1), "i", "INBOX", 7, 20, 21, 2)
+    assert publish.scan_state(state, "i", "INBOX") == (7, 20)
+    with pytest.raises(ValueError, match="UIDVALIDITY"):
+        publish.advance(state, "i", "INBOX", 8, 1, 2, 3)
+    done = publish.sync_mailboxes(spark, ["a", "b"], lambda name: 3 if name == "a" else 1 / 0)
+    assert {(r["mailbox"], r["imported"], r["error"]) for r in done.collect()} == {("a", 3, None), ("b", 0, "division by zero")}
+
+
+def test_statistics_and_generators(spark):
+    from lettermill.operators import statistics
+
+    sizes = statistics.compression_stats(spark.createDataFrame([(b"a" * 1000 + cas.MARKER + b"b" * 1000,), (None,)], "raw binary")).first()
+    assert all(0 < sizes[c] < 200 for c in statistics.COMPRESSED.names)
+    rng = synthetic.Xorshift(42)
+    assert len({rng.next() for _ in range(1000)}) == 1000 and 0 <= rng.random() < 1 and rng.getrandbits(70) < 1 << 70
+    assert [synthetic.Xorshift(1).next(), synthetic.Xorshift(1).next()][0] == synthetic.Xorshift(1).next()
+    repeats = [synthetic.body_repeats("light", rng) for _ in range(3000)]
+    assert 0.78 < sum(r <= 3 for r in repeats) / 3000 < 0.88 and max(repeats) >= 250
+    assert {synthetic.attachment_size("light", rng, 10**6) for _ in range(500)} == {512, 2048, 16_384, 131_072}
+
+
+def test_config(tmp_path):
+    from lettermill.sources.config import Config
+
+    path = str(tmp_path / "c.json")
+    config = Config.load(path)
+    config.remember("a")
+    config.remember("b")
+    config.remember("a")
+    config.save(path)
+    assert Config.load(path) == Config(["a", "b"], {})

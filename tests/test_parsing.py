@@ -139,3 +139,34 @@ def test_synthetic_fields(spark):
     assert df.select(*mime.synthetic_fields()).first().asDict() == {"timestamp": 5, "sender": "a", "recipients": "b", "subject": "last", "folder": "f", "account": "c", "body": "body", "raw_bytes": len(raw)}
     with pytest.raises(Exception, match="missing archived header"):
         df.select(F.replace(F.col("raw").cast("string"), F.lit("X-Folder"), F.lit("Y")).cast("binary").alias("raw")).select(*mime.synthetic_fields()).collect()
+
+
+def test_extraction_providers(spark, tmp_path):
+    from lettermill.operators import extraction
+
+    here = extraction.discover(path=str(tmp_path))
+    assert [p.available for p in here] == [True, False] and extraction.selected("application/pdf", here) is None and extraction.selected("text/csv", here).id == "text"
+    fake = extraction.Provider("fake", "command", ("application/pdf",), True, ("cat",))
+    assert extraction.extract("application/pdf", b"pdf", None, [*here, fake]) == ("extracted", "pdf")
+    assert extraction.selected("application/pdf", [fake], {"application/pdf": "other"}) is None
+    assert extraction.run_command(("sleep", "5"), b"", timeout=0.1) == ("failed", "") and extraction.run_command(("false",), b"") == ("failed", "") and extraction.run_command(("cat",), b"\xff") == ("failed", "")
+    assert extraction.extract("image/png", b"", None, here) == ("unsupported", "")
+    parsed = mime.with_parsed(spark.createDataFrame([(1, MIXED)], "doc_id long, raw binary"))
+    found = {(r["part_id"], r["outcome"]) for r in extraction.extractions(mime.parts(parsed)).collect()}
+    assert (2, "extracted") in found and len(found) == 2
+
+
+def test_user_callback(spark):
+    df = spark.createDataFrame([(1, MIXED)], "doc_id long, raw binary")
+    rows = mime.map_messages(df, lambda row, message: [(row["doc_id"], message["To"])], "doc_id long, to string").collect()
+    assert [tuple(r) for r in rows] == [(1, "b@x.y")]
+
+
+def test_catalogue_validation(spark):
+    from lettermill.schemas import APPLICATION_ID, CATALOGUE, SchemaError, validate_catalogue
+
+    tables = {name: spark.createDataFrame([], schema) for name, schema in CATALOGUE.items()}
+    validate_catalogue(tables, APPLICATION_ID, 1)
+    for bad in ((tables, 0, 1), (tables, APPLICATION_ID, 2), ({k: v for k, v in tables.items() if k != "messages"}, APPLICATION_ID, 1)):
+        with pytest.raises(SchemaError):
+            validate_catalogue(*bad)
