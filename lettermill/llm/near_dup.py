@@ -25,7 +25,7 @@ from .components import components
 from .shared import as_bytes, by_batch, small_batches, written
 
 #: Documents in a chunk; a task holds two chunks.
-CHUNK = 512
+CHUNK = 256
 #: Up to so many representatives in buckets of two or more, their ids (16 bytes each) are broadcast to the texts.
 BROADCAST_IDS = 250_000
 #: Six standard deviations of an estimate from REGISTERS registers at the threshold; closer pairs are verified.

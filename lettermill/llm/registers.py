@@ -12,7 +12,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 SHINGLE = 5
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 _u = np.uint64
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
