@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids`` (little-endian unsigned 32-bit) of each document."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    found = bpe.decode(bpe.encode(docs, ranks, pattern, columns=["doc_id"]), ranks, pattern)
+    found = bpe.encode(docs, ranks, pattern, columns=["doc_id"], decoded=True)
     n_tokens = F.expr("octet_length(token_ids) div 4").cast("long")
     return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"), "token_ids")
 

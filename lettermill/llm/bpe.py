@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Splitter, ranked
-from .shared import as_bytes, by_batch, small_batches
+from .shared import as_bytes, by_batch, release, small_batches
 
 #: Bytes of text in a block; one task holds a block's distinct words and their ids.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 12_000_000
+#: Documents of a block that are put together at once.
+ROWS = 256
 
 
 def _bucket(word: str, buckets: int) -> int:
@@ -114,7 +116,7 @@ def _encoded(path: str, pattern: str, wide: bool):
     return run
 
 
-def _assembled(pattern: str, buckets: int, wide: bool, keep_text: bool):
+def _assembled(path: str, pattern: str, buckets: int, wide: bool, keep_text: bool, keep_bytes: bool):
     """For cogrouped blocks: the ids of each document, put together by the positions of its pre-tokens."""
 
     class Numbers(dict):
@@ -122,33 +124,52 @@ def _assembled(pattern: str, buckets: int, wide: bool, keep_text: bool):
             value = self[word] = len(self)
             return value
 
+    def numbered(texts: pa.Table) -> tuple[list[np.ndarray], Numbers]:
+        split, number, positions = Splitter(pattern), Numbers(), []
+        for batch in texts.select(["packed"]).to_batches(max_chunksize=ROWS):
+            for text in _texts(batch.column(0)):
+                found = split(text) if text else []
+                positions.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        return positions, number
+
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        split, number = Splitter(pattern), Numbers()
-        held = _texts(texts["packed"])
-        positions = [np.fromiter(map(number.__getitem__, split(t)), np.int32) if t else np.empty(0, np.int32) for t in held]
+        positions, number = numbered(texts)
         of_bucket = _by_bucket(number, buckets)
         ids = [b""] * len(number)
-        for bucket, lengths, body in zip(words["bucket"].to_pylist(), words["lengths"].to_pylist(), words["ids"].to_pylist(), strict=True):
+        for bucket, lengths, body in zip(*(words[c].to_pylist() for c in ("bucket", "lengths", "ids")), strict=True):
             for word, found in zip(of_bucket[bucket], _unpacked(lengths, body), strict=True):
                 ids[number[word]] = found
-        out = [b"".join(map(ids.__getitem__, p.tolist())) for p in positions]
-        if not wide:
-            out = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out]
-        kept = [(pa.array(held, pa.string()), "text")] * keep_text
-        return pa.table([texts["row"], *(c for c, _ in kept), pa.array(out, pa.binary())], names=["row", *(n for _, n in kept), "token_ids"])
+        del of_bucket, number
+        table = token_table(path, pattern) if keep_bytes else []
+        batches = []
+        for low in range(0, len(positions), ROWS):
+            part = texts.slice(low, ROWS)
+            found = [np.frombuffer(b"".join(map(ids.__getitem__, p.tolist())), "<u4" if wide else "<u2") for p in positions[low : low + ROWS]]
+            columns = [(part["row"].combine_chunks(), "row")]
+            if keep_text:
+                columns.append((pa.array(_texts(part["packed"]), pa.string()), "text"))
+            columns.append((pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()), "token_ids"))
+            if keep_bytes:
+                columns.append((pa.array([b"".join(map(table.__getitem__, x.tolist())) for x in found], pa.binary()), "token_bytes"))
+            batches.append(pa.RecordBatch.from_arrays([c for c, _ in columns], [n for _, n in columns]))
+        del positions, ids
+        release()
+        return pa.Table.from_batches(batches)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Every row of ``docs``, with ``columns`` (all, unless given) and ``token_ids``: little-endian unsigned 32-bit ids.
 
     The ids are those of the tiktoken library for the whole text, without special tokens. A null or empty text has no
     ids. Repeated rows stay. Other columns pass through, whatever their names; one called ``token_ids`` is replaced.
+    With ``decoded``, ids are also joined with the token table where they are made, which gives ``token_bytes``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [c for c in (docs.columns if columns is None else columns) if c != "token_ids"]
+    made = ["token_ids", "token_bytes"] if decoded else ["token_ids"]
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in made]
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(buckets, -(-size // BLOCK_BYTES))
@@ -162,9 +183,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     asked = dealt.sortWithinPartitions("block").mapInArrow(_distinct(pattern, buckets), "block int, bucket int, lengths binary, body binary")
     asked = asked.repartition("bucket").sortWithinPartitions("bucket")
     answered = asked.mapInArrow(_encoded(ranks, pattern, wide), "block int, bucket int, lengths binary, ids binary")
-    out = T.StructType([dealt.schema["row"], *([rows.schema["text"]] if "text" in columns else []), T.StructField("token_ids", T.BinaryType())])
-    joined = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled(pattern, buckets, wide, "text" in columns), out)
-    return joined.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], "token_ids")
+    out = T.StructType([dealt.schema["row"], *([rows.schema["text"]] if "text" in columns else []), *[T.StructField(c, T.BinaryType()) for c in made]])
+    joined = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled(ranks, pattern, buckets, wide, "text" in columns, decoded), out)
+    return joined.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], *made)
 
 
 def _decoded(path: str, pattern: str):

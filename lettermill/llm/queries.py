@@ -68,7 +68,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    found = bpe.decode(bpe.encode(_read(spark, folder, "documents"), ranks, pattern, columns=["doc_id"]), ranks, pattern)
+    found = bpe.encode(_read(spark, folder, "documents"), ranks, pattern, columns=["doc_id"], decoded=True)
     n_tokens = F.expr("octet_length(token_ids) div 4").cast("long")
     return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
