@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_batch, small_batches
+from .shared import by_batch, release, small_batches
 
 #: The sample: at most so many rows of a language and in all, of at most so many characters, in so many languages.
 PER_LANGUAGE, ROWS, CHARS, LANGUAGES = 1500, 12_000, 4000, 500
@@ -157,7 +157,9 @@ def train(docs: DataFrame, may_learn: Column) -> Model:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place")
     found = rows.select("lang", "text", place).join(F.broadcast(bound), "lang").filter((F.col("place") < F.col("bound")) & (F.length("text") <= CHARS))
     found = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))).filter(F.col("k") <= each)
-    return fit([(r["text"], r["lang"]) for r in found.orderBy("k", "lang").select("text", "lang").collect()])
+    model = fit([(r["text"], r["lang"]) for r in found.orderBy("k", "lang").select("text", "lang").collect()])
+    release()  # of the sample's features
+    return model
 
 
 def _predicted(shared, keep_text: bool):
