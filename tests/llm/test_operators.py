@@ -335,9 +335,10 @@ def brute_groups(texts, percent):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("percent", "chunk"), [(85, 512), (80, 4)])
+@pytest.mark.parametrize(("percent", "chunk"), [(85, 256), (80, 4)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, chunk):
     monkeypatch.setattr("lettermill.llm.near_dup.CHUNK", chunk)
+    monkeypatch.setattr("lettermill.llm.near_dup.BROADCAST_IDS", 250_000 if chunk > 100 else 0)
     rng = random.Random(8)
     texts = [None, "", "  \t", "one", "One", "one two", "a b c d e f", "a b c d e f"]
     for size in (7, 10, 11, 12, 60, 300):
