@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, pii, site_lines, url_rules
+from . import bpe, language, pii, site_lines, sql, url_rules
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_counts import length_histogram
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}
+    return {"op1_decontaminate": sql.CONTAMINATION, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}

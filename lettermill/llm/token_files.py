@@ -119,11 +119,11 @@ class SequenceFile:
     def batch(self, number: int) -> pa.RecordBatch:
         return self.file.get_batch(number)
 
-    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of one sequence."""
+    def __getitem__(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence: views of the file."""
         batch, row = self.batch(number // BATCH), number % BATCH
         values = batch.column("input_ids").values.to_numpy()[row * LENGTH : (row + 1) * LENGTH]
-        return values, batch.column("mask").values.slice(row * LENGTH, LENGTH).to_numpy(zero_copy_only=False)
+        return values, batch.column("mask").values.slice(row * LENGTH, LENGTH)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start within the partition and ids (with the end id) of each document."""

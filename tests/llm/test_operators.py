@@ -307,7 +307,7 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert found == want
     files = [token_files.SequenceFile(str(p)) for p in sorted((tmp_path / "tokens").glob("part-*"))]
     assert len(files) > 5
-    stream = np.concatenate([ids[mask] for f in files for n in range(sum(f.batch(b).num_rows for b in range(f.file.num_record_batches))) for ids, mask in [f[n]]])
+    stream = np.concatenate([ids[mask.to_numpy(zero_copy_only=False)] for f in files for n in range(sum(f.batch(b).num_rows for b in range(f.file.num_record_batches))) for ids, mask in [f[n]]])
     assert len(stream) == start and all(len(f[0][0]) == token_files.LENGTH and not f[0][0].flags.owndata for f in files)
     assert token_files.token_files(docs.limit(0), JSON, PATTERN).count() == 0
 
