@@ -18,7 +18,7 @@ from lettermill.llm.shared import written
 from lettermill.llm.site_lines import drop_boilerplate
 
 #: A document whose language isn't known (no letters) or is less certain than this is rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: Percent of shared five-word shingles that makes near duplicates.
 SIMILAR = 80
 

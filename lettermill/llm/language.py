@@ -7,7 +7,9 @@ training didn't see, divides the scores.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +35,31 @@ UNKNOWN = "und"
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
+@lru_cache
+def _letters() -> np.ndarray:
+    """Whether a character is a letter or a mark on one."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+
+
 def hashed(text: str):
-    """Hashes of the n-grams of the text in lower case, all of them, some at a time."""
-    marks = f" {text.lower()} "
-    overlap = max(SIZES) - 1
-    for low in range(0, max(1, len(marks) - overlap), PIECE):
-        a = np.frombuffer(marks[low : low + PIECE + overlap].encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Hashes of the n-grams of the text, all of them, some at a time: lower case, all but letters as single spaces."""
+    marks, space, tail = f" {text.lower()} ", np.uint32(32), np.empty(0, np.uint32)
+    for low in range(0, len(marks), PIECE):
+        a = np.frombuffer(marks[low : low + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        a = np.concatenate([tail, np.where(_letters()[a], a, space)])
+        kept = np.ones(len(a), bool)
+        kept[1:] = (a[1:] != space) | (a[:-1] != space)
+        a = a[kept]
         for size in SIZES:
-            n = len(a) - size + 1
-            if low + PIECE < len(marks) - overlap:
-                n = min(n, PIECE)  # the rest begins in the next piece
+            first = max(0, len(tail) - size + 1)  # n-grams before it were in the last piece
+            n = len(a) - size + 1 - first
             if n > 0:
-                x = a[:n] * np.uint32(_MULTIPLIERS[size - 1])
+                x = a[first : first + n] * np.uint32(_MULTIPLIERS[size - 1])
                 for j in range(1, size):
-                    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + a[j : j + n]
+                    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + a[first + j : first + j + n]
                 x = (x ^ (x >> np.uint32(16))) * np.uint32(0x297A2D39)
                 yield x >> np.uint32(32 - BITS)
+        tail = a[len(a) - max(SIZES) + 1 :] if len(a) >= max(SIZES) else a
 
 
 def has_letter(text: str | None) -> bool:
