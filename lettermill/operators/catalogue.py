@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 PRESENT, DELETED = "present", "deleted"
 
 
@@ -26,10 +28,14 @@ def next_doc_id(messages: DataFrame) -> DataFrame:
 def allocate_ids(new: DataFrame, order: list[str], first: int) -> DataFrame:
     """``new`` with contiguous ``doc_id`` in the given order, from ``first``.
 
-    Rows are range-partitioned and numbered within their partition; partition sizes, one row each, give the offsets.
+    Rows are range-partitioned and numbered within their partition; partition sizes, one row each, give the offsets. The
+    numbered rows are written once to the shared folder, since another run could set other ranges.
     """
     dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = dealt.withColumn("_number", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    path = f"{scratch_folder(new.sparkSession)}/numbered"
+    dealt.write.parquet(path)
+    dealt = new.sparkSession.read.schema(dealt.schema).parquet(path)
     sizes = dealt.groupBy("_part").agg((F.max("_number") + 1).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return dealt.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("doc_id", F.lit(first).cast("long") + F.col("_before") + F.col("_number")).drop("_part", "_number", "_before")

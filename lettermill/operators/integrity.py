@@ -74,12 +74,12 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str],
     Ranges are cut at multiples of ``width`` and joined by key and cell, so the join is an equi-join however long ranges
     are; the ranges themselves are compared exactly afterwards.
     """
-    a = a.withColumn("_row", F.monotonically_increasing_id())
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / width).cast("long")))
-    left = a.select("_row", F.col(key).alias("_key"), F.col(a_range[0]).alias("_a0"), F.col(a_range[1]).alias("_a1"), cells(*a_range).alias("_cell"))
+    distinct = a.select(F.col(key).alias("_key"), F.col(a_range[0]).alias("_a0"), F.col(a_range[1]).alias("_a1")).distinct()
+    left = distinct.withColumn("_cell", cells("_a0", "_a1"))
     right = b.select(F.col(key).alias("_key"), F.col(b_range[0]).alias("_b0"), F.col(b_range[1]).alias("_b1"), cells(*b_range).alias("_cell"))
-    meets = left.join(right, ["_key", "_cell"]).filter("_a0 < _b1 and _b0 < _a1").select("_row").distinct()
-    return a.join(meets, "_row", "left_semi").drop("_row")
+    meets = left.join(right, ["_key", "_cell"]).filter("_a0 < _b1 and _b0 < _a1").select("_key", "_a0", "_a1").distinct()
+    return a.join(meets, (F.col(key) == F.col("_key")) & (F.col(a_range[0]) == F.col("_a0")) & (F.col(a_range[1]) == F.col("_a1")), "left_semi")
 
 
 def validated_raw(frames: DataFrame, messages: DataFrame) -> DataFrame:

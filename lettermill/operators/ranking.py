@@ -203,6 +203,11 @@ def combined(tree: object, of_term: Callable[[Term], DataFrame], docs: DataFrame
     of = {term: f"t{i}" for i, term in enumerate(found)}
     parts = [of_term(term).select("doc_id", F.lit(of[term]).alias("t"), "score") for term in found]
     wide = reduce(lambda a, b: a.unionByName(b), parts).groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("t") == t, F.col("score"))), F.lit(0.0)).alias(t) for t in of.values()])
+    return judged(wide, tree, of)
+
+
+def judged(wide: DataFrame, tree: object, of: dict[Term, str]) -> DataFrame:
+    """``doc_id, score`` of the rows for which a tree holds; ``of`` names each term's column of scores (0: not there)."""
     return wide.filter(_holds(tree, of)).select("doc_id", F.round(_score(tree, of), 6).alias("score"))
 
 

@@ -41,9 +41,14 @@ def missing_disposition() -> Column:
     return F.when(unsafe, UNSAFE).when(F.col("refetchable") == 1, REFETCH).when(gone, CHOICE).otherwise(LOST)
 
 
-def _items(rows: DataFrame, subject: Column, status: str | Column, disposition: str | Column, action: str, facts: Column) -> DataFrame:
-    column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select(subject.alias("subject"), column(status).alias("status"), column(disposition).alias("disposition"), F.lit(False).alias("automatic"), F.lit(action).alias("proposed_action"), facts.alias("facts"))
+def _items(rows: DataFrame, subject: Column, cases: list[tuple[Column, str, Column | str, str, Column]]) -> DataFrame:
+    """An item for each row: the first case that holds gives status, disposition, action and facts."""
+    item = F.lit(None)
+    for holds, status, disposition, action, facts in reversed(cases):
+        made = F.struct(F.lit(status).alias("status"), (F.lit(disposition) if isinstance(disposition, str) else disposition).alias("disposition"), F.lit(action).alias("action"), facts.alias("facts"))
+        item = F.when(holds, made).otherwise(item)
+    found = rows.select(subject.alias("subject"), item.alias("i")).filter("i is not null")
+    return found.select("subject", "i.status", "i.disposition", F.lit(False).alias("automatic"), F.col("i.action").alias("proposed_action"), "i.facts")
 
 
 def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -51,32 +56,34 @@ def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidenc
 
     ``records`` as from ``record_inventory``, ``classified`` as from ``classify_frames``. Nothing is ever automatic.
     """
-    rows = records.join(messages.select("doc_id", "segment", "archive_offset", "frame_bytes"), "doc_id")
-    record = F.concat(F.lit("record "), F.col("doc_id").cast("string"))
-    frame = F.concat(F.lit("frame "), F.col("segment"), F.lit("@"), F.col("offset").cast("string"))
-    missing = rows.filter("status = 'missing'")
-    contradicting = classified.filter("state = 'inconsistent'").select("segment", F.col("offset").alias("archive_offset")).distinct()
-    contradicted = missing.join(contradicting, ["segment", "archive_offset"], "left_semi")
-    plain = missing.join(contradicting, ["segment", "archive_offset"], "left_anti").join(evidence, "doc_id", "left").fillna(0, ["refetchable", "deleted", "invalid"])
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    bad = records.filter("status <> 'available'").join(messages.select("doc_id", "segment", "archive_offset"), "doc_id")
+    contradicting = flag(classified.filter("state = 'inconsistent'").select("segment", F.col("offset").alias("archive_offset")), "contradicted")
+    rows = bad.join(contradicting, ["segment", "archive_offset"], "left").join(evidence.drop("identities"), "doc_id", "left").fillna(0, ["refetchable", "deleted", "invalid"])
     counts = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("refetchable", "deleted", "invalid")])
-    spots = messages.filter("archive_offset >= 0").select("segment", F.col("archive_offset").alias("offset")).distinct()
-    corrupt, tails = classified.filter("state = 'corrupt'"), classified.filter("state = 'tail'")
-    ranges = messages.filter("archive_offset >= 0 and frame_bytes >= 0").withColumn("end", F.col("archive_offset") + F.col("frame_bytes"))
-    tails = tails.withColumn("end", F.col("offset") + F.col("frame_bytes"))
-    claimed = overlapping(tails, ranges, "segment", ("offset", "end"), ("archive_offset", "end"), CELL)
-    unclaimed = tails.join(claimed.select("segment", "offset").distinct(), ["segment", "offset"], "left_anti")
     why = F.array(F.coalesce("reason", F.lit("")))
-    return (
-        _items(contradicted, record, "CataloguedInconsistent", UNSAFE, "inspect", F.array(F.lit("another frame is at the claimed coordinate")))
-        .unionByName(_items(plain, record, "PhysicallyMissing", missing_disposition(), "re-fetch or choose", counts))
-        .unionByName(_items(rows.filter("status = 'inconsistent'"), record, "CataloguedInconsistent", UNSAFE, "inspect", why))
-        .unionByName(_items(classified.filter("state = 'orphan'"), frame, "OrphanValidated", SALVAGE, "export", F.array(F.concat(F.lit("doc_id="), F.col("doc_id").cast("string")))))
-        .unionByName(_items(corrupt.join(spots, ["segment", "offset"], "left_semi"), frame, "PhysicalCorruption", UNSAFE, "inspect", why))
-        .unionByName(_items(corrupt.join(spots, ["segment", "offset"], "left_anti"), frame, "PhysicalCorruption", LOST, "none", why))
-        .unionByName(_items(claimed, frame, "IncompleteTail", UNSAFE, "inspect", why))
-        .unionByName(_items(unclaimed, frame, "IncompleteTail", CLEANUP, "truncate", why))
-        .orderBy("subject", "status")
-    )
+    missing = F.col("status") == "missing"
+    of_records = _items(rows, F.concat(F.lit("record "), F.col("doc_id").cast("string")), [
+        (missing & F.col("contradicted"), "CataloguedInconsistent", UNSAFE, "inspect", F.array(F.lit("another frame is at the claimed coordinate"))),
+        (missing, "PhysicallyMissing", missing_disposition(), "re-fetch or choose", counts),
+        (F.lit(True), "CataloguedInconsistent", UNSAFE, "inspect", why),
+    ])
+    spots = flag(messages.filter("archive_offset >= 0").select("segment", F.col("archive_offset").alias("offset")), "claimed")
+    frame = F.concat(F.lit("frame "), F.col("segment"), F.lit("@"), F.col("offset").cast("string"))
+    state = F.col("state")
+    of_frames = _items(classified.filter(state.isin("orphan", "corrupt")).join(spots, ["segment", "offset"], "left"), frame, [
+        (state == "orphan", "OrphanValidated", SALVAGE, "export", F.array(F.concat(F.lit("doc_id="), F.col("doc_id").cast("string")))),
+        (F.col("claimed"), "PhysicalCorruption", UNSAFE, "inspect", why),
+        (F.lit(True), "PhysicalCorruption", LOST, "none", why),
+    ])
+    ranges = messages.filter("archive_offset >= 0 and frame_bytes >= 0").withColumn("end", F.col("archive_offset") + F.col("frame_bytes"))
+    tails = classified.filter("state = 'tail'").withColumn("end", F.col("offset") + F.col("frame_bytes"))
+    overlaps = flag(overlapping(tails, ranges, "segment", ("offset", "end"), ("archive_offset", "end"), CELL).select("segment", "offset"), "claimed")
+    of_tails = _items(tails.join(overlaps, ["segment", "offset"], "left"), frame, [
+        (F.col("claimed"), "IncompleteTail", UNSAFE, "inspect", why),
+        (F.lit(True), "IncompleteTail", CLEANUP, "truncate", why),
+    ])
+    return of_records.unionByName(of_frames).unionByName(of_tails).orderBy("subject", "status")
 
 
 def archive_plan(spark: SparkSession, catalogue: str, archive: bool) -> DataFrame:

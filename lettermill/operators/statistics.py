@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import nearest_rank
+from ..functions.ranks import nearest_rank, ranked
 from ..functions.types import ddl
 from .cas import MARKER
 
@@ -52,11 +52,7 @@ def corpus_stats(messages: DataFrame, size: str = "raw_bytes", attached: str = "
 
 def middle_element(df: DataFrame, value: str, name: str) -> DataFrame:
     """The value at index n div 2 of the sorted values; 0 for none."""
-    from pyspark.sql import Window as W
-
-    counted = df.groupBy(value).agg(F.count("*").alias("_n"))
-    ranked = counted.withColumn("_upto", F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
-    return ranked.agg(F.coalesce(F.min(F.when(F.expr("_upto > _all div 2"), F.col(value))), F.lit(0)).alias(name))
+    return ranked(df, value).agg(F.coalesce(F.min(F.when(F.expr("_upto > _all div 2"), F.col(value))), F.lit(0)).alias(name))
 
 
 def mime_category(mime: Column) -> Column:

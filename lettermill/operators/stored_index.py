@@ -6,80 +6,108 @@ texts are never scanned. Buckets of frequent terms are dealt over several files
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import ddl
+from ..schemas import SEARCH_DOCS
 from . import ranking
 from .search import RESULT, SearchRequest, _result, filters
 
 #: Directories of terms, and files of a directory.
 BUCKETS, SPREAD = 64, 4
+POSTINGS = ddl("field string, term string, doc_id long, tf int, positions array<int>, dl int, df long")
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-@dataclass(frozen=True)
 class StoredIndex:
-    """An index below a folder."""
+    """An index below a folder. Its tables are opened once; field statistics (a row a field) are read when it is opened."""
 
-    spark: SparkSession
-    folder: str
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     @staticmethod
     def write(docs: DataFrame, folder: str) -> StoredIndex:
         """Build the index of the search projection ``docs``, over whatever is there."""
-        rows = ranking.postings(docs).withColumn("bucket", _bucket(F.col("term")))
+        rows = ranking.postings(docs)
+        counts = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+        rows = rows.join(counts, ["field", "term"]).withColumn("bucket", _bucket(F.col("term")))
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        dealt.select(*POSTINGS.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         ranking.field_stats(docs, [*ranking.FIELDS, *ranking._ALSO]).write.mode("overwrite").parquet(f"{folder}/fields")
         docs.repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms").write.mode("overwrite").parquet(f"{folder}/messages")
         return StoredIndex(docs.sparkSession, folder)
 
+    @cached_property
+    def _held(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return self.spark.read.schema(SEARCH_DOCS).parquet(f"{self.folder}/messages")
+
+    @cached_property
+    def fields(self) -> dict[str, tuple[int, float]]:
+        """Messages and mean tokens of each field."""
+        return {r["field"]: (r["n"], r["avgdl"]) for r in self.spark.read.parquet(f"{self.folder}/fields").collect()}
+
     def postings(self, words: list[str], fields: list[str]) -> DataFrame:
         """Postings of some words in some fields."""
-        held = self.spark.read.parquet(f"{self.folder}/postings")
         one = reduce(lambda a, b: a | b, [(F.col("bucket") == _bucket(F.lit(w))) & (F.col("term") == w) for w in words])
-        return held.filter(one & F.col("field").isin(*fields))
+        return self._held.filter(one & F.col("field").isin(*fields))
 
-    def messages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/messages")
+    def _of_field(self, value: Callable[[str], float | int]) -> Column:
+        return reduce(lambda c, f: c.when(F.col("field") == f, F.lit(value(f))), self.fields, F.when(F.lit(False), F.lit(0.0)))
+
+    def _weighted(self, df: Column) -> Column:
+        """The score of a row's term in its field."""
+        weights = ranking.FIELDS | ranking._ALSO
+        n, avgdl = self._of_field(lambda f: float(self.fields[f][0])), self._of_field(lambda f: float(self.fields[f][1]))
+        return self._of_field(lambda f: weights[f]) * ranking.bm25(F.col("tf"), F.col("dl"), n, df, avgdl)
 
     def term_scores(self, term: ranking.Term) -> DataFrame:
         """``doc_id, score`` of a word or phrase, as by ``ranking.term_scores``."""
-        fields = [term.field] if term.field else list(ranking.FIELDS)
-        words, weights = list(term.words), ranking.FIELDS | ranking._ALSO
+        words = list(term.words)
         if not words:
-            return self.messages().limit(0).select("doc_id", F.lit(0.0).alias("score"))
-        rows = self.postings(words, fields)
-        counts = rows.groupBy("field").agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(words)])
-        stats = self.spark.read.parquet(f"{self.folder}/fields").join(counts, "field")
-        weight = reduce(lambda c, f: c.when(F.col("field") == f, weights[f]), fields, F.when(F.lit(False), 0.0))
-        hits = rows if len(words) == 1 else self._phrases(rows, words)
-        scored = hits.join(F.broadcast(stats), "field")  # a row for each field of the schema
-        one = reduce(lambda a, b: a + b, [ranking.bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col(f"df{i}"), F.col("avgdl")) for i in range(len(words))])
-        return scored.groupBy("doc_id").agg(F.sum(weight * one).alias("score"))
+            return self.messages.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+        rows = self.postings(words, [term.field] if term.field else list(ranking.FIELDS))
+        if len(words) == 1:
+            return rows.groupBy("doc_id").agg(F.sum(self._weighted(F.col("df"))).alias("score"))
+        one = reduce(lambda a, b: a + b, [self._weighted(F.col(f"df{i}")) for i in range(len(words))])
+        return self._phrases(rows, words).groupBy("doc_id").agg(F.sum(one).alias("score"))
+
+    def scored(self, query: str) -> DataFrame:
+        """``doc_id, score`` of the messages that match a query; one pass over postings if no term is a phrase."""
+        tree = ranking.parse(query)
+        found = list(dict.fromkeys(ranking.terms(tree)))
+        if not found or any(len(t.words) != 1 for t in found):
+            return ranking.combined(tree, self.term_scores, self.messages)
+        rows = self.postings(sorted({t.words[0] for t in found}), list(dict.fromkeys(f for t in found for f in ([t.field] if t.field else ranking.FIELDS))))
+        held = rows.withColumn("score", self._weighted(F.col("df")))
+        of = {term: f"t{i}" for i, term in enumerate(found)}
+        hit = lambda t: (F.col("term") == t.words[0]) & F.col("field").isin(*([t.field] if t.field else ranking.FIELDS))
+        wide = held.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(hit(t), F.col("score"))), F.lit(0.0)).alias(name) for t, name in of.items()])
+        return ranking.judged(wide, tree, of)
 
     @staticmethod
     def _phrases(rows: DataFrame, words: list[str]) -> DataFrame:
         """Rows of messages that hold the words in a row; ``tf`` counts how often."""
         spots = [F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions")))).alias(f"p{i}") for i, w in enumerate(words)]
-        held = rows.groupBy("field", "doc_id", "dl").agg(*spots)
+        counts = [F.max(F.when(F.col("term") == w, F.col("df"))).alias(f"df{i}") for i, w in enumerate(words)]
+        held = rows.groupBy("field", "doc_id", "dl").agg(*spots, *counts)
         follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(f"p{i}", p + i) for i in range(1, len(words))])
-        return held.withColumn("tf", F.size(F.filter("p0", follows))).filter("tf > 0").select("field", "doc_id", "dl", "tf")
-
-    def scored(self, query: str) -> DataFrame:
-        """``doc_id, score`` of the messages that match a query."""
-        return ranking.combined(ranking.parse(query), self.term_scores, self.messages())
+        return held.withColumn("tf", F.size(F.filter("p0", follows))).filter("tf > 0")
 
     def search(self, request: SearchRequest) -> DataFrame:
         """As ``search.search``, from the index."""
         text = request.text.strip()
-        docs = self.messages()
+        docs = self.messages
         if request.limit <= 0 or not text and not request.has_filters():
             return docs.limit(0).select(*_result(F.lit(0.0)))
         matching = docs.filter(filters(request))
