@@ -21,20 +21,22 @@ from lettermill.llm.site_lines import drop_boilerplate
 LEAST_SCORE = 0.3
 #: Percent of shared five-word shingles that makes near duplicates.
 SIMILAR = 80
+#: A column of a stage's own, which it drops again.
+MADE = "_lm_made"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: those with ``und`` or an uncertain prediction go."""
-    found = language.identify(docs, language.train(docs, ~language.held_out()))
-    kept = (F.col("language.lang_pred") != language.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)
+    found = language.identify(docs, language.train(docs, ~language.held_out()), into=MADE)
+    kept = (F.col(f"{MADE}.lang_pred") != language.UNKNOWN) & (F.col(f"{MADE}.score") >= LEAST_SCORE)
     return found.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; ``n_chars`` counts what is left."""
-    cut = drop_boilerplate(docs, F.col("source"))
+    cut = drop_boilerplate(docs, F.col("source"), counts=(f"{MADE}_lines", MADE))
     if "n_chars" in docs.columns:
-        shorter = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        shorter = F.when(F.col(MADE) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", shorter)
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -48,8 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth repeats windows of benchmark items."""
-    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.filter("not contamination.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=MADE)
+    return judged.filter(~F.col(f"{MADE}.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def _counted(shared, column: int):
     return run
 
 
-def _joined(shared, last: bool, keep_text: bool):
+def _joined(shared, last: bool, keep_text: bool, into: str):
     def make():
         block: Block = shared.value
 
@@ -160,7 +160,7 @@ def _joined(shared, last: bool, keep_text: bool):
             fields = [pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), found, owned, pa.array(flags, pa.bool_())]
             verdict = pa.StructArray.from_arrays(fields, ["n_words", "n_hit", "n_items", "items_sha256", "spans", "items", "contaminated"])
             kept = [(batch.column(1), "text")] * keep_text
-            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), verdict], ["row", *(n for _, n in kept), "contamination"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), verdict], ["row", *(n for _, n in kept), into])
 
         return step
 
@@ -197,18 +197,18 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``contamination``.
+def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, into: str = "contamination") -> DataFrame:
+    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``into``.
 
     Its fields: ``n_words``, ``n_hit`` (words inside occurrences of windows), ``n_items``, ``items_sha256`` (of the item
     ids, sorted as strings and joined by commas), ``spans`` (word ranges that are hit), ``items``, ``contaminated``.
     A null or empty text has no words and isn't contaminated. Items with a null id, a null text or no words have no
     windows; rows of one item_id are one item. An empty benchmark hits nothing. Repeated documents are judged one by
-    one. Other columns pass through, whatever their names.
+    one. Other columns pass through, whatever their names; one called ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c != into]
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
     rows = docs.select(row, text, F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr(f"cast(array() as {_ITEMS})").alias("items"))
@@ -223,6 +223,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
         counts = docs.select(text).mapInArrow(_counted(shared, 0), "k long, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
         block.choose({(r["k"], r["code"]): r["n"] for r in counts.toLocalIterator()} if block.windows else {})
         ready = spark.sparkContext.broadcast(block)
-        rest = f"text string, spans {_SPANS}, items {_ITEMS}" if more else "text string, " * keep + f"contamination {_VERDICT}"
-        rows = rows.mapInArrow(_joined(ready, not more, keep), T.StructType([kind, *T.StructType.fromDDL(rest).fields]))
-    return rows.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], "contamination")
+        rest = f"text string, spans {_SPANS}, items {_ITEMS}" if more else "text string, " * keep + f"`{into}` {_VERDICT}"
+        rows = rows.mapInArrow(_joined(ready, not more, keep, into), T.StructType([kind, *T.StructType.fromDDL(rest).fields]))
+    return rows.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))

@@ -173,7 +173,7 @@ def train(docs: DataFrame, may_learn: Column) -> Model:
     return model
 
 
-def _predicted(shared, keep_text: bool):
+def _predicted(shared, keep_text: bool, into: str):
     def make():
         model: Model = shared.value
 
@@ -181,28 +181,28 @@ def _predicted(shared, keep_text: bool):
             found = [model.predict(text) for text in batch.column(1).to_pylist()]
             language = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
             kept = [(batch.column(1), "text")] * keep_text
-            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), language], ["row", *(n for _, n in kept), "language"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), language], ["row", *(n for _, n in kept), into])
 
         return step
 
     return by_batch(make)
 
 
-def identify(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``language``: ``lang_pred``, ``score``.
+def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, into: str = "language") -> DataFrame:
+    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``into``: ``lang_pred``, ``score``.
 
     Only the whole text decides. A null text, or one without a letter, gets ``und`` and 0, as every text does from a model
-    without languages. Repeated rows get equal predictions. Other columns pass through, whatever their names.
+    without languages. Repeated rows get equal predictions. Other columns pass through, whatever their names; one called ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [c for c in (docs.columns if columns is None else columns) if c != "language"]
+    columns = [c for c in (docs.columns if columns is None else columns) if c != into]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
     rows = docs.select(row, F.col("text").cast("string").alias("text"))
     keep = "text" in columns
-    out = T.StructType([*rows.schema.fields[: 1 + keep], *T.StructType.fromDDL("language struct<lang_pred: string, score: double>").fields])
-    found = rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), keep), out)
-    return found.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], "language")
+    out = T.StructType([*rows.schema.fields[: 1 + keep], T.StructField(into, T.StructType.fromDDL("lang_pred string, score double"))])
+    found = rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), keep, into), out)
+    return found.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))
 
 
 def held_out() -> Column:

@@ -257,7 +257,7 @@ def _joined(spans: list[Span]) -> str:
 _FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base: string, spans: string>"
 
 
-def _searched(shared, keep_text: bool):
+def _searched(shared, keep_text: bool, into: str):
     def make():
         field: Field = shared.value
 
@@ -270,26 +270,27 @@ def _searched(shared, keep_text: bool):
             names = [*(f"n_{kind}" for kind in KINDS), "base", "spans"]
             pii = pa.StructArray.from_arrays([pa.array([x[i] for x in found], kinds[i]) for i in range(6)], names)
             kept = [(batch.column(1), "text")] * keep_text
-            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), pii], ["row", *(n for _, n in kept), "pii"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), pii], ["row", *(n for _, n in kept), into])
 
         return step
 
     return by_batch(make)
 
 
-def personal_data(docs: DataFrame, field: Field, columns: list[str] | None = None) -> DataFrame:
-    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``pii``.
+def personal_data(docs: DataFrame, field: Field, columns: list[str] | None = None, into: str = "pii") -> DataFrame:
+    """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``into``.
 
     Its fields: counts of base spans by kind, ``base`` and ``spans`` (base spans, and all spans): ``kind:start:end`` in
     the order of KINDS, then of start, joined by commas; code points, end exclusive. A null text counts as empty and has
-    none. Repeated rows get equal results. Other columns pass through, whatever their names.
+    none. Repeated rows get equal results. Other columns pass through, whatever their names; one called
+    ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [c for c in (docs.columns if columns is None else columns) if c != "pii"]
+    columns = [c for c in (docs.columns if columns is None else columns) if c != into]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
     rows = docs.select(row, F.col("text").cast("string").alias("text"))
     keep = "text" in columns
-    out = T.StructType([*rows.schema.fields[: 1 + keep], *T.StructType.fromDDL(f"pii {_FOUND}").fields])
-    found = rows.mapInArrow(_searched(spark.sparkContext.broadcast(field), keep), out)
-    return found.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], "pii")
+    out = T.StructType([*rows.schema.fields[: 1 + keep], *T.StructType.fromDDL(f"`{into}` {_FOUND}").fields])
+    found = rows.mapInArrow(_searched(spark.sparkContext.broadcast(field), keep, into), out)
+    return found.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))

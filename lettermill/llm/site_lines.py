@@ -32,14 +32,14 @@ def boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int
     return found.groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``docs`` with boilerplate lines cut from ``text`` and two more columns: ``n_lines`` and ``n_dropped``.
+def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines cut from ``text`` and two more columns, ``counts``: its lines, and those dropped.
 
     Lines end at a line feed; spaces around them don't count when they are compared. Blank lines are never dropped. A
     null text stays null and has no lines; a null host has no boilerplate, but its pages stay. Repeated rows are pages
-    of their own. Other columns pass through; ones called ``n_lines`` or ``n_dropped`` are replaced.
+    of their own. Other columns pass through; ones called as ``counts`` are replaced.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c not in counts]
     found = written(boilerplate(docs, host, ratio, least), "boilerplate").select(F.col("host").alias("_lm_host"), F.col("marks").alias("_lm_marks"))
     rows = docs.withColumn("_lm_site", host)
     rows = rows.join(found, F.col("_lm_site") == F.col("_lm_host"), "left")
@@ -48,7 +48,7 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least:
     rows = rows.withColumn("_lm_lines", lines).withColumn("_lm_kept", kept)
     n_lines, n_kept = (F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long") for c in ("_lm_lines", "_lm_kept"))
     text = F.when(F.size("_lm_lines") == F.size("_lm_kept"), F.col("text")).otherwise(F.array_join("_lm_kept", "\n"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias(counts[0]), (n_lines - n_kept).alias(counts[1]))
 
 
 #: The same for the table ``documents`` with its sources as hosts.

@@ -43,6 +43,20 @@ def test_stages(spark, folder):
     assert all(out[r["doc_id"]]["n_tokens"] == len(encoding.encode_ordinary(r["text"])) for r in docs.collect())
 
 
+def test_stages_keep_columns_of_any_name(spark, folder):
+    from pyspark.sql import functions as F
+
+    names = ["language", "contamination", "n_lines", "n_dropped", "row", "rep", "fp", "spans", "a b", "component_id", "kept", "pii"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20")
+    docs = docs.union(docs.filter("doc_id = 3")).select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.schema.simpleString() == docs.schema.simpleString(), name
+        rows = after.collect()
+        assert len(rows) == 21 and all(r[n] == f"mine {n}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 21
+
+
 def test_stages_on_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     assert [stage(spark, docs, folder).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
