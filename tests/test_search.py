@@ -8,6 +8,7 @@ from lettermill.functions.ranks import nearest_rank, plain_nearest_rank
 from lettermill.functions.types import ddl
 from lettermill.operators import ranking, search
 from lettermill.operators.search import SearchRequest
+from lettermill.operators.stored_index import StoredIndex
 from lettermill.schemas import SEARCH_DOCS, SchemaError, validate
 
 
@@ -67,6 +68,21 @@ def test_requests(docs, request_, ids):
         assert [r["doc_id"] for r in search.search(docs, request_).collect()] == ids
 
 
+TEXTS = ["invoice", "gamma OR beta", '"invoice alpha"', "alpha invoice", "subject:alpha", "+invoice -alpha -beta", "(alpha OR gamma) AND label:sent", "nothing", '"body words" -gamma', "sender:alice subject:gamma", "-"]
+
+
+def test_stored_index_gives_the_same(spark, docs, tmp_path):
+    index = StoredIndex.write(docs, str(tmp_path / "index"))
+    again = StoredIndex(spark, str(tmp_path / "index"))
+    for text_ in TEXTS:
+        request = SearchRequest(text=text_, date_from=0)
+        want = [(r["doc_id"], r["score"]) for r in search.search(docs, request).collect()]
+        assert [(r["doc_id"], r["score"]) for r in index.search(request).collect()] == want, text_
+    assert [r["doc_id"] for r in again.search(SearchRequest(sender="alice")).collect()] == [2, 0] and again.search(SearchRequest()).count() == 0
+    plan = again.scored("alpha")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
 @pytest.mark.parametrize("bad", ["nofield:x", "(a", "a)", '"open', "subject:"])
 def test_bad_queries(docs, bad):
     with pytest.raises(ranking.QueryError):
