@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 FIELDS = {"sender": 1.0, "recipients": 1.0, "subject": 1.0, "body": 1.0, "account": 1.0, "label": 1.0, "attachment_type": 1.0, "attachment_text": 0.7}
 #: Search-projection columns of list-valued fields.
 _LISTS = {"label": "labels", "attachment_type": "attachment_types"}
-_ALSO = {"folder": 1.0}
+ALSO = {"folder": 1.0}
 
 
 class QueryError(ValueError):
@@ -34,7 +34,7 @@ def field_text(docs: DataFrame, name: str) -> Column:
 
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """``field, term, doc_id, tf, positions, dl``: each field's terms with their positions; dl is the field's length."""
-    fields = fields or [*FIELDS, *_ALSO]
+    fields = fields or [*FIELDS, *ALSO]
     texts = F.array(*[F.struct(F.lit(name).alias("field"), tokens(field_text(docs, name)).alias("found")) for name in fields])
     rows = docs.select("doc_id", F.inline(texts)).filter(F.size("found") > 0).select("doc_id", "field", F.size("found").alias("dl"), F.posexplode("found").alias("position", "term"))
     grouped = rows.groupBy("field", "term", "doc_id", "dl").agg(F.array_sort(F.collect_list("position")).alias("positions"))
@@ -132,7 +132,7 @@ def _operand(pieces: list[tuple[str, str]]) -> tuple[object, list[tuple[str, str
     name = None
     if kind == "field":
         name, pieces = value, pieces[1:]
-        if name not in FIELDS | _ALSO:
+        if name not in FIELDS | ALSO:
             raise QueryError(f"unknown field {name}")
         if not pieces or pieces[0][0] not in ("word", "phrase"):
             raise QueryError(f"no term after {name}:")
@@ -176,7 +176,7 @@ def term_scores(docs: DataFrame, term: Term) -> DataFrame:
     Only rows whose token list holds the first word are looked at further, so nothing but matching rows is shuffled.
     """
     fields = [term.field] if term.field else list(FIELDS)
-    weights = FIELDS | _ALSO
+    weights = FIELDS | ALSO
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(weights[f]).alias("weight"), tokens(field_text(docs, f)).alias("found")) for f in fields])
     found = docs.select("doc_id", F.inline(rows)).withColumn("dl", F.size("found"))
     words = list(term.words)

@@ -96,15 +96,15 @@ def search(docs: DataFrame, request: SearchRequest) -> DataFrame:
     """
     text = request.text.strip()
     if request.limit <= 0 or not text and not request.has_filters():
-        return docs.limit(0).select(*_result(F.lit(0.0)))
+        return docs.limit(0).select(*result_columns(F.lit(0.0)))
     matching = docs.filter(filters(request))
     if text:
-        matching = matching.select(*_result(F.lit(0.0))).drop("score").join(ranking.scored(docs, text), "doc_id").select(*RESULT)  # snippets, not bodies
+        matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(ranking.scored(docs, text), "doc_id").select(*RESULT)  # snippets, not bodies
         return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
-    return matching.select(*_result(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
+    return matching.select(*result_columns(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
 
 
-def _result(score: Column) -> list[Column]:
+def result_columns(score: Column) -> list[Column]:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return [
         F.col("doc_id"), blank("message_id"), score.alias("score"), F.coalesce("timestamp_ms", F.lit(0).cast("long")).alias("timestamp_ms"), blank("sender"), blank("recipients"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.types import ddl
 from ..schemas import SEARCH_DOCS
 from . import ranking
-from .search import RESULT, SearchRequest, _result, filters
+from .search import RESULT, SearchRequest, result_columns, filters
 
 #: Directories of terms, and files of a directory.
 BUCKETS, SPREAD = 64, 4
@@ -40,7 +40,7 @@ class StoredIndex:
         rows = rows.join(counts, ["field", "term"]).withColumn("bucket", _bucket(F.col("term")))
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "field", "doc_id")
         dealt.select(*POSTINGS.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        ranking.field_stats(docs, [*ranking.FIELDS, *ranking._ALSO]).write.mode("overwrite").parquet(f"{folder}/fields")
+        ranking.field_stats(docs, [*ranking.FIELDS, *ranking.ALSO]).write.mode("overwrite").parquet(f"{folder}/fields")
         docs.repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms").write.mode("overwrite").parquet(f"{folder}/messages")
         return StoredIndex(docs.sparkSession, folder)
 
@@ -67,7 +67,7 @@ class StoredIndex:
 
     def _weighted(self, df: Column) -> Column:
         """The score of a row's term in its field."""
-        weights = ranking.FIELDS | ranking._ALSO
+        weights = ranking.FIELDS | ranking.ALSO
         n, avgdl = self._of_field(lambda f: float(self.fields[f][0])), self._of_field(lambda f: float(self.fields[f][1]))
         return self._of_field(lambda f: weights[f]) * ranking.bm25(F.col("tf"), F.col("dl"), n, df, avgdl)
 
@@ -109,9 +109,9 @@ class StoredIndex:
         text = request.text.strip()
         docs = self.messages
         if request.limit <= 0 or not text and not request.has_filters():
-            return docs.limit(0).select(*_result(F.lit(0.0)))
+            return docs.limit(0).select(*result_columns(F.lit(0.0)))
         matching = docs.filter(filters(request))
         if text:
-            matching = matching.select(*_result(F.lit(0.0))).drop("score").join(self.scored(text), "doc_id").select(*RESULT)  # snippets, not bodies
+            matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(self.scored(text), "doc_id").select(*RESULT)  # snippets, not bodies
             return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
-        return matching.select(*_result(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
+        return matching.select(*result_columns(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
