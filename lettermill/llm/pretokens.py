@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 #: White space as Unicode has it; Python's own \s also takes U+001C to U+001F.
 _SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Pre-tokens that a task remembers, and the longest that it remembers.
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 400_000, 48
 
 
 def _ranges(kind: str) -> str:
@@ -49,7 +49,8 @@ class Splitter:
         self.narrow, self.wide = (p.findall for p in _patterns(pattern))
 
     def __call__(self, text: str) -> list[str]:
-        return self.narrow(text) if text.isascii() or max(text) < "\U00010000" else self.wide(text)
+        narrow = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return (self.narrow if narrow else self.wide)(text)
 
 
 def byte_characters() -> str:
