@@ -64,7 +64,7 @@ def main() -> None:
 
     for name in HEADLINE:
         seconds[name] = best(lambda name=name: queries[name](spark, FOLDER).write.format("noop").mode("overwrite").save())
-    docs = messages(spark, FOLDER)
+    docs = messages(spark, FOLDER, all_cores=True)
     folder = tempfile.mkdtemp(prefix="lettermill-bench-")
     began = time.perf_counter()
     index = StoredIndex.write(docs, folder)

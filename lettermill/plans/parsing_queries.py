@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import delivery_report, html_evidence, index, mime, statistics
-from ..session import table
+from ..session import spread, table
 from ..sources import synthetic
 from .registry import query
 
@@ -20,7 +20,7 @@ def _lines(*lines: str | Column) -> Column:
 
 def multipart(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, raw``: a document as plain text, a page as HTML, a base64 attachment and an inline image of each document."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     first = F.substring("text", 1, 60)
     raw = _lines(
         F.concat(F.lit("Subject: note "), F.col("doc_id").cast("string")), F.concat(F.lit("From: "), F.col("source"), F.lit(" <"), F.col("source"), F.lit("@mail.example>")), "To: a@list.example", "Cc: b@list.example",
@@ -78,7 +78,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         "MIME-Version: 1.0", F.concat(F.lit("Content-Type: "), F.when(k % 10 == 6, "multipart/mixed").otherwise("multipart/report"), F.lit("; report-type="), kind, F.lit('; boundary="r"')), "", "--r", "Content-Type: text/plain", "", "About your message.",
         "--r", F.concat(F.lit("Content-Type: "), second), "", F.when(k % 10 == 0, mdn).otherwise(group), "--r--", "",
     )
-    return table(spark, folder, "orders").select(k.alias("doc_id"), F.when(k % 10 == 7, _lines("Subject: hello", "", "ordinary")).otherwise(raw).alias("raw"))
+    return spread(table(spark, folder, "orders")).select(k.alias("doc_id"), F.when(k % 10 == 7, _lines("Subject: hello", "", "ordinary")).otherwise(raw).alias("raw"))
 
 
 @query("""

@@ -33,32 +33,32 @@ def search_filter_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(bm25_sql(["erth"], _FIELDS))
 def search_text_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="body:erth")))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="body:erth")))
 
 
 @query(bm25_sql(["erth", "thion", "apache"], _FIELDS))
 def search_text_multi(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="body:erth body:thion body:Apache")))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="body:erth body:thion body:Apache")))
 
 
 @query(bm25_sql(["src3", "license"], {"sender": ("sender", 1.0), "recipients": ("recipients", 1.0), "subject": ("subject", 1.0), "body": ("body", 1.0), "account": ("account", 1.0), "label": ("array_to_string(labels, ' ')", 1.0), "attachment_type": ("coalesce(mime, '')", 1.0), "attachment_text": ("''", 0.7)}))
 def search_text_default_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="src3 license")))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="src3 license")))
 
 
 @query(bm25_sql(["erth"], _FIELDS, f"timestamp_ms >= {START_MS + 30 * _DAY} and timestamp_ms < {START_MS + 200 * _DAY}"))
 def search_text_date(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="body:erth", date_from=START_MS + 30 * _DAY, date_to=START_MS + 200 * _DAY)))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="body:erth", date_from=START_MS + 30 * _DAY, date_to=START_MS + 200 * _DAY)))
 
 
 @query(bm25_sql(["license"], _FIELDS, "list_contains(labels, 'STARRED')"))
 def search_text_label(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="body:license", labels=("STARRED",))))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="body:license", labels=("STARRED",))))
 
 
 @query(bm25_sql(["license"], _FIELDS, "starts_with(mime, 'image/')"))
 def search_text_mime_family(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text="body:license", mime="IMAGE/*")))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text="body:license", mime="IMAGE/*")))
 
 
 _PHRASE = f"""
@@ -75,7 +75,7 @@ from hit, stats where tf > 0 order by score desc, doc_id limit 50
 
 @query(_PHRASE)
 def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
-    return _ids(search.search(messages(spark, folder), SearchRequest(text='body:"Apache License"')))
+    return _ids(search.search(messages(spark, folder, all_cores=True), SearchRequest(text='body:"Apache License"')))
 
 
 @query(f"""
@@ -83,7 +83,7 @@ with {MESSAGES.strip()}, tok as (select doc_id, {tokens_sql("body")} as toks fro
 select doc_id from tok where list_contains(toks, 'license') and not list_contains(toks, 'apache') and (list_contains(toks, 'erth') or list_contains(toks, 'the'))
 """)
 def search_boolean(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.scored(messages(spark, folder), "+body:license -body:apache +(body:erth OR body:the)").select("doc_id")
+    return ranking.scored(messages(spark, folder, all_cores=True), "+body:license -body:apache +(body:erth OR body:the)").select("doc_id")
 
 
 @query(_filtered("account = 'src7'"))
@@ -184,7 +184,7 @@ def address_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> StoredIndex:
-    return StoredIndex.write(messages(spark, folder), scratch_folder(spark))
+    return StoredIndex.write(messages(spark, folder, all_cores=True), scratch_folder(spark))
 
 
 @query(bm25_sql(["erth", "thion", "apache"], _FIELDS, f"timestamp_ms >= {START_MS + 30 * _DAY} and timestamp_ms < {START_MS + 200 * _DAY}"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import address_values
-from ..session import table
+from ..session import spread, table
 
 START_MS, STEP_MS = 1_577_836_800_000, 28_800_000
 _MIMES = ("image/png", "image/jpeg", "application/pdf", "text/csv")
 
 
-def messages(spark: SparkSession, folder: str) -> DataFrame:
+def messages(spark: SparkSession, folder: str, all_cores: bool = False) -> DataFrame:
     """``documents`` as the search projection: source as account, lang as label, every third third-day a message."""
     docs = table(spark, folder, "documents")
+    docs = spread(docs) if all_cores else docs
     kind = F.element_at(F.array(*map(F.lit, _MIMES)), (F.col("doc_id") % 4 + 1).cast("int"))
     has = F.col("doc_id") % 10 < 3
     none = F.array().cast("array<string>")

@@ -47,3 +47,9 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see; of this machine only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
     return f"{root.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions: for costly expressions over small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
