@@ -22,6 +22,8 @@ from ..functions.types import ddl
 
 LARGEST_TEXT = 64 * 1024 * 1024
 LONGEST_EXTRACT = 8 * 1024 * 1024
+#: Messages parsed at once: each is held several times, as RAW, payloads and texts.
+BATCH_ROWS = 256
 
 PART = "struct<part_id: int, mime: string, disposition: string, filename: string, content_id: string, downloadable: boolean, charset: string, encoded_bytes: long, decoded_bytes: long, payload: binary, text: string>"
 PARSED = ddl(
@@ -159,6 +161,9 @@ def parse_message(raw: pd.Series) -> pd.DataFrame:
 
 def with_parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``df`` with a struct ``parsed`` (PARSED)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df.withColumn("parsed", parse_message(raw))
 
 

@@ -18,26 +18,46 @@ def _lines(*lines: str | Column) -> Column:
     return F.encode(F.concat_ws(_LINE, *[F.lit(x) if isinstance(x, str) else x for x in lines]), "UTF-8")
 
 
-def multipart(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, raw``: a document as plain text, a page as HTML, a base64 attachment and an inline image of each document."""
+def multipart(spark: SparkSession, folder: str, plain: str = "text", attached: str | Column = "text") -> DataFrame:
+    """``doc_id, raw``: a document as plain text, its source as HTML, a base64 attachment and an inline image of each document.
+
+    The plain part and the attachment hold the whole text, unless other columns are given; base64 goes in lines of 76.
+    """
     docs = spread(table(spark, folder, "documents"))
-    first = F.substring("text", 1, 60)
+    coded = F.regexp_replace(F.regexp_replace(F.base64(F.encode(attached, "UTF-8")), r"\s", ""), "(.{76})(?=.)", f"$1{_LINE}")
     raw = _lines(
         F.concat(F.lit("Subject: note "), F.col("doc_id").cast("string")), F.concat(F.lit("From: "), F.col("source"), F.lit(" <"), F.col("source"), F.lit("@mail.example>")), "To: a@list.example", "Cc: b@list.example",
-        "MIME-Version: 1.0", 'Content-Type: multipart/mixed; boundary="b0"', "", "--b0", "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: 8bit", "", F.col("lang"),
+        "MIME-Version: 1.0", 'Content-Type: multipart/mixed; boundary="b0"', "", "--b0", "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: 8bit", "", F.col(plain),
         "--b0", "Content-Type: text/html; charset=utf-8", "Content-Transfer-Encoding: 8bit", "", F.concat(F.lit("<p>see http://x.example/ "), F.col("source"), F.lit("</p><script>no</script>")),
-        "--b0", F.concat(F.lit('Content-Type: text/csv; charset=utf-8; name="d'), F.col("doc_id").cast("string"), F.lit('.csv"')), "Content-Disposition: attachment", "Content-Transfer-Encoding: base64", "", F.base64(F.encode(first, "UTF-8")),
+        "--b0", F.concat(F.lit('Content-Type: text/csv; charset=utf-8; name="d'), F.col("doc_id").cast("string"), F.lit('.csv"')), "Content-Disposition: attachment", "Content-Transfer-Encoding: base64", "", coded,
         "--b0", "Content-Type: image/png", "Content-Disposition: inline; filename=logo.png", "Content-ID: <logo>", "Content-Transfer-Encoding: base64", "", "iVBORw0KGgo=", "--b0--", "",
     )
     return docs.select("doc_id", raw.alias("raw"))
 
 
+def _short(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of the queries whose SQL takes lang and 60 characters; those named ``_whole`` parse whole texts."""
+    return multipart(spark, folder, plain="lang", attached=F.substring("text", 1, 60))
+
+
 @query("""
 select doc_id, 'note ' || doc_id as subject, source || ' <' || source || '@mail.example>' as sender, 'a@list.example b@list.example' as recipients,
   lang || chr(10) || 'see [lien externe] ' || source || chr(10) as body, 'text/csv' as attachment_types, 1::bigint as attachment_count, substr(text, 1, 60) as attachment_text from documents
 """)
 def mime_messages(spark: SparkSession, folder: str) -> DataFrame:
-    found = mime.with_parsed(multipart(spark, folder)).select("doc_id", "parsed.*")
+    return _fields(_short(spark, folder))
+
+
+@query("""
+select doc_id, 'note ' || doc_id as subject, source || ' <' || source || '@mail.example>' as sender, 'a@list.example b@list.example' as recipients,
+  text || chr(10) || 'see [lien externe] ' || source || chr(10) as body, 'text/csv' as attachment_types, 1::bigint as attachment_count, text as attachment_text from documents
+""")
+def mime_messages_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _fields(multipart(spark, folder))
+
+
+def _fields(messages: DataFrame) -> DataFrame:
+    found = mime.with_parsed(messages).select("doc_id", "parsed.*")
     body = F.regexp_replace("body", "\r?\n", "\n")
     return found.select("doc_id", "subject", "sender", "recipients", body.alias("body"), F.array_join("attachment_types", " ").alias("attachment_types"), "attachment_count", "attachment_text")
 
@@ -49,13 +69,32 @@ select doc_id, i as part_id, ['text/plain', 'text/html', 'text/csv', 'image/png'
 from documents cross join (select unnest([0, 1, 2, 3])::integer as i)
 """)
 def mime_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return _parts(_short(spark, folder))
+
+
+@query("""
+select doc_id, i as part_id, ['text/plain', 'text/html', 'text/csv', 'image/png'][i + 1] as mime, case when i = 2 then 'attachment' else 'inline' end as disposition,
+  case i when 2 then 'd' || doc_id || '.csv' when 3 then 'logo.png' else '' end as filename, case when i = 3 then 'logo' else '' end as content_id, i = 2 as downloadable,
+  case i when 1 then strlen('<p>see http://x.example/ ' || source || '</p><script>no</script>') when 3 then 8 else strlen(text) end::bigint as decoded_bytes
+from documents cross join (select unnest([0, 1, 2, 3])::integer as i)
+""")
+def mime_parts_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _parts(multipart(spark, folder))
+
+
+def _parts(messages: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    parts = mime.parts(mime.with_parsed(multipart(spark, folder)))
+    parts = mime.parts(mime.with_parsed(messages))
     return parts.select("doc_id", "part_id", "mime", "disposition", blank("filename"), blank("content_id"), "downloadable", "decoded_bytes")
 
 
 @query("select count(*) as encountered, count(*) as supported, count(*) as extracted, 0::bigint as unsupported, 0::bigint as failures, sum(strlen(substr(text, 1, 60)))::bigint as bytes, sum(length(substr(text, 1, 60)))::bigint as chars from documents")
 def attachment_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics.extraction_stats(mime.extractions(mime.parts(mime.with_parsed(_short(spark, folder)))))
+
+
+@query("select count(*) as encountered, count(*) as supported, count(*) as extracted, 0::bigint as unsupported, 0::bigint as failures, sum(strlen(text))::bigint as bytes, sum(length(text))::bigint as chars from documents")
+def attachment_extraction_whole(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.extraction_stats(mime.extractions(mime.parts(mime.with_parsed(multipart(spark, folder)))))
 
 
@@ -139,7 +178,7 @@ select doc_id, account, labels, sender_filter, has_attachment, body from (
 def index_rows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     catalogue = docs.select("doc_id", F.lit("gmail:a").alias("source_account"), F.to_json(F.array("lang")).alias("label_ids"), F.lit(1).cast("long").alias("timestamp_ms"), F.lit("m").alias("message_id"), F.lit("").alias("folder"))
-    rows = index.search_rows(catalogue, multipart(spark, folder)).filter("error is null")
+    rows = index.search_rows(catalogue, multipart(spark, folder, plain="lang")).filter("error is null")
     return rows.select("doc_id", "account", F.array_join("labels", " ").alias("labels"), F.array_join("sender_filter", " ").alias("sender_filter"), "has_attachment", F.regexp_replace("body", "\r?\n", "\n").alias("body"))
 
 

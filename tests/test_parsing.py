@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.operators import delivery_report, html_evidence, mime
+from lettermill.plans import parsing_queries
 
 MIXED = (
     b"Subject: =?utf-8?q?caf=C3=A9?=\r\nFrom: A <a@x.y>\r\nTo: b@x.y\r\nBcc: c@x.y\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=B\r\n\r\n"
@@ -36,6 +37,22 @@ def test_mixed_message(spark):
     assert found == {(2, "extracted", "note"), (4, "unsupported", "")}
 
 
+def test_messages_hold_whole_texts(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["short", "", "é" * 60 + "tail", "line\n" * 500 + "end\n", "".join(rng.choice("ab é🙂\n-=") for _ in range(50_000)), "x" * 57, "y" * 58, "--b\n\nFrom z\n.\n"]
+    rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in parsing_queries.mime_messages_whole(spark, str(tmp_path)).collect()}
+    assert {i: r["attachment_text"] for i, r in found.items()} == dict(enumerate(texts))
+    assert {i: r["body"] for i, r in found.items()} == {i: f"{text}\nsee [lien externe] web\n" for i, text in enumerate(texts)}
+    raw = parsing_queries.multipart(spark, str(tmp_path)).filter("doc_id = 4").first()["raw"]
+    assert max(map(len, bytes(raw).split(b"Content-Disposition: attachment")[1].split(b"--b0")[0].splitlines())) == 76
+    sizes = {(r["doc_id"], r["part_id"]): r["decoded_bytes"] for r in parsing_queries.mime_parts_whole(spark, str(tmp_path)).collect()}
+    assert all(sizes[i, part] == len(text.encode()) for i, text in enumerate(texts) for part in (0, 2))
+    stats = parsing_queries.attachment_extraction_whole(spark, str(tmp_path)).first()
+    assert (stats["bytes"], stats["chars"]) == (sum(len(t.encode()) for t in texts), sum(map(len, texts)))
+
+
 def report(kind="delivery-status", second="message/delivery-status", body="", root="multipart/report", third=""):
     text = f"MIME-Version: 1.0\r\nContent-Type: {root}; report-type={kind}; boundary=R\r\n\r\n--R\r\n\r\nhello\r\n--R\r\nContent-Type: {second}\r\n\r\n{body}"
     return (text + (f"\r\n--R\r\nContent-Type: text/rfc822-headers\r\n\r\n{third}" if third else "") + "\r\n--R--\r\n").encode()
