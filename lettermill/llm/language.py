@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .shared import by_batch, release, small_batches
 
-#: The sample: at most so many rows of a language and in all, of at most so many characters, in so many languages.
+#: The sample: at most so many rows of a language and in all, of each a piece of at most so many characters, in so many languages.
 PER_LANGUAGE, ROWS, CHARS, LANGUAGES = 1500, 12_000, 4000, 500
 #: One row in so many of the sample calibrates.
 CALIBRATION = 5
@@ -31,6 +31,8 @@ ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1.0, 0.5, 3
 #: Characters whose n-grams are counted at once.
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: Any letter, in a column's pattern.
+LETTER = r"\p{L}"
 
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
@@ -118,7 +120,9 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     told = {lang: k for k, lang in enumerate(languages)}
     examples = [(*model.features(text), told[lang]) for text, lang in rows]
     aside = examples[::CALIBRATION]
-    training = [x for i, x in enumerate(examples) if i % CALIBRATION] or examples
+    training = [x for i, x in enumerate(examples) if i % CALIBRATION]
+    trained = {k for *_, k in training}
+    training += [x for x in aside if x[2] not in trained]  # languages with rows aside only
     _ftrl(model, training)
     scores = np.array([x @ model.weights[at] + model.bias for at, x, _ in aside])
     truth = np.array([k for *_, k in aside])
@@ -152,21 +156,29 @@ def _ftrl(model: Model, examples: list[tuple[np.ndarray, np.ndarray, int]]) -> N
     model.bias[:] = weights(zb, nb, 0.0)
 
 
+def _piece(text: Column, place: Column) -> Column:
+    """One of the text's pieces of at most CHARS characters: among those with a letter, the one that ``place`` draws."""
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)), lambda x: x.rlike(LETTER))
+    return F.element_at(pieces, (F.pmod(F.xxhash64(place), F.size(pieces)) + 1).cast("int"))
+
+
 def train(docs: DataFrame, may_learn: Column) -> Model:
     """A model from the rows of ``docs(doc_id, text, lang)`` that ``may_learn`` allows and whose lang isn't null.
 
-    The rows are those with the smallest hashes of doc_id in each language; only they come to the driver. No rows: a
-    model that knows no language.
+    The rows are those with the smallest hashes of doc_id in each language, among all that have a letter, however long;
+    only a piece of each, drawn by its hash from the pieces with a letter, comes to the driver. Every language has a row,
+    up to LANGUAGES of them. No rows: a model that knows no language.
     """
-    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    spread = 1 << 40
+    rows = rows.filter(F.col("text").rlike(LETTER)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return fit([])
     each = max(1, min(PER_LANGUAGE, ROWS // len(counts)))
-    spread = 1 << 40
-    bound = docs.sparkSession.createDataFrame([(r["lang"], min(spread, 2 * each * spread // r["n"] + 1)) for r in counts], "lang string, bound long")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place")
-    found = rows.select("lang", "text", place).join(F.broadcast(bound), "lang").filter((F.col("place") < F.col("bound")) & (F.length("text") <= CHARS))
+    bound = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"] + 1, min(spread, 2 * each * spread // r["n"] + 1))) for r in counts], "lang string, bound long")
+    found = rows.join(F.broadcast(bound), "lang").filter(F.col("place") < F.col("bound"))
+    found = found.select("lang", "place", _piece(F.col("text"), F.col("place")).alias("text")).distinct()
     found = found.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))).filter(F.col("k") <= each)
     model = fit([(r["text"], r["lang"]) for r in found.orderBy("k", "lang").select("text", "lang").collect()])
     release()  # of the sample's features

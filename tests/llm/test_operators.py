@@ -118,6 +118,33 @@ def test_language_without_training_rows(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(i, text, lang) for i, text, lang in languages(rng, 90) if lang != "cc"]
+    rows += [(1000 + i, " ".join(rng.choices("quo vie çon eau".split(), k=3000)) + " 123" * 3000, "cc") for i in range(30)]  # only long ones
+    rows += [(2000 + i, "12 34", "dd") for i in range(20_000)] + [(50_000 + i, " ".join(rng.choices("şiğ böy gür ıpt".split(), k=20)), "dd") for i in range(30)]  # few with letters
+    rows += [(60_000, "wjk xwq " * 5, "ee")] * 20_000  # copies of one row
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.train(docs, F.lit(True))
+    assert model.languages == ["aa", "bb", "cc", "dd", "ee"] and (model.bias != 0).all()
+    told = {"kalmor tif": "aa", "zünörk ßeh": "bb", "çon vie quo eau": "cc", "şiğ böy gür": "dd"}
+    assert {text: model.predict(text)[0] for text in told} == told
+
+
+def test_language_with_one_row_is_trained(monkeypatch):
+    trained, ftrl = [], language._ftrl
+    monkeypatch.setattr(language, "_ftrl", lambda model, examples: (trained.extend(k for *_, k in examples), ftrl(model, examples)))
+    model = language.fit([("çon quo", "cc"), *((f"kal mor {'tif ' * i}", "aa") for i in range(30))])  # the first row is set aside
+    assert {model.languages[k] for k in trained} == {"aa", "cc"}
+
+
+def test_pieces_of_long_texts(spark):
+    texts = ["a🙂\n" * 5000, "1 " * 10_000 + "b", "c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    found = [r[0] for r in rows.select(language._piece(F.col("text"), F.col("place"))).collect()]
+    assert found[0] in texts[0] and len(found[0]) in (3000, language.CHARS) and found[1:] == ["b", "c"]
+
+
 def test_temperature_and_pieces(monkeypatch):
     model = language.fit([(t, lang) for _, t, lang in languages(random.Random(5), 120)])
     assert 0.05 <= model.temperature <= 20
