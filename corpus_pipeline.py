@@ -15,7 +15,7 @@ from lettermill.llm import bpe, language
 from lettermill.llm.decontaminate import contamination
 from lettermill.llm.near_dup import near_duplicates
 from lettermill.llm.shared import written
-from lettermill.llm.site_lines import drop_boilerplate
+from lettermill.llm.site_lines import REPEATED, drop_boilerplate
 
 #: A document whose language isn't known (no letters) or is less certain than this is rejected.
 LEAST_SCORE = 0.3
@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; ``n_chars`` counts what is left."""
-    cut = drop_boilerplate(docs, F.col("source"), counts=(f"{MADE}_lines", MADE))
+    cut = drop_boilerplate(docs, F.col("source"), least=REPEATED, counts=(f"{MADE}_lines", MADE))
     if "n_chars" in docs.columns:
         shorter = F.when(F.col(MADE) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", shorter)

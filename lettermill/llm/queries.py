@@ -43,11 +43,15 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return length_histogram(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def op5_site_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = site_lines.drop_boilerplate(_read(spark, folder, "documents"), F.col("source"))
+def op5_site_lines(spark: SparkSession, folder: str, least: int = site_lines.LEAST) -> DataFrame:
+    found = site_lines.drop_boilerplate(_read(spark, folder, "documents"), F.col("source"), least=least)
     return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op5_site_lines_by_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return op5_site_lines(spark, folder, site_lines.REPEATED)
+
+
 def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _read(spark, folder, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -74,8 +78,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op5_site_lines_by_ratio, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": sql.CONTAMINATION, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}
+    return {"op1_decontaminate": sql.CONTAMINATION, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op5_site_lines": site_lines.SQL, "op5_site_lines_by_ratio": site_lines.sql(site_lines.RATIO, site_lines.REPEATED), "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}

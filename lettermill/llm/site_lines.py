@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 RATIO, LEAST = 0.1, 10
+#: The least number of pages where the ratio alone is to decide, on small hosts too: a line on fewer isn't a repeated one.
+REPEATED = 3
 
 
 def _mark(line: Column) -> Column:
@@ -51,8 +53,9 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least:
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], n_lines.alias(counts[0]), (n_lines - n_kept).alias(counts[1]))
 
 
-#: The same for the table ``documents`` with its sources as hosts.
-SQL = f"""
+def sql(ratio: float, least: int) -> str:
+    """The same for the table ``documents`` with its sources as hosts."""
+    return f"""
 with page as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
 seen as (
   select source, line, count(*) as n
@@ -60,7 +63,7 @@ seen as (
   group by all
 ),
 total as (select source, count(*) as pages from page group by all),
-boiler as (select source, list(line) as marks from seen join total using (source) where n >= {LEAST} and n > {RATIO} * pages group by source),
+boiler as (select source, list(line) as marks from seen join total using (source) where n >= {least} and n > {ratio} * pages group by source),
 cut as (
   select doc_id, text, lines, case when marks is null then lines else list_filter(lines, lambda x: trim(x) = '' or not list_contains(marks, trim(x))) end as kept
   from page left join boiler using (source)
@@ -69,3 +72,6 @@ select doc_id, coalesce(len(lines), 0)::bigint as n_lines, (coalesce(len(lines),
   md5(array_to_string(kept, chr(10))) as text_md5
 from cut
 """
+
+
+SQL = sql(RATIO, LEAST)

@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, language, pii, site_lines, token_files, url_rules
+import corpus_pipeline
+from lettermill.llm import bpe, language, pii, queries, site_lines, token_files, url_rules
 from lettermill.llm.components import components
 from lettermill.llm.cover_tree import Search, build
 from lettermill.llm.decontaminate import contamination
@@ -232,6 +233,21 @@ def test_boilerplate_lines_go(spark):
     assert site_lines.drop_boilerplate(docs.limit(0), F.col("host")).count() == 0
 
 
+def test_small_hosts_lose_lines_by_ratio(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"Menu\nother {i}", "nine") for i in range(9)] + [(100 + i, f"Foot\nother {i}", "three") for i in range(3)] + [(200 + i, f"Top\nother {i}", "two") for i in range(2)]
+    rows += [(300 + i, ("Rare\n" if i < 3 else "Often\n" if i < 7 else "") + f"other {i}", "thirty") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: tuple(r) for r in queries.op5_site_lines_by_ratio(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "text_md5").collect()}
+    assert {i for i, r in found.items() if r[2]} == {*range(9), *range(100, 103), *range(303, 307)}
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(duck.execute(queries.oracle_sql()["op5_site_lines_by_ratio"]).fetchall()) == set(found.values())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("lang", F.lit("aa"))
+    assert corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).filter("text like '%Menu%' or text like '%Foot%' or text like '%Often%'").count() == 0
+
+
 # 6: exact top-k
 
 
