@@ -17,8 +17,9 @@ from lettermill.llm.near_dup import near_duplicates
 from lettermill.llm.shared import written
 from lettermill.llm.site_lines import REPEATED, drop_boilerplate
 
-#: A document whose language isn't known (no letters) or is less certain than this is rejected.
-LEAST_SCORE = 0.3
+#: A document whose language isn't known (no letters) or is less certain than this is rejected, with more than CHANCES
+#: languages in proportion less certain.
+LEAST_SCORE, CHANCES = 0.3, 4
 #: Percent of shared five-word shingles that makes near duplicates.
 SIMILAR = 80
 #: A column of a stage's own, which it drops again.
@@ -26,9 +27,16 @@ MADE = "_lm_made"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: those with ``und`` or an uncertain prediction go."""
-    found = language.identify(docs, language.train(docs, ~language.held_out()), into=MADE)
-    kept = (F.col(f"{MADE}.lang_pred") != language.UNKNOWN) & (F.col(f"{MADE}.score") >= LEAST_SCORE)
+    """Documents of a known language: those with ``und`` or an uncertain prediction go.
+
+    Without a labelled row to learn from, no language is known, and all documents with a letter stay.
+    """
+    model = language.train(docs, ~language.held_out())
+    if not model.languages:
+        return docs.filter(F.col("text").cast("string").rlike(language.LETTER))
+    found = language.identify(docs, model, into=MADE)
+    least = LEAST_SCORE * min(1, CHANCES / len(model.languages))
+    kept = (F.col(f"{MADE}.lang_pred") != language.UNKNOWN) & (F.col(f"{MADE}.score") >= least)
     return found.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

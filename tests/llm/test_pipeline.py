@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lettermill.llm import queries
+from lettermill.llm import language, queries
 from lettermill.llm.pretokens import ranked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,6 +63,24 @@ def test_stages_on_an_empty_table(spark, folder):
     assert [stage(spark, docs, folder).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
 
 
+def test_unlabelled_documents_stay(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    after = corpus_pipeline.language_id(spark, docs, folder)
+    assert after.columns == COLUMNS and after.count() == docs.count() - 2
+    assert after.filter("doc_id in (203, 204)").count() == 0
+
+
+def test_least_score_follows_the_number_of_languages(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20")
+    for n, kept in ((4, 0), (20, 20)):  # models that give their first language 0.28 for any text
+        bias = np.log([0.28] + [0.72 / (n - 1)] * (n - 1))
+        model = language.Model([f"l{i}" for i in range(n)], np.zeros(1 << language.BITS, np.int32), np.zeros(0), np.zeros((0, n)), bias, 1.0)
+        monkeypatch.setattr(language, "train", lambda *_, model=model: model)
+        assert corpus_pipeline.language_id(spark, docs, folder).count() == kept
+
+
 def test_registered_queries():
     names = queries.queries()
     assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
