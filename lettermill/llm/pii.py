@@ -25,7 +25,7 @@ from .shared import by_batch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Documents of the training sample and their longest text; passes of message passing and its damping; least belief.
+#: Documents of the training sample, at most a quarter of them without a likely base span, and their longest text; passes of message passing and its damping; least belief.
 SAMPLE, CHARS, ROUNDS, DAMPING, BELIEF = 4000, 20_000, 20, 0.3, 0.9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +37,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _OTHER = re.compile(r"[0-9][0-9 ().\-/]*+")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,6}")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9._%+@-]{5,}")
 
 Span = tuple[str, int, int]
 
@@ -82,6 +83,24 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _locals(text: str, wanted: set[str]) -> list[tuple[int, int]]:
+    """Where one of these local parts starts a run of address characters and ends with it or before a dot: one pass."""
+    wanted = {x for x in wanted if len(x) >= 5}
+    if not wanted:
+        return []
+    sizes, found = {len(x) for x in wanted}, []
+    for m in _RUN.finditer(text):
+        run, at = m[0], m.start()
+        end = run.find(".")
+        while end >= 0:
+            if end in sizes and run[:end] in wanted:
+                found.append((at, at + end))
+            end = run.find(".", end + 1)
+        if len(run) in sizes and run in wanted:
+            found.append((at, at + len(run)))
+    return found
+
+
 def other_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Mentions that base spans don't cover, disjoint and in order."""
     found = []
@@ -92,9 +111,7 @@ def other_mentions(text: str, base: list[Span]) -> list[tuple[int, int]]:
                 found.append((m.start(), m.start() + len(mention)))
     if "at)" in text or "at]" in text:
         found += [m.span() for m in _SPELLED.finditer(text)]
-    for local in {text[a:b].split("@")[0] for kind, a, b in base if kind == "email"}:
-        if len(local) >= 5:
-            found += [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-])", text)]
+    found += _locals(text, {text[a:b].split("@")[0] for kind, a, b in base if kind == "email"})
     out, taken = [], sorted((a, b) for _, a, b in base)
     starts = np.array([a for a, _ in taken], np.int64)
     ends = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
@@ -242,12 +259,24 @@ def fit(texts: list[str]) -> Field:
     return Field(unary, max(0.0, skip), max(0.0, min(chain, 0.5)))
 
 
+#: Any text with a base span matches this; in Java's syntax, without repeated groups.
+LIKELY = r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9][ ().0-9-]{6}|" + "[0-9][ -]?" * 15 + "[0-9]"
+
+
 def train(docs: DataFrame) -> Field:
-    """A field fitted to the documents with the smallest hashes of doc_id, ``SAMPLE`` at most."""
-    share = min(1.0, 2 * SAMPLE / max(docs.count(), 1))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")
-    found = docs.filter(F.length("text") <= CHARS).select("text", place).filter(F.col("place") <= int(share * (1 << 40)))
-    return fit([r["text"] for r in found.orderBy("place", "text").limit(SAMPLE).collect()])
+    """A field fitted to at most ``SAMPLE`` documents of at most ``CHARS`` characters: those with the smallest hashes of
+    doc_id among the ones that may hold a base span, and a quarter as many of the others. An empty table gives a field
+    that adds nothing."""
+    spread, likely = 1 << 40, F.col("text").rlike(LIKELY)
+    rows = docs.filter(F.length("text") <= CHARS).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"), likely.alias("likely"))
+    counts = {r["likely"]: r["n"] for r in rows.groupBy("likely").agg(F.count("*").alias("n")).collect()}
+    found = []
+    for kind, share in ((True, SAMPLE - SAMPLE // 4), (False, SAMPLE // 4)):
+        if counts.get(kind):
+            bound = min(spread, 2 * share * spread // counts[kind] + 1)
+            some = rows.filter((F.col("likely") == kind) & (F.col("place") < bound))
+            found += [r["text"] for r in some.orderBy("place", "text").select("text").limit(share).collect()]
+    return fit(found)
 
 
 def _joined(spans: list[Span]) -> str:
@@ -282,7 +311,8 @@ def personal_data(docs: DataFrame, field: Field, columns: list[str] | None = Non
 
     Its fields: counts of base spans by kind, ``base`` and ``spans`` (base spans, and all spans): ``kind:start:end`` in
     the order of KINDS, then of start, joined by commas; code points, end exclusive. A null text counts as empty and has
-    none. Repeated rows get equal results. Other columns pass through, whatever their names; one called
+    none; an empty table gives no rows; long texts are searched whole, in time linear in their length. Repeated rows get
+    equal results. Other columns pass through, whatever their names; one called
     ``into`` is replaced.
     """
     spark = docs.sparkSession
