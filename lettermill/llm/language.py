@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .shared import by_batch, release, small_batches
 
-#: The sample: at most so many rows of a language and in all, of each a piece of at most so many characters, in so many languages.
-PER_LANGUAGE, ROWS, CHARS, LANGUAGES = 1500, 12_000, 4000, 500
+#: The sample: at most so many rows of a language and in all (but one of every language), of each a piece of at most so many characters.
+PER_LANGUAGE, ROWS, CHARS = 1500, 12_000, 4000
 #: One row in so many of the sample calibrates.
 CALIBRATION = 5
 #: n-gram sizes, bits of an n-gram's hash, and features kept (those in most documents of the sample).
@@ -167,12 +167,12 @@ def train(docs: DataFrame, may_learn: Column) -> Model:
 
     The rows are those with the smallest hashes of doc_id in each language, among all that have a letter, however long;
     only a piece of each, drawn by its hash from the pieces with a letter, comes to the driver. Every language has a row,
-    up to LANGUAGES of them. No rows: a model that knows no language.
+    however many there are. No rows: a model that knows no language.
     """
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     spread = 1 << 40
     rows = rows.filter(F.col("text").rlike(LETTER)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("lang").collect()
     if not counts:
         return fit([])
     each = max(1, min(PER_LANGUAGE, ROWS // len(counts)))
@@ -203,8 +203,9 @@ def _predicted(shared, keep_text: bool, into: str):
 def identify(docs: DataFrame, model: Model, columns: list[str] | None = None, into: str = "language") -> DataFrame:
     """Every row of ``docs`` with ``columns`` (all, unless given) and a struct ``into``: ``lang_pred``, ``score``.
 
-    Only the whole text decides. A null text, or one without a letter, gets ``und`` and 0, as every text does from a model
-    without languages. Repeated rows get equal predictions. Other columns pass through, whatever their names; one called ``into`` is replaced.
+    Only the whole text decides, however long. A null text, or one without a letter, gets ``und`` and 0, as every text
+    does from a model without languages. Of equally likely languages the first by name is taken. Repeated rows get equal
+    predictions; an empty table gives no rows. Other columns pass through, whatever their names; one called ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
