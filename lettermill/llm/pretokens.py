@@ -80,31 +80,61 @@ class _Remembered(dict):
         return value
 
 
+class PieceLengths(dict):
+    """Ids of a pre-token by the ranks, remembered. Pre-tokens go to the library one by one: whole texts with very long
+    runs of white space overflow the stack of its pattern engine."""
+
+    def __init__(self, path: str, pattern: str):
+        super().__init__()
+        self.encode, self.split = ranked(path, pattern)._encode_single_piece, Splitter(pattern)
+
+    def __missing__(self, piece: str) -> int:
+        value = len(self.encode(piece.encode()))
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = value
+        return value
+
+    def of(self, text: str | None) -> int:
+        """Ids of a whole text."""
+        return sum(map(self.__getitem__, self.split(text))) if text else 0
+
+
 class LibraryEncoder:
-    """Ids that the tokenizers library gives for whole texts, without special tokens.
+    """Ids that the tokenizers library gives for whole texts with ``add_special_tokens=False``.
 
     For a byte-level BPE without normaliser, each pre-token is encoded by the library's model when it is first met and
-    remembered; a text's ids are those of its pre-tokens. Other vocabularies encode whole texts.
+    remembered; a text's ids are those of its pre-tokens. The file's added tokens are cut out before, as the library does.
+    Other vocabularies, and those whose added tokens have conditions, encode whole texts.
     """
 
     def __init__(self, path: str, pattern: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
-        level, model = made.get("pre_tokenizer") or {}, made["model"]
-        self.by_piece = made.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+        level, model, added = made.get("pre_tokenizer") or {}, made["model"], made.get("added_tokens") or []
+        simple = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.by_piece = simple and made.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
         if self.by_piece:
             shown, model = byte_characters(), self.library.model
             self.split = Splitter(pattern)
+            self.added = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in added if t["content"]}
+            self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=lambda x: (-len(x), x))))) if self.added else None
             self.pieces = _Remembered(lambda x: [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(shown))], self.kind)
 
     def __call__(self, text: str) -> bytes:
         """The ids, as little-endian numbers of ``kind``."""
         if not self.by_piece:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        if self.cut is None or not self.cut.search(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [*map(self.pieces.__getitem__, self.split(text[at : m.start()])), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, *map(self.pieces.__getitem__, self.split(text[at:]))])
 
 
 @lru_cache

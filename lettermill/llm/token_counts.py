@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pretokens import ranked
+from .pretokens import PieceLengths
 from .shared import by_batch, small_batches, written
 
 #: Lengths in a span of the two-level suffix sums.
@@ -19,10 +19,10 @@ SPAN = 1024
 
 def _lengths(path: str, pattern: str):
     def make():
-        encode = ranked(path, pattern).encode_ordinary
+        length = PieceLengths(path, pattern).of
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes = np.array([len(encode(text)) if text else 0 for text in batch.column(0).to_pylist()], np.int64)
+            sizes = np.fromiter(map(length, batch.column(0).to_pylist()), np.int64, batch.num_rows)
             found, counts = np.unique(sizes, return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["n_tokens", "n_docs"])
 
@@ -37,7 +37,7 @@ def length_histogram(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     ``n_tokens`` (the length), ``n_docs`` (documents of it), ``docs_at_least`` and ``tokens_at_least`` (documents of this
     length or more, and their tokens), ``truncated_tokens`` (all documents' tokens if each is cut to this length),
     ``docs_total``, ``tokens_total``. A null or empty text has length 0; repeated rows count each time; an empty table
-    gives no rows. The rows are at most as many as the longest document's tokens. Suffix sums are taken within spans of
+    gives no rows. Texts are counted whole, however long. The rows are at most as many as the longest document's tokens. Suffix sums are taken within spans of
     lengths, then over the spans, so no task sorts all lengths.
     """
     small_batches(docs.sparkSession)

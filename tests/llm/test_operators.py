@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lettermill.llm import bpe, language, pii, queries, site_lines, token_files, url_rules
@@ -17,7 +18,7 @@ from lettermill.llm.components import components
 from lettermill.llm.cover_tree import Search, build
 from lettermill.llm.decontaminate import contamination
 from lettermill.llm.near_dup import near_duplicates
-from lettermill.llm.pretokens import LibraryEncoder, Splitter, ranked
+from lettermill.llm.pretokens import LibraryEncoder, PieceLengths, Splitter, ranked
 from lettermill.llm.registers import MANTISSA, REGISTERS, WordHashes, band_keys, densified, estimated, raw_registers, shingle_set
 from lettermill.llm.token_counts import length_histogram, quantile, truncated_total
 from lettermill.llm.top_k import top_k
@@ -132,6 +133,13 @@ def test_every_labelled_language_is_learned(spark):
     assert {text: model.predict(text)[0] for text in told} == told
 
 
+def test_very_many_languages_are_learned(spark):
+    rng = random.Random(15)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=30)), f"l{i:03d}") for i in range(600)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 600
+
+
 def test_language_with_one_row_is_trained(monkeypatch):
     trained, ftrl = [], language._ftrl
     monkeypatch.setattr(language, "_ftrl", lambda model, examples: (trained.extend(k for *_, k in examples), ftrl(model, examples)))
@@ -193,6 +201,45 @@ def test_skip_chain_adds_similar_mentions(spark):
     assert pii.personal_data(docs.limit(0), field).count() == 0
 
 
+def slow_locals(text, wanted):
+    out = []
+    for local in wanted:
+        if len(local) >= 5:
+            out += [m.span() for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-])", text)]
+    return sorted(out)
+
+
+def test_local_parts_equal_a_search_for_each():
+    rng = random.Random(14)
+    pool = ["jane.doe", "jane", ".", "..", "doe12", "@", "-", " ", "x", "é", "jane.", "%", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 20)))
+        wanted = {"".join(rng.choice(pool[:5] + pool[6:7] + pool[10:12]) for _ in range(rng.randint(1, 3))) for _ in range(4)}
+        assert sorted(pii._locals(text, wanted)) == slow_locals(text, wanted), (text, wanted)
+
+
+def test_many_addresses_stay_linear():
+    import time
+
+    text = " and ".join(f"user{i:05d}.x@example{i % 7}.org, or user{i:05d}.x (at) example.org, user{i:05d}.x" for i in range(20_000))
+    began = time.perf_counter()
+    base, spans = pii.all_spans(text, pii.fit([text[:20_000]]))
+    assert len(base) == 20_000 and time.perf_counter() - began < 60
+    text = "a." * 100_000 + " ".join("b." * n + "c@x.org" for n in range(1, 600))
+    began = time.perf_counter()
+    assert len(pii.base_spans(text)) == 599 and pii.other_mentions(text, pii.base_spans(text)) == [] and time.perf_counter() - began < 20
+
+
+def test_field_learns_from_rare_personal_data(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 40)
+    rows = [(i, "plain words only") for i in range(3000)] + [(5000 + i, f"mail jo.doe{i}@x.org or call +49 30 12345{i:04d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.train(docs).skip > 0
+    assert pii.train(docs.limit(0)).skip == 0 and pii.personal_data(docs.limit(0), pii.train(docs.limit(0))).count() == 0
+    like = re.compile(pii.LIKELY)
+    assert all(like.search(t) for t in ("a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1234567 8"))
+
+
 def test_many_equal_mentions_stay_linear():
     field = pii.Field(np.zeros((14, 5)), 2.0, 0.1)
     assert len(field.labels(["+49 30 1234567"] * 5000, [4] + [None] * 4999)) == 5000
@@ -204,6 +251,7 @@ def test_many_equal_mentions_stay_linear():
 def test_histogram_answers_every_limit(spark):
     texts = [None, "", "a", "b", "hello world", "hello world " * 900, "  \n", "é" * 50, "a"]
     sizes = [len(ranked(RANKS, PATTERN).encode_ordinary(t or "")) for t in texts]
+    assert sizes == [PieceLengths(RANKS, PATTERN).of(t) for t in texts]
     histogram = length_histogram(frame(spark, texts).withColumn("n_docs", F.lit(7)), RANKS, PATTERN).cache()
     for row in histogram.collect():
         n = row["n_tokens"]
@@ -217,6 +265,22 @@ def test_histogram_answers_every_limit(spark):
     assert empty.count() == 0 and truncated_total(empty, 5).first()[0] == 0 and quantile(empty, 0.5).first()[0] is None
 
 
+def test_lengths_of_long_runs(spark):
+    texts = [" " * 2_000_000, "\n" * 1_200_000, " " * 1_000_000 + "end", "a" * 500_000 + " b" * 100]
+    found = length_histogram(frame(spark, texts), RANKS, PATTERN).collect()
+    piece = ranked(RANKS, PATTERN)._encode_single_piece
+    sizes = [len(piece(texts[0].encode())), len(piece(texts[1].encode())), len(piece(b" " * 999_999)) + len(piece(b" end")), len(piece(b"a" * 500_000)) + 100 * len(piece(b" b"))]
+    assert {r["n_tokens"]: r["n_docs"] for r in found} == {n: sizes.count(n) for n in sizes}
+
+
+def test_lengths_equal_the_library():
+    rng, length = random.Random(13), PieceLengths(RANKS, PATTERN).of
+    pool = [" ", "   ", "\n", "the", "Zé", "東京", "'re", "12345", "!?", "🙂", "qzx", "\u00a0", "<|endoftext|>"]
+    for _ in range(500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))
+        assert length(text) == len(ranked(RANKS, PATTERN).encode_ordinary(text)), text
+
+
 # 5: line dedup
 
 
@@ -226,7 +290,7 @@ def test_boilerplate_lines_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string").withColumn("n_lines", F.lit(1)).withColumn("marks", F.lit(2)).withColumn("mark", F.lit(3))
     found = {r["doc_id"]: r for r in site_lines.drop_boilerplate(docs, F.col("host")).collect()}
     assert found[3]["text"] == "line 3\n\nend 3" and (found[3]["n_lines"], found[3]["n_dropped"]) == (4, 1)
-    assert found[100]["text"] == "Menu\nother 0"  # nine pages are too few
+    assert found[100]["text"] == "other 0"  # on all nine pages of its host
     assert (found[200]["text"], found[200]["n_lines"]) == (None, 0) and found[201]["text"] == "" and found[202]["text"] == "Menu"
     assert found[203]["text"] == "rest" and found[204]["n_dropped"] == 1 and found[3]["marks"] == 2 and found[3]["mark"] == 3
     assert site_lines.drop_boilerplate(docs, F.col("host")).count() == len(rows)
@@ -237,13 +301,14 @@ def test_small_hosts_lose_lines_by_ratio(spark, tmp_path):
     import duckdb
 
     rows = [(i, f"Menu\nother {i}", "nine") for i in range(9)] + [(100 + i, f"Foot\nother {i}", "three") for i in range(3)] + [(200 + i, f"Top\nother {i}", "two") for i in range(2)]
+    rows += [(400, "Alone\nonly", "one")]
     rows += [(300 + i, ("Rare\n" if i < 3 else "Often\n" if i < 7 else "") + f"other {i}", "thirty") for i in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: tuple(r) for r in queries.op5_site_lines_by_ratio(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "text_md5").collect()}
+    found = {r["doc_id"]: tuple(r) for r in queries.op5_site_lines(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "text_md5").collect()}
     assert {i for i, r in found.items() if r[2]} == {*range(9), *range(100, 103), *range(303, 307)}
     duck = duckdb.connect()
     duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert set(duck.execute(queries.oracle_sql()["op5_site_lines_by_ratio"]).fetchall()) == set(found.values())
+    assert set(duck.execute(queries.oracle_sql()["op5_site_lines"]).fetchall()) == set(found.values())
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("lang", F.lit("aa"))
     assert corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).filter("text like '%Menu%' or text like '%Foot%' or text like '%Often%'").count() == 0
 
@@ -330,7 +395,7 @@ def test_url_rules_equal_brute_force(spark):
 
 # 8: token files
 
-ODD = [None, "", "hello world", "  two  spaces \n\n\t tab", "naïve café 東京 🙂🙂", "<|endoftext|> x", "!" * 300, "don't I'll we've", "\x1c\x1d a\u00a0b\u2003c", "z" * 3000, "𝒜𝓑 x", "hello world"]
+ODD = [None, "", "hello world", "  two  spaces \n\n\t tab", "naïve café 東京 🙂🙂", "<|endoftext|> x", "a<|endoftext|>b<|endoftext|><|endoftext|> <|endoftext", "!" * 300, "don't I'll we've", "\x1c\x1d a\u00a0b\u2003c", "z" * 3000, "𝒜𝓑 x", "hello world"]
 
 
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
@@ -338,7 +403,8 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
     rows = [(i * 3 % 101, t) for i, t in enumerate(ODD + [" ".join(words(rng, rng.randint(0, 400))) for _ in range(60)])] + [(None, "null id"), (7, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("mine")).repartition(3)
-    library = LibraryEncoder(JSON, PATTERN).library
+    library = Tokenizer.from_file(JSON)  # as it comes
+    assert library.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
     folder = str(tmp_path / "tokens")
     token_files.write_token_files(docs, JSON, PATTERN, folder)
     found = [tuple(r) for r in token_files.read_token_files(spark, folder).orderBy("start").collect()]
