@@ -3,11 +3,16 @@
 1. Each document's five-word shingles become registers of leading zeros plus mantissa (``registers.py``).
 2. Documents with equal shingle sets form a class, with its smallest doc_id as representative; a class of any number
    of copies is one row from here on.
-3. Representatives are banded. The members of a band's bucket take the bucket's smallest id as leader, and each
-   representative joins the group of its smallest leader (leaders are followed once more).
-4. Groups are dealt into chunks of bounded size. Chunks whose groups meet in some bucket, and the chunks of one group,
-   are held against each other (chunks of small groups packed together): pairs whose estimated similarity can't be ruled out are compared on whole sets. Only
-   a spanning forest of the confirmed links leaves the task, never all pairs.
+3. Representatives are banded. Every bucket of a band has a leader, the member with the smallest hash, and each
+   representative is held against the smallest of its buckets' leaders, on whole sets: one comparison a representative,
+   whatever the size of a group. Buckets whose members are linked by now, or were all held against their leader and are
+   no more than that, are done. Rounds with other hashes follow while they link a good part of what is left of a large
+   bucket. So a group of copies whose members are mostly linked with each other costs in proportion to its size.
+4. What is left is compared exhaustively. Representatives of one leader form a group, those of a group that have one
+   component already and are many a family of their own; families are dealt into chunks of bounded size. Chunks of one
+   group or of groups that meet in some bucket are held against each other (small ones packed together), never those of
+   one component: pairs whose estimated similarity can't be ruled out are compared on whole sets. Only a spanning forest
+   of the confirmed links leaves the task, never all pairs.
 5. Components of the confirmed links give each document's component.
 """
 
@@ -24,10 +29,10 @@ from . import registers as R
 from .components import components
 from .shared import as_bytes, by_batch, small_batches, written
 
-#: Documents in a chunk; a task holds two chunks.
-CHUNK = 256
-#: Up to so many representatives in buckets of two or more, their ids (16 bytes each) are broadcast to the texts.
-BROADCAST_IDS = 250_000
+#: Documents in a chunk and bytes of their sets; a task holds two chunks.
+CHUNK, CHUNK_BYTES = 512, 16_000_000
+#: Most rounds of comparisons with leaders; groups in a bucket that are paired, beyond which the bucket is a group of its own.
+ROUNDS, PAIRED = 12, 12
 #: Six standard deviations of an estimate from REGISTERS registers at the threshold; closer pairs are verified.
 SLACK = 0.22
 
@@ -57,7 +62,7 @@ def _banded(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys = R.band_keys(filled)
     flat = pa.array(keys.reshape(-1))
     offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * R.BANDS)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], ["rep", "fp", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.ListArray.from_arrays(offsets, flat)], ["rep", "fp", "n", "keys"])
 
 
 def _payloads():
@@ -65,11 +70,11 @@ def _payloads():
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, keep = [], []
-        for text, fp in zip(as_bytes(batch.column(3)), batch.column(2).to_pylist(), strict=True):
+        for text, fp in zip(as_bytes(batch.column(2)), batch.column(1).to_pylist(), strict=True):
             shingles = R.shingle_set(text, hashes)
             keep.append(R.fingerprint(shingles) == fp)  # another text under the same doc_id
             sets.append(shingles.tobytes())
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "place", "shingles"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
         return out.filter(pa.array(keep))
 
     return step
@@ -111,11 +116,24 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _led(percent: int):
+    """For the rows of a unit: links between leaders (rows that are their own leader) and what they lead, by label."""
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        leader, rep, label, leads = (table[c].to_pylist() for c in ("leader", "rep", "label", "leader_label"))
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        heads = {r: sets[i] for i, r in enumerate(rep) if leader[i] == r}
+        links = {(label[i], leads[i]) for i, r in enumerate(rep) if leader[i] != r and R.linked(heads[leader[i]], sets[i], percent)}
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return confirmed
+
+
 def _links(percent: int):
     least = percent / 100 - SLACK
 
     def confirmed(table: pa.Table) -> pa.Table:
-        side, rep = table["side"].to_numpy(), table["rep"].to_numpy()
+        side, label = table["side"].to_numpy(), table["label"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         n = np.array([len(x) for x in sets], np.int64)
         filled = R.densified(np.stack([R.raw_registers(x) for x in sets]))
@@ -124,7 +142,7 @@ def _links(percent: int):
             same = (filled[i] == filled).mean(axis=1)
             maybe[i] = ((same - R.CHANCE) / (1 - R.CHANCE) >= least) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         maybe &= (side[:, None] != side[None, :]) | (side == 2)[:, None]
-        maybe &= rep[:, None] != rep[None, :]
+        maybe &= label[:, None] != label[None, :]
         rows = np.flatnonzero(maybe.any(axis=1))
         edges: list[tuple[int, int]] = []
         if 0 < len(rows) <= 8:
@@ -133,53 +151,117 @@ def _links(percent: int):
             both = _intersections(sets, rows)
             links = maybe[np.ix_(rows, rows)] & (100 * both >= percent * (n[rows][:, None] + n[rows][None, :] - both))
             edges = [(int(rows[i]), int(rows[j])) for i, j in _forest(links)]
-        return pa.table({"a": pa.array([rep[i] for i, _ in edges], pa.int64()), "b": pa.array([rep[j] for _, j in edges], pa.int64())})
+        return pa.table({"a": pa.array([label[i] for i, _ in edges], pa.int64()), "b": pa.array([label[j] for _, j in edges], pa.int64())})
 
     return confirmed
 
 
-def confirmed_links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links that join the same representatives as all links with the threshold do.
+def _with_leader(live: DataFrame, salt: int) -> DataFrame:
+    """``live(key, rep, n, label)`` with its bucket's ``head``."""
+    mark = F.struct(F.xxhash64("rep", F.lit(salt)).alias("order"), "rep", "n", "label")
+    return live.join(live.groupBy("key").agg(F.min(mark).alias("head")), "key")
+
+
+def _led_links(first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: labels joined by links between representatives and the leaders of ``first``."""
+    near = F.col("rep") != F.col("leader.rep")
+    near &= (F.col("label") != F.col("leader.label")) & (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
+    pairs = first.filter(near).select("rep", "n", "label", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.label").alias("leader_label"))
+    led = pairs.groupBy("leader").agg(F.sum("n").alias("total"), F.first("leader_n").alias("leader_n"), F.first("leader_label").alias("leader_label"))
+    led = written(led.withColumn("chunks", F.expr(f"int((8 * total + {CHUNK_BYTES - 1}) div {CHUNK_BYTES})")), "led")
+    units = (led.agg(F.coalesce(F.expr(f"sum(8 * total) div {CHUNK_BYTES}"), F.lit(0))).first()[0] + 1) * 4
+    # leaders of few are packed into common units, those of many get several units of their own
+    unit = lambda chunk: F.when(F.col("chunks") == 1, F.xxhash64(F.lit("packed"), F.pmod(F.xxhash64("leader"), F.lit(units)))).otherwise(F.xxhash64("leader", chunk)).alias("unit")
+    followers = pairs.join(led.select("leader", "chunks"), "leader").select(unit(F.pmod(F.xxhash64("rep"), "chunks").cast("int")), "leader", "rep", "label", "leader_label")
+    heads = led.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(unit(F.col("i")), "leader", F.col("leader").alias("rep"), F.col("leader_label").alias("label"), "leader_label")
+    return followers.union(heads).join(sets, "rep").groupBy("unit").applyInArrow(_led(percent), "a long, b long")
+
+
+def _unresolved(led: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, rep, n, label``: buckets that may hold a link between different labels, without leaders that are done."""
+    rows = led.select("key", "rep", "n", F.col("head.rep").alias("head")).join(labels, "rep").join(first.select("rep", F.col("leader.rep").alias("leader")), "rep")
+    other = F.col("rep") != F.col("head")
+    of = lambda f, c: f(F.when(c, F.col("label")))
+    per = rows.groupBy("key").agg(
+        F.count_if(other & (F.col("leader") != F.col("head"))).alias("unchecked"), F.min("label").alias("lo"), F.max("label").alias("hi"), of(F.min, other).alias("lo_other"), of(F.max, other).alias("hi_other")
+    )
+    done = F.col("unchecked") == 0  # every other member was held against the leader
+    per = per.filter(F.when(done, F.col("lo_other") < F.col("hi_other")).otherwise(F.col("lo") < F.col("hi"))).select("key", done.alias("done"))
+    return rows.join(per, "key").filter(~F.col("done") | other).select("key", "rep", "n", "label")
+
+
+def _exhaustive(live: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between labels that join the same as all links between members of a bucket do."""
+    hop = first.select(F.col("rep").alias("grp"), F.col("leader.rep").alias("next"))
+    grouped = first.select("rep", F.col("leader.rep").alias("grp")).join(hop, "grp", "left").select("rep", F.coalesce("next", "grp").alias("grp"))
+    rows = written(live.join(grouped, "rep").select("key", "rep", "n", "label", F.struct(F.lit(0).alias("kind"), F.col("grp").alias("id")).alias("grp")), "grouped")
+    meets = rows.select("key", "grp").distinct()
+    per = written(meets.groupBy("key").agg(F.count("*").alias("groups")).filter("groups > 1"), "meets")
+    paired = meets.join(per.filter(f"groups <= {PAIRED}").select("key"), "key")
+    across = paired.join(paired.toDF("key", "other"), "key").filter("grp < other").select("grp", "other").distinct()
+    wide = rows.join(per.filter(f"groups > {PAIRED}").select("key"), "key").withColumn("grp", F.struct(F.lit(1).alias("kind"), F.col("key").alias("id")))
+
+    members = rows.unionByName(wide).select("grp", "rep", "n", "label").distinct()
+    alike = members.groupBy("grp", "label").agg(F.count("*").alias("alike")).filter(F.col("alike") >= CHUNK).select("grp", "label", F.lit(True).alias("big"))
+    big = F.coalesce("big", F.lit(False))
+    fam = F.struct("grp", big.alias("big"), F.when(big, F.col("label")).otherwise(0).alias("label")).alias("fam")
+    members = written(members.join(alike, ["grp", "label"], "left").select(fam, "rep", "n", "label"), "families")
+    weight = F.greatest(F.count("*"), F.expr(f"sum(8 * n) * {CHUNK} div {CHUNK_BYTES}"))  # in documents, or as many by bytes
+    sizes = members.groupBy("fam").agg(F.count("*").alias("members"), weight.alias("n"))
+    sizes = written(sizes.withColumn("chunks", F.expr(f"int((n + {CHUNK - 1}) div {CHUNK})")), "sizes")
+    placed = members.join(sizes.select("fam", "chunks"), "fam").select("fam", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"), "rep", "label")
+
+    left, right = (sizes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("fam", "n", "chunks")]) for x in "ab")
+    same = left.join(right, (F.col("fam_a.grp") == F.col("fam_b.grp")) & (F.col("fam_a") < F.col("fam_b")))
+    met = across.join(left, F.col("grp") == F.col("fam_a.grp")).join(right, F.col("other") == F.col("fam_b.grp")).drop("grp", "other")
+    one = F.col("fam_a.big") & F.col("fam_b.big") & (F.col("fam_a.label") == F.col("fam_b.label"))
+    pairs = same.unionByName(met).filter(~one)
+    first_larger = F.col("n_a") >= F.col("n_b")
+    pairs = pairs.select(*[F.when(first_larger, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("fam", "n", "chunks")])
+    # the chunks of the smaller families that meet a larger one are packed into bins, so that its chunks repeat once a bin
+    chunk = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda f, c, s: [F.col(f).alias("fam"), F.col(c).alias("chunk"), F.lit(s).alias("side")]
+    bins = pairs.groupBy("fam_a").agg(F.expr(f"int((sum(n_b) + {CHUNK - 1}) div {CHUNK})").alias("bins"))
+    pieces = pairs.withColumn("j", chunk("chunks_b")).join(bins, "fam_a").withColumn("bin", F.pmod(F.xxhash64("fam_b", "j"), "bins"))
+    pieces = pieces.withColumn("i", chunk("chunks_a")).withColumn("unit", F.xxhash64("fam_a", "i", "bin"))
+    between = pieces.select("unit", *spot("fam_b", "j", 1)).union(pieces.select("unit", "fam_a", "i").distinct().select("unit", *spot("fam_a", "i", 0)))
+    within = sizes.filter("members > 1 and not fam.big").withColumn("i", chunk("chunks")).withColumn("j", F.explode(F.sequence("i", F.col("chunks") - 1)))
+    inside = within.select(F.xxhash64("fam", "i", "j", F.lit("within")).alias("unit"), "fam", F.inline(F.when(F.expr("i = j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))))))
+    units = between.unionByName(inside).join(placed, ["fam", "chunk"]).select("unit", "side", "rep", "label")
+    return units.join(sets, "rep").groupBy("unit").applyInArrow(_links(percent), "a long, b long")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, label`` after these links between labels."""
+    found = components(links).toDF("label", "component")
+    return written(labels.join(found, "label", "left").select("rep", F.coalesce("component", "label").alias("label")), "labels")
+
 
-    ``docs(doc_id, text)``; ``reps(rep, fp, keys)`` are the representatives and their band keys.
+def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``rep, label``: the component of each representative that shares a bucket with another one.
+
+    ``docs(doc_id, text)``; ``reps(rep, fp, n, keys)`` are the representatives and their band keys.
     """
-    rows = reps.select("rep", F.explode("keys").alias("key"))
-    leaders = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1").select("key", "leader")
-    members = written(rows.join(leaders, "key"), "members")
-    first = members.groupBy("rep").agg(F.min("leader").alias("grp"))
-    hop = first.select(F.col("rep").alias("grp"), F.col("grp").alias("next"))
-    grouped = written(first.join(hop, "grp", "left").select("rep", F.coalesce("next", "grp").alias("grp")), "groups")
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", F.expr(f"int((n + {CHUNK - 1}) div {CHUNK})").alias("chunks"))
-    sizes = written(sizes, "sizes")
-    place = F.struct("grp", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("chunk"))
-    placed = grouped.join(sizes, "grp").select("rep", place.alias("place"))
-
-    meets = members.join(grouped, "rep").select("key", "grp").distinct()
-    several = meets.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("key")
-    meets = meets.join(several, "key")
-    across = meets.join(meets.toDF("key", "other"), "key").filter("grp < other").select("grp", "other").distinct()
-    chunk = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spot = lambda g, c, s: F.struct(F.struct(F.col(g).alias("grp"), F.col(c).alias("chunk")).alias("place"), F.lit(s).alias("side"))
-    # the chunks of the smaller groups that meet a larger one are packed into bins, so that its chunks repeat once a bin
-    left, right = (sizes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("grp", "n", "chunks")]) for x in "ab")
-    across = across.join(left, F.col("grp") == F.col("grp_a")).join(right, F.col("other") == F.col("grp_b"))
-    first_larger = F.col("n_a") >= F.col("n_b")
-    across = across.select(*[F.when(first_larger, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("grp", "n", "chunks")])
-    bins = across.groupBy("grp_a").agg(F.expr(f"int((sum(n_b) + {CHUNK - 1}) div {CHUNK})").alias("bins"))
-    pieces = across.withColumn("j", chunk("chunks_b")).join(bins, "grp_a").withColumn("bin", F.pmod(F.xxhash64("grp_b", "j"), "bins"))
-    pieces = pieces.withColumn("i", chunk("chunks_a")).withColumn("unit", F.xxhash64("grp_a", "i", "bin"))
-    met = pieces.select("unit", F.inline(F.array(spot("grp_b", "j", 1)))).union(pieces.select("unit", "grp_a", "i").distinct().select("unit", F.inline(F.array(spot("grp_a", "i", 0)))))
-    within = sizes.filter("n > 1").withColumn("i", chunk("chunks")).withColumn("j", F.explode(F.sequence("i", F.col("chunks") - 1)))
-    sides = F.when(F.expr("i = j"), F.array(spot("grp", "i", 2))).otherwise(F.array(spot("grp", "i", 0), spot("grp", "j", 1)))
-    units = within.select(F.xxhash64("grp", "i", "j", F.lit("within")).alias("unit"), F.inline(sides)).union(met)
-
-    wanted = placed.join(reps.select("rep", "fp"), "rep").select("rep", "place", "fp")
-    if sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "place", "fp", "text")
-    payloads = written(texts.mapInArrow(by_batch(_payloads), "rep long, place struct<grp: long, chunk: int>, shingles binary"), "sets")
-    held = units.join(payloads, "place").select("unit", "side", "rep", "shingles")
-    return held.groupBy("unit").applyInArrow(_links(percent), "a long, b long")
+    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    live = written(rows.join(several, "key").select("key", "rep", "n", F.col("rep").alias("label")), "members")
+    wanted = written(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted")  # broadcast only if its files are small
+    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
+    sets = written(texts.mapInArrow(by_batch(_payloads), "rep long, shingles binary"), "sets")
+    held, distinct = sets.agg(F.count("rep"), F.count_distinct("rep")).first()
+    if held > distinct:  # repeated rows
+        sets = written(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+    labels, left = wanted.select("rep", F.col("rep").alias("label")), None
+    for salt in range(ROUNDS):
+        led = _with_leader(live, salt)
+        first = written(led.groupBy("rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("head").alias("leader")), "first")
+        labels = _relabelled(labels, _led_links(first, sets, percent))
+        live = written(_unresolved(led, first, labels), "live")
+        alone = live.groupBy("key").agg(F.count_if(F.col("label") == F.col("rep")).alias("alone"))
+        before, (left, some) = left, alone.agg(F.coalesce(F.max("alone"), F.lit(0)), F.count("*") > 0).first()
+        if left <= CHUNK or before and left > 0.75 * before:
+            break
+    return _relabelled(labels, _exhaustive(live, first, sets, percent)) if some else labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -188,8 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``n_shingles`` is the size of the row's set of five-word shingles; documents are linked if 100 * intersection is at
     least ``percent`` * union; ``component_id`` is the smallest doc_id reachable by links, ``kept`` whether it is the
     row's own. A null or empty text, or one without words, has no shingles and is linked with nothing. Rows of equal
-    doc_id count as one document, and all get its component. A null doc_id is linked with nothing and kept.
-    Other columns are not read.
+    doc_id count as one document, and all get its component. A null doc_id is linked with nothing and kept. Long texts
+    are shingled whole; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -198,10 +280,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = written(classes, "classes")
     fewest = -(-percent // (100 - percent)) if percent < 100 else 1 << 40  # below it, no other size of set is near enough
-    reps = classes.filter(F.col("n") >= fewest).select("rep", "fp", "regs").mapInArrow(by_batch(lambda: _banded), "rep long, fp binary, keys array<long>")
+    reps = classes.filter(F.col("n") >= fewest).select("rep", "fp", "regs", "n").mapInArrow(by_batch(lambda: _banded), "rep long, fp binary, n long, keys array<long>")
     reps = written(reps, "bands")
-    nodes = components(confirmed_links(docs, reps, percent))
-    of_class = classes.select("fp", "rep").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    of_class = classes.select("fp", "rep").join(joined(docs, reps, percent), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("fp")).alias("fp")).join(of_class, "fp", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
