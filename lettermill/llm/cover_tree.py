@@ -50,15 +50,21 @@ def build(vectors: np.ndarray, points: np.ndarray | None = None, radius: float |
 
 
 class Search:
-    """The ``k`` best references of each query; ties go to the smaller id, and a query's own id doesn't count."""
+    """The ``k`` best references of each query; ties go to the smaller id, and a query's own id doesn't count.
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
+    ``worst`` are scores that references must reach to be of interest, known from elsewhere. Scores beyond a long are the
+    nearest long.
+    """
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int, worst: np.ndarray | None = None):
         self.queries, self.ids, self.k = queries.astype(np.float64), query_ids, k
         self.whole = queries
         self.norms = np.sqrt((self.queries**2).sum(axis=1))
         self.scores = [np.empty(0, np.int64) for _ in query_ids]
         self.found = [np.empty(0, np.int64) for _ in query_ids]
-        self.worst = np.full(len(query_ids), -np.inf)
+        self.worst = np.full(len(query_ids), -np.inf) if worst is None else worst.astype(np.float64)
+        vague = np.abs(self.worst) >= 2**53  # rounded, perhaps upwards
+        self.worst[vague] = np.nextafter(self.worst[vague], -np.inf)
         self.root = build(self.queries) if len(query_ids) else None
 
     def add(self, references: np.ndarray, reference_ids: np.ndarray) -> None:
@@ -66,7 +72,25 @@ class Search:
         self.against, self.against_ids, self.exact = references.astype(np.float64), reference_ids, references
         largest = float(np.abs(self.queries).max(initial=0)) * float(np.abs(self.against).max(initial=0)) * references.shape[1]
         self.safe = largest < 2**52  # then sums of products are exact in doubles
-        self._pair(self.root, build(self.against))
+        if self.safe:
+            self._pair(self.root, build(self.against))
+        else:
+            self._compare_all()
+
+    def _compare_all(self) -> None:
+        """Every pair in integers of any size, where doubles wouldn't be exact."""
+        limits = np.iinfo(np.int64)
+        for row, query in enumerate(self.whole.astype(object)):
+            others = np.flatnonzero(self.against_ids != self.ids[row])
+            scores = np.clip(self.exact[others].astype(object) @ query, limits.min, limits.max).astype(np.int64) if len(others) else np.empty(0, np.int64)
+            self._merge(row, self.against_ids[others], scores)
+
+    def _merge(self, row: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        found, value = np.r_[self.found[row], ids], np.r_[self.scores[row], scores]
+        order = np.lexsort((found, ~value))[: self.k]
+        self.found[row], self.scores[row] = found[order], value[order]
+        if len(order) == self.k and abs(int(value[order[-1]])) < 2**53:
+            self.worst[row] = max(self.worst[row], value[order[-1]])
 
     def _pair(self, q: Node, r: Node) -> None:
         slack = 1e-9 * (1 + np.linalg.norm(q.centre) * np.linalg.norm(r.centre))
@@ -85,20 +109,12 @@ class Search:
             self._pair(p, c)
 
     def _compare(self, rows: np.ndarray, columns: np.ndarray) -> None:
-        if self.safe:
-            scores = self.queries[rows] @ self.against[columns].T
-        else:
-            scores = self.whole[rows].astype(object) @ self.exact[columns].astype(object).T
+        scores = self.queries[rows] @ self.against[columns].T
         own = self.ids[rows][:, None] == self.against_ids[columns][None, :]
         kept = (scores >= self.worst[rows][:, None]) & ~own
-        if self.safe and len(columns) > self.k:
+        if len(columns) > self.k:
             best = np.where(own, -np.inf, scores)
             kept &= best >= np.partition(best, -self.k, axis=1)[:, [-self.k]]
         for i in np.flatnonzero(kept.any(axis=1)):
-            row, here = rows[i], kept[i]
-            found = np.r_[self.found[row], self.against_ids[columns[here]]]
-            value = np.r_[self.scores[row], scores[i][here].astype(np.int64)]
-            order = np.lexsort((found, -value))[: self.k]
-            self.found[row], self.scores[row] = found[order], value[order]
-            if len(order) == self.k:
-                self.worst[row] = value[order[-1]]
+            here = kept[i]
+            self._merge(int(rows[i]), self.against_ids[columns[here]], scores[i][here].astype(np.int64))
