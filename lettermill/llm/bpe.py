@@ -1,6 +1,6 @@
 """Byte-level BPE by a global shuffle of distinct words: each distinct pre-token of the corpus is encoded once.
 
-Documents are dealt into blocks by a hash. A block's pre-tokens are exploded to its distinct ones, which are dealt into
+Documents are dealt into blocks by a hash; rows that are repeated very often travel once, with their number. A block's pre-tokens are exploded to its distinct ones, which are dealt into
 buckets by a hash of the word; where the rows of a bucket meet, each distinct word is encoded once, whatever the number
 of blocks that ask for it, and the ids go back to those blocks. A block then reassembles each document by the positions
 of its pre-tokens. Words travel many to a row, in an order that block and bucket agree on (sorted), so neither words nor
@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import Splitter, ranked
-from .shared import as_bytes, by_batch, release, small_batches
+from .shared import as_bytes, by_batch, release, small_batches, written
 
-#: Bytes of text in a block; one task holds a block's distinct words and their ids.
-BLOCK_BYTES = 12_000_000
+#: Bytes of text in a block; one task holds a block's distinct words and their ids. Bytes of text for each bucket: the
+#: buckets grow with the corpus, so a bucket's share of the vocabulary doesn't; words that a bucket remembers at most.
+BLOCK_BYTES, BUCKET_BYTES, REMEMBERED = 12_000_000, 64_000_000, 2_000_000
+#: Equal rows from which on they travel once.
+REPEATED, TIMES = 1000, "_lm_times"
 #: Documents of a block that are put together at once.
 ROWS = 256
 
@@ -101,6 +104,8 @@ def _encoded(path: str, pattern: str, wide: bool):
 
         class Known(dict):
             def __missing__(self, word: bytes) -> bytes:
+                if len(self) >= REMEMBERED:  # a bucket of very many rare words; some are encoded again
+                    self.clear()
                 value = self[word] = np.array(piece(word), kind).tobytes()
                 return value
 
@@ -159,11 +164,23 @@ def _assembled(path: str, pattern: str, buckets: int, wide: bool, keep_text: boo
     return run
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """``rows(row, text)``, where very many equal ones come as one, with their number in ``row``: they'd fill one block."""
+    rows = rows.withColumn("key", F.xxhash64("row", "text"))
+    hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= REPEATED).select("key"), "repeated")
+    if hot.isEmpty():
+        return rows.drop("key")
+    numbered = lambda df, n: df.select(F.col("row").withField(TIMES, n).alias("row"), "text")
+    many = rows.join(hot, "key", "left_semi").groupBy("row", "text").agg(F.count("*").alias("n"))
+    return numbered(rows.join(hot, "key", "left_anti"), F.lit(1).cast("long")).union(numbered(many, F.col("n")))
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Every row of ``docs``, with ``columns`` (all, unless given) and ``token_ids``: little-endian unsigned 32-bit ids.
 
     The ids are those of the tiktoken library for the whole text, without special tokens. A null or empty text has no
-    ids. Repeated rows stay. Other columns pass through, whatever their names; one called ``token_ids`` is replaced.
+    ids. Repeated rows stay. Long texts are encoded whole; an empty table gives no rows. Other columns pass through,
+    whatever their names; one called ``token_ids`` is replaced.
     With ``decoded``, ids are also joined with the token table where they are made, which gives ``token_bytes``.
     """
     spark = docs.sparkSession
@@ -171,13 +188,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     made = ["token_ids", "token_bytes"] if decoded else ["token_ids"]
     columns = [c for c in (docs.columns if columns is None else columns) if c not in made]
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(buckets, -(-size // BLOCK_BYTES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, blocks = max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // BLOCK_BYTES))
     wide = ranked(ranks, pattern).n_vocab > 1 << 16
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
-    key = F.pmod(F.xxhash64(row, text), F.lit(blocks)).cast("int").alias("block")
-    rows = docs.select(row, text, key)
+    rows = _once(docs.select(row, text)).withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).cast("int"))
     squeezed = T.StructType([rows.schema["row"], T.StructField("packed", T.BinaryType()), rows.schema["block"]])
     dealt = rows.mapInArrow(by_batch(lambda: _squeezed), squeezed).repartition("block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_distinct(pattern, buckets), "block int, bucket int, lengths binary, body binary")
@@ -185,6 +201,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     answered = asked.mapInArrow(_encoded(ranks, pattern, wide), "block int, bucket int, lengths binary, ids binary")
     out = T.StructType([dealt.schema["row"], *([rows.schema["text"]] if "text" in columns else []), *[T.StructField(c, T.BinaryType()) for c in made]])
     joined = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assembled(ranks, pattern, buckets, wide, "text" in columns, decoded), out)
+    if TIMES in rows.schema["row"].dataType.names:
+        joined = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), f"row.{TIMES}")))
     return joined.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], *made)
 
 
