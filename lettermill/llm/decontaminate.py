@@ -6,15 +6,16 @@ the necessary prefix of a window is a single shingle: the rarest, by counts over
 with these prefix shingles; the window's start must lie inside the document and the document must be long enough
 (positional and length bounds); then the window's words are compared exactly.
 
-The benchmark is taken in blocks of bounded size, each broadcast, whatever the benchmark's size. Documents never
-shuffle.
+The benchmark is taken in blocks of bounded size, one at a time: a block's index is broadcast, searched for and destroyed
+before the next one, so memory doesn't grow with the benchmark. With one block, documents are judged where they are read,
+without a shuffle. With several, each pass writes only the rows that were hit, which are joined with the documents last.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_batch, small_batches
+from .shared import as_bytes, by_batch, small_batches, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -137,30 +138,58 @@ def _counted(shared, column: int):
     return run
 
 
-def _joined(shared, last: bool, keep_text: bool, into: str):
+def _found(block: Block, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """Words of a text, the ranges of them that windows of the block hit, and the items of these."""
+    document = words(text)
+    hits = block.hits(document)
+    spans = [(start, start + len(block.windows[w][0])) for w, starts in hits.items() for start in starts]
+    return len(document), merged(spans), set().union(*(block.windows[w][1] for w in hits))
+
+
+def _verdicts(found: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.StructArray:
+    hit = [sum(hi - lo for lo, hi in spans) for _, spans, _ in found]
+    items = [sorted(x) for *_, x in found]
+    columns = {
+        "n_words": pa.array([n for n, *_ in found], pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(map(len, items), pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+        "spans": pa.array([[{"lo": lo, "hi": hi} for lo, hi in spans] for _, spans, _ in found], pa.list_(_SPAN)), "items": pa.array(items, pa.list_(pa.string())),
+        "contaminated": pa.array([h > 0 and SHARE * h >= n for h, (n, *_) in zip(hit, found, strict=True)], pa.bool_()),
+    }
+    return pa.StructArray.from_arrays([*columns.values()], [*columns])
+
+
+def _judged(shared, keep_text: bool, into: str):
+    """Rows with their verdict: by a block, or by what the passes over several blocks found."""
+
     def make():
-        block: Block = shared.value
+        block: Block | None = shared and shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ranges, items = [], [], []
-            for text, before, owners in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                document = words(text)
-                hits = block.hits(document)
-                spans = [(start, start + len(block.windows[w][0])) for w, starts in hits.items() for start in starts]
-                sizes.append(len(document))
-                ranges.append(merged([(x["lo"], x["hi"]) for x in before] + spans) if spans else [(x["lo"], x["hi"]) for x in before])
-                items.append(sorted(set(owners).union(*(block.windows[w][1] for w in hits))) if hits else owners)
-            found = pa.array([[{"lo": lo, "hi": hi} for lo, hi in spans] for spans in ranges], pa.list_(_SPAN))
-            owned = pa.array(items, pa.list_(pa.string()))
-            if not last:
-                return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, owned], ["row", "text", "spans", "items"])
-            hit = [sum(hi - lo for lo, hi in spans) for spans in ranges]
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            flags = [h > 0 and SHARE * h >= n for h, n in zip(hit, sizes, strict=True)]
-            fields = [pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), found, owned, pa.array(flags, pa.bool_())]
-            verdict = pa.StructArray.from_arrays(fields, ["n_words", "n_hit", "n_items", "items_sha256", "spans", "items", "contaminated"])
+            if block is not None:
+                found = [_found(block, text) for text in as_bytes(batch.column(1))]
+            else:
+                rows = zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                found = [(len(words(text)), merged([(x["lo"], x["hi"]) for x in spans or ()]), set(items or ())) for text, spans, items in rows]
             kept = [(batch.column(1), "text")] * keep_text
-            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), verdict], ["row", *(n for _, n in kept), into])
+            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), _verdicts(found)], ["row", *(n for _, n in kept), into])
+
+        return step
+
+    return by_batch(make)
+
+
+def _hit(shared):
+    """Of the rows that the block hits: their key, ranges and items."""
+
+    def make():
+        block: Block = shared.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [_found(block, text) for text in as_bytes(batch.column(1))]
+            at = [i for i, (_, spans, _) in enumerate(found) if spans]
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            spans = pa.array([[{"lo": lo, "hi": hi} for lo, hi in found[i][1]] for i in at], pa.list_(_SPAN))
+            return pa.RecordBatch.from_arrays([keys, spans, pa.array([sorted(found[i][2]) for i in at], pa.list_(pa.string()))], ["key", "spans", "items"])
 
         return step
 
@@ -184,7 +213,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items, some at a time; only one block is on the driver."""
+    """The benchmark's items, some at a time; two blocks' texts at most are on the driver."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null")
     block, chars = [], 0
     for row in items.toLocalIterator():
@@ -203,26 +232,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
     Its fields: ``n_words``, ``n_hit`` (words inside occurrences of windows), ``n_items``, ``items_sha256`` (of the item
     ids, sorted as strings and joined by commas), ``spans`` (word ranges that are hit), ``items``, ``contaminated``.
     A null or empty text has no words and isn't contaminated. Items with a null id, a null text or no words have no
-    windows; rows of one item_id are one item. An empty benchmark hits nothing. Repeated documents are judged one by
-    one. Other columns pass through, whatever their names; one called ``into`` is replaced.
+    windows; rows of one item_id are one item. An empty benchmark hits nothing, an empty table of documents gives no rows.
+    Repeated documents are judged alike, long ones whole. Other columns pass through, whatever their names; one called ``into`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     columns = [c for c in (docs.columns if columns is None else columns) if c != into]
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
-    rows = docs.select(row, text, F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr(f"cast(array() as {_ITEMS})").alias("items"))
-    kind, keep = rows.schema["row"], "text" in columns
+    rows, keep = docs.select(row, text), "text" in columns
     blocks = _blocks(benchmark)
-    items, more = next(blocks, []), True
-    while more:
-        block = Block(items)
-        items = next(blocks, None)
-        more = items is not None
-        shared = spark.sparkContext.broadcast(block)
-        counts = docs.select(text).mapInArrow(_counted(shared, 0), "k long, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-        block.choose({(r["k"], r["code"]): r["n"] for r in counts.toLocalIterator()} if block.windows else {})
-        ready = spark.sparkContext.broadcast(block)
-        rest = f"text string, spans {_SPANS}, items {_ITEMS}" if more else "text string, " * keep + f"`{into}` {_VERDICT}"
-        rows = rows.mapInArrow(_joined(ready, not more, keep, into), T.StructType([kind, *T.StructType.fromDDL(rest).fields]))
-    return rows.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))
+    items, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        judged = _judged(spark.sparkContext.broadcast(_chosen(docs.select(text), Block(items))), keep, into)
+    else:
+        # equal rows have one key and are hit alike
+        keyed = rows.withColumn("key", F.struct(F.xxhash64("row", "text").alias("a"), F.xxhash64("text", F.lit("key"), "row").alias("b")))
+        hits = None
+        for part in chain([items, more], blocks):
+            shared = spark.sparkContext.broadcast(_chosen(docs.select(text), Block(part)))
+            found = written(keyed.select("key", "text").mapInArrow(_hit(shared), f"key struct<a: long, b: long>, spans {_SPANS}, items {_ITEMS}").distinct(), "hits")
+            shared.destroy()
+            hits = found if hits is None else hits.union(found)
+        hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        rows = keyed.join(written(hits, "hits"), "key", "left").select("row", "text", "spans", "items")
+        judged = _judged(None, keep, into)
+    out = T.StructType([rows.schema["row"], *T.StructType.fromDDL("text string, " * keep + f"`{into}` {_VERDICT}").fields])
+    return rows.mapInArrow(judged, out).select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))
+
+
+def _chosen(texts: DataFrame, block: Block) -> Block:
+    """The block with each window's prefix, by counts of its shingles over all texts."""
+    if block.windows:
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+        counts = texts.mapInArrow(_counted(shared, 0), "k long, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
+        block.choose({(r["k"], r["code"]): r["n"] for r in counts.toLocalIterator()})
+        shared.destroy()
+    else:
+        block.choose({})
+    return block
