@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,24 +260,24 @@ def fit(texts: list[str]) -> Field:
     return Field(unary, max(0.0, skip), max(0.0, min(chain, 0.5)))
 
 
-#: Any text with a base span matches this; in Java's syntax, without repeated groups.
-LIKELY = r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|\+[0-9][ ().0-9-]{6}|" + "[0-9][ -]?" * 15 + "[0-9]"
+#: Any text with a base span has an @ or matches this.
+LIKELY = "[0-9][0-9 ().-]{6}"
 
 
 def train(docs: DataFrame) -> Field:
     """A field fitted to at most ``SAMPLE`` documents of at most ``CHARS`` characters: those with the smallest hashes of
-    doc_id among the ones that may hold a base span, and a quarter as many of the others. An empty table gives a field
+    doc_id among the ones that may hold a base span, and a quarter of them of the others. An empty table gives a field
     that adds nothing."""
-    spread, likely = 1 << 40, F.col("text").rlike(LIKELY)
-    rows = docs.filter(F.length("text") <= CHARS).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"), likely.alias("likely"))
-    counts = {r["likely"]: r["n"] for r in rows.groupBy("likely").agg(F.count("*").alias("n")).collect()}
-    found = []
-    for kind, share in ((True, SAMPLE - SAMPLE // 4), (False, SAMPLE // 4)):
-        if counts.get(kind):
-            bound = min(spread, 2 * share * spread // counts[kind] + 1)
-            some = rows.filter((F.col("likely") == kind) & (F.col("place") < bound))
-            found += [r["text"] for r in some.orderBy("place", "text").select("text").limit(share).collect()]
-    return fit(found)
+    spread, most = 1 << 40, {True: SAMPLE - SAMPLE // 4, False: SAMPLE // 4}
+    likely = (F.contains("text", F.lit("@")) | F.col("text").rlike(LIKELY)).alias("likely")
+    rows = docs.filter(F.length("text") <= CHARS).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"))
+    counts = {r["likely"]: r["n"] for r in rows.groupBy(likely).agg(F.count("*").alias("n")).collect()}
+    bound = {kind: min(spread, 2 * most[kind] * spread // n + 1) for kind, n in counts.items()} | {kind: 0 for kind in most if kind not in counts}
+    some = rows.filter(F.col("place") < max(bound.values())).select("text", "place", likely)
+    some = some.filter(F.col("place") < F.when(F.col("likely"), bound[True]).otherwise(bound[False])).distinct()
+    some = some.withColumn("k", F.row_number().over(W.partitionBy("likely").orderBy("place", "text")))
+    kept = some.filter(F.col("k") <= F.when(F.col("likely"), most[True]).otherwise(most[False]))
+    return fit([r["text"] for r in kept.orderBy("likely", "k").select("text").collect()])
 
 
 def _joined(spans: list[Span]) -> str:
