@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lettermill.llm import bpe, language, pii, queries, site_lines, token_files, url_rules
+from lettermill.llm import top_k as top_k_module
 from lettermill.llm.components import components
 from lettermill.llm.cover_tree import Search, build
 from lettermill.llm.decontaminate import contamination
@@ -237,7 +238,7 @@ def test_field_learns_from_rare_personal_data(spark, monkeypatch):
     assert pii.train(docs).skip > 0
     assert pii.train(docs.limit(0)).skip == 0 and pii.personal_data(docs.limit(0), pii.train(docs.limit(0))).count() == 0
     like = re.compile(pii.LIKELY)
-    assert all(like.search(t) for t in ("a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1234567 8"))
+    assert all(like.search(t) for t in ("1.2.3.4", "4111 1111 1111 1111", "+1234567 8", "+1 (2) 345678"))
 
 
 def test_many_equal_mentions_stay_linear():
@@ -332,6 +333,8 @@ def brute_top(rows, queries, k):
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr("lettermill.llm.top_k.BLOCK", 100)
     monkeypatch.setattr("lettermill.llm.top_k.TREE", 40)
+    monkeypatch.setattr("lettermill.llm.top_k.CELL", 60)
+    monkeypatch.setattr("lettermill.llm.top_k.QUERIES", 3)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 8))
     rows = [(i, [float(x) for x in (centres[i % 5] + rng.normal(size=8) * (0.01 if i % 3 else 0.5))]) for i in range(400)]
@@ -345,6 +348,32 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert {r["vec_id"] for r in top_k(few, few, 5).collect()} == {1, 2}
 
 
+def test_top_k_prunes_whole_cells(spark, monkeypatch):
+    monkeypatch.setattr("lettermill.llm.top_k.CELL", 20)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 8)) * 10
+    rows = [(i, [float(x) for x in centres[i % 30] + rng.normal(size=8) * 0.01]) for i in range(900)] + [(1000 + i, [float(x) for x in centres[0]]) for i in range(500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent, asked = [], top_k_module._searched_in
+    monkeypatch.setattr(top_k_module, "_searched_in", lambda asked_, *rest: (sent.append(asked_.count()), asked(asked_, *rest))[1])
+    queries = vectors.filter("vec_id % 50 = 0")
+    found = top_k(vectors, queries, 5).collect()
+    assert {tuple(r) for r in found} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
+    assert sent[1] < 10 * sent[0], sent  # of 70 cells
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(1, [1e300, 1.0]), (2, [1e300, -1.0]), (3, [3e16, 2.0]), (4, [2e7, 5.0]), (5, [-1e300, 0.0]), (6, [3e16, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top, low = 2**63 - 1, -(2**63)
+    whole = {i: [max(low, min(top, int(np.floor(256 * x)) if abs(x) < 1e290 else (top if x > 0 else low))) for x in v] for i, v in rows}
+    want = set()
+    for q in whole:
+        scores = sorted((-max(low, min(top, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)
+        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:3], 1)}
+    assert {tuple(r) for r in top_k(vectors, vectors, 3).collect()} == want
+
+
 def test_cover_tree_prunes_and_covers():
     rng = np.random.default_rng(5)
     vectors = np.concatenate([rng.normal(size=6) * 100 + rng.normal(size=(60, 6)) for _ in range(20)])
@@ -447,7 +476,7 @@ def brute_groups(texts, percent):
 @pytest.mark.parametrize(("percent", "chunk"), [(85, 256), (80, 4)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, chunk):
     monkeypatch.setattr("lettermill.llm.near_dup.CHUNK", chunk)
-    monkeypatch.setattr("lettermill.llm.near_dup.BROADCAST_IDS", 250_000 if chunk > 100 else 0)
+    monkeypatch.setattr("lettermill.llm.near_dup.PAIRED", 12 if chunk > 100 else 1)
     rng = random.Random(8)
     texts = [None, "", "  \t", "one", "One", "one two", "a b c d e f", "a b c d e f"]
     for size in (7, 10, 11, 12, 60, 300):
@@ -469,6 +498,42 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, chunk):
     assert [(found[i]["n_shingles"], found[i]["component_id"], found[i]["kept"]) for i in range(len(texts))] == [(n, c, c == i) for i, (n, c) in enumerate(brute_groups(texts, percent))]
 
 
+def shuffled(spark):
+    """Bytes that the session's executors have written to shuffles so far."""
+    listed = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
+
+
+def test_near_copies_cost_in_proportion(spark):
+    base = words(random.Random(16), 120, 10**6)
+    cost = []
+    for n in (5_000, 20_000):
+        rng = random.Random(17)
+        texts = []
+        for _ in range(n):
+            copy = list(base)
+            copy[rng.randrange(120)] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+        docs, before = frame(spark, texts).repartition(4), shuffled(spark)
+        found = near_duplicates(docs, 80).agg(F.count_distinct("component_id"), F.count_if("kept")).first()
+        cost.append(shuffled(spark) - before)
+        assert tuple(found) == (1, 1)
+    assert cost[1] < 6 * cost[0], cost  # chunks held against each other would make it 16 times
+
+
+def test_near_duplicates_beside_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr("lettermill.llm.near_dup.CHUNK", 16)
+    rng = random.Random(18)
+    base, texts = words(rng, 60, 10**6), []
+    for i in range(150):  # copies of one text, and some of them drift away from it
+        copy = list(base)
+        for _ in range(1 if i < 100 else rng.randint(2, 9)):
+            copy[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, texts), 80).collect()}
+    assert [found[i] for i in range(len(texts))] == [c for _, c in brute_groups(texts, 80)]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "a b c")], "doc_id long, text string")
     found = sorted(map(tuple, near_duplicates(docs).collect()), key=str)
@@ -526,6 +591,18 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.encode(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_of_rows_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REPEATED", 20)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    docs = frame(spark, ["the very same text"]).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(90)))).drop("col").union(frame(spark, [None, "other", "text"]))
+    docs = docs.union(spark.createDataFrame([(7, None)] * 30, "doc_id long, text string")).withColumn("_lm", F.lit("mine"))
+    encoding = ranked(RANKS, PATTERN)
+    found = bpe.encode(docs, RANKS, PATTERN, decoded=True).collect()
+    want = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    assert sorted((r["doc_id"], r["text"] or "") for r in found) == want and found[0].asDict().keys() == {"doc_id", "text", "_lm", "token_ids", "token_bytes"}
+    assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == encoding.encode_ordinary(r["text"] or "") for r in found)
+
+
 def test_splitter_equals_the_pattern():
     import regex
 
