@@ -1,22 +1,29 @@
-"""Append-only segments of RAW frames: scan, point reads and a sink.
+"""Append-only segments of RAW frames: scan, reads that seek, and a distributed sink.
 
 A frame: magic, id, length and checksum (8 bytes each, little-endian), then the payload. A segment isn't splittable, so
 a scan has one task a segment; files are read through Spark, wherever they are. The first bad frame ends its segment.
+Reads by coordinate open a segment and seek, without reading the rest of it; the sink writes each segment in one task.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
+from decimal import Decimal
+from itertools import groupby
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.fills import filled
 from ..functions.hashes import fnv64
+from ..session import scratch_folder
 
 #: The segment format (fixed values).
 MAGIC, HEADER = b"MAARC001", struct.Struct("<8sQQQ")
@@ -55,21 +62,95 @@ def scan(segment: str, data: bytes) -> Iterator[tuple]:
         at += HEADER.size + length
 
 
+_FOUND = "segment string, offset long, frame_bytes long, doc_id decimal(20,0), raw binary, status string, reason string"
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.decimal128(20, 0), pa.binary(), pa.string(), pa.string()]
+#: Payload bytes and frames that go to Spark at once.
+_BATCH_BYTES, _BATCH_ROWS = 16 << 20, 4096
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append((*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:]))
+        size += len(row[4] or b"")
+        if size >= _BATCH_BYTES or len(held) >= _BATCH_ROWS:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [part.split()[0] for part in _FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names)
+
+
+def _with_digest(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("raw_digest", F.unhex(F.sha2("raw", 256))).select("segment", "offset", "frame_bytes", "doc_id", "raw", "raw_digest", "status", "reason")
+
+
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """All frames and faults of a folder's segments (FRAMES)."""
-    from decimal import Decimal
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                for row in scan(path.rsplit("/", 1)[-1], bytes(data)):
-                    values = list(row)
-                    values[3] = None if row[3] is None else Decimal(row[3])
-                    yield pd.DataFrame([values], columns=["segment", "offset", "frame_bytes", "doc_id", "raw", "status", "reason"])
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _batches(scan(path.rsplit("/", 1)[-1], data.as_py()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc").load(folder).select("path", "content")
-    rows = files.mapInPandas(run, "segment string, offset long, frame_bytes long, doc_id decimal(20,0), raw binary, status string, reason string")
-    return rows.withColumn("raw_digest", F.unhex(F.sha2("raw", 256))).select("segment", "offset", "frame_bytes", "doc_id", "raw", "raw_digest", "status", "reason")
+    return _with_digest(files.mapInArrow(run, _FOUND))
+
+
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, local or by its URI, and the folder's path there."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def _frame_at(file, size: int, segment: str, at: int) -> tuple:
+    """The frame or fault at an offset; only its own bytes are read."""
+    fault = lambda status, reason: (segment, at, max(size - at, 0), None, None, status, reason)
+    if at < 0 or at >= size:
+        return fault("missing", "no frame at the coordinate")
+    file.seek(at)
+    head = file.read(HEADER.size)
+    if len(head) < HEADER.size:
+        return fault("tail", "incomplete frame header")
+    length = HEADER.unpack(head)[2]
+    body = file.read(length) if length <= size - at - HEADER.size else b""
+    found = next(scan(segment, head + body))
+    status, reason = found[5:]
+    if status != "valid":
+        return fault(status, reason)
+    return segment, at, *found[2:]
+
+
+def seek_frames(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """FRAMES at the coordinates ``wanted(segment, offset)``, each read by a seek; equal ones once.
+
+    A coordinate without a sound frame gives a row with its fault; ``missing``: nothing is there. Segments that hold many
+    wanted frames are read by several tasks.
+    """
+    run_bytes = SEGMENT_BYTES // 8
+    rows = wanted.select("segment", F.col("offset").cast("long").alias("offset")).distinct()
+    rows = rows.repartition("segment", F.expr(f"offset div {run_bytes}")).sortWithinPartitions("segment", "offset")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        system, root = _opened(folder)
+        name, file, size = None, None, 0
+        for batch in batches:
+            for segment, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if segment != name:
+                    if file is not None:
+                        file.close()
+                    name, file, size = segment, None, 0
+                    if segment and "/" not in segment and system.get_file_info(f"{root}/{segment}").is_file:
+                        file = system.open_input_file(f"{root}/{segment}")
+                        size = file.size()
+                yield _frame_at(file, size, segment, -1 if at is None else at)
+        if file is not None:
+            file.close()
+
+    return _with_digest(rows.mapInArrow(lambda batches: _batches(read(batches)), _FOUND))
 
 
 def segment_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,57 +165,88 @@ def directory_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def read_at(frames: DataFrame, segment: str, offset: int) -> DataFrame:
-    """The frame at a coordinate."""
-    return frames.filter((F.col("segment") == segment) & (F.col("offset") == offset))
+def read_at(spark: SparkSession, folder: str, segment: str, offset: int) -> DataFrame:
+    """The frame at a coordinate, by a seek."""
+    return seek_frames(spark, folder, spark.createDataFrame([(segment, offset)], "segment string, offset long"))
 
 
-def read_range(frames: DataFrame, messages: DataFrame, start: int, end: int) -> DataFrame:
-    """Frames of start <= doc_id < end, by doc_id."""
+def read_range(spark: SparkSession, folder: str, messages: DataFrame, start: int, end: int) -> DataFrame:
+    """Frames of start <= doc_id < end with the catalogue's ``claimed_id``, by that id; only these are read."""
     wanted = messages.filter((F.col("doc_id") >= start) & (F.col("doc_id") < end)).select("segment", F.col("archive_offset").alias("offset"), F.col("doc_id").alias("claimed_id"))
-    return frames.join(wanted, ["segment", "offset"]).orderBy("claimed_id")
+    return seek_frames(spark, folder, wanted).join(wanted, ["segment", "offset"]).orderBy("claimed_id")
+
+
+def _rotated(limit: int):
+    def step(state: tuple[int, int], size: int) -> tuple[tuple, tuple]:
+        number, at = state
+        if at > 0 and at + size > limit:
+            number, at = number + 1, 0
+        return (number, at + size), (number, at)
+
+    return step
 
 
 def assign_segments(records: DataFrame, order: str, size: str, writer: str, limit: int = SEGMENT_BYTES) -> DataFrame:
     """``writer, order, size, segment_number, offset``: frames in order; a frame that would pass the limit starts a segment.
 
-    A frame larger than the limit stands alone. Filling is sequential within a writer and folds over its sizes only.
+    A frame larger than the limit stands alone. Filling is sequential within a writer and keeps a running offset only.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<segment_number: int, offset: long>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        turn = (s["at"] > 0) & (s["at"] + r[size] > limit)
-        n, at = s["n"] + turn.cast("int"), F.when(turn, 0).otherwise(s["at"]).cast("long")
-        return F.struct(n.alias("n"), (at + r[size]).alias("at"), F.concat(s["out"], F.array(F.struct(n.alias("segment_number"), at.alias("offset")))).alias("out"))
+    placed = filled(records, order, size, writer, "segment_number long, offset long", (0, 0), _rotated(limit))
+    return placed.withColumn("segment_number", F.col("segment_number").cast("int"))
 
-    rows = F.array_sort(F.collect_list(F.struct(order, size)))
-    placed = records.groupBy(writer).agg(rows.alias("_rows")).withColumn("_at", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    return placed.select(writer, F.inline(F.arrays_zip("_rows", "_at"))).select(writer, F.col(f"_rows.{order}").alias(order), F.col(f"_rows.{size}").alias(size), "_at.segment_number", "_at.offset")
 
-
-def write_segments(records: list[tuple[int, bytes]], folder: str, limit: int = SEGMENT_BYTES, first: int = 0) -> list[tuple[int, str, int, int]]:
-    """Append frames to new segment files of this machine: ``doc_id, segment, offset, frame_bytes``, synced to disk."""
-    out, number, at, file = [], first, 0, None
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    try:
-        for doc_id, raw in records:
+def _written(system: fs.FileSystem, root: str, segment: str, rows: Iterator[tuple[int, bytes]]) -> list[tuple[int, str, int, int]]:
+    """Write one segment under another name, and give it its own once it is whole: a repeated task leaves the same file."""
+    path, at, placed = f"{root}/.{segment}.{uuid.uuid4().hex}", 0, []
+    with system.open_output_stream(path) as file:
+        for doc_id, raw in rows:
             data = frame(doc_id, raw)
-            if file is None or at and at + len(data) > limit:
-                if file is not None:
-                    os.fsync(file.fileno())
-                    file.close()
-                    number += 1
-                file, at = open(Path(folder) / f"segment-{number:06d}.arc", "xb"), 0  # noqa: SIM115
             file.write(data)
-            out.append((doc_id, f"segment-{number:06d}.arc", at, len(data)))
+            placed.append((doc_id, segment, at, len(data)))
             at += len(data)
-        if file is not None:
-            file.flush()
-            os.fsync(file.fileno())
-    finally:
-        if file is not None:
-            file.close()
-    return out
+    if isinstance(system, fs.LocalFileSystem):
+        held = os.open(path, os.O_RDONLY)
+        os.fsync(held)
+        os.close(held)
+    system.move(path, f"{root}/{segment}")
+    return placed
+
+
+def write_segments(records: DataFrame, folder: str, limit: int = SEGMENT_BYTES, first: int = 0, writers: int | None = None) -> DataFrame:
+    """Write ``records(doc_id, raw)`` as new segments, numbered from ``first``: ``doc_id, segment, offset, frame_bytes``.
+
+    Records are dealt into ranges of doc_id, one a writer; each writer fills segments in order. Places are computed from
+    the sizes first, so a segment has one name and one content whichever task writes it, and as often as it does. The
+    receipt is a table in the shared folder; it exists once all segments do.
+    """
+    spark = records.sparkSession
+    records = records.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("raw", F.lit(b"")).alias("raw"))
+    bounds = writers or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = scratch_folder(spark)
+    sizes = records.select("doc_id", (F.octet_length("raw") + HEADER.size).cast("long").alias("size"))
+    ranged = sizes.repartitionByRange(bounds, "doc_id").withColumn("writer", F.spark_partition_id())
+    ranged.write.parquet(f"{scratch}/sizes")
+    assign_segments(spark.read.parquet(f"{scratch}/sizes"), "doc_id", "size", "writer", limit).write.parquet(f"{scratch}/places")
+    places = spark.read.parquet(f"{scratch}/places")
+    used = {r["writer"]: r["n"] for r in places.groupBy("writer").agg((F.max("segment_number") + 1).alias("n")).collect()}  # a row a writer
+    before, base = first, []
+    for writer in sorted(used):
+        base.append((writer, before))
+        before += used[writer]
+    places = places.join(F.broadcast(spark.createDataFrame(base, "writer int, base int")), "writer") if base else places.withColumn("base", F.lit(first))
+    places = places.select("doc_id", "offset", F.format_string("segment-%06d.arc", F.col("segment_number") + F.col("base")).alias("segment"))
+    rows = records.join(places, "doc_id").repartition("segment").sortWithinPartitions("segment", "offset").select("doc_id", "raw", "segment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(folder)
+        system.create_dir(root, recursive=True)
+        all_rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for segment, members in groupby(all_rows, key=lambda r: r[2]):
+            placed = _written(system, root, segment, ((i, raw) for i, raw, _ in members))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in placed], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "segment", "offset", "frame_bytes"])
+
+    rows.mapInArrow(run, "doc_id long, segment string, offset long, frame_bytes long").write.parquet(f"{scratch}/receipt")
+    return spark.read.parquet(f"{scratch}/receipt")
 
 
 def next_segment(on_disk: list[str], claimed: list[str]) -> int:
@@ -151,7 +263,7 @@ class SegmentSource(DataSource):
         return "segments"
 
     def schema(self) -> str:
-        return "segment string, offset long, frame_bytes long, doc_id decimal(20,0), raw binary, status string, reason string"
+        return _FOUND
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
@@ -165,8 +277,6 @@ class _Reader(DataSourceReader):
         return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.arc"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from decimal import Decimal
-
         path = Path(partition.value)
         for row in scan(path.name, path.read_bytes()):
             yield (*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:])

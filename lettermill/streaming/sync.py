@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fills import filled
 from ..operators.catalogue import merge, tombstone_at, tombstone_missing
 
 IMPORT, REPAIR, TOMBSTONE, IMPORT_TOMBSTONE, IGNORE = "import", "repair", "tombstone", "import-then-tombstone", "ignore"
@@ -138,18 +139,16 @@ def apply_incremental(occurrences: DataFrame, account: str, folded: DataFrame, f
 def batch_numbers(records: DataFrame, order: str, size: str, writer: str) -> DataFrame:
     """``records`` with ``batch``: filled in order, closed once it has ``BATCH_RECORDS`` records or ``BATCH_BYTES`` bytes.
 
-    Filling is sequential within a writer, so it is an ordered fold over each writer's (small) sizes.
+    Filling is sequential within a writer and keeps two running sums only.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, size)))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        n, held = s["n"] + 1, s["bytes"] + r[size]
-        full = (n >= BATCH_RECORDS) | (held >= BATCH_BYTES)
-        return F.struct((s["batch"] + full.cast("int")).alias("batch"), F.when(full, 0).otherwise(n).cast("long").alias("n"), F.when(full, 0).otherwise(held).cast("long").alias("bytes"), F.concat(s["out"], F.array(s["batch"])).alias("out"))
+    def step(state: tuple[int, int, int], bytes_: int) -> tuple[tuple, tuple]:
+        batch, n, held = state
+        n, held = n + 1, held + bytes_
+        full = n >= BATCH_RECORDS or held >= BATCH_BYTES
+        return ((batch + 1, 0, 0) if full else (batch, n, held)), (batch,)
 
-    numbered = records.groupBy(writer).agg(rows.alias("_rows")).withColumn("_batch", F.aggregate("_rows", start, step, lambda s: s["out"]))
-    return numbered.select(writer, F.inline(F.arrays_zip("_rows", "_batch"))).select(writer, F.col(f"_rows.{order}").alias(order), F.col(f"_rows.{size}").alias(size), F.col("_batch").alias("batch"))
+    return filled(records, order, size, writer, "batch long", (0, 0, 0), step).withColumn("batch", F.col("batch").cast("int"))
 
 
 def covers(staged: DataFrame, durable: DataFrame, key: list[str]) -> DataFrame:
