@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,16 @@ class Xorshift(random.Random):
         return x * 0x2545F4914F6CDD1D & MASK
 
     def getrandbits(self, k: int) -> int:
-        out = 0
-        for _ in range(0, k, 32):
-            out = out << 32 | self.next() >> 32
-        return out >> (-k % 32)
+        words = [self.next() >> 32 for _ in range(0, k, 32)]
+        return int.from_bytes(struct.pack(f">{len(words)}I", *words), "big") >> (-k % 32)
+
+    def randbytes(self, n: int) -> bytes:
+        """Bytes of a counter that is scrambled 64 bits at a time, from one step of this generator: any number at once."""
+        with np.errstate(over="ignore"):
+            x = np.uint64(self.next()) + np.arange(1, -(-n // 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).astype("<u8").tobytes()[:n]
 
     def random(self) -> float:
         return (self.next() >> 11) / (1 << 53)
