@@ -37,7 +37,7 @@ def duplicate_sizes(attachments: DataFrame, hash_: str = "content_hash", size: s
 def duplicate_size_ranks(attachments: DataFrame, fractions: dict[str, float], hash_: str = "content_hash", size: str = "bytes") -> DataFrame:
     """Nearest-rank percentiles of that multiset."""
     sizes = duplicate_sizes(attachments, hash_, size)
-    return nearest_rank(sizes.select("size", F.explode(F.sequence(F.lit(1), F.col("n")))), "size", fractions)
+    return nearest_rank(sizes, "size", fractions, weight="n")
 
 
 def corpus_stats(messages: DataFrame, size: str = "raw_bytes", attached: str = "attachment_bytes") -> DataFrame:
