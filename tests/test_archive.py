@@ -22,7 +22,8 @@ def digest(raw):
 def archive(spark, tmp_path):
     """Twelve messages in segments of 200 bytes, and their catalogue."""
     raws = {i: f"Subject: n{i}\r\nFrom: <a{i}@x.y>\r\n\r\nbody {i} {'x' * i}".encode() for i in range(12)}
-    placed = segments.write_segments(sorted(raws.items()), str(tmp_path / "raw"), limit=200)
+    records = spark.createDataFrame(sorted(raws.items()), "doc_id long, raw binary")
+    placed = sorted(tuple(r) for r in segments.write_segments(records, str(tmp_path / "raw"), limit=200, writers=1).collect())
     rows = [(i, f"<{i}>", s, o, n, digest(raws[i]), "") for i, s, o, n in placed]
     messages = spark.createDataFrame(rows, "doc_id long, message_id string, segment string, archive_offset long, frame_bytes long, raw_digest binary, folder string")
     return str(tmp_path / "raw"), messages, raws, placed
@@ -34,8 +35,8 @@ def test_round_trip_and_rotation(spark, archive):
     assert {int(r["doc_id"]): bytes(r["raw"]) for r in frames.collect()} == raws and frames.filter("status <> 'valid'").count() == 0
     assert len({s for _, s, _, _ in placed}) > 3 and all(o == 0 or o + n <= 200 for _, _, o, n in placed)
     assert {r["doc_id"]: bytes(r["raw"]) for r in integrity.validated_raw(frames, messages).collect()} == raws
-    assert [r["claimed_id"] for r in segments.read_range(frames, messages, 3, 6).collect()] == [3, 4, 5]
-    assert segments.read_at(frames, placed[4][1], placed[4][2]).first()["doc_id"] == 4
+    assert [r["claimed_id"] for r in segments.read_range(spark, folder, messages, 3, 6).collect()] == [3, 4, 5]
+    assert segments.read_at(spark, folder, placed[4][1], placed[4][2]).first()["doc_id"] == 4
     assert segments.directory_bytes(spark, folder).first()[0] == sum(n for *_, n in placed) == segments.segment_sizes(spark, folder).agg(F.sum("bytes")).first()[0]
     sizes = spark.createDataFrame([(i, n, "w") for i, _, _, n in placed], "doc_id long, size long, writer string")
     assigned = {r["doc_id"]: (f"segment-{r['segment_number']:06d}.arc", r["offset"]) for r in segments.assign_segments(sizes, "doc_id", "size", "writer", 200).collect()}
@@ -47,6 +48,58 @@ def test_round_trip_and_rotation(spark, archive):
     assert (summary["messages"], summary["available"], summary["missing"]) == (12, 12, 0)
 
 
+def test_seeks(spark, archive, tmp_path):
+    folder, messages, raws, placed = archive
+    wanted = messages.filter("doc_id in (2, 9)").select("segment", F.col("archive_offset").alias("offset"))
+    wanted = wanted.union(wanted).union(spark.createDataFrame([("segment-000000.arc", 1), ("segment-000000.arc", 10**6), ("segment-000000.arc", None), ("segment-99.arc", 0), ("../x.arc", 0), (None, 0)], "segment string, offset long"))
+    found = segments.seek_frames(spark, folder, wanted).collect()
+    assert {int(r["doc_id"]): bytes(r["raw"]) for r in found if r["status"] == "valid"} == {i: raws[i] for i in (2, 9)}
+    assert sorted(r["status"] for r in found) == ["corrupt"] + ["missing"] * 5 + ["valid"] * 2
+    every = segments.seek_frames(spark, folder, messages.select("segment", F.col("archive_offset").alias("offset")))
+    columns = segments.FRAMES.replace(" string", "").replace(" long", "").replace(" decimal(20,0)", "").replace(" binary", "").split(", ")
+    assert sorted(map(tuple, every.select(columns).collect()), key=str) == sorted(map(tuple, segments.read_frames(spark, folder).select(columns).collect()), key=str)
+    assert segments.read_range(spark, f"file://{folder}", messages, 3, 6).count() == 3
+
+
+def test_writers_fill_their_own_segments(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    records = spark.createDataFrame([(i, bytes([i % 256]) * (i % 90)) for i in range(300)], "doc_id long, raw binary").repartition(5)
+    placed = segments.write_segments(records, folder, limit=1000, first=7, writers=3)
+    assert placed.count() == 300 and placed.agg(F.min("segment")).first()[0] == "segment-000007.arc"
+    frames = segments.read_frames(spark, folder)
+    assert {int(r["doc_id"]): bytes(r["raw"]) for r in frames.collect()} == {i: bytes([i % 256]) * (i % 90) for i in range(300)}
+    assert frames.join(placed.withColumnRenamed("doc_id", "id"), ["segment", "offset", "frame_bytes"]).filter("id = doc_id").count() == 300
+    assert segments.segment_sizes(spark, folder).filter("bytes > 1000").count() == 0
+    assert segments.write_segments(records.limit(0), folder).count() == 0
+
+
+def test_fnv_equals_the_byte_loop():
+    from lettermill.functions import hashes
+
+    def slow(data, prime):
+        value = hashes.FNV_OFFSET
+        for byte in data:
+            value = (value ^ byte) * prime & (1 << 64) - 1
+        return value
+
+    rng = random.Random(5)
+    for n in (0, 1, 255, 256, 257, 1000, 65_536, 65_537, 200_000):
+        data = rng.randbytes(n)
+        for prime in (hashes.FNV_PRIME, hashes.SEGMENT_PRIME):
+            assert hashes.fnv64(data, prime) == slow(data, prime), n
+    assert hashes.fnv64(b"a", hashes.FNV_PRIME) == 0xAF63DC4C8601EC8C
+
+
+def test_large_payloads_are_made_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    data = synthetic.Xorshift(5).randbytes(16 << 20)
+    assert len(data) == 16 << 20 and data[:100] == synthetic.Xorshift(5).randbytes(100) and time.perf_counter() - began < 10
+    rng = synthetic.Xorshift(9)
+    assert all(0 <= rng.getrandbits(k) < 1 << k for k in (1, 7, 31, 32, 33, 64, 100))
+
+
 @pytest.mark.parametrize(
     ("damage", "status"),
     [
