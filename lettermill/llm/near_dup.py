@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import registers as R
 from .components import components
-from .shared import as_bytes, by_batch, small_batches, written
+from .shared import as_bytes, broadcast_if_small, by_batch, small_batches, written
 
 #: Documents in a chunk and bytes of their sets; a task holds two chunks.
 CHUNK, CHUNK_BYTES = 512, 16_000_000
@@ -245,8 +245,8 @@ def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     live = written(rows.join(several, "key").select("key", "rep", "n", F.col("rep").alias("label")), "members")
-    wanted = written(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted")  # broadcast only if its files are small
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
+    wanted = written(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted")
+    texts = docs.join(broadcast_if_small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
     sets = written(texts.mapInArrow(by_batch(_payloads), "rep long, shingles binary"), "sets")
     held, distinct = sets.agg(F.count("rep"), F.count_distinct("rep")).first()
     if held > distinct:  # repeated rows

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python; long texts make larger batches costly.
 BATCH_ROWS = 1024
@@ -19,13 +20,15 @@ BATCH_ROWS = 1024
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors see.
 
-    Only where that setting is missing (tests, a local session) is a folder of this machine taken.
+    A folder of this machine is only taken in a local session without that setting (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         kept = context._jsc.sc().getCheckpointDir()
         if not kept.isDefined():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lettermill-"))
             kept = context._jsc.sc().getCheckpointDir()
         root = kept.get()
@@ -40,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files up to which a written table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table with the hint to broadcast it, if its files say that it is small; else as it is."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts, unless the session asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
