@@ -477,6 +477,7 @@ def brute_groups(texts, percent):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, percent, chunk):
     monkeypatch.setattr("lettermill.llm.near_dup.CHUNK", chunk)
     monkeypatch.setattr("lettermill.llm.near_dup.PAIRED", 12 if chunk > 100 else 1)
+    monkeypatch.setattr("lettermill.llm.shared.BROADCAST_BYTES", 1 << 24 if chunk > 100 else 0)
     rng = random.Random(8)
     texts = [None, "", "  \t", "one", "One", "one two", "a b c d e f", "a b c d e f"]
     for size in (7, 10, 11, 12, 60, 300):
