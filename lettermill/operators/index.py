@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import address_values, ascii_lower, labels
 from ..schemas import INDEXED_DOCS, SEARCH_DOCS
+from ..session import kept
 from . import mime
+from .stored_index import StoredIndex
 
 #: What makes an indexed row stale when it changes.
 FINGERPRINT = ["source_state", "label_ids", "timestamp_ms", "message_history_id", "raw_digest"]
@@ -59,20 +61,37 @@ def search_rows(catalogue: DataFrame, raw: DataFrame) -> DataFrame:
     return rows.select(*columns, F.col("parsed.error").alias("error"))
 
 
+def _planned(checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool) -> tuple[DataFrame, DataFrame]:
+    """The actions, and the rows of messages to be indexed; both kept, as they are used several times."""
+    actions = kept(with_raw_state(diff(catalogue, checkpoint, rebuild), records), "actions")
+    todo = catalogue.join(actions.filter(F.col("action") == INDEX).select("doc_id"), "doc_id", "left_semi")
+    return actions, kept(search_rows(todo, raw), "rows")
+
+
+def _marked(checkpoint: DataFrame, catalogue: DataFrame, touched: DataFrame, parsed: DataFrame) -> DataFrame:
+    marks = catalogue.join(parsed.select("doc_id"), "doc_id", "left_semi").select(*INDEXED_DOCS.names)
+    return checkpoint.join(touched, "doc_id", "left_anti").select(*INDEXED_DOCS.names).unionByName(marks)
+
+
 def maintain(index: DataFrame, checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The new index, the new checkpoint and one row of statistics.
 
     Only messages to be indexed are parsed. A message that can't be parsed is removed and counted.
     """
-    actions = with_raw_state(diff(catalogue, checkpoint, rebuild), records).cache()
-    todo = catalogue.join(actions.filter(F.col("action") == INDEX).select("doc_id"), "doc_id", "left_semi")
-    rows = search_rows(todo, raw).cache()
+    actions, rows = _planned(checkpoint, catalogue, records, raw, rebuild)
     parsed = rows.filter("error is null").drop("error")
     touched = actions.filter(F.col("action") != SKIP).select("doc_id")
     new_index = index.join(touched, "doc_id", "left_anti").select(*SEARCH_DOCS.names).unionByName(parsed.select(*SEARCH_DOCS.names))
-    marks = catalogue.join(parsed.select("doc_id"), "doc_id", "left_semi").select(*INDEXED_DOCS.names)
-    new_checkpoint = checkpoint.join(touched, "doc_id", "left_anti").select(*INDEXED_DOCS.names).unionByName(marks)
-    return new_index, new_checkpoint, statistics(actions, rows, checkpoint)
+    return new_index, _marked(checkpoint, catalogue, touched, parsed), statistics(actions, rows, checkpoint)
+
+
+def maintain_stored(index: StoredIndex, checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool = False) -> tuple[StoredIndex, DataFrame, DataFrame]:
+    """As ``maintain``, for an index on disk: only postings of touched messages are written. A rebuild starts it anew."""
+    actions, rows = _planned(checkpoint, catalogue, records, raw, rebuild)
+    parsed = rows.filter("error is null").drop("error").select(*SEARCH_DOCS.names)
+    touched = actions.filter(F.col("action") != SKIP).select("doc_id")
+    updated = StoredIndex.write(parsed, index.folder) if rebuild else index.update(parsed, touched)
+    return updated, _marked(checkpoint, catalogue, touched, parsed), statistics(actions, rows, checkpoint)
 
 
 def statistics(actions: DataFrame, rows: DataFrame, checkpoint: DataFrame) -> DataFrame:

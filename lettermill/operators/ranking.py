@@ -33,12 +33,21 @@ def field_text(docs: DataFrame, name: str) -> Column:
 
 
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """``field, term, doc_id, tf, positions, dl``: each field's terms with their positions; dl is the field's length."""
+    """``field, term, doc_id, tf, positions, dl``: each field's terms with their positions; dl is the field's length.
+
+    A text's tokens are sorted within its row and cut where the term changes, so nothing is shuffled.
+    """
     fields = fields or [*FIELDS, *ALSO]
     texts = F.array(*[F.struct(F.lit(name).alias("field"), tokens(field_text(docs, name)).alias("found")) for name in fields])
-    rows = docs.select("doc_id", F.inline(texts)).filter(F.size("found") > 0).select("doc_id", "field", F.size("found").alias("dl"), F.posexplode("found").alias("position", "term"))
-    grouped = rows.groupBy("field", "term", "doc_id", "dl").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return grouped.select("field", "term", "doc_id", F.size("positions").alias("tf"), "positions", "dl")
+    rows = docs.select("doc_id", F.inline(texts)).filter(F.size("found") > 0)
+    placed = F.array_sort(F.transform("found", lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    rows = rows.select("doc_id", "field", F.size("found").alias("dl"), placed.alias("placed"))
+    term = lambda i: F.element_at("placed", i)["term"]
+    starts = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (term(i) != term(F.greatest(i - 1, F.lit(1)))))
+    rows = rows.withColumn("starts", starts)
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.col("dl") + 1)
+    cut = F.transform("starts", lambda s, k: F.struct(term(s).alias("term"), F.transform(F.slice("placed", s, end(k) - s), lambda x: x["position"]).alias("positions")))
+    return rows.select("doc_id", "field", "dl", F.inline(cut)).select("field", "term", "doc_id", F.size("positions").alias("tf"), "positions", "dl")
 
 
 def field_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -171,28 +180,48 @@ def _score(tree: object, of: dict[Term, str]) -> Column:
 
 
 def term_scores(docs: DataFrame, term: Term) -> DataFrame:
-    """``doc_id, score``: BM25 of a term or phrase, summed over its fields. A phrase scores as the sum of its words' idf.
+    """``doc_id, score``: BM25 of a term or phrase, summed over its fields. A phrase scores as the sum of its words' idf."""
+    return wide_scores(docs, [term]).filter("t0 > 0").select("doc_id", F.col("t0").alias("score"))
 
-    Only rows whose token list holds the first word are looked at further, so nothing but matching rows is shuffled.
-    """
-    fields = [term.field] if term.field else list(FIELDS)
-    weights = FIELDS | ALSO
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(weights[f]).alias("weight"), tokens(field_text(docs, f)).alias("found")) for f in fields])
-    found = docs.select("doc_id", F.inline(rows)).withColumn("dl", F.size("found"))
-    words = list(term.words)
+
+def _times(words: list[str]) -> Column:
+    """How often the tokens ``found`` hold these words in a row."""
     if not words:
-        return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    stats = found.groupBy("field").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"), *[F.count_if(F.array_contains("found", w)).alias(f"df{i}") for i, w in enumerate(words)])
+        return F.lit(0)
     if len(words) == 1:
-        tf = F.size(F.filter("found", lambda x: x == words[0]))
+        times = F.size(F.filter("found", lambda x: x == words[0]))
     else:
-        starts = F.sequence(F.lit(1), F.greatest(F.col("dl") - len(words) + 1, F.lit(1)))
-        wanted = F.array(*[F.lit(w) for w in words])
-        tf = F.size(F.filter(starts, lambda i: F.slice("found", i, len(words)) == wanted))
-    hits = found.filter(F.array_contains("found", words[0])).withColumn("tf", tf).filter("tf > 0").drop("found")
-    scored = hits.join(F.broadcast(stats), "field")  # a row for each field of the schema
-    one = reduce(lambda a, b: a + b, [bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col(f"df{i}"), F.col("avgdl")) for i in range(len(words))])
-    return scored.groupBy("doc_id").agg(F.sum(F.col("weight") * one).alias("score"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size("found") - len(words) + 1, F.lit(1)))
+        times = F.size(F.filter(starts, lambda at: F.slice("found", at, len(words)) == F.array(*map(F.lit, words))))
+    return F.when(F.array_contains("found", words[0]), times).otherwise(0)
+
+
+def wide_scores(docs: DataFrame, found: list[Term]) -> DataFrame:
+    """``doc_id, t0, t1, ...``: the scores of several terms, of rows that have any.
+
+    All terms take one pass over the texts for their statistics and one for their hits, whatever their number. Every field
+    is tokenised once a pass; only rows with hits are looked at further, and none is shuffled but for the final sums.
+    """
+    weights = FIELDS | ALSO
+    of = {t: [t.field] if t.field else list(FIELDS) for t in found}
+    fields = list(dict.fromkeys(f for fs in of.values() for f in fs))
+    if not any(t.words for t in found):
+        return docs.limit(0).select("doc_id", *[F.lit(0.0).alias(f"t{i}") for i in range(len(found))])
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(weights[f]).alias("weight"), tokens(field_text(docs, f)).alias("found")) for f in fields])
+    rows = docs.select("doc_id", F.inline(texts))
+    words = list(dict.fromkeys(w for t in found for w in t.words))
+    counts = [F.count_if(F.array_contains("found", w)).alias(f"df{i}") for i, w in enumerate(words)]
+    stats = rows.groupBy("field").agg(F.count("*").alias("n"), (F.sum(F.size("found")) / F.count("*")).alias("avgdl"), *counts)
+    tf = [F.when(F.col("field").isin(*of[t]), _times(list(t.words))).otherwise(0).alias(f"tf{i}") for i, t in enumerate(found)]
+    some = reduce(lambda a, b: a | b, [F.array_contains("found", t.words[0]) for t in found if t.words])
+    hits = rows.filter(some).select("doc_id", "field", "weight", F.size("found").alias("dl"), *tf)
+    hits = hits.join(F.broadcast(stats), "field")  # a row for each field of the schema
+    df = {w: F.col(f"df{i}") for i, w in enumerate(words)}
+    sums = []
+    for i, t in enumerate(found):
+        one = reduce(lambda a, b: a + b, [bm25(F.col(f"tf{i}"), F.col("dl"), F.col("n"), df[w], F.col("avgdl")) for w in t.words], F.lit(0.0))
+        sums.append(F.coalesce(F.sum(F.when(F.col(f"tf{i}") > 0, F.col("weight") * one)), F.lit(0.0)).alias(f"t{i}"))
+    return hits.filter(" or ".join(f"tf{i} > 0" for i in range(len(found)))).groupBy("doc_id").agg(*sums)
 
 
 def combined(tree: object, of_term: Callable[[Term], DataFrame], docs: DataFrame) -> DataFrame:
@@ -213,4 +242,8 @@ def judged(wide: DataFrame, tree: object, of: dict[Term, str]) -> DataFrame:
 
 def scored(docs: DataFrame, query: str) -> DataFrame:
     """``doc_id, score`` of the rows that match a query."""
-    return combined(parse(query), lambda term: term_scores(docs, term), docs)
+    tree = parse(query)
+    found = list(dict.fromkeys(terms(tree)))
+    if not found:
+        return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+    return judged(wide_scores(docs, found), tree, {t: f"t{i}" for i, t in enumerate(found)})

@@ -1,7 +1,11 @@
-"""The derived index on disk: postings by term bucket, field statistics, and messages by time.
+"""The derived index on disk: postings by term bucket, terms, and messages by time, in generations.
+
+A build is generation 0; an update adds a generation with the postings of new and changed messages and the ids that it
+replaces or removes, whose older rows are dead from then on. A generation counts once its row of ``state`` is there, which
+is written last, so an update that fails leaves the index as it was. ``compacted`` writes what is alive as a new index.
 
 A query reads only the buckets of its terms (partition pruning) and of those only row groups that may hold the terms;
-texts are never scanned. Buckets of frequent terms are dealt over several files by message.
+texts are never scanned. Buckets and the files of a bucket grow with the corpus.
 """
 
 from __future__ import annotations
@@ -11,56 +15,155 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import tokens
 from ..functions.types import ddl
 from ..schemas import SEARCH_DOCS
 from . import ranking
-from .search import RESULT, SearchRequest, result_columns, filters
-
-#: Directories of terms, and files of a directory.
-BUCKETS, SPREAD = 64, 4
-POSTINGS = ddl("field string, term string, doc_id long, tf int, positions array<int>, dl int, df long")
-
+from .search import RESULT, SearchRequest, filters, result_columns
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+#: Tokens of a bucket and of a file, at most, and the fewest and most buckets.
+BUCKET_TOKENS, FILE_TOKENS, FEWEST, MOST = 8_000_000, 32_000_000, 8, 4096
+ALL_FIELDS = [*ranking.FIELDS, *ranking.ALSO]
+POSTINGS = ddl("field string, term string, doc_id long, tf int, positions array<int>, dl int")
+MESSAGES = T.StructType([*SEARCH_DOCS.fields, *ddl("lengths array<int>").fields])
+STATE = ddl("field string, n long, tokens long, buckets int, gone long")
 
 
 class StoredIndex:
-    """An index below a folder. Its tables are opened once; field statistics (a row a field) are read when it is opened."""
+    """An index below a folder, as of its last whole generation. Its state (a row a field) is read when it is first needed."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    # writing
+
     @staticmethod
     def write(docs: DataFrame, folder: str) -> StoredIndex:
         """Build the index of the search projection ``docs``, over whatever is there."""
-        rows = ranking.postings(docs)
-        counts = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
-        rows = rows.join(counts, ["field", "term"]).withColumn("bucket", _bucket(F.col("term")))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-        dealt.select(*POSTINGS.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        ranking.field_stats(docs, [*ranking.FIELDS, *ranking.ALSO]).write.mode("overwrite").parquet(f"{folder}/fields")
-        docs.repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms").write.mode("overwrite").parquet(f"{folder}/messages")
+        index = StoredIndex(docs.sparkSession, folder)
+        for part in ("state", "gone", "terms", "postings", "messages"):  # the state goes first: no reader takes a half-written index
+            _removed(index.spark, f"{folder}/{part}")
+        index._add(docs, 0, None, {})
         return StoredIndex(docs.sparkSession, folder)
 
+    def update(self, changed: DataFrame, removed: DataFrame) -> StoredIndex:
+        """The index after ``changed`` rows of the search projection, new or in place of old ones, and without ``removed(doc_id)``."""
+        ids = changed.select("doc_id").union(removed.select("doc_id")).distinct()
+        self._add(changed, self.generation + 1, self.messages.join(ids, "doc_id", "left_semi").select("doc_id", "lengths"), self.state)
+        return StoredIndex(self.spark, self.folder)
+
+    def _add(self, docs: DataFrame, generation: int, old: DataFrame | None, state: dict[str, dict]) -> None:
+        path = lambda part: f"{self.folder}/{part}/generation={generation}"
+        gone, lost = 0, [0] * (len(ALL_FIELDS) + 1)
+        if old is not None:
+            old.write.mode("overwrite").parquet(path("gone"))
+            lost = _summed(self.spark.read.schema("doc_id long, lengths array<int>").parquet(path("gone")))
+            gone = next(iter(state.values()))["gone"] + lost[0]
+        lengths = F.array(*[F.size(tokens(ranking.field_text(docs, f))) for f in ALL_FIELDS])
+        ordered = docs.repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms")
+        ordered.withColumn("lengths", lengths).select(*MESSAGES.names).write.mode("overwrite").parquet(path("messages"))
+        new = _summed(self.spark.read.schema(MESSAGES).parquet(path("messages")))
+        total = {f: (state[f]["n"] if state else 0) + new[0] - lost[0] for f in ALL_FIELDS}
+        held = {f: (state[f]["tokens"] if state else 0) + new[i + 1] - lost[i + 1] for i, f in enumerate(ALL_FIELDS)}
+        buckets = next(iter(state.values()))["buckets"] if state else max(FEWEST, min(MOST, sum(new[1:]) // BUCKET_TOKENS))
+        files = max(1, sum(new[1:]) // buckets // FILE_TOKENS)
+        rows = ranking.postings(docs).withColumn("bucket", _bucket(F.col("term"), buckets))
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+        dealt.select(*POSTINGS.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path("postings"))
+        written = self.spark.read.schema(POSTINGS).parquet(path("postings"))
+        terms = written.groupBy("term", "field").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(path("terms"))
+        rows_ = [(f, total[f], held[f], buckets, gone) for f in ALL_FIELDS]
+        self.spark.createDataFrame(rows_, STATE).coalesce(1).write.mode("overwrite").parquet(path("state"))
+
+    def compacted(self, folder: str) -> StoredIndex:
+        """A new index below another folder with what is alive here, as one generation; nothing is tokenised again."""
+        one = StoredIndex(self.spark, folder)
+        path = lambda part: f"{folder}/{part}/generation=0"
+        for part in ("state", "gone", "terms", "postings", "messages"):
+            _removed(self.spark, f"{folder}/{part}")
+        self.messages.select(*MESSAGES.names).repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms").write.parquet(path("messages"))
+        live = self._alive(self._held)
+        files = max(1, sum(s["tokens"] for s in self.state.values()) // self.buckets // FILE_TOKENS)
+        live = live.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+        live.select(*POSTINGS.names, "bucket").write.partitionBy("bucket").parquet(path("postings"))
+        terms = self.spark.read.schema(POSTINGS).parquet(path("postings")).groupBy("term", "field").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(path("terms"))
+        rows = [(f, s["n"], s["tokens"], s["buckets"], 0) for f, s in self.state.items()]
+        self.spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(path("state"))
+        return one
+
+    # reading
+
+    @cached_property
+    def _states(self) -> dict[int, dict[str, dict]]:
+        out: dict[int, dict[str, dict]] = {}
+        for r in self.spark.read.schema(ddl("field string, n long, tokens long, buckets int, gone long, generation int")).parquet(f"{self.folder}/state").collect():
+            out.setdefault(r["generation"], {})[r["field"]] = r.asDict()
+        return out
+
+    @property
+    def generation(self) -> int:
+        return max(self._states)
+
+    @property
+    def state(self) -> dict[str, dict]:
+        """Of each field: messages, tokens in all, buckets of the index, dead messages."""
+        return self._states[self.generation]
+
+    @property
+    def buckets(self) -> int:
+        return next(iter(self.state.values()))["buckets"]
+
+    @property
+    def fields(self) -> dict[str, tuple[int, float]]:
+        """Messages and mean tokens of each field."""
+        return {f: (s["n"], s["tokens"] / s["n"] if s["n"] else 0.0) for f, s in self.state.items()}
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}").filter(F.col("generation") <= self.generation)
+
     @cached_property
     def _held(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
+        return self._read("postings", "field string, term string, doc_id long, tf int, positions array<int>, dl int, generation int, bucket int")
 
     @cached_property
-    def messages(self) -> DataFrame:
-        return self.spark.read.schema(SEARCH_DOCS).parquet(f"{self.folder}/messages")
+    def _gone(self) -> DataFrame | None:
+        """``doc_id, until``: the generation below which a message's rows are dead; None if nothing ever was removed."""
+        if not next(iter(self.state.values()))["gone"]:
+            return None
+        return self._read("gone", "doc_id long, generation int").groupBy("doc_id").agg(F.max("generation").alias("until"))
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        if self._gone is None:
+            return rows
+        return rows.join(self._gone, "doc_id", "left").filter(F.col("until").isNull() | (F.col("generation") >= F.col("until"))).drop("until")
 
     @cached_property
-    def fields(self) -> dict[str, tuple[int, float]]:
-        """Messages and mean tokens of each field."""
-        return {r["field"]: (r["n"], r["avgdl"]) for r in self.spark.read.parquet(f"{self.folder}/fields").collect()}
+    def messages(self) -> DataFrame:
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MESSAGES)
+        return self._alive(self._read("messages", f"{fields}, generation int"))
+
+    def _of_words(self, rows: DataFrame, words: list[str], fields: list[str]) -> DataFrame:
+        one = reduce(lambda a, b: a | b, [(F.col("bucket") == _bucket(F.lit(w), self.buckets)) & (F.col("term") == w) for w in words])
+        return rows.filter(one & F.col("field").isin(*fields))
 
     def postings(self, words: list[str], fields: list[str]) -> DataFrame:
         """Postings of some words in some fields."""
-        one = reduce(lambda a, b: a | b, [(F.col("bucket") == _bucket(F.lit(w))) & (F.col("term") == w) for w in words])
-        return self._held.filter(one & F.col("field").isin(*fields))
+        return self._alive(self._of_words(self._held, words, fields))
+
+    def _frequencies(self, words: list[str], fields: list[str]) -> Column:
+        """Messages with a row's term in its field: of all generations, less the dead ones. At most a number a word and field."""
+        terms = self._read("terms", "term string, field string, df long, generation int").filter(F.col("term").isin(*words) & F.col("field").isin(*fields))
+        counts = terms.groupBy("term", "field").agg(F.sum("df").alias("df"))
+        if self._gone is not None:
+            dead = self._of_words(self._held, words, fields).join(self._gone, "doc_id").filter("generation < until")
+            counts = counts.unionByName(dead.groupBy("term", "field").agg((-F.count("*")).alias("df"))).groupBy("term", "field").agg(F.sum("df").alias("df"))
+        known = {(r["term"], r["field"]): r["df"] for r in counts.collect()}
+        of = lambda c, k: c.when((F.col("term") == k[0]) & (F.col("field") == k[1]), F.lit(known[k]))
+        return reduce(of, known, F.when(F.lit(False), F.lit(0).cast("long")))
 
     def _of_field(self, value: Callable[[str], float | int]) -> Column:
         return reduce(lambda c, f: c.when(F.col("field") == f, F.lit(value(f))), self.fields, F.when(F.lit(False), F.lit(0.0)))
@@ -76,7 +179,8 @@ class StoredIndex:
         words = list(term.words)
         if not words:
             return self.messages.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-        rows = self.postings(words, [term.field] if term.field else list(ranking.FIELDS))
+        fields = [term.field] if term.field else list(ranking.FIELDS)
+        rows = self.postings(words, fields).withColumn("df", self._frequencies(words, fields))
         if len(words) == 1:
             return rows.groupBy("doc_id").agg(F.sum(self._weighted(F.col("df"))).alias("score"))
         one = reduce(lambda a, b: a + b, [self._weighted(F.col(f"df{i}")) for i in range(len(words))])
@@ -88,8 +192,8 @@ class StoredIndex:
         found = list(dict.fromkeys(ranking.terms(tree)))
         if not found or any(len(t.words) != 1 for t in found):
             return ranking.combined(tree, self.term_scores, self.messages)
-        rows = self.postings(sorted({t.words[0] for t in found}), list(dict.fromkeys(f for t in found for f in ([t.field] if t.field else ranking.FIELDS))))
-        held = rows.withColumn("score", self._weighted(F.col("df")))
+        words, fields = sorted({t.words[0] for t in found}), list(dict.fromkeys(f for t in found for f in ([t.field] if t.field else ranking.FIELDS)))
+        held = self.postings(words, fields).withColumn("score", self._weighted(self._frequencies(words, fields)))
         of = {term: f"t{i}" for i, term in enumerate(found)}
         hit = lambda t: (F.col("term") == t.words[0]) & F.col("field").isin(*([t.field] if t.field else ranking.FIELDS))
         wide = held.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(hit(t), F.col("score"))), F.lit(0.0)).alias(name) for t, name in of.items()])
@@ -101,17 +205,42 @@ class StoredIndex:
         spots = [F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions")))).alias(f"p{i}") for i, w in enumerate(words)]
         counts = [F.max(F.when(F.col("term") == w, F.col("df"))).alias(f"df{i}") for i, w in enumerate(words)]
         held = rows.groupBy("field", "doc_id", "dl").agg(*spots, *counts)
-        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(f"p{i}", p + i) for i in range(1, len(words))])
-        return held.withColumn("tf", F.size(F.filter("p0", follows))).filter("tf > 0")
+        # the starts of the phrase: positions of the first word that are those of each other one, moved back
+        moved = lambda i: F.transform(f"p{i}", lambda p: p - i)
+        starts = reduce(F.array_intersect, map(moved, range(1, len(words))), F.col("p0"))
+        return held.withColumn("tf", F.size(starts)).filter("tf > 0")
 
     def search(self, request: SearchRequest) -> DataFrame:
         """As ``search.search``, from the index."""
-        text = request.text.strip()
+        return self._best(request, self.scored(request.text.strip()) if request.text.strip() else None)
+
+    def _best(self, request: SearchRequest, scores: DataFrame | None) -> DataFrame:
         docs = self.messages
-        if request.limit <= 0 or not text and not request.has_filters():
+        if request.limit <= 0 or scores is None and not request.has_filters():
             return docs.limit(0).select(*result_columns(F.lit(0.0)))
         matching = docs.filter(filters(request))
-        if text:
-            matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(self.scored(text), "doc_id").select(*RESULT)  # snippets, not bodies
+        if scores is not None:
+            matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(scores, "doc_id").select(*RESULT)  # snippets, not bodies
             return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
         return matching.select(*result_columns(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
+
+    def search_all(self, requests: dict[str, SearchRequest]) -> DataFrame:
+        """``request`` and the result rows of several named requests, as one job."""
+        found = [self.search(r).select(F.lit(name).alias("request"), *RESULT) for name, r in requests.items()]
+        return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _summed(rows: DataFrame) -> list[int]:
+    """Messages, and their tokens in each field."""
+    sums = [F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0)).cast("long") for i in range(len(ALL_FIELDS))]
+    return list(rows.agg(F.count("*"), *sums).first())
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -44,11 +44,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors see; of this machine only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
+    """A new folder below ``spark.checkpoint.dir``, which all executors see. Only a local session does without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lettermill-")
     return f"{root.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a scratch folder, read back: computed once, and still there when an executor is lost."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it comes in fewer partitions: for costly expressions over small files."""
     cores = df.sparkSession.sparkContext.defaultParallelism

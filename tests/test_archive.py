@@ -184,6 +184,26 @@ def test_index_maintenance(spark, archive):
     assert {(r["doc_id"], r["label_ids"], r["timestamp_ms"]) for r in union.collect()} == {(1, "[]", 7), (2, "[]", 0)}
 
 
+def test_stored_index_maintenance(spark, archive, tmp_path):
+    from lettermill.operators.search import SearchRequest
+    from lettermill.operators.stored_index import StoredIndex
+
+    folder, messages, raws, _ = archive
+    frames, sizes = segments.read_frames(spark, folder), segments.segment_sizes(spark, folder)
+    records, raw = integrity.record_inventory(messages, frames, sizes), integrity.validated_raw(frames, messages)
+    rows = messages.select("doc_id", "message_id", "folder", "raw_digest", F.lit("gmail:a").alias("source_account"), F.lit("present").alias("source_state"), F.lit('["L"]').alias("label_ids"), F.lit(5).cast("long").alias("timestamp_ms"), F.lit("h").alias("message_history_id"))
+    empty, none = StoredIndex.write(spark.createDataFrame([], SEARCH_DOCS), str(tmp_path / "index")), spark.createDataFrame([], INDEXED_DOCS)
+    assert empty.search(SearchRequest(text="body")).count() == 0
+    index_, marks, stats = index.maintain_stored(empty, none, rows, records, raw)
+    assert stats.first()["indexed"] == 12 and index_.search(SearchRequest(text="body")).count() == 12
+    changed = rows.withColumn("source_state", F.when(F.col("doc_id") < 3, "deleted").otherwise(F.col("source_state")))
+    index_, marks, stats = index.maintain_stored(index_, marks, changed, records, raw)
+    assert (stats.first()["removed"], stats.first()["indexed"], marks.count()) == (3, 0, 9)
+    assert {r["doc_id"] for r in index_.search(SearchRequest(text="body")).collect()} == set(range(3, 12)) and index_.generation == 2
+    index_, marks, stats = index.maintain_stored(index_, marks, changed, records, raw, rebuild=True)
+    assert index_.generation == 0 and index_.search(SearchRequest(text="body")).count() == 9
+
+
 def test_cas(spark):
     rng = random.Random(3)
     corpus = synthetic.Corpus(80, profile="personal")
