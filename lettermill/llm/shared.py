@@ -49,7 +49,7 @@ BROADCAST_BYTES = 16 << 20
 
 def broadcast_if_small(table: DataFrame) -> DataFrame:
     """A written table with the hint to broadcast it, if its files say that it is small; else as it is."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
