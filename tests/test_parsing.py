@@ -135,6 +135,18 @@ def test_html_evidence():
     assert html_evidence.evidence(None) == html_evidence.evidence("") == {"remote_resources": [], "local_references": [], "links": []}
 
 
+@pytest.mark.parametrize(
+    ("url", "found"),
+    [
+        ("https:/x.y/a", ("https", "x.y", False)), ("HTTP:x.y?q", ("http", "x.y", True)), ("http:\\\\X.Y\\z", ("http", "x.y", False)), (" \thttp://u:p@h.example:80/a#?b ", ("http", "h.example", False)), ("ht\ntp://a.b", ("http", "a.b", False)),
+        ("//t.example/p?1", ("protocol-relative", "t.example", True)), ("http://é.example", ("http", "xn--9ca.example", False)), ("http://%41.b", ("http", "a.b", False)), ("http://[::1]:9/", ("http", "[::1]", False)), ("http://0x7f.1/", ("http", "127.0.0.1", False)),
+        ("http://", None), ("http:///?", None), ("http://a b/", None), ("http://a:99999/", None), ("http://1.2.3.4.5/", None), ("http://[x]/", None), ("ftp://x/y", None), ("logo.png", None), ("http://a:b/", None), ("//", None),
+    ],
+)
+def test_remote_urls(url, found):
+    assert html_evidence.remote(url) == found
+
+
 def test_html_evidence_survives_fragments():
     rng = random.Random(1)
     pool = ['<img src="http://x/', "<style>", "url(", "</style>", "<a href=", '"', ">", "<!--", "&amp", "\x00", "<table><div>", "é"]
@@ -145,8 +157,12 @@ def test_html_evidence_survives_fragments():
 
 def test_preview():
     shown = html_evidence.sanitise('<p onclick="x()">a<script>b()</script><img src="cid:i%31"><img src="http://t/p"><b>c</b></p>', {"i1": "/part/3"})
-    assert "onclick" not in shown and "b()" not in shown and "http://t" not in shown and '<img src="/part/3">' in shown and "<b>c</b>" in shown and "default-src 'none'" in shown
-    assert [html_evidence.normal_cid(x) for x in ("<a@b>", "&lt;a@b&gt;", "a%40b", "%zz", " ", "a b", "%ff")] == ["a@b", "a@b", "a@b", None, None, None, None]
+    body = shown.split("<body>")[1].split("</body>")[0]
+    assert body == '<p>a<img src="/part/3"><img src="http://t/p"><b>c</b></p>' and "default-src 'none'; img-src 'self'" in shown  # the policy keeps remote images from loading
+    assert [html_evidence.normal_cid(x) for x in ("<a@b>", "&lt;a@b&gt;", "a%40b", "%zz", " ", " a b ", "%ff", "<%3Ca%3E>")] == ["a@b", "a@b", "a@b", None, None, "a b", None, "a"]
+    inside = lambda text: html_evidence.sanitise(text).split("<body>")[1].split("</body>")[0]
+    assert inside("a<object><p>b<div>c") == "a<p>b<div>c</div></p>" and inside("x<script>y") == "x" and inside("<b>a</i></b></b>c") == "<b>a</b>c"
+    assert inside('<a href="javascript:x()" title="t&quot;">l</a><a href="/r?a=1&amp;b">m</a><br>') == '<a title="t&quot;" rel="noopener noreferrer">l</a><a href="/r?a=1&amp;b" rel="noopener noreferrer">m</a><br>'
     assert html_evidence.rewrite_cids('src="cid:x" src="CID:y"', {"y": "/p"}) == 'src="cid:x" src="/p"'
 
 
