@@ -62,8 +62,8 @@ def reconstruct(refs: DataFrame, store: DataFrame) -> DataFrame:
     rows = refs.join(store.withColumnRenamed("bytes", "blob"), "blob_hash", "left")
     missing = F.raise_error(F.concat(F.lit("blob is missing: "), F.col("blob_hash"))).cast("binary")
     data = F.when(F.col("kind") == "inline", F.col("bytes")).when(F.col("blob").isNotNull(), F.col("blob")).otherwise(missing)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", F.hex(data).alias("hex"))))
-    return rows.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")).alias("raw"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", data.cast("string").alias("bytes"))))  # a cast doesn't touch the bytes
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["bytes"]), "").cast("binary").alias("raw"))
 
 
 def sizes(messages: DataFrame, cut: DataFrame) -> DataFrame:

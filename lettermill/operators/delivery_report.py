@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from email.message import Message
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import ddl
-
 from .mime import decoded_text, parse
 
 #: Closed vocabularies (fixed values).
@@ -166,13 +166,19 @@ def analyse(raw: bytes | None) -> dict:
 
 
 @F.pandas_udf(REPORT)
-def analyse_report(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([analyse(None if r is None else bytes(r)) for r in raw], columns=REPORT.names)
+def analyse_report(raw: pd.Series, plain: pd.Series) -> pd.DataFrame:
+    ordinary = dict.fromkeys(REPORT.names) | {"kind": "ordinary", "validity": "valid"}
+    return pd.DataFrame([ordinary if p else analyse(None if r is None else bytes(r)) for r, p in zip(raw, plain, strict=True)], columns=REPORT.names)
 
 
 def with_report(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``df`` with a struct ``report`` (REPORT)."""
-    return df.withColumn("report", analyse_report(raw))
+    """``df`` with a struct ``report`` (REPORT).
+
+    A message without any of the content types of reports is ordinary: it isn't sent to Python, nor parsed.
+    """
+    low = F.lower(F.col(raw).cast("string"))
+    plain = F.coalesce(~reduce(lambda a, b: a | b, [low.contains(t) for t in ("multipart/report", *PARTS)]), F.lit(False))
+    return df.withColumn("report", analyse_report(F.when(~plain, F.col(raw)), plain))
 
 
 def recipients(df: DataFrame, key: str = "doc_id") -> DataFrame:

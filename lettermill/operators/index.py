@@ -47,7 +47,7 @@ def with_raw_state(actions: DataFrame, records: DataFrame) -> DataFrame:
 
 def search_rows(catalogue: DataFrame, raw: DataFrame) -> DataFrame:
     """Search-projection rows of parsed messages with a column ``error``; ``raw(doc_id, raw)``."""
-    rows = mime.with_parsed(catalogue.join(raw, "doc_id"))
+    rows = mime.with_parsed(catalogue.join(raw, "doc_id"), fields=mime.SEARCHED)
     lower = lambda c: F.transform(c, ascii_lower)
     types = F.coalesce(F.col("parsed.attachment_types"), F.array().cast("array<string>"))
     count = F.coalesce(F.col("parsed.attachment_count"), F.lit(0).cast("long"))

@@ -16,6 +16,7 @@ from email.policy import compat32
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import HIDDEN_LINK
 from ..functions.types import ddl
@@ -31,6 +32,9 @@ PARSED = ddl(
     f"parts array<{PART}>, html string, error string"
 )
 
+#: The fields that a search index needs.
+SEARCHED = ("subject", "sender", "recipients", "body", "attachment_types", "attachment_count", "attachment_text", "error")
+
 
 def _header(message: Message, name: str) -> str:
     value = message.get(name)
@@ -122,8 +126,8 @@ def extract_text(mime: str, payload: bytes, text: str | None) -> tuple[str, str]
     return "extracted", found[:LONGEST_EXTRACT]
 
 
-def parsed(raw: bytes | None) -> dict:
-    """All fields of PARSED for one message; a message that can't be parsed has only an error."""
+def parsed(raw: bytes | None, with_parts: bool = True) -> dict:
+    """All fields of PARSED for one message, or all but ``parts``; a message that can't be parsed has only an error."""
     blank = dict.fromkeys(PARSED.names)
     if raw is None:
         return blank | {"error": "no RAW"}
@@ -141,6 +145,8 @@ def parsed(raw: bytes | None) -> dict:
             elif mime == "text/html" and not attached:
                 body.append(html_to_text(text or "") + "\n")
                 html = text
+            if not with_parts:
+                continue
             encoded = len(str(part.get_payload()).encode("utf-8", "surrogateescape"))
             parts.append({
                 "part_id": number, "mime": mime, "disposition": disposition(part), "filename": name, "content_id": cid, "downloadable": attached, "charset": part.get_content_charset(),
@@ -154,17 +160,23 @@ def parsed(raw: bytes | None) -> dict:
         return blank | {"error": f"{type(error).__name__}: {error}"}
 
 
-@F.pandas_udf(PARSED)
-def parse_message(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parsed(None if r is None else bytes(r)) for r in raw], columns=PARSED.names)
+def _parser(fields: tuple[str, ...]):
+    schema = T.StructType([f for f in PARSED if f.name in fields])
+
+    @F.pandas_udf(schema)
+    def parse_message(raw: pd.Series) -> pd.DataFrame:
+        rows = (parsed(None if r is None else bytes(r), "parts" in fields) for r in raw)
+        return pd.DataFrame([[row[n] for n in schema.names] for row in rows], columns=schema.names)
+
+    return parse_message
 
 
-def with_parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``df`` with a struct ``parsed`` (PARSED)."""
+def with_parsed(df: DataFrame, raw: str = "raw", fields: tuple[str, ...] = tuple(PARSED.names)) -> DataFrame:
+    """``df`` with a struct ``parsed`` of PARSED's ``fields``; only these leave Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(df.sparkSession.conf.get(key, "10000")) > BATCH_ROWS:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df.withColumn("parsed", parse_message(raw))
+    return df.withColumn("parsed", _parser(fields)(raw))
 
 
 def parts(df: DataFrame, key: str = "doc_id") -> DataFrame:

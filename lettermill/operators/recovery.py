@@ -52,7 +52,12 @@ def _items(rows: DataFrame, subject: Column, cases: list[tuple[Column, str, Colu
 
 
 def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``subject, status, disposition, automatic, proposed_action, facts``, by subject and status; what is sound has no item.
+    """``plan_items`` by subject and status."""
+    return plan_items(records, messages, classified, evidence).orderBy("subject", "status")
+
+
+def plan_items(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``subject, status, disposition, automatic, proposed_action, facts``, in no order; what is sound has no item.
 
     ``records`` as from ``record_inventory``, ``classified`` as from ``classify_frames``. Nothing is ever automatic.
     """
@@ -83,7 +88,7 @@ def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidenc
         (F.col("claimed"), "IncompleteTail", UNSAFE, "inspect", why),
         (F.lit(True), "IncompleteTail", CLEANUP, "truncate", why),
     ])
-    return of_records.unionByName(of_frames).unionByName(of_tails).orderBy("subject", "status")
+    return of_records.unionByName(of_frames).unionByName(of_tails)
 
 
 def archive_plan(spark: SparkSession, catalogue: str, archive: bool) -> DataFrame:
