@@ -12,7 +12,7 @@ from ..operators.search import exists_by_key
 from ..sources import segments, synthetic
 from ..streaming import events as event_windows
 from ..streaming import sync
-from ..session import table
+from ..session import kept, table
 from .registry import query
 
 _DIGEST = "sha256(o_orderkey::varchar)"
@@ -99,17 +99,27 @@ def inventory_counters(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.inventory_counters(integrity.classify_frames(held, rows), integrity.record_inventory(rows, held, segment_table(spark, folder)))
 
 
+def evidence_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All of ``lineitem`` as occurrences: odd line numbers of one source, even ones of the other."""
+    lines = table(spark, folder, "lineitem")
+    state = F.when(F.col("l_returnflag") == "N", "present").when(F.col("l_returnflag") == "R", "deleted").otherwise("unknown").alias("source_state")
+    key = F.col("l_orderkey").alias("doc_id")
+    gmail = lines.filter("l_linenumber % 2 = 1").select(key, F.lit("gmail:a").alias("source_account"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("gmail_message_id"), state)
+    uid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uid")
+    imap = lines.filter("l_linenumber % 2 = 0").select(key, F.lit("imap:u@h:993").alias("source_account"), F.lit("INBOX").alias("mailbox"), F.lit(1).cast("long").alias("uid_validity"), uid, state)
+    return gmail, imap
+
+
 @query(f"""
 with {ROWS.strip()},
 evidence as (
-  select l_orderkey as doc_id, count(*) filter (l_returnflag = 'N') as refetchable, count(*) filter (l_returnflag = 'R') as deleted, 0 as invalid
-  from lineitem where l_linenumber <= 2 and l_returnflag <> 'A' group by 1
+  select l_orderkey as doc_id, count(*) filter (l_returnflag = 'N') as refetchable, count(*) filter (l_returnflag = 'R') as deleted, count(*) filter (l_returnflag = 'A') as invalid from lineitem group by 1
 ),
 items as (
   select 'record ' || doc_id as subject, 'CataloguedInconsistent' as status, 'unsafe-automatic-repair' as disposition from records_ r
   where status = 'missing' and exists (select 1 from states_ s where s.segment = r.segment and s."offset" = r.archive_offset and state = 'inconsistent')
   union all
-  select 'record ' || doc_id, 'PhysicallyMissing', case when coalesce(refetchable, 0) > 1 or coalesce(deleted, 0) > 0 and coalesce(refetchable, 0) > 0 then 'unsafe-automatic-repair'
+  select 'record ' || doc_id, 'PhysicallyMissing', case when coalesce(invalid, 0) > 0 or coalesce(refetchable, 0) > 1 or coalesce(deleted, 0) > 0 and coalesce(refetchable, 0) > 0 then 'unsafe-automatic-repair'
     when refetchable = 1 then 're-fetchable' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end
   from records_ r left join evidence using (doc_id)
   where status = 'missing' and not exists (select 1 from states_ s where s.segment = r.segment and s."offset" = r.archive_offset and state = 'inconsistent')
@@ -125,12 +135,9 @@ select subject, status, disposition, count(*) as n from items group by all
 """)
 def recovery_plan(spark: SparkSession, folder: str) -> DataFrame:
     rows, held = catalogue_rows(spark, folder), frames(spark, folder)
-    records = integrity.record_inventory(rows, held, segment_table(spark, folder))
-    classified = integrity.classify_frames(held, rows)
-    lines = table(spark, folder, "lineitem").filter("l_linenumber <= 2 and l_returnflag <> 'A'")
-    gmail = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit("gmail:a").alias("source_account"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("gmail_message_id"), F.when(F.col("l_returnflag") == "N", "present").otherwise("deleted").alias("source_state"))
-    imap = lines.limit(0).select(F.col("l_orderkey").alias("doc_id"), F.lit("").alias("source_account"), F.lit("").alias("mailbox"), F.lit(1).alias("uid_validity"), F.lit(1).alias("uid"), F.lit("present").alias("source_state"))
-    plan = recovery.plan(records, rows, classified, recovery.source_evidence(gmail, imap))
+    records = kept(integrity.record_inventory(rows, held, segment_table(spark, folder)), "records")
+    classified = kept(integrity.classify_frames(held, rows), "classified")
+    plan = recovery.plan_items(records, rows, classified, recovery.source_evidence(*evidence_rows(spark, folder)))
     return plan.groupBy("subject", "status", "disposition").agg(F.count("*").alias("n"))
 
 
@@ -140,11 +147,7 @@ select doc_id, refetchable, deleted, invalid, n_identities, case when invalid >
   when refetchable = 1 then 're-fetchable' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end as disposition from g
 """)
 def recovery_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    state = F.when(F.col("l_returnflag") == "N", "present").when(F.col("l_returnflag") == "R", "deleted").otherwise("unknown")
-    gmail = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit("gmail:a").alias("source_account"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("gmail_message_id"), state.alias("source_state"))
-    imap = lines.limit(0).select(F.col("l_orderkey").alias("doc_id"), F.lit("").alias("source_account"), F.lit("").alias("mailbox"), F.lit(1).alias("uid_validity"), F.lit(1).alias("uid"), F.lit("present").alias("source_state"))
-    found = recovery.source_evidence(gmail, imap)
+    found = recovery.source_evidence(*evidence_rows(spark, folder))
     return found.select("doc_id", "refetchable", "deleted", "invalid", F.size("identities").cast("long").alias("n_identities"), recovery.missing_disposition().alias("disposition"))
 
 
@@ -173,16 +176,17 @@ def guard_exists_not_exists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with a as (select l_orderkey, l_linenumber, l_suppkey, epoch_ms(l_shipdate) // 86400000 as d from lineitem where l_linenumber = 1),
-b as (select l_suppkey, epoch_ms(l_shipdate) // 86400000 as d from lineitem where l_linenumber = 2)
-select l_orderkey, l_linenumber from a where exists (select 1 from b where b.l_suppkey = a.l_suppkey and a.d < b.d + 3 and b.d < a.d + 2)
+with a as (select l_orderkey, l_linenumber, l_suppkey, epoch_ms(l_shipdate) // 86400000 as d from lineitem),
+b as (select c_custkey % 1000 as l_suppkey, o_custkey, epoch_ms(o_orderdate) // 86400000 as d from orders join customer on c_custkey = o_custkey)
+select l_orderkey, l_linenumber from a where exists (select 1 from b where b.l_suppkey = a.l_suppkey and a.d < b.d + 30 and b.d < a.d + 20)
 """)
 def interval_overlap_semi(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
-    lines = table(spark, folder, "lineitem").withColumn("d", day)
-    a = lines.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_suppkey", "d", (F.col("d") + 2).alias("e"))
-    b = lines.filter("l_linenumber = 2").select("l_suppkey", "d", (F.col("d") + 3).alias("e"))
-    return integrity.overlapping(a, b, "l_suppkey", ("d", "e"), ("d", "e"), 8).select("l_orderkey", "l_linenumber")
+    """Shipments of 20 days that meet an order of 30 days with the same number."""
+    days = lambda c: F.unix_date(F.col(c).cast("date")).cast("long").alias("d")
+    a = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", days("l_shipdate")).withColumn("e", F.col("d") + 20)
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 1000).alias("l_suppkey"))
+    b = table(spark, folder, "orders").select("o_custkey", days("o_orderdate")).join(customers, "o_custkey").select("l_suppkey", "d", (F.col("d") + 30).alias("e"))
+    return integrity.overlapping(a, b, "l_suppkey", ("d", "e"), ("d", "e"), 32).select("l_orderkey", "l_linenumber")
 
 
 _DIFF = """
@@ -429,11 +433,11 @@ def format_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-select doc_id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(source || ' ' || substr(text, 1, 120), '[\x00-\x1f\x7f<>:"/\\|?*]', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 96), '[ .]+$', '') || '.eml' as name from documents
+select doc_id, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(source || ' ' || text, '[\x00-\x1f\x7f<>:"/\\|?*]', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 96), '[ .]+$', '') || '.eml' as name from documents
 """)
 def eml_filename(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return docs.select("doc_id", formatting.eml_filename(F.col("source"), F.substring("text", 1, 120), F.col("doc_id")).alias("name"))
+    return docs.select("doc_id", formatting.eml_filename(F.col("source"), F.col("text"), F.col("doc_id")).alias("name"))
 
 
 @query("select c_custkey, case when k = 1 then n else regexp_replace(n, '\\.[^.]*$', '') || '-' || k || '.txt' end as destination from (select c_custkey, c_mktsegment || '.txt' as n, row_number() over (partition by c_mktsegment order by c_custkey) as k from customer)")

@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: Modules of registered queries.
-MODULES: list[str] = ["search_queries", "engine_queries", "parsing_queries"]
+MODULES: list[str] = ["search_queries", "engine_queries", "parsing_queries", "archive_queries"]
 
 
 def queries() -> dict[str, Query]:

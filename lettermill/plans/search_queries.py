@@ -164,18 +164,21 @@ def label_distinct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-select doc_id, field, term, tf, array_to_string(positions, ',') as positions, dl from (
-  select doc_id, 'subject' as field, term, count(*)::integer as tf, list(pos order by pos) as positions, any_value(dl)::integer as dl
-  from (select doc_id, unnest(toks) as term, unnest(generate_series(0, len(toks) - 1))::integer as pos, len(toks) as dl from (select doc_id, {tokens_sql("lang || ' note ' || (doc_id % 100)::varchar")} as toks from documents))
-  group by doc_id, term)
+with {MESSAGES.strip()}, t as (select doc_id, 'subject' as field, {tokens_sql("subject")} as toks from messages union all select doc_id, 'body', {tokens_sql("body")} from messages)
+select doc_id, field, term, count(*)::integer as tf, md5(string_agg(pos::varchar, ',' order by pos)) as positions, any_value(dl)::integer as dl
+from (select doc_id, field, unnest(toks) as term, unnest(generate_series(0, len(toks) - 1))::integer as pos, len(toks) as dl from t) group by doc_id, field, term
 """)
 def index_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.postings(messages(spark, folder), ["subject"]).select("doc_id", "field", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "dl")
+    rows = ranking.postings(messages(spark, folder, all_cores=True), ["subject", "body"])
+    return rows.select("doc_id", "field", "term", "tf", F.md5(F.array_join(F.col("positions").cast("array<string>"), ",")).alias("positions"), "dl")
 
 
-@query(f"select 'body' as field, count(*) as n, round(sum(len(toks)) / count(*), 6) as avgdl from (select {tokens_sql('text')} as toks from documents)")
+_FIELD_TEXTS = {"sender": "sender", "recipients": "recipients", "subject": "subject", "body": "body", "account": "account", "label": "array_to_string(labels, ' ')", "attachment_type": "coalesce(mime, '')", "attachment_text": "''", "folder": "''"}
+
+
+@query(f"with {MESSAGES.strip()} " + " union all ".join(f"select '{f}' as field, count(*) as n, round(sum(len(toks)) / count(*), 6) as avgdl from (select {tokens_sql(x)} as toks from messages)" for f, x in _FIELD_TEXTS.items()))
 def index_field_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.field_stats(messages(spark, folder), ["body"]).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+    return ranking.field_stats(messages(spark, folder, all_cores=True), list(_FIELD_TEXTS)).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("select c_custkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(translate(c_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ' ') as values_ from customer")

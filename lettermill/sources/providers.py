@@ -84,6 +84,12 @@ def is_canonical_imap_account(name: str) -> bool:
     return bool(found) and 0 < int(found[1]) < 65_536
 
 
+def canonical_imap_account(name: Column) -> Column:
+    """The same test as a column."""
+    port = F.try_to_number(F.regexp_extract(name, r"^imap:[^@\s]+@[^:\s]+:([0-9]{1,5})$", 1), F.lit("99999"))
+    return F.coalesce(port.between(1, 65_535), F.lit(False))
+
+
 def imap_identity(account: Column, mailbox: Column, uid_validity: Column, uid: Column) -> Column:
     return F.concat_ws(":", F.lit("imap"), account, mailbox, uid_validity.cast("string"), uid.cast("string"))
 
