@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import ranking, search
+from ..operators import fulltext, ranking, search
 from ..operators.search import SearchRequest
 from ..operators.stored_index import StoredIndex
 from ..session import scratch_folder, table
@@ -199,3 +199,49 @@ def stored_search_bm25(spark: SparkSession, folder: str) -> DataFrame:
 @query(_PHRASE)
 def stored_search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return _ids(_stored(spark, folder).search(SearchRequest(text='body:"Apache License"')))
+
+
+_PLAIN = "strip_accents(lower({x}))"
+
+
+def _fulltext_sql(holds: str, counts: dict[str, str], dates: str = "true") -> str:
+    """Rows of the full-text dialect's search: ``counts`` are its phrases' numbers in a row, by name."""
+    columns = ("sender", "recipients", "subject", "body", "account")
+    cut = lambda c: f"list_filter(regexp_split_to_array({_PLAIN.format(x=c)}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    sums = " + ".join(f"ln((n - d_{k} + 0.5) / (d_{k} + 0.5)) * f_{k} * 2.2 / (f_{k} + 1.2 * (0.25 + 0.75 * length / mean))" for k in counts)
+    return f"""
+with {MESSAGES.strip()},
+cut as (select doc_id, timestamp_ms, {", ".join(f"{cut(c)} as t_{c}" for c in columns)} from messages),
+tok as (select *, {" + ".join(f"len(t_{c})" for c in columns)} as length from cut),
+found as (select doc_id, timestamp_ms, length, {", ".join(f"{x} as f_{k}" for k, x in counts.items())} from tok),
+stats as (select count(*) as n, sum(length) / count(*) as mean, {", ".join(f"count(*) filter (f_{k} > 0) as d_{k}" for k in counts)} from found)
+select doc_id, round(-({sums}), 6) as score from found, stats where {holds} and {dates} order by score, doc_id limit 20
+"""
+
+
+def _word_sql(word: str, columns: tuple[str, ...] = ("sender", "recipients", "subject", "body", "account")) -> str:
+    return " + ".join(f"len(list_filter(t_{c}, lambda x: x = '{word}'))" for c in columns)
+
+
+def _pair_sql(first: str, second: str) -> str:
+    return f"len(list_filter(generate_series(1, len(t_body) - 1), lambda i: t_body[i] = '{first}' and t_body[i + 1] = '{second}'))"
+
+
+@query(_fulltext_sql("f_a > 0 and f_b > 0", {"a": _word_sql("license"), "b": _word_sql("apache")}))
+def fulltext_and(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.search(messages(spark, folder, all_cores=True), "License AND apache")
+
+
+@query(_fulltext_sql("f_a > 0", {"a": _pair_sql("apache", "license")}))
+def fulltext_phrase(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.search(messages(spark, folder, all_cores=True), 'body : "apache license"')
+
+
+@query(_fulltext_sql("(f_a > 0 or f_b > 0)", {"a": "len(list_filter(t_body, lambda x: starts_with(x, 'apach')))", "b": _pair_sql("apache", "license")}, f"timestamp_ms between {START_MS} and {START_MS + 200 * _DAY}"))
+def fulltext_prefix_date(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.search(messages(spark, folder, all_cores=True), "body: (apach* OR apache + license)", START_MS, START_MS + 200 * _DAY)
+
+
+@query(_fulltext_sql("f_a > 0 and f_b = 0", {"a": _word_sql("license"), "b": _word_sql("src3", ("account",))}).replace("ln((n - d_b + 0.5) / (d_b + 0.5)) * f_b", "0 * f_b"))
+def fulltext_not(spark: SparkSession, folder: str) -> DataFrame:
+    return fulltext.search(messages(spark, folder, all_cores=True), "license NOT account: src3")
