@@ -79,15 +79,24 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The features that a text has, and how often, in few bytes: the sample's are held while it is learned."""
         size = len(self.idf)
         counts = np.zeros(size + 1, np.int64)
         for h in hashed(text):
             counts += np.bincount(self.number[h], minlength=size + 1)
         at = np.flatnonzero(counts[:size])
-        x = (1 + np.log(counts[at])) * self.idf[at]
+        return at.astype(np.uint16 if size <= 1 << 16 else np.uint32), counts[at].astype(np.uint32)
+
+    def weighed(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and their TF-IDF values, of length one."""
+        at = at.astype(np.int64)
+        x = (1 + np.log(counts)) * self.idf[at]
         return at, x / (np.sqrt((x * x).sum()) or 1.0)
 
+    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.weighed(*self.counted(text))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
@@ -118,13 +127,13 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     if not languages:
         return model
     told = {lang: k for k, lang in enumerate(languages)}
-    examples = [(*model.features(text), told[lang]) for text, lang in rows]
+    examples = [(*model.counted(text), told[lang]) for text, lang in rows]
     aside = examples[::CALIBRATION]
     training = [x for i, x in enumerate(examples) if i % CALIBRATION]
     trained = {k for *_, k in training}
     training += [x for x in aside if x[2] not in trained]  # languages with rows aside only
     _ftrl(model, training)
-    scores = np.array([x @ model.weights[at] + model.bias for at, x, _ in aside])
+    scores = np.array([x @ model.weights[at] + model.bias for at, x in (model.weighed(a, c) for a, c, _ in aside)])
     truth = np.array([k for *_, k in aside])
     loss = lambda t: -np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-300).mean()
     model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
@@ -141,7 +150,7 @@ def _ftrl(model: Model, examples: list[tuple[np.ndarray, np.ndarray, int]]) -> N
     order = np.random.default_rng(0)
     for _ in range(PASSES):
         for i in order.permutation(len(examples)):
-            at, x, k = examples[i]
+            (at, x), k = model.weighed(*examples[i][:2]), examples[i][2]
             za, na = z[at], n[at]
             w, b = weights(za, na, L1), weights(zb, nb, 0.0)
             error = softmax(x @ w + b)
