@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import registers as R
 from .components import components
-from .shared import as_bytes, broadcast_if_small, by_batch, small_batches, written
+from .shared import as_bytes, broadcast_if_small, by_batch, discard, measured, small_batches, written
 
 #: Documents in a chunk and bytes of their sets; a task holds two chunks.
 CHUNK, CHUNK_BYTES = 512, 16_000_000
@@ -168,8 +168,8 @@ def _led_links(first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near &= (F.col("label") != F.col("leader.label")) & (100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
     pairs = first.filter(near).select("rep", "n", "label", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.label").alias("leader_label"))
     led = pairs.groupBy("leader").agg(F.sum("n").alias("total"), F.first("leader_n").alias("leader_n"), F.first("leader_label").alias("leader_label"))
-    led = written(led.withColumn("chunks", F.expr(f"int((8 * total + {CHUNK_BYTES - 1}) div {CHUNK_BYTES})")), "led")
-    units = (led.agg(F.coalesce(F.expr(f"sum(8 * total) div {CHUNK_BYTES}"), F.lit(0))).first()[0] + 1) * 4
+    led, sums = measured(led.withColumn("chunks", F.expr(f"int((8 * total + {CHUNK_BYTES - 1}) div {CHUNK_BYTES})")), "led", size=F.coalesce(F.sum(F.col("total") * 8), F.lit(0)))
+    units = (sums["size"] // CHUNK_BYTES + 1) * 4
     # leaders of few are packed into common units, those of many get several units of their own
     unit = lambda chunk: F.when(F.col("chunks") == 1, F.xxhash64(F.lit("packed"), F.pmod(F.xxhash64("leader"), F.lit(units)))).otherwise(F.xxhash64("leader", chunk)).alias("unit")
     followers = pairs.join(led.select("leader", "chunks"), "leader").select(unit(F.pmod(F.xxhash64("rep"), "chunks").cast("int")), "leader", "rep", "label", "leader_label")
@@ -233,8 +233,11 @@ def _exhaustive(live: DataFrame, first: DataFrame, sets: DataFrame, percent: int
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``rep, label`` after these links between labels."""
-    found = components(links).toDF("label", "component")
-    return written(labels.join(found, "label", "left").select("rep", F.coalesce("component", "label").alias("label")), "labels")
+    found = components(links)
+    new = found.toDF("label", "component")
+    out = written(labels.join(new, "label", "left").select("rep", F.coalesce("component", "label").alias("label")), "labels")
+    discard(found)
+    return out
 
 
 def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -245,18 +248,18 @@ def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     live = written(rows.join(several, "key").select("key", "rep", "n", F.col("rep").alias("label")), "members")
-    wanted = written(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted")
+    wanted, asked = measured(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted", n=F.count("*"))
     texts = docs.join(broadcast_if_small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
-    sets = written(texts.mapInArrow(by_batch(_payloads), "rep long, shingles binary"), "sets")
-    held, distinct = sets.agg(F.count("rep"), F.count_distinct("rep")).first()
-    if held > distinct:  # repeated rows
+    sets, held = measured(texts.mapInArrow(by_batch(_payloads), "rep long, shingles binary"), "sets", n=F.count("*"))
+    if held["n"] > asked["n"]:  # repeated rows
         sets = written(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
     labels, left = wanted.select("rep", F.col("rep").alias("label")), None
     for salt in range(ROUNDS):
         led = _with_leader(live, salt)
         first = written(led.groupBy("rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("head").alias("leader")), "first")
         labels = _relabelled(labels, _led_links(first, sets, percent))
-        live = written(_unresolved(led, first, labels), "live")
+        last, live = live, written(_unresolved(led, first, labels), "live")
+        discard(last)
         alone = live.groupBy("key").agg(F.count_if(F.col("label") == F.col("rep")).alias("alone"))
         before, (left, some) = left, alone.agg(F.coalesce(F.max("alone"), F.lit(0)), F.count("*") > 0).first()
         if left <= CHUNK or before and left > 0.75 * before:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python; long texts make larger batches costly.
@@ -43,6 +43,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``written`` with sums over its rows, which are taken while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, *[value.alias(key) for key, value in metrics.items()]), name)
+    return table, seen.get
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a written table that nothing will read again: what was made of it is written, too."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Bytes of files up to which a written table is broadcast.
 BROADCAST_BYTES = 16 << 20
 
