@@ -115,7 +115,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     A rule fits its host and all subdomains if the page's path starts with the rule's. The longest rule (host and path
     together; of equal ones that of the longer host) wins; its text and verdict are returned. Where none fits, ``rule``
     is null and the verdict ``allow``. Of equal rules with different verdicts the alphabetically first holds. Rules with
-    a null or empty host or a null path don't count. Repeated pages are judged one by one, also with a null page_id.
+    a null or empty host or a null path don't count. Repeated pages are judged one by one, also with a null page_id. An
+    empty page table gives no rows; without rules every page gets the default. Long urls are read whole.
     """
     spark = pages.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))

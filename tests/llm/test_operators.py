@@ -148,6 +148,52 @@ def test_language_with_one_row_is_trained(monkeypatch):
     assert {model.languages[k] for k in trained} == {"aa", "cc"}
 
 
+def test_weights_equal_a_plain_ftrl():
+    """The published per-coordinate update, one number at a time."""
+    import math
+
+    rows = [(t, lang) for _, t, lang in languages(random.Random(19), 30)]
+    model = language.fit(rows)
+    texts = list(dict.fromkeys(rows))
+    told = {lang: k for k, lang in enumerate(model.languages)}
+    examples = [(*model.features(t), told[lang]) for t, lang in texts]
+    examples = [x for i, x in enumerate(examples) if i % language.CALIBRATION]
+    z, n = {}, {}
+
+    def weight(key, l1):
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        sign = math.copysign(1.0, z[key])
+        return (sign * l1 - z[key]) / ((language.BETA + math.sqrt(n[key])) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(language.PASSES):
+        for i in order.permutation(len(examples)):
+            at, x, truth = examples[i]
+            keys = [*zip(at.tolist(), x.tolist(), strict=True), (None, 1.0)]  # the bias has no L1
+            held = [{f: weight((f, k), 0.0 if f is None else language.L1) for f, _ in keys} for k in range(len(told))]
+            scores = [sum(v * held[k][f] for f, v in keys) for k in range(len(told))]
+            total = sum(math.exp(s - max(scores)) for s in scores)
+            for k, score in enumerate(scores):
+                error = math.exp(score - max(scores)) / total - (k == truth)
+                for f, v in keys:
+                    g, before = v * error, n.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / language.ALPHA * held[k][f]
+                    n[f, k] = before + g * g
+    plain = np.array([[weight((f, k), language.L1) for k in range(len(told))] for f in range(len(model.idf))])
+    assert np.allclose(model.weights, plain) and np.allclose(model.bias, [weight((None, k), 0.0) for k in range(len(told))])
+    aside = [(*model.features(t), told[lang]) for t, lang in texts[:: language.CALIBRATION]]
+
+    def loss(temperature):
+        out = 0.0
+        for at, x, truth in aside:
+            scores = (x @ model.weights[at] + model.bias) / temperature
+            out -= scores[truth] - scores.max() - math.log(sum(math.exp(s - scores.max()) for s in scores))
+        return out
+
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.05, 20, 121))) + 1e-9
+
+
 def test_pieces_of_long_texts(spark):
     texts = ["a🙂\n" * 5000, "1 " * 10_000 + "b", "c"]
     rows = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
@@ -202,6 +248,30 @@ def test_skip_chain_adds_similar_mentions(spark):
     assert pii.personal_data(docs.limit(0), field).count() == 0
 
 
+def test_beliefs_equal_enumeration_on_trees():
+    """Message passing is exact where the mentions form a tree: each belief against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(20)
+    cases = [["+49 30 1234567", "10.0.0.1", "order 1234567"], ["jane.doe@x.org", "5551234567", "4111 1111 1111 1111", "12.34.5678"], ["0049301234567", "+49301234567"], ["7654321"]]
+    for mentions in cases:
+        for given in ([None] * len(mentions), [4] + [None] * (len(mentions) - 1)):
+            field = pii.Field(rng.normal(size=(14, 5)), 1.5, 0.4)
+            unary = np.array([pii._features(m) for m in mentions]) @ field.unary
+            edges = {(i, i + 1): field.skip if pii._keys(mentions[i]) & pii._keys(mentions[i + 1]) else field.chain for i in range(len(mentions) - 1)}
+            mass = np.zeros((len(mentions), 5))
+            for labels in itertools.product(range(5), repeat=len(mentions)):
+                if any(g is not None and g != x for g, x in zip(given, labels, strict=True)):
+                    continue
+                score = sum(0.0 if g is not None else unary[i, x] for i, (g, x) in enumerate(zip(given, labels, strict=True)))
+                score += sum(w for (i, j), w in edges.items() if labels[i] == labels[j])
+                for i, x in enumerate(labels):
+                    mass[i, x] += np.exp(score)
+            mass /= mass.sum(axis=1, keepdims=True)
+            for (label, belief), truth in zip(field.labels(mentions, given), mass, strict=True):
+                assert label == truth.argmax() and abs(belief - truth.max()) < 1e-3
+
+
 def slow_locals(text, wanted):
     out = []
     for local in wanted:
