@@ -21,7 +21,7 @@ from .cover_tree import Search
 from .shared import by_batch, small_batches, written
 
 #: Vectors that make a cell on average, most cells; most vectors of a block, those under one tree, and queries of a group.
-CELL, PIVOTS, BLOCK, TREE, QUERIES = 1024, 2048, 16_384, 1024, 4096
+CELL, PIVOTS, BLOCK, TREE, QUERIES = 4096, 2048, 16_384, 1024, 4096
 SCALE = 256
 #: The cell of vectors whose length no pivot has.
 OTHER = -1
