@@ -178,7 +178,8 @@ def with_report(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     low = F.lower(F.col(raw).cast("string"))
     plain = F.coalesce(~reduce(lambda a, b: a | b, [low.contains(t) for t in ("multipart/report", *PARTS)]), F.lit(False))
-    return df.withColumn("report", analyse_report(F.when(~plain, F.col(raw)), plain))
+    once = analyse_report.asNondeterministic()  # or a filter on the result would parse every message once more
+    return df.withColumn("report", once(F.when(~plain, F.col(raw)), plain))
 
 
 def recipients(df: DataFrame, key: str = "doc_id") -> DataFrame:

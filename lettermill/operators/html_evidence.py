@@ -311,7 +311,7 @@ def sanitised(text: pd.Series) -> pd.Series:
 
 def with_evidence(df: DataFrame, column: str = "html") -> DataFrame:
     """``df`` with a struct ``evidence`` (EVIDENCE)."""
-    return df.withColumn("evidence", analyse_html(column))
+    return df.withColumn("evidence", analyse_html.asNondeterministic()(column))  # once, also where rows are filtered by it
 
 
 def remote_resources(df: DataFrame, key: str) -> DataFrame:

@@ -168,7 +168,7 @@ def _parser(fields: tuple[str, ...]):
         rows = (parsed(None if r is None else bytes(r), "parts" in fields) for r in raw)
         return pd.DataFrame([[row[n] for n in schema.names] for row in rows], columns=schema.names)
 
-    return parse_message
+    return parse_message.asNondeterministic()  # or a filter on the result would parse every message once more
 
 
 def with_parsed(df: DataFrame, raw: str = "raw", fields: tuple[str, ...] = tuple(PARSED.names)) -> DataFrame:

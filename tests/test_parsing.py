@@ -42,14 +42,14 @@ def test_messages_hold_whole_texts(spark, tmp_path):
     texts = ["short", "", "é" * 60 + "tail", "line\n" * 500 + "end\n", "".join(rng.choice("ab é🙂\n-=") for _ in range(50_000)), "x" * 57, "y" * 58, "--b\n\nFrom z\n.\n"]
     rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r for r in parsing_queries.mime_messages_whole(spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r for r in parsing_queries.mime_messages(spark, str(tmp_path)).collect()}
     assert {i: r["attachment_text"] for i, r in found.items()} == dict(enumerate(texts))
     assert {i: r["body"] for i, r in found.items()} == {i: f"{text}\nsee [lien externe] web\n" for i, text in enumerate(texts)}
     raw = parsing_queries.multipart(spark, str(tmp_path)).filter("doc_id = 4").first()["raw"]
     assert max(map(len, bytes(raw).split(b"Content-Disposition: attachment")[1].split(b"--b0")[0].splitlines())) == 76
-    sizes = {(r["doc_id"], r["part_id"]): r["decoded_bytes"] for r in parsing_queries.mime_parts_whole(spark, str(tmp_path)).collect()}
+    sizes = {(r["doc_id"], r["part_id"]): r["decoded_bytes"] for r in parsing_queries.mime_parts(spark, str(tmp_path)).collect()}
     assert all(sizes[i, part] == len(text.encode()) for i, text in enumerate(texts) for part in (0, 2))
-    stats = parsing_queries.attachment_extraction_whole(spark, str(tmp_path)).first()
+    stats = parsing_queries.attachment_extraction(spark, str(tmp_path)).first()
     assert (stats["bytes"], stats["chars"]) == (sum(len(t.encode()) for t in texts), sum(map(len, texts)))
 
 
