@@ -44,6 +44,33 @@ def test_stages(spark, folder):
     assert all(out[r["doc_id"]]["n_tokens"] == len(encoding.encode_ordinary(r["text"])) for r in docs.collect())
 
 
+def test_run_equals_brute_force(spark, folder):
+    """Every stage by plain Python over all it is given, in a row; only the language model is the pipeline's own."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    from .test_operators import brute_contamination, brute_groups
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.train(docs, ~language.held_out())
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    least = corpus_pipeline.LEAST_SCORE * min(1, corpus_pipeline.CHANCES / len(model.languages))
+    rows = [r for r in rows if (found := model.predict(r[1]))[0] != "und" and found[1] >= least]
+    pages, on = Counter(r[2] for r in rows), defaultdict(Counter)
+    for _, text, host in rows:
+        on[host].update({x.strip(" ") for x in text.split("\n")} - {""})
+    keeps = lambda line, host: not line.strip(" ") or host is None or on[host][line.strip(" ")] < 3 or on[host][line.strip(" ")] <= 0.1 * pages[host]
+    rows = sorted((i, "\n".join(x for x in text.split("\n") if keeps(x, host))) for i, text, host in rows)
+    groups = brute_groups([t for _, t in rows], corpus_pipeline.SIMILAR)
+    rows = [r for n, (r, (_, group)) in enumerate(zip(rows, groups, strict=True)) if group == n]
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rows = [r for r, verdict in zip(rows, brute_contamination([t for _, t in rows], items), strict=True) if not verdict[-1]]
+    encode = ranked(queries.public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.public_tokenizers.PATTERN).encode_ordinary
+    want = {i: (len(ids := encode(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, folder).collect()}
+    assert found == want and 100 < len(want) < docs.count()
+
+
 def test_stages_keep_columns_of_any_name(spark, folder):
     from pyspark.sql import functions as F
 
