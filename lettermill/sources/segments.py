@@ -215,8 +215,8 @@ def _written(system: fs.FileSystem, root: str, segment: str, rows: Iterator[tupl
 def write_segments(records: DataFrame, folder: str, limit: int = SEGMENT_BYTES, first: int = 0, writers: int | None = None) -> DataFrame:
     """Write ``records(doc_id, raw)`` as new segments, numbered from ``first``: ``doc_id, segment, offset, frame_bytes``.
 
-    Records are dealt into ranges of doc_id, one a writer; each writer fills segments in order. Places are computed from
-    the sizes first, so a segment has one name and one content whichever task writes it, and as often as it does. The
+    A doc_id names one record, as in the catalogue. Records are dealt into ranges of doc_id, one a writer; each writer fills
+    segments in order; a null RAW is an empty frame. Places are computed from the sizes first, so a segment has one name and one content whichever task writes it, and as often as it does. The
     receipt is a table in the shared folder; it exists once all segments do.
     """
     spark = records.sparkSession

@@ -2,7 +2,7 @@
 
 A feed's events are ``page, record, kind, message_id, labels`` with kinds ``added``, ``labels`` (both positive) and
 ``deleted``; records are ordered by page and record number, and within a record added come before labels, labels before
-deleted. The fold works on one row an identity: its runs of equal records, as an ordered array.
+deleted. The fold sums up the runs of equal records of an identity by their numbers, without holding them.
 """
 
 from __future__ import annotations
@@ -63,21 +63,20 @@ def fold(found: DataFrame, known: DataFrame, looked_up: DataFrame) -> DataFrame:
     and then marked as deleted. An ambiguous identity without an answer is an error.
     """
     rows = found.join(looked_up.select("message_id", F.col("found").alias("_found")), "message_id", "left")
-    rows = rows.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("run", "record", "positive", "negative"))).alias("runs"), F.first("_found").alias("found"))
-    start = F.struct(F.lit(False).alias("present"), F.lit(False).alias("needed"), F.lit(None).cast("string").alias("deleted_at"), F.lit(False).alias("asked"))
-
-    def step(state: Column, run: Column) -> Column:
-        both = run["positive"] & run["negative"]
-        answered = F.when(F.col("found").isNull(), F.raise_error(F.lit("an ambiguous record needs the source's answer")).cast("boolean")).otherwise(F.col("found"))
-        present = F.when(both, answered).otherwise(run["positive"])
-        needed = F.when(present, True).when(both, False).otherwise(state["needed"])
-        return F.struct(present.alias("present"), needed.alias("needed"), F.when(~present, run["record"]).alias("deleted_at"), (F.when(both, answered).when(run["positive"], False).otherwise(state["asked"])).alias("asked"))
-
-    state = F.aggregate("runs", start, step)
-    rows = rows.select("message_id", state.alias("s")).join(known.select("message_id").distinct().withColumn("known", F.lit(True)), "message_id", "left")
+    both = F.col("positive") & F.col("negative")
+    answered = F.coalesce("_found", F.raise_error(F.lit("an ambiguous record needs the source's answer")).cast("boolean"))
+    rows = rows.select("message_id", "run", "record", "positive", both.alias("both"), F.when(both, answered).otherwise(F.col("positive")).alias("present"))
+    last = lambda value, run: F.max_by(value, run)
+    state = rows.groupBy("message_id").agg(
+        last("present", "run").alias("present"), last("record", "run").alias("record"),
+        F.max(F.when(F.col("present"), F.col("run"))).alias("shown"), F.max(F.when(F.col("both") & ~F.col("present"), F.col("run"))).alias("cleared"),
+        last(F.col("both") & F.col("present"), F.when(F.col("positive"), F.col("run"))).alias("asked"),
+    )
+    needed = F.col("shown").isNotNull() & (F.col("cleared").isNull() | (F.col("shown") > F.col("cleared")))
+    rows = state.withColumn("needed", needed).join(known.select("message_id").distinct().withColumn("known", F.lit(True)), "message_id", "left")
     is_known = F.coalesce("known", F.lit(False))
-    action = F.when(F.col("s.present") & is_known, REPAIR).when(F.col("s.present"), IMPORT).when(is_known, TOMBSTONE).when(F.col("s.needed"), IMPORT_TOMBSTONE).otherwise(IGNORE)
-    return rows.select("message_id", action.alias("action"), F.col("s.deleted_at").alias("delete_history"), F.col("s.asked").alias("from_lookup"))
+    action = F.when(F.col("present") & is_known, REPAIR).when(F.col("present"), IMPORT).when(is_known, TOMBSTONE).when(F.col("needed"), IMPORT_TOMBSTONE).otherwise(IGNORE)
+    return rows.select("message_id", action.alias("action"), F.when(~F.col("present"), F.col("record")).alias("delete_history"), F.coalesce("asked", F.lit(False)).alias("from_lookup"))
 
 
 def frontier(state: DataFrame, account: str) -> tuple[str, bool] | None:
