@@ -23,8 +23,8 @@ from ..schemas import SEARCH_DOCS
 from . import ranking
 from .search import RESULT, SearchRequest, filters, result_columns
 
-#: Tokens of a bucket and of a file, at most, and the fewest and most buckets.
-BUCKET_TOKENS, FILE_TOKENS, FEWEST, MOST = 8_000_000, 32_000_000, 8, 4096
+#: Tokens of a bucket and of a file, at most, and the fewest and most buckets (enough of them to fill the cores evenly).
+BUCKET_TOKENS, FILE_TOKENS, FEWEST, MOST = 8_000_000, 32_000_000, 32, 4096
 ALL_FIELDS = [*ranking.FIELDS, *ranking.ALSO]
 POSTINGS = ddl("field string, term string, doc_id long, tf int, positions array<int>, dl int")
 MESSAGES = T.StructType([*SEARCH_DOCS.fields, *ddl("lengths array<int>").fields])
