@@ -53,6 +53,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lettermill-{uuid.uuid4().hex}"
 
 
+def local_path(folder: str) -> str:
+    """A folder without the scheme of local files; other folders as they are."""
+    return "/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in a scratch folder, read back: computed once, and still there when an executor is lost."""
     path = f"{scratch_folder(df.sparkSession)}/{name}"

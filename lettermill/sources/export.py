@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import format_ms
 from ..functions.formatting import collision_free, eml_filename
+from ..session import local_path
 
 RESULT = "doc_id long, destination string, ok boolean, error string"
 
@@ -27,6 +28,7 @@ def write_eml(files: DataFrame, folder: str) -> DataFrame:
 
     A file that can't be written is a row with its error; the others are still written.
     """
+    folder = local_path(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,8 +58,8 @@ def export_orphan(classified: DataFrame, segment: str, offset: int, destination:
 
     The frame is looked up again and must still be an orphan; the destination must be outside the archive.
     """
-    target = Path(destination).resolve()
-    if target.is_relative_to(Path(archive).resolve()):
+    target = Path(local_path(destination)).resolve()
+    if target.is_relative_to(Path(local_path(archive)).resolve()):
         raise ValueError("the destination is inside the archive")
     rows = classified.filter((F.col("segment") == segment) & (F.col("offset") == offset) & (F.col("state") == "orphan")).select("doc_id", "raw", F.hex("raw_digest").alias("digest")).take(2)
     if len(rows) != 1:

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.fills import filled
 from ..functions.hashes import fnv64
-from ..session import scratch_folder
+from ..session import local_path, scratch_folder
 
 #: The segment format (fixed values).
 MAGIC, HEADER = b"MAARC001", struct.Struct("<8sQQQ")
@@ -103,7 +103,8 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder, local or by its URI, and the folder's path there."""
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    folder = local_path(folder)
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
 def _frame_at(file, size: int, segment: str, at: int) -> tuple:
