@@ -18,8 +18,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,7 +72,7 @@ def _payloads():
             shingles = R.shingle_set(text, hashes)
             keep.append(R.fingerprint(shingles) == fp)  # another text under the same doc_id
             sets.append(shingles.tobytes())
-        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "fp", "shingles"])
         return out.filter(pa.array(keep))
 
     return step
@@ -240,21 +238,26 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def joined(docs: DataFrame, reps: DataFrame, percent: int, rounds: int) -> DataFrame:
     """``rep, label``: the component of each representative that shares a bucket with another one.
 
-    ``docs(doc_id, text)``; ``reps(rep, fp, n, keys)`` are the representatives and their band keys.
+    ``docs(doc_id, text)``; ``reps(rep, fp, n, keys)`` are the representatives and their band keys. Without ``rounds``, all
+    that share a bucket are compared exhaustively; then a representative may also stand for several texts.
     """
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     live = written(rows.join(several, "key").select("key", "rep", "n", F.col("rep").alias("label")), "members")
     wanted, asked = measured(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted", n=F.count("*"))
     texts = docs.join(broadcast_if_small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
-    sets, held = measured(texts.mapInArrow(by_batch(_payloads), "rep long, shingles binary"), "sets", n=F.count("*"))
+    sets, held = measured(texts.mapInArrow(by_batch(_payloads), "rep long, fp binary, shingles binary"), "sets", n=F.count("*"))
     if held["n"] > asked["n"]:  # repeated rows
-        sets = written(sets.groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
-    labels, left = wanted.select("rep", F.col("rep").alias("label")), None
-    for salt in range(ROUNDS):
+        sets = written(sets.groupBy("rep", "fp").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = sets.select("rep", "shingles")
+    labels, left = wanted.select("rep", F.col("rep").alias("label")).distinct(), None
+    if not rounds:
+        first = written(_with_leader(live, 0).groupBy("rep").agg(F.min("head").alias("leader")), "first")
+        return _relabelled(labels, _exhaustive(live, first, sets, percent))
+    for salt in range(rounds):
         led = _with_leader(live, salt)
         first = written(led.groupBy("rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("head").alias("leader")), "first")
         labels = _relabelled(labels, _led_links(first, sets, percent))
@@ -273,7 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``n_shingles`` is the size of the row's set of five-word shingles; documents are linked if 100 * intersection is at
     least ``percent`` * union; ``component_id`` is the smallest doc_id reachable by links, ``kept`` whether it is the
     row's own. A null or empty text, or one without words, has no shingles and is linked with nothing. Rows of equal
-    doc_id count as one document, and all get its component. A null doc_id is linked with nothing and kept. Long texts
+    doc_id are one document: if their texts differ, each keeps its size, and the links of all of them hold for it; but a row
+    without words stays alone. A null doc_id is linked with nothing and kept. Long texts
     are shingled whole; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -285,7 +289,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     fewest = -(-percent // (100 - percent)) if percent < 100 else 1 << 40  # below it, no other size of set is near enough
     reps = classes.filter(F.col("n") >= fewest).select("rep", "fp", "regs", "n").mapInArrow(by_batch(lambda: _banded), "rep long, fp binary, n long, keys array<long>")
     reps = written(reps, "bands")
-    of_class = classes.select("fp", "rep").join(joined(docs, reps, percent), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    with_text = signed.filter("n_shingles > 0 and doc_id is not null")
+    several, found = measured(with_text.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id"), "several", n=F.count("*"))
+    labels = joined(docs, reps, percent, 0 if found["n"] else ROUNDS)
+    of_class = classes.select("fp", "rep").join(labels, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    if found["n"]:  # the texts of one doc_id are one document
+        of_class = written(of_class, "components")
+        shared = with_text.join(several, "doc_id").join(of_class, "fp").select("doc_id", "component").distinct()
+        least = shared.groupBy("doc_id").agg(F.min("component").alias("least"))
+        merged = components(shared.join(least, "doc_id").select(F.col("component").alias("a"), F.col("least").alias("b"))).toDF("component", "merged")
+        of_class = of_class.join(merged, "component", "left").select("fp", F.coalesce("merged", "component").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("fp")).alias("fp")).join(of_class, "fp", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
