@@ -36,7 +36,8 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
     found = pii.personal_data(docs, pii.train(docs), columns=["doc_id"])
     counts = [F.col(f"pii.n_{kind}").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2("pii.base", 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))
+    n_spans = F.when(F.col("pii.spans") == "", 0).otherwise(F.size(F.split("pii.spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2("pii.base", 256).alias("base_sha256"), F.col("pii.spans").alias("spans"), n_spans)
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
