@@ -19,7 +19,7 @@ from lettermill.llm.components import components
 from lettermill.llm.cover_tree import Search, build
 from lettermill.llm.decontaminate import contamination
 from lettermill.llm.near_dup import near_duplicates
-from lettermill.llm.pretokens import LibraryEncoder, PieceLengths, Splitter, ranked
+from lettermill.llm.pretokens import PieceLengths, Splitter, ranked
 from lettermill.llm.registers import MANTISSA, REGISTERS, WordHashes, band_keys, densified, estimated, raw_registers, shingle_set
 from lettermill.llm.token_counts import length_histogram, quantile, truncated_total
 from lettermill.llm.top_k import top_k
@@ -605,6 +605,16 @@ def test_near_duplicates_beside_a_large_component(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == [c for _, c in brute_groups(texts, 80)]
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(22)
+    a, b, c = (words(rng, 60, 10**6) for _ in range(3))
+    near = lambda base, i: " ".join([*base[:i], f"x{i}", *base[i + 1 :]])
+    a, b, c = (" ".join(x) for x in (a, b, c))
+    rows = [(5, a), (5, b), (5, b), (9, near(a.split(), 7)), (8, near(b.split(), 9)), (3, b), (20, a), (30, c), (31, near(c.split(), 3)), (31, near(a.split(), 30)), (40, "alone here"), (5, ""), (50, c)]
+    found = {(r["doc_id"], r["n_shingles"] > 0): (r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert found == {(i, True): (3, i == 3) for i in (3, 5, 8, 9, 20, 30, 31, 50)} | {(40, True): (40, True), (5, False): (5, True)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "a b c")], "doc_id long, text string")
     found = sorted(map(tuple, near_duplicates(docs).collect()), key=str)
