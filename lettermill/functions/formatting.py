@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 #: Device names that some systems reserve (fixed values).
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 #: File name extensions by MIME type (fixed values).
@@ -46,10 +48,20 @@ def attachment_filename(filename: Column, mime: Column, part_id: Column) -> Colu
 
 
 def collision_free(files: DataFrame, name: str, order: str) -> DataFrame:
-    """``files`` with a column ``destination``: the second file of a name gets ``stem-2.ext``, and so on."""
-    number = F.row_number().over(W.partitionBy(name).orderBy(order))
+    """``files`` with a column ``destination``: the second file of a name, in ``order``, gets ``stem-2.ext``, and so on.
+
+    ``order`` is unique. Names are dealt into ranges of name and order and numbered there, with the counts of the ranges
+    before: the rows of a frequent name needn't meet in one task. A null name gives a null destination.
+    """
+    keys = files.select(name, order).filter(F.col(name).isNotNull())
+    keys = kept(keys.repartitionByRange(name, order).withColumn("_range", F.spark_partition_id()), "names")
+    counts = keys.groupBy(name, "_range").agg(F.count("*").alias("_count"))
+    before = F.coalesce(F.sum("_count").over(W.partitionBy(name).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("_range", name).orderBy(order))
+    numbers = keys.withColumn("_place", place).join(counts.select(name, "_range", before.alias("_before")), [name, "_range"]).select(order, (F.col("_place") + F.col("_before")).alias("_number"))
     stem, dot = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return files.withColumn("destination", F.when(number == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), number.cast("string"), dot)))
+    named = F.when(F.col("_number") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_number").cast("string"), dot))
+    return files.join(numbers, order, "left").withColumn("destination", named).drop("_number")
 
 
 def human_bytes(value: Column) -> Column:
