@@ -26,7 +26,7 @@ from .shared import as_bytes, by_batch, release, small_batches, written
 
 #: Bytes of text in a block; one task holds a block's distinct words and their ids. Bytes of text for each bucket: the
 #: buckets grow with the corpus, so a bucket's share of the vocabulary doesn't; words that a bucket remembers at most.
-BLOCK_BYTES, BUCKET_BYTES, REMEMBERED = 12_000_000, 64_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_BYTES, REMEMBERED = 6_000_000, 64_000_000, 2_000_000
 #: Equal rows from which on they travel once.
 REPEATED, TIMES = 1000, "_lm_times"
 #: Documents of a block that are put together at once.
