@@ -26,7 +26,7 @@ from .shared import as_bytes, by_batch, release, small_batches, written
 
 #: Bytes of text in a block; one task holds a block's distinct words and their ids. Bytes of text for each bucket: the
 #: buckets grow with the corpus, so a bucket's share of the vocabulary doesn't; words that a bucket remembers at most.
-BLOCK_BYTES, BUCKET_BYTES, REMEMBERED = 6_000_000, 64_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_BYTES, REMEMBERED = 12_000_000, 64_000_000, 2_000_000
 #: Equal rows from which on they travel once.
 REPEATED, TIMES = 1000, "_lm_times"
 #: Documents of a block that are put together at once.
@@ -175,13 +175,14 @@ def _once(rows: DataFrame) -> DataFrame:
     return numbered(rows.join(hot, "key", "left_anti"), F.lit(1).cast("long")).union(numbered(many, F.col("n")))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None, decoded: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every row of ``docs``, with ``columns`` (all, unless given) and ``token_ids``: little-endian unsigned 32-bit ids.
 
     The ids are those of the tiktoken library for the whole text, without special tokens. A null or empty text has no
     ids. Repeated rows stay. Long texts are encoded whole; an empty table gives no rows. Other columns pass through,
     whatever their names; one called ``token_ids`` is replaced.
-    With ``decoded``, ids are also joined with the token table where they are made, which gives ``token_bytes``.
+    With ``decoded``, ids are also joined with the token table where they are made, which gives ``token_bytes``. Blocks of
+    fewer ``block_bytes`` of text take less of a task's memory and shuffle more words.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     columns = [c for c in (docs.columns if columns is None else columns) if c not in made]
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, blocks = max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // BLOCK_BYTES))
+    buckets, blocks = max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // block_bytes))
     wide = ranked(ranks, pattern).n_vocab > 1 << 16
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
