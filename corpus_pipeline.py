@@ -23,6 +23,8 @@ from lettermill.llm.site_lines import drop_boilerplate
 LEAST_SCORE, CHANCES = 0.3, 4
 #: Percent of shared five-word shingles that makes near duplicates.
 SIMILAR = 80
+#: Text in a block of the encoding: half of what the operator takes, as the stages before leave less memory to it.
+BLOCK_BYTES = 6_000_000
 #: A column of a stage's own, which it drops again.
 MADE = "_lm_made"
 
@@ -83,7 +85,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids; repeated rows have a row each.
     """
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    found = bpe.encode(docs, ranks, pattern, columns=["doc_id"], decoded=True)
+    found = bpe.encode(docs, ranks, pattern, columns=["doc_id"], decoded=True, block_bytes=BLOCK_BYTES)
     n_tokens = F.expr("octet_length(token_ids) div 4").cast("long")
     return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"), "token_ids")
 
