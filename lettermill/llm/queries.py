@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, pii, site_lines, sql, url_rules
+from . import bpe, fim, language, periodic, pii, site_lines, sql, url_rules
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_counts import length_histogram
@@ -74,9 +74,31 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = fim.fill_in_middle(_read(spark, folder, "documents"), columns=["doc_id"])
+    fields = [F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")]
+    digests = [F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("fim.form"), F.col("fim.output")), 256).alias("restored_sha256")]
+    return found.select("doc_id", *fields, *digests)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.planted(_read(spark, folder, "documents")), columns=["doc_id"])
+    best = [F.col(f"periodic.{c}").alias(c) for c in ("start", "length", "period")]
+    digests = [F.sha2(periodic.runs_text(F.col("periodic.runs")), 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256")]
+    n_runs, exponent = F.size("periodic.runs").cast("long"), F.expr("1000 * periodic.length div periodic.period")
+    return found.select("doc_id", n_runs.alias("n_runs"), *best, exponent.alias("exponent_milli"), *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules, op8_token_files, op9_near_duplicates, op10_bpe)}
+    ops = (
+        op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules,
+        op8_token_files, op9_near_duplicates, op10_bpe, op12_fill_in_middle, op13_periodic_runs,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": sql.CONTAMINATION, "op9_near_duplicates": sql.NEAR_DUPLICATES, "op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL}
+    return {
+        "op1_decontaminate": sql.CONTAMINATION, "op5_site_lines": site_lines.SQL, "op6_top_k": TOP_K_SQL, "op7_url_rules": url_rules.SQL,
+        "op9_near_duplicates": sql.NEAR_DUPLICATES, "op12_fill_in_middle": fim.SQL, "op13_periodic_runs": periodic.SQL,
+    }
