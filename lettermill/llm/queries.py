@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, language, periodic, pii, site_lines, sql, url_rules
+from . import bpe, fim, language, periodic, pii, quality, site_lines, sql, url_rules
 from .decontaminate import contamination
 from .near_dup import near_duplicates
 from .token_counts import length_histogram
@@ -74,6 +74,11 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality(_read(spark, folder, "documents"), _read(spark, folder, "labels"), ~quality.held_out(), columns=["doc_id"])
+    return found.select("doc_id", quality.held_out().alias("held_out"), F.col("quality.score").alias("score"), F.col("quality.predicted").alias("predicted"))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     found = fim.fill_in_middle(_read(spark, folder, "documents"), columns=["doc_id"])
     fields = [F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")]
@@ -92,7 +97,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_decontaminate, op2_language, op3_pii, op4_token_counts, op5_site_lines, op6_top_k, op7_url_rules,
-        op8_token_files, op9_near_duplicates, op10_bpe, op12_fill_in_middle, op13_periodic_runs,
+        op8_token_files, op9_near_duplicates, op10_bpe, op11_quality, op12_fill_in_middle, op13_periodic_runs,
     )
     return {f.__name__: f for f in ops}
 
