@@ -22,7 +22,7 @@ from .shared import by_batch, release, small_batches
 
 #: The sample: at most so many rows of a language and in all (but one of every language), of each a piece of at most so many characters.
 PER_LANGUAGE, ROWS, CHARS = 1500, 12_000, 4000
-#: One row in so many of the sample calibrates.
+#: One row in so many of each language's sample calibrates; the others train.
 CALIBRATION = 5
 #: n-gram sizes, bits of an n-gram's hash, and features kept (those in most documents of the sample).
 SIZES, BITS, FEATURES = (1, 2, 3), 18, 16_384
@@ -128,11 +128,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         return model
     told = {lang: k for k, lang in enumerate(languages)}
     examples = [(*model.counted(text), told[lang]) for text, lang in rows]
-    aside = examples[::CALIBRATION]
-    training = [x for i, x in enumerate(examples) if i % CALIBRATION]
-    trained = {k for *_, k in training}
-    training += [x for x in aside if x[2] not in trained]  # languages with rows aside only
+    place, aside, training = [0] * len(languages), [], []
+    for example in examples:  # of each language in turn: one row in CALIBRATION is kept from training
+        k = example[2]
+        place[k] += 1
+        (training if place[k] % CALIBRATION else aside).append(example)
     _ftrl(model, training)
+    if not aside:  # too few rows of each language
+        return model
     scores = np.array([x @ model.weights[at] + model.bias for at, x in (model.weighed(a, c) for a, c, _ in aside)])
     truth = np.array([k for *_, k in aside])
     loss = lambda t: -np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-300).mean()

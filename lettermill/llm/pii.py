@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +26,8 @@ from .shared import by_batch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Documents of the training sample, at most a quarter of them without a likely base span, and their longest text; passes of message passing and its damping; least belief.
+#: Documents of the training sample, at most a quarter of them without a likely base span, and characters of each that are
+#: learned from; passes of message passing and its damping; least belief.
 SAMPLE, CHARS, ROUNDS, DAMPING, BELIEF = 4000, 20_000, 20, 0.3, 0.9
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -264,17 +265,27 @@ def fit(texts: list[str]) -> Field:
 LIKELY = "[0-9][0-9 ().-]{6}"
 
 
+def _piece(text: Column, place: Column) -> Column:
+    """A text of at most CHARS characters as it is, of a longer one a piece: among those that may hold a base span, if any,
+    the one that ``place`` draws. Pieces begin and end at white space, where there is some."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)\S{{{CHARS}}}|.{{1,{CHARS}}}(?!\S)|.{{1,{CHARS}}}"), F.lit(0))
+    hopeful = F.filter(pieces, lambda x: F.contains(x, F.lit("@")) | x.rlike(LIKELY))
+    drawn = lambda of: F.get(of, F.pmod(F.xxhash64(place), F.size(of)).cast("int"))
+    return F.when(F.length(text) <= CHARS, text).when(F.size(hopeful) > 0, drawn(hopeful)).otherwise(drawn(pieces))
+
+
 def train(docs: DataFrame) -> Field:
-    """A field fitted to at most ``SAMPLE`` documents of at most ``CHARS`` characters: those with the smallest hashes of
-    doc_id among the ones that may hold a base span, and a quarter of them of the others. An empty table gives a field
-    that adds nothing."""
+    """A field fitted to at most ``SAMPLE`` documents, of any length: those with the smallest hashes of doc_id among the ones
+    that may hold a base span, and a quarter of them of the others. Of a document longer than ``CHARS`` a piece is learned
+    from, one that may hold a base span, if the document does. An empty table gives a field that adds nothing."""
     spread, most = 1 << 40, {True: SAMPLE - SAMPLE // 4, False: SAMPLE // 4}
     likely = (F.contains("text", F.lit("@")) | F.col("text").rlike(LIKELY)).alias("likely")
-    rows = docs.filter(F.length("text") <= CHARS).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place"))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("place")).filter("text is not null")
     counts = {r["likely"]: r["n"] for r in rows.groupBy(likely).agg(F.count("*").alias("n")).collect()}
     bound = {kind: min(spread, 2 * most[kind] * spread // n + 1) for kind, n in counts.items()} | {kind: 0 for kind in most if kind not in counts}
     some = rows.filter(F.col("place") < max(bound.values())).select("text", "place", likely)
-    some = some.filter(F.col("place") < F.when(F.col("likely"), bound[True]).otherwise(bound[False])).distinct()
+    some = some.filter(F.col("place") < F.when(F.col("likely"), bound[True]).otherwise(bound[False]))
+    some = some.select(_piece(F.col("text"), F.col("place")).alias("text"), "place", "likely").distinct()
     some = some.withColumn("k", F.row_number().over(W.partitionBy("likely").orderBy("place", "text")))
     kept = some.filter(F.col("k") <= F.when(F.col("likely"), most[True]).otherwise(most[False]))
     return fit([r["text"] for r in kept.orderBy("likely", "k").select("text").collect()])
