@@ -1,8 +1,8 @@
 """Near-duplicate documents by HyperMinHash signatures, banding and a check of whole shingle sets.
 
 1. Each document's five-word shingles become registers of leading zeros plus mantissa (``registers.py``).
-2. Documents with equal shingle sets form a class, with its smallest doc_id as representative; a class of any number
-   of copies is one row from here on.
+2. Documents with equal shingle sets form a class, which gets a number of its own (``rep``); a class of any number of
+   copies is one row from here on. Its text is read where its smallest doc_id stands.
 3. Representatives are banded. Every bucket of a band has a leader, the member with the smallest hash, and each
    representative is held against the smallest of its buckets' leaders, on whole sets: one comparison a representative,
    whatever the size of a group. Buckets whose members are linked by now, or were all held against their leader and are
@@ -14,6 +14,9 @@
    one component: pairs whose estimated similarity can't be ruled out are compared on whole sets. Only a spanning forest
    of the confirmed links leaves the task, never all pairs.
 5. Components of the confirmed links give each document's component.
+
+Shingles are 64-bit hashes. Two sets of n shingles differ in their measured intersection from the true one with probability
+of about n * n / 2**64 (5e-14 for a thousand words each, and a wrong link also needs the sets at the threshold).
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ ROUNDS, PAIRED = 12, 12
 #: Six standard deviations of an estimate from REGISTERS registers at the threshold; closer pairs are verified.
 SLACK = 0.22
 
-_SIGNATURES = "doc_id long, n_shingles long, fp binary, regs binary"
+_SIGNATURES = "doc_id long, mark long, n_shingles long, fp binary, regs binary"
 
 
 def _signatures():
@@ -42,14 +45,14 @@ def _signatures():
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, prints, regs = [], [], []
-        for text in as_bytes(batch.column(1)):
+        for text in as_bytes(batch.column(2)):
             shingles = R.shingle_set(text, hashes)
             sizes.append(len(shingles))
             prints.append(R.fingerprint(shingles))
             regs.append(R.raw_registers(shingles).tobytes())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "fp", "regs"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())],
+            ["doc_id", "mark", "n_shingles", "fp", "regs"],
         )
 
     return step
@@ -60,7 +63,7 @@ def _banded(batch: pa.RecordBatch) -> pa.RecordBatch:
     keys = R.band_keys(filled)
     flat = pa.array(keys.reshape(-1))
     offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * R.BANDS)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.ListArray.from_arrays(offsets, flat)], ["rep", "fp", "n", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.ListArray.from_arrays(offsets, flat)], ["rep", "fp", "n", "at", "keys"])
 
 
 def _payloads():
@@ -70,7 +73,7 @@ def _payloads():
         sets, keep = [], []
         for text, fp in zip(as_bytes(batch.column(2)), batch.column(1).to_pylist(), strict=True):
             shingles = R.shingle_set(text, hashes)
-            keep.append(R.fingerprint(shingles) == fp)  # another text under the same doc_id
+            keep.append(R.fingerprint(shingles) == fp)  # another text under the same doc_id and hash
             sets.append(shingles.tobytes())
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "fp", "shingles"])
         return out.filter(pa.array(keep))
@@ -238,26 +241,23 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def joined(docs: DataFrame, reps: DataFrame, percent: int, rounds: int) -> DataFrame:
+def joined(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """``rep, label``: the component of each representative that shares a bucket with another one.
 
-    ``docs(doc_id, text)``; ``reps(rep, fp, n, keys)`` are the representatives and their band keys. Without ``rounds``, all
-    that share a bucket are compared exhaustively; then a representative may also stand for several texts.
+    ``docs(doc_id, mark, text)``; ``reps(rep, fp, n, at, keys)`` are the representatives, the doc_id and mark of a text of each, and
+    their band keys.
     """
     rows = reps.select("rep", "n", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     live = written(rows.join(several, "key").select("key", "rep", "n", F.col("rep").alias("label")), "members")
-    wanted, asked = measured(live.select("rep").distinct().join(reps.select("rep", "fp"), "rep"), "wanted", n=F.count("*"))
-    texts = docs.join(broadcast_if_small(wanted), docs["doc_id"] == wanted["rep"]).select("rep", "fp", "text")
+    wanted, asked = measured(live.select("rep").distinct().join(reps.select("rep", "fp", "at.*"), "rep"), "wanted", n=F.count("*"))
+    texts = docs.join(broadcast_if_small(wanted), ["doc_id", "mark"]).select("rep", "fp", "text")
     sets, held = measured(texts.mapInArrow(by_batch(_payloads), "rep long, fp binary, shingles binary"), "sets", n=F.count("*"))
     if held["n"] > asked["n"]:  # repeated rows
         sets = written(sets.groupBy("rep", "fp").agg(F.first("shingles").alias("shingles")), "sets")
     sets = sets.select("rep", "shingles")
     labels, left = wanted.select("rep", F.col("rep").alias("label")).distinct(), None
-    if not rounds:
-        first = written(_with_leader(live, 0).groupBy("rep").agg(F.min("head").alias("leader")), "first")
-        return _relabelled(labels, _exhaustive(live, first, sets, percent))
-    for salt in range(rounds):
+    for salt in range(ROUNDS):
         led = _with_leader(live, salt)
         first = written(led.groupBy("rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min("head").alias("leader")), "first")
         labels = _relabelled(labels, _led_links(first, sets, percent))
@@ -282,17 +282,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     signed = written(docs.mapInArrow(by_batch(_signatures), _SIGNATURES), "signatures")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
-    classes = written(classes, "classes")
+    with_text = signed.filter("n_shingles > 0 and doc_id is not null")
+    classes = with_text.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # fixed by being written
     fewest = -(-percent // (100 - percent)) if percent < 100 else 1 << 40  # below it, no other size of set is near enough
-    reps = classes.filter(F.col("n") >= fewest).select("rep", "fp", "regs", "n").mapInArrow(by_batch(lambda: _banded), "rep long, fp binary, n long, keys array<long>")
+    reps = classes.filter(F.col("n") >= fewest).select("rep", "fp", "regs", "n", "at").mapInArrow(by_batch(lambda: _banded), "rep long, fp binary, n long, at struct<doc_id: long, mark: long>, keys array<long>")
     reps = written(reps, "bands")
-    with_text = signed.filter("n_shingles > 0 and doc_id is not null")
     several, found = measured(with_text.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id"), "several", n=F.count("*"))
-    labels = joined(docs, reps, percent, 0 if found["n"] else ROUNDS)
-    of_class = classes.select("fp", "rep").join(labels, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
+    labelled = joined(docs, reps, percent).join(classes.select("rep", "fp", F.col("at.doc_id").alias("first")), "rep")
+    linked = labelled.join(labelled.groupBy("label").agg(F.min("first").alias("component")), "label").select("fp", "component")
+    of_class = classes.select("fp", F.col("at.doc_id").alias("first")).join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
     if found["n"]:  # the texts of one doc_id are one document
         of_class = written(of_class, "components")
         shared = with_text.join(several, "doc_id").join(of_class, "fp").select("doc_id", "component").distinct()

@@ -148,6 +148,19 @@ def test_language_with_one_row_is_trained(monkeypatch):
     assert {model.languages[k] for k in trained} == {"aa", "cc"}
 
 
+@pytest.mark.parametrize("known", [4, 5, 10])
+def test_calibration_sees_every_language_and_none_that_trains(monkeypatch, known):
+    rng = random.Random(known)
+    rows = [("".join(rng.choices("abcdefghijklmnop", k=30)), f"l{k}") for _ in range(60) for k in range(known)]  # by turns, as train() orders them
+    trained, ftrl = [], language._ftrl
+    monkeypatch.setattr(language, "_ftrl", lambda model, examples: (trained.extend((at.tobytes(), k) for at, _, k in examples), ftrl(model, examples)))
+    model = language.fit(rows)
+    found = [(at.tobytes(), k) for (at, _), k in ((model.counted(t), model.languages.index(lang)) for t, lang in rows)]
+    aside = [x for x in found if x not in set(trained)]
+    assert [sum(k == j for _, k in trained) for j in range(known)] == [48] * known
+    assert [sum(k == j for _, k in aside) for j in range(known)] == [12] * known
+
+
 def test_weights_equal_a_plain_ftrl():
     """The published per-coordinate update, one number at a time."""
     import math
@@ -157,7 +170,9 @@ def test_weights_equal_a_plain_ftrl():
     texts = list(dict.fromkeys(rows))
     told = {lang: k for k, lang in enumerate(model.languages)}
     examples = [(*model.features(t), told[lang]) for t, lang in texts]
-    examples = [x for i, x in enumerate(examples) if i % language.CALIBRATION]
+    place = [sum(lang == other for _, other in texts[: i + 1]) for i, (_, lang) in enumerate(texts)]  # within the language
+    aside = [x for x, at in zip(examples, place, strict=True) if at % language.CALIBRATION == 0]
+    examples = [x for x, at in zip(examples, place, strict=True) if at % language.CALIBRATION]
     z, n = {}, {}
 
     def weight(key, l1):
@@ -182,8 +197,6 @@ def test_weights_equal_a_plain_ftrl():
                     n[f, k] = before + g * g
     plain = np.array([[weight((f, k), language.L1) for k in range(len(told))] for f in range(len(model.idf))])
     assert np.allclose(model.weights, plain) and np.allclose(model.bias, [weight((None, k), 0.0) for k in range(len(told))])
-    aside = [(*model.features(t), told[lang]) for t, lang in texts[:: language.CALIBRATION]]
-
     def loss(temperature):
         out = 0.0
         for at, x, truth in aside:
@@ -311,6 +324,23 @@ def test_field_learns_from_rare_personal_data(spark, monkeypatch):
     assert all(like.search(t) for t in ("1.2.3.4", "4111 1111 1111 1111", "+1234567 8", "+1 (2) 345678"))
 
 
+def test_field_learns_from_long_documents_only(spark):
+    def text(i, filler):
+        phone = f"+49 30 12345{i:04d}"
+        return f"call {phone} or {phone[1:].replace(' ', '')} or {phone.replace(' ', '-')[1:]} soon{filler}"
+
+    texts = {n: [text(i, " plain words only" * n) for i in range(60)] for n in (0, 1300)}
+    for n in texts:
+        docs = frame(spark, texts[n])
+        field = pii.train(docs)
+        assert field.skip > 5, (n, field.skip)
+        added = [r["pii"]["spans"].count("phone") - r["pii"]["n_phone"] for r in pii.personal_data(docs, field).collect()]
+        assert set(added) == {2}, n
+    long = spark.createDataFrame([("x" * 50_000 + " a@b.org " + "y" * 50_000, 1), ("z" * 30_000, 2), ("w " * 15_000, 3), ("s", 4)], "text string, place long")
+    pieces = [r[0] for r in long.select(pii._piece(F.col("text"), F.col("place"))).collect()]
+    assert "a@b.org" in pieces[0] and all(0 < len(p) <= pii.CHARS for p in pieces) and pieces[3] == "s"
+
+
 def test_many_equal_mentions_stay_linear():
     field = pii.Field(np.zeros((14, 5)), 2.0, 0.1)
     assert len(field.labels(["+49 30 1234567"] * 5000, [4] + [None] * 4999)) == 5000
@@ -575,7 +605,8 @@ def shuffled(spark):
     return sum(listed.apply(i).totalShuffleWrite() for i in range(listed.size()))
 
 
-def test_near_copies_cost_in_proportion(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_near_copies_cost_in_proportion(spark, repeated):
     base = words(random.Random(16), 120, 10**6)
     cost = []
     for n in (5_000, 20_000):
@@ -585,10 +616,11 @@ def test_near_copies_cost_in_proportion(spark):
             copy = list(base)
             copy[rng.randrange(120)] = f"e{rng.randrange(10**9)}"
             texts.append(" ".join(copy))
-        docs, before = frame(spark, texts).repartition(4), shuffled(spark)
-        found = near_duplicates(docs, 80).agg(F.count_distinct("component_id"), F.count_if("kept")).first()
+        rows = [*enumerate(texts), *[(0, "another text under an id that is taken")] * repeated]
+        docs, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shuffled(spark)
+        found = near_duplicates(docs, 80).filter("component_id = 0 or doc_id > 0").agg(F.count_distinct("component_id"), F.count_if("kept")).first()
         cost.append(shuffled(spark) - before)
-        assert tuple(found) == (1, 1)
+        assert tuple(found) == (1, 1 + repeated)  # both rows of the repeated id
     assert cost[1] < 6 * cost[0], cost  # chunks held against each other would make it 16 times
 
 
@@ -615,6 +647,16 @@ def test_texts_of_one_id_are_one_document(spark):
     assert found == {(i, True): (3, i == 3) for i in (3, 5, 8, 9, 20, 30, 31, 50)} | {(40, True): (40, True), (5, False): (5, True)}
 
 
+def test_very_many_texts_of_one_id(spark):
+    rng = random.Random(23)
+    texts = [" ".join(words(rng, 30, 10**6)) for _ in range(3000)]
+    rows = [(7, t) for t in texts] + [(i + 100, t + " tail") for i, t in enumerate(texts[:50])] + [(3, "some text of its own that nothing else has")]
+    before = shuffled(spark)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(7, 7), (3, 3), *((i + 100, 7) for i in range(50))} and len(found) == len(rows)
+    assert shuffled(spark) - before < 40 * sum(len(t) for _, t in rows)  # not a row for each pair of its texts
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "a b c")], "doc_id long, text string")
     found = sorted(map(tuple, near_duplicates(docs).collect()), key=str)
