@@ -2,37 +2,46 @@
 
 Every window of an item (``WINDOW`` consecutive words, or a shorter item as a whole) is a set of positioned shingles of
 ``SHINGLE`` words. A document holds the window only if it holds every one of its shingles, so for a containment of one
-the necessary prefix of a window is a single shingle: the rarest, by counts over all documents. Documents are joined
-with these prefix shingles; the window's start must lie inside the document and the document must be long enough
-(positional and length bounds); then the window's words are compared exactly.
+the necessary prefix of a window is a single shingle: the rarest, by counts over all documents.
 
-The benchmark is taken in blocks of bounded size, one at a time: a block's index is broadcast, searched for and destroyed
-before the next one, so memory doesn't grow with the benchmark. With one block, documents are judged where they are read,
-without a shuffle. With several, each pass writes only the rows that were hit, which are joined with the documents last.
+1. Windows, their owners and their shingles become tables.
+2. A scan of the documents counts those of their shingles that the benchmark may have (a Bloom filter of bounded size says
+   so); joined with the shingles, the counts order each window's by rarity, and the rarest becomes its prefix.
+3. A second scan emits where a document may hold a prefix shingle, with the words around it. These rows are joined with the
+   windows on the shingle. The window must lie inside the document (positional and length bounds), and its words must be
+   those around the shingle: the check needs nothing but the joined row.
+4. What was hit goes back to the documents by a key of their text. A scan that counts words gives the other columns.
+
+However large the benchmark, documents are scanned three times, and only what may be hit is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import as_bytes, by_batch, small_batches, written
+from .shared import as_bytes, broadcast_if_small, by_batch, measured, small_batches, written
 
 WINDOW = 13
 SHINGLE = 3
-#: Characters of benchmark text in a block. Its index takes about 100 bytes a character on driver and executors.
-BLOCK_CHARS = 1_000_000
 #: Share of a document's words that makes it contaminated: one in twenty.
 SHARE = 20
+#: The filter: bits for each shingle of the benchmark, and least and most bits in all (32 MB); more shingles let more words pass, and
+#: the join drops them. Shifts of a shingle's hash that give its bits.
+BITS, LEAST_BITS, MOST_BITS, SHIFTS = 32, 1 << 15, 1 << 28, (0, 12, 24, 36)
+#: Words that a task remembers the hashes of.
+REMEMBERED = 1 << 20
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_BITMAP = 1 << 15  # bits of one of Spark's bitmaps
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -40,190 +49,188 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_KEPT).split() if text else []
 
 
-class Block:
-    """The windows of some benchmark items, and the codes of their shingles."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
-        self.windows = [(list(w), sorted(owners)) for w, owners in windows.items()]
-        base = len(self.vocabulary) + 1
-        assert base**SHINGLE < 1 << 63
-        self.base = base
-        self.codes = {k: np.unique([c for w, _ in self.windows if self.width(w) == k for c in self._codes(w, k)]).astype(np.int64) for k in {self.width(w) for w, _ in self.windows}}
-
-    @staticmethod
-    def width(window: list[int]) -> int:
-        return min(SHINGLE, len(window))
-
-    def _codes(self, ids: list[int], width: int) -> list[int]:
-        out = []
-        for i in range(len(ids) - width + 1):
-            code = 0
-            for x in ids[i : i + width]:
-                code = code * self.base + x
-            out.append(code)
-        return out
-
-    def numbers(self, document: list[bytes]) -> np.ndarray:
-        """The words' numbers; 0 for words that no item has."""
-        return np.fromiter(map(self.vocabulary.get, document, repeat(0)), np.int64, len(document))
-
-    def found(self, ids: np.ndarray, width: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the shingles of this width that are among ``codes`` (sorted), and which."""
-        n = len(ids) - width + 1
-        none = np.empty(0, np.int64)
-        if n <= 0 or not len(codes):
-            return none, none
-        known = ids > 0
-        whole = known[:n].copy()
-        for j in range(1, width):
-            whole &= known[j : j + n]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return none, none
-        code = ids[at]
-        for j in range(1, width):
-            code = code * self.base + ids[at + j]
-        place = np.searchsorted(codes, code)
-        place[place == len(codes)] = 0
-        hit = codes[place] == code
-        return at[hit], place[hit]
-
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """Take each window's rarest shingle as its prefix."""
-        prefix: dict[int, dict[int, list[tuple[int, int]]]] = {k: {} for k in self.codes}
-        for number, (window, _) in enumerate(self.windows):
-            k = self.width(window)
-            codes = self._codes(window, k)
-            offset = min(range(len(codes)), key=lambda i: (counts.get((k, codes[i]), 0), codes[i], i))
-            prefix[k].setdefault(codes[offset], []).append((offset, number))
-        self.prefix = {k: (np.array(sorted(found), np.int64), [found[c] for c in sorted(found)]) for k, found in prefix.items()}
-
-    def hits(self, document: list[bytes]) -> dict[int, list[int]]:
-        """Windows that occur in the document, with their starts."""
-        ids = self.numbers(document)
-        out: dict[int, list[int]] = {}
-        for k, (codes, owners) in self.prefix.items():
-            at, which = self.found(ids, k, codes)
-            if len(at):
-                listed = ids.tolist()
-                for position, code in zip(at.tolist(), which.tolist(), strict=True):
-                    for offset, number in owners[code]:
-                        start, window = position - offset, self.windows[number][0]
-                        if start >= 0 and start + len(window) <= len(listed) and listed[start : start + len(window)] == window:
-                            out.setdefault(number, []).append(start)
-        return out
-
-
-def _counted(shared, column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = shared.value
-        counts = {k: np.zeros(len(c), np.int64) for k, c in block.codes.items()}
-        for batch in batches:
-            for text in as_bytes(batch.column(column)):
-                ids = block.numbers(words(text))
-                for k, codes in block.codes.items():
-                    _, which = block.found(ids, k, codes)
-                    if len(which):
-                        counts[k] += np.bincount(which, minlength=len(codes))
-        for k, codes in block.codes.items():
-            seen = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k, np.int64)), pa.array(codes[seen]), pa.array(counts[k][seen])], ["k", "code", "n"])
-
-    return run
-
-
-def _found(block: Block, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of a text, the ranges of them that windows of the block hit, and the items of these."""
-    document = words(text)
-    hits = block.hits(document)
-    spans = [(start, start + len(block.windows[w][0])) for w, starts in hits.items() for start in starts]
-    return len(document), merged(spans), set().union(*(block.windows[w][1] for w in hits))
-
-
-def _verdicts(found: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.StructArray:
-    hit = [sum(hi - lo for lo, hi in spans) for _, spans, _ in found]
-    items = [sorted(x) for *_, x in found]
-    columns = {
-        "n_words": pa.array([n for n, *_ in found], pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(map(len, items), pa.int64()),
-        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-        "spans": pa.array([[{"lo": lo, "hi": hi} for lo, hi in spans] for _, spans, _ in found], pa.list_(_SPAN)), "items": pa.array(items, pa.list_(pa.string())),
-        "contaminated": pa.array([h > 0 and SHARE * h >= n for h, (n, *_) in zip(hit, found, strict=True)], pa.bool_()),
-    }
-    return pa.StructArray.from_arrays([*columns.values()], [*columns])
+class Hashes(dict):
+    """Hashes of words, and of shingles as made of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def shingles(self, document: list[bytes], width: int) -> np.ndarray:
+        """A signed hash of each ``width`` consecutive words."""
+        n = len(document) - width + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        x = np.fromiter(map(self.__getitem__, document), np.uint64, len(document))
+        out = np.full(n, width, np.uint64)
+        for j in range(width):
+            out = (out ^ (out >> np.uint64(29))) * _MIX + x[j : j + n]
+        out = (out ^ (out >> np.uint64(32))) * _MIX
+        return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def width(size: int) -> int:
+    """Words in the shingles of a window of so many."""
+    return min(SHINGLE, size)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of half-open ranges, as disjoint ranges in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _windows():
+    """Each item's windows, as words joined by a space, and the hashes of their shingles."""
+    hashes = Hashes()
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            w = words(text)
+            codes = hashes.shingles(w, width(len(w))) if w else ()
+            for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
+                window = w[i : i + WINDOW]
+                rows.append((item, b" ".join(window), len(window), codes[i : i + len(window) - width(len(window)) + 1]))
+        kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["item", "window", "size", "shingles"])
+
+    return step
+
 
+class _Filter:
+    """The shingles that may be wanted, by bits of their hashes."""
 
-def _judged(shared, keep_text: bool, into: str):
-    """Rows with their verdict: by a block, or by what the passes over several blocks found."""
+    def __init__(self, bitmaps: list[tuple[int, bytes]], bits: int, widths: list[int]):
+        self.bits, self.widths = bits, widths
+        self.map = np.zeros(bits // 8, np.uint8)
+        for number, bitmap in bitmaps:
+            part = self.map[number * _BITMAP // 8 :][: len(bitmap)]
+            part[:] = np.frombuffer(bitmap, np.uint8, len(part))
+
+    def passing(self, codes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that pass."""
+        at = np.arange(len(codes))
+        for shift in SHIFTS:
+            bit = (codes[at].view(np.uint64) >> np.uint64(shift)) & np.uint64(self.bits - 1)
+            at = at[(self.map[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        return at
+
+
+def _filter_of(codes: DataFrame, n: int, widths: list[int]) -> _Filter:
+    """A filter of ``codes(code)``, of which there are n. Its bitmaps are made by tasks; at most MOST_BITS come to the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * n - 1).bit_length()))
+    at = F.explode(F.array(*[F.shiftrightunsigned("code", s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS])).alias("at")
+    maps = codes.select(at).groupBy(F.expr(f"int(at div {_BITMAP})").alias("number")).agg(F.bitmap_construct_agg(F.expr(f"at % {_BITMAP}")).alias("bitmap"))
+    return _Filter([(r["number"], bytes(r["bitmap"])) for r in maps.toLocalIterator()], bits, widths)
+
+
+def _counted(shared):
+    """How often the shingles that pass the filter occur, batch by batch."""
 
     def make():
-        block: Block | None = shared and shared.value
+        wanted: _Filter = shared.value
+        hashes = Hashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if block is not None:
-                found = [_found(block, text) for text in as_bytes(batch.column(1))]
-            else:
-                rows = zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                found = [(len(words(text)), merged([(x["lo"], x["hi"]) for x in spans or ()]), set(items or ())) for text, spans, items in rows]
-            kept = [(batch.column(1), "text")] * keep_text
-            return pa.RecordBatch.from_arrays([batch.column(0), *(c for c, _ in kept), _verdicts(found)], ["row", *(n for _, n in kept), into])
+            found = [np.empty(0, np.int64)]
+            for text in as_bytes(batch.column(0)):
+                w = words(text)
+                for k in wanted.widths:
+                    codes = hashes.shingles(w, k)
+                    found.append(codes[wanted.passing(codes)])
+            code, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
         return step
 
     return by_batch(make)
 
 
-def _hit(shared):
-    """Of the rows that the block hits: their key, ranges and items."""
+def _placed(shared):
+    """Places of shingles that pass the filter, with the words around them as far as a window reaches."""
 
     def make():
-        block: Block = shared.value
+        wanted: _Filter = shared.value
+        hashes = Hashes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_found(block, text) for text in as_bytes(batch.column(1))]
-            at = [i for i, (_, spans, _) in enumerate(found) if spans]
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            spans = pa.array([[{"lo": lo, "hi": hi} for lo, hi in found[i][1]] for i in at], pa.list_(_SPAN))
-            return pa.RecordBatch.from_arrays([keys, spans, pa.array([sorted(found[i][2]) for i in at], pa.list_(pa.string()))], ["key", "spans", "items"])
+            rows, codes = [], [np.empty(0, np.int64)]
+            for i, text in enumerate(as_bytes(batch.column(2))):
+                w = words(text)
+                for k in wanted.widths:
+                    found = hashes.shingles(w, k)
+                    at = wanted.passing(found)
+                    codes.append(found[at])
+                    rows += [(i, p, min(p, WINDOW - k), b" ".join(w[max(0, p - WINDOW + k) : p + WINDOW])) for p in at.tolist()]
+            row = pa.array([r[0] for r in rows], pa.int64())
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(codes))]
+            columns += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "code", "at", "back", "around"])
 
         return step
 
     return by_batch(make)
 
 
-_SPAN = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 _SPANS, _ITEMS = "array<struct<lo: long, hi: long>>", "array<string>"
-_VERDICT = f"struct<n_words: long, n_hit: long, n_items: long, items_sha256: string, spans: {_SPANS}, items: {_ITEMS}, contaminated: boolean>"
+_SPAN = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of half-open ranges, as disjoint ranges in order."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def _summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A hit text's ranges joined and its items in order, with their numbers and digest."""
+    spans = [merged([(x["lo"], x["hi"]) for x in found]) for found in batch.column(2).to_pylist()]
+    items = [sorted(found) for found in batch.column(3).to_pylist()]
+    columns = {
+        "a": batch.column(0), "b": batch.column(1), "n_hit": pa.array([sum(hi - lo for lo, hi in found) for found in spans], pa.int64()), "n_items": pa.array(map(len, items), pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(found).encode()).hexdigest() for found in items], pa.string()),
+        "spans": pa.array([[{"lo": lo, "hi": hi} for lo, hi in found] for found in spans], pa.list_(_SPAN)), "items": pa.array(items, pa.list_(pa.string())),
+    }
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def _sized(keep_text: bool):
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = pa.array([len(words(text)) for text in as_bytes(batch.column(3))], pa.int64())
+        kept = [(batch.column(3), "text")] * keep_text
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, *(c for c, _ in kept)], ["row", "a", "b", "n_words", *(n for _, n in kept)])
 
+    return step
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items, some at a time; two blocks' texts at most are on the driver."""
+
+def _hits(texts: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """``a, b, n_hit, n_items, items_sha256, spans, items`` of the texts of ``texts(a, b, text)`` that hold a window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null and text is not null")
-    block, chars = [], 0
-    for row in items.toLocalIterator():
-        if block and chars + len(row["text"]) > BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-        block.append((row["item"], row["text"].encode()))
-        chars += len(row["text"])
-    if block:
-        yield block
+    held = written(items.mapInArrow(by_batch(_windows), "item string, window binary, size int, shingles array<long>"), "owned")
+    owners = written(held.select("window", "item").distinct(), "owners")
+    windows = written(held.dropDuplicates(["window"]).select("window", "size", "shingles"), "windows")
+    shingles, sums = measured(windows.select(F.explode("shingles").alias("code")).distinct(), "shingles", n=F.count("*"))
+    if not sums["n"]:
+        return None
+    widths = sorted({width(r["size"]) for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("size")).distinct().collect()})
+    share = lambda wanted: texts.sparkSession.sparkContext.broadcast(wanted)
+    counts = texts.select("text").mapInArrow(_counted(share(_filter_of(shingles, sums["n"], widths))), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rarity = broadcast_if_small(written(shingles.join(counts, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n")), "rarity"))
+    each = windows.select("window", "size", F.posexplode("shingles").alias("offset", "code")).join(rarity, "code")
+    prefix = each.groupBy("window").agg(F.first("size").alias("size"), F.min(F.struct("n", "code", "offset")).alias("least"))
+    prefix, chosen = measured(prefix.select(F.col("least.code").alias("code"), F.col("least.offset").alias("offset"), "window", "size"), "prefix", n=F.count("*"))
+    places = texts.mapInArrow(_placed(share(_filter_of(prefix.select("code"), chosen["n"], widths))), "a long, b long, code long, at long, back int, around binary")
+    near = places.join(broadcast_if_small(prefix), "code").filter("offset <= back").withColumn("near", F.split(F.col("around").cast("string"), " "))
+    start = F.col("back") - F.col("offset") + 1
+    near = near.filter(F.size("near") >= start + F.col("size") - 1).filter(F.array_join(F.slice("near", start, F.col("size")), " ") == F.col("window").cast("string"))
+    lo = F.col("at") - F.col("offset")
+    hits = written(near.select("a", "b", lo.alias("lo"), (lo + F.col("size")).alias("hi"), "window").distinct(), "hits")
+    owned = hits.select("a", "b", "window").distinct().join(broadcast_if_small(owners), "window").groupBy("a", "b").agg(F.collect_set("item").alias("items"))
+    spans = hits.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    out = f"a long, b long, n_hit long, n_items long, items_sha256 string, spans {_SPANS}, items {_ITEMS}"
+    return written(spans.join(owned, ["a", "b"]).mapInArrow(by_batch(lambda: _summed), out), "verdicts")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, into: str = "contamination") -> DataFrame:
@@ -233,41 +240,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
     ids, sorted as strings and joined by commas), ``spans`` (word ranges that are hit), ``items``, ``contaminated``.
     A null or empty text has no words and isn't contaminated. Items with a null id, a null text or no words have no
     windows; rows of one item_id are one item. An empty benchmark hits nothing, an empty table of documents gives no rows.
-    Repeated documents are judged alike, long ones whole. Other columns pass through, whatever their names; one called ``into`` is replaced.
+    Repeated documents are judged alike, long ones whole. Other columns pass through, whatever their names and types; one
+    called ``into`` is replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     columns = [c for c in (docs.columns if columns is None else columns) if c != into]
     text = F.col("text").cast("string").alias("text")
+    # two hashes of the text are its key: whatever else a row holds, its text decides
+    key = [F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), text).alias("b")]
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
-    rows, keep = docs.select(row, text), "text" in columns
-    blocks = _blocks(benchmark)
-    items, more = next(blocks, []), next(blocks, None)
-    if more is None:
-        judged = _judged(spark.sparkContext.broadcast(_chosen(docs.select(text), Block(items))), keep, into)
-    else:
-        # equal rows have one key and are hit alike
-        keyed = rows.withColumn("key", F.struct(F.xxhash64("row", "text").alias("a"), F.xxhash64("text", F.lit("key"), "row").alias("b")))
-        hits = None
-        for part in chain([items, more], blocks):
-            shared = spark.sparkContext.broadcast(_chosen(docs.select(text), Block(part)))
-            found = written(keyed.select("key", "text").mapInArrow(_hit(shared), f"key struct<a: long, b: long>, spans {_SPANS}, items {_ITEMS}").distinct(), "hits")
-            shared.destroy()
-            hits = found if hits is None else hits.union(found)
-        hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        rows = keyed.join(written(hits, "hits"), "key", "left").select("row", "text", "spans", "items")
-        judged = _judged(None, keep, into)
-    out = T.StructType([rows.schema["row"], *T.StructType.fromDDL("text string, " * keep + f"`{into}` {_VERDICT}").fields])
-    return rows.mapInArrow(judged, out).select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], F.col(f"`{into}`"))
-
-
-def _chosen(texts: DataFrame, block: Block) -> Block:
-    """The block with each window's prefix, by counts of its shingles over all texts."""
-    if block.windows:
-        shared = texts.sparkSession.sparkContext.broadcast(block)
-        counts = texts.mapInArrow(_counted(shared, 0), "k long, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n"))
-        block.choose({(r["k"], r["code"]): r["n"] for r in counts.toLocalIterator()})
-        shared.destroy()
+    rows, keep = docs.select(row, *key, text), "text" in columns
+    hits = _hits(docs.select(*key, text), benchmark)
+    out = T.StructType([*rows.schema.fields[:3], T.StructField("n_words", T.LongType()), *[rows.schema["text"]] * keep])
+    sized = rows.mapInArrow(by_batch(lambda: _sized(keep)), out)
+    none = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.array(), "items": F.array()}
+    kinds = {"n_hit": "long", "n_items": "long", "items_sha256": "string", "spans": _SPANS, "items": _ITEMS}
+    if hits is None:
+        sized = sized.select("*", *[value.cast(kinds[name]).alias(name) for name, value in none.items()])
     else:
-        block.choose({})
-    return block
+        sized = sized.join(broadcast_if_small(hits), ["a", "b"], "left")
+    found: dict[str, Column] = {name: F.coalesce(name, value.cast(kinds[name])) for name, value in none.items()}
+    contaminated = (found["n_hit"] > 0) & (SHARE * found["n_hit"] >= F.col("n_words"))
+    verdict = F.struct("n_words", *[value.alias(name) for name, value in found.items()], contaminated.alias("contaminated"))
+    return sized.select(*[F.col(f"row.`{c}`") if c != "text" else F.col("text") for c in columns], verdict.alias(into))
