@@ -164,6 +164,13 @@ def _assembled(path: str, pattern: str, buckets: int, wide: bool, keep_text: boo
     return run
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark hashes and groups values of the type: not with a map or a variant in it."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _once(rows: DataFrame) -> DataFrame:
     """``rows(row, text)``, where very many equal ones come as one, with their number in ``row``: they'd fill one block."""
     rows = rows.withColumn("key", F.xxhash64("row", "text"))
@@ -180,7 +187,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
 
     The ids are those of the tiktoken library for the whole text, without special tokens. A null or empty text has no
     ids. Repeated rows stay. Long texts are encoded whole; an empty table gives no rows. Other columns pass through,
-    whatever their names; one called ``token_ids`` is replaced.
+    whatever their names and types (maps cost one more write of the table); one called ``token_ids`` is replaced.
     With ``decoded``, ids are also joined with the token table where they are made, which gives ``token_bytes``. Blocks of
     fewer ``block_bytes`` of text take less of a task's memory and shuffle more words.
     """
@@ -194,7 +201,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str] | None
     wide = ranked(ranks, pattern).n_vocab > 1 << 16
     text = F.col("text").cast("string").alias("text")
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row")
-    rows = _once(docs.select(row, text)).withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).cast("int"))
+    rows = docs.select(row, text)
+    if _hashable(rows.schema["row"].dataType):
+        rows, key = _once(rows), ["row", "text"]
+    else:  # such rows are dealt by a number that they get by being written
+        rows, key = written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered"), ["number"]
+    rows = rows.select("row", "text", F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int").alias("block"))
     squeezed = T.StructType([rows.schema["row"], T.StructField("packed", T.BinaryType()), rows.schema["block"]])
     dealt = rows.mapInArrow(by_batch(lambda: _squeezed), squeezed).repartition("block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_distinct(pattern, buckets), "block int, bucket int, lengths binary, body binary")

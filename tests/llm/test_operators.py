@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lettermill.llm import bpe, language, pii, queries, site_lines, token_files, url_rules
+from lettermill.llm import bpe, decontaminate, language, pii, queries, site_lines, token_files, url_rules
 from lettermill.llm import top_k as top_k_module
 from lettermill.llm.components import components
 from lettermill.llm.cover_tree import Search, build
@@ -67,20 +67,36 @@ def brute_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 60])
-def test_contamination_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr("lettermill.llm.decontaminate.BLOCK_CHARS", block)
+@pytest.mark.parametrize(("bits", "most"), [(32, 1 << 24), (1, 0)])  # few words pass the filter, and tables are broadcast; or neither
+def test_contamination_equals_brute_force(spark, monkeypatch, bits, most):
+    monkeypatch.setattr("lettermill.llm.decontaminate.BITS", bits)
+    monkeypatch.setattr("lettermill.llm.decontaminate.LEAST_BITS", 1 << (15 if bits > 1 else 3))
+    monkeypatch.setattr("lettermill.llm.shared.BROADCAST_BYTES", most)
     rng = random.Random(1)
     items = [(2, " ".join(words(rng, 30))), (10, "Éa b"), (11, "solo"), (12, None), (13, "..."), (14, " ".join(words(rng, 13))), (10, "second text of ten"), (None, "w1 w2")]
     long = " ".join(words(rng, 20_000))
     texts = [None, "", "...", "Solo!", "nothing here", items[0][1].upper(), items[0][1] + " x " * 700 + items[5][1], "éa B", "Éa, b. solo", long + " " + items[5][1], " ".join(split_words(items[0][1])[3:16]), "solo " * 50]
     texts.append(texts[5])
-    docs = frame(spark, texts).withColumn("n_words", F.lit("mine")).withColumn("row", F.lit(1))
+    docs = frame(spark, texts).withColumn("n_words", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
     found = contamination(docs, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
-    assert [(r["n_words"], r["row"], r["text"]) for r in found] == [("mine", 1, t) for t in texts]
+    assert [(r["n_words"], r["row"], r["text"], r["tags"]) for r in found] == [("mine", 1, t, {"k": i}) for i, t in enumerate(texts)]
     assert [tuple(r["contamination"][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in found] == brute_contamination(texts, [i for i in items if i[0] is not None])
 
 
+def test_large_benchmarks_take_no_more_scans(spark, monkeypatch):
+    """Each document holds windows of two of many items; a passage of all of them is a window of a thousand items."""
+    rng = random.Random(24)
+    shared = " ".join(words(rng, 20, 10**6))
+    items = [(i, " ".join(words(rng, 40, 10**6)) + (" " + shared if i % 2 else "")) for i in range(2000)]
+    texts = [" ".join(words(rng, 100)) + " " + " ".join(items[i][1].split()[5:20]) + " zz " + " ".join(items[i + 1][1].split()[:14]) for i in range(0, 300, 2)] + [shared, "clean " * 50]
+    scans, counted = [], decontaminate._counted
+    monkeypatch.setattr(decontaminate, "_counted", lambda shared: (scans.append(1), counted(shared))[1])
+    found = contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert len(scans) == 1
+    assert [tuple(r["contamination"][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in found] == brute_contamination(texts, items)
+    assert found[150]["contamination"]["n_items"] == 1000
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, ["a b", None])
@@ -726,6 +742,14 @@ def test_bpe_of_rows_repeated_very_often(spark, monkeypatch):
     assert all(np.frombuffer(r["token_ids"], "<u4").tolist() == encoding.encode_ordinary(r["text"] or "") for r in found)
 
 
+def test_bpe_of_rows_with_maps(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REPEATED", 3)
+    docs = frame(spark, ["same text"] * 8 + [None, "other"]).select("text", F.create_map(F.lit("a"), F.lit(1)).alias("tags"), F.array(F.create_map(F.lit(1), F.lit("x"))).alias("nested"))
+    found = bpe.encode(docs, RANKS, PATTERN, decoded=True).collect()
+    assert sorted(((r["text"], bytes(r["token_bytes"]).decode()) for r in found), key=str) == sorted([("same text", "same text")] * 8 + [(None, ""), ("other", "other")], key=str)
+    assert all(r["tags"] == {"a": 1} and r["nested"] == [{1: "x"}] for r in found)
+
+
 def test_splitter_equals_the_pattern():
     import regex
 
