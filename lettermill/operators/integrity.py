@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 HEADER_BYTES = 32
 LARGEST = 2**63 - 1
 _SEGMENT = r"^segment-\d+\.arc$"
@@ -15,9 +18,11 @@ def valid_segment(name: Column) -> Column:
     return name.rlike(_SEGMENT)
 
 
-def record_inventory(messages: DataFrame, frames: DataFrame, segments: DataFrame) -> DataFrame:
+def record_inventory(messages: DataFrame, frames: DataFrame, segments: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, status, reason`` of every catalogue row: available, missing or inconsistent; the first failing check tells.
 
+    With ``columns``, those of the catalogue too.
+
     ``frames(segment, offset, frame_bytes, doc_id, raw_digest, status, reason)`` as scanned; ``segments(segment, bytes)``.
     """
     held = frames.select("segment", F.col("offset").alias("archive_offset"), F.col("doc_id").cast("decimal(20,0)").alias("f_id"), F.col("frame_bytes").alias("f_bytes"), F.col("raw_digest").alias("f_digest"), F.col("status").alias("f_status"), F.col("reason").alias("f_reason"))
@@ -41,7 +46,7 @@ def record_inventory(messages: DataFrame, frames: DataFrame, segments: DataFrame
     status, reason = F.lit("available"), F.lit("")
     for failed, name, why in reversed(checks):
         status, reason = F.when(failed, name).otherwise(status), F.when(failed, why).otherwise(reason)
-    return rows.select("doc_id", status.alias("status"), reason.alias("reason"))
+    return rows.select("doc_id", status.alias("status"), reason.alias("reason"), *columns)
 
 
 def claims(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,13 +57,14 @@ def claims(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classify_frames(frames: DataFrame, messages: DataFrame) -> DataFrame:
-    """``frames`` with ``state``: validated (full key claimed), inconsistent (coordinate claimed), orphan, or its fault."""
+    """``frames`` with ``state``: validated (full key claimed), inconsistent (coordinate claimed), orphan, or its fault; and
+    ``claimed``: whether the catalogue has the coordinate."""
     spots, full = claims(messages)
     out = frames.join(full.withColumn("_full", F.lit(True)), ["segment", "offset", "doc_id", "frame_bytes", "raw_digest"], "left")
     out = out.join(spots.withColumn("_spot", F.lit(True)), ["segment", "offset"], "left")
     sound = F.col("status") == "valid"
     state = F.when(~sound, F.col("status")).when(F.col("_full"), "validated").when(F.col("_spot"), "inconsistent").otherwise("orphan")
-    return out.select(*frames.columns, state.alias("state"))
+    return out.select(*frames.columns, state.alias("state"), F.coalesce("_spot", F.lit(False)).alias("claimed"))
 
 
 def inventory_counters(classified: DataFrame, records: DataFrame) -> DataFrame:
@@ -68,18 +74,36 @@ def inventory_counters(classified: DataFrame, records: DataFrame) -> DataFrame:
     return frames.crossJoin(records.agg(F.count_if(F.col("status") == "missing").alias("missing")))  # one row each
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str], width: int) -> DataFrame:
-    """Rows of ``a`` whose half-open range meets one of ``b`` with the same key.
+def overlapping(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
+    """Rows of ``a`` whose half-open range meets one of ``b`` with the same key: a0 < b1 and b0 < a1.
 
-    Ranges are cut at multiples of ``width`` and joined by key and cell, so the join is an equi-join however long ranges
-    are; the ranges themselves are compared exactly afterwards.
+    A sweep: both sides are dealt in order of key and place (``a`` at its end, ``b`` at its start), and a row of ``a`` is met
+    if the furthest end of all ``b`` that start before it ends lies beyond its start. Equal places are dealt out, too, so a
+    frequent key or range doesn't gather in a task; what earlier partitions of a key reach is a row a partition. Ranges of any
+    length cost one row. A null key or bound meets nothing.
     """
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / width).cast("long")))
-    distinct = a.select(F.col(key).alias("_key"), F.col(a_range[0]).alias("_a0"), F.col(a_range[1]).alias("_a1")).distinct()
-    left = distinct.withColumn("_cell", cells("_a0", "_a1"))
-    right = b.select(F.col(key).alias("_key"), F.col(b_range[0]).alias("_b0"), F.col(b_range[1]).alias("_b1"), cells(*b_range).alias("_cell"))
-    meets = left.join(right, ["_key", "_cell"]).filter("_a0 < _b1 and _b0 < _a1").select("_key", "_a0", "_a1").distinct()
-    return a.join(meets, (F.col(key) == F.col("_key")) & (F.col(a_range[0]) == F.col("_a0")) & (F.col(a_range[1]) == F.col("_a1")), "left_semi")
+    spark = a.sparkSession
+    one, other = (F.col(c) for c in a_range), (F.col(c) for c in b_range)
+    (a0, a1), (b0, b1) = one, other
+    rows = a.select(F.col(key).alias("_key"), a1.alias("_at"), F.lit(0).alias("_side"), a0.alias("_bound"), F.struct(*a.columns).alias("_row"))
+    rows = rows.unionByName(b.select(F.col(key).alias("_key"), b0.alias("_at"), F.lit(1).alias("_side"), b1.alias("_bound")), allowMissingColumns=True)
+    rows = rows.filter("_key is not null and _at is not null and _bound is not null").withColumn("_n", F.monotonically_increasing_id())
+    order = ["_key", "_at", "_side", "_n"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    end = F.when(F.col("_side") == 1, F.col("_bound"))
+    # of the keys that a partition shares with earlier ones there is one at most: its first
+    reach = dealt.groupBy("_part", "_key").agg(F.max(end).alias("_end"))
+    spread = reach.join(F.broadcast(_shared_keys(reach)), "_key")
+    earlier = spread.select("_part", "_key", F.max("_end").over(W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before")).filter("_before is not null")
+    running = F.max(end).over(W.partitionBy("_part", "_key").orderBy("_at", "_side", "_n").rowsBetween(W.unboundedPreceding, W.currentRow))
+    swept = dealt.withColumn("_reach", running).filter("_side = 0").join(F.broadcast(earlier), ["_part", "_key"], "left")
+    return swept.filter(F.greatest("_reach", "_before") > F.col("_bound")).select("_row.*")
+
+
+def _shared_keys(reach: DataFrame) -> DataFrame:
+    """``_key``: keys in several partitions; as rows are dealt in order, fewer than there are partitions."""
+    return reach.groupBy("_key").agg(F.count("*").alias("parts")).filter("parts > 1").select("_key")
 
 
 def validated_raw(frames: DataFrame, messages: DataFrame) -> DataFrame:

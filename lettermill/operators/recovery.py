@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from .integrity import overlapping
 
-REFETCH, SALVAGE, CLEANUP = "re-fetchable", "salvage", "cleanup-candidate"
-CHOICE, UNSAFE, LOST = "user-choice", "unsafe-automatic-repair", "unrecoverable-locally"
-#: Cells of the overlap join, in bytes.
-CELL = 1 << 20
+# The dispositions' stable labels.
+NO_ACTION, REFETCH, CHOICE, SALVAGE = "no-action", "source", "user-choice", "salvage"
+LOST, UNSAFE, CLEANUP = "unrecoverable-locally", "unsafe-automatic-repair", "cleanup-candidate"
+DISPOSITIONS = (NO_ACTION, REFETCH, CHOICE, SALVAGE, LOST, UNSAFE, CLEANUP)
+# The proposed actions.
+RESOLVE = "resolve source identity before any re-fetch"
+FETCH = "RefetchGmailMessage or RefetchImapMessage (explicit future action)"
+CONFIRM = "confirm whether an explicit source recovery is still desired"
+PRESERVE = "preserve the missing claim and report it"
+CONTRADICTION = "diagnose the physical/catalogue contradiction; do not re-link"
+CANDIDATE = "diagnose and present a candidate only; do not re-link"
+DIAGNOSE = "diagnose without re-linking"
+RETAIN = "retain in place and optionally export byte-exactly/manifest it"
+VERIFIED = "preserve evidence; recover only from a verified source or backup"
+TAIL = "consider future terminal-tail cleanup only after explicit safety proof"
+NO_CATALOGUE = "inspect any validated RAW frames; do not recreate provenance"
+BAD_CATALOGUE = "preserve the database and obtain a verified backup/schema decision"
+NO_ARCHIVE = "restore the original archive from a verified copy"
 
 
 def source_evidence(gmail: DataFrame, imap: DataFrame) -> DataFrame:
@@ -41,52 +55,63 @@ def missing_disposition() -> Column:
     return F.when(unsafe, UNSAFE).when(F.col("refetchable") == 1, REFETCH).when(gone, CHOICE).otherwise(LOST)
 
 
-def _items(rows: DataFrame, subject: Column, cases: list[tuple[Column, str, Column | str, str, Column]]) -> DataFrame:
+def _missing_action() -> Column:
+    disposition = missing_disposition()
+    return F.when(disposition == UNSAFE, RESOLVE).when(disposition == REFETCH, FETCH).when(disposition == CHOICE, CONFIRM).otherwise(PRESERVE)
+
+
+def _items(rows: DataFrame, subject: Column, cases: list[tuple[Column, str, Column | str, Column | str, Column]]) -> DataFrame:
     """An item for each row: the first case that holds gives status, disposition, action and facts."""
-    item = F.lit(None)
+    item, text = F.lit(None), lambda x: F.lit(x) if isinstance(x, str) else x
     for holds, status, disposition, action, facts in reversed(cases):
-        made = F.struct(F.lit(status).alias("status"), (F.lit(disposition) if isinstance(disposition, str) else disposition).alias("disposition"), F.lit(action).alias("action"), facts.alias("facts"))
+        made = F.struct(F.lit(status).alias("status"), text(disposition).alias("disposition"), text(action).alias("action"), facts.alias("facts"))
         item = F.when(holds, made).otherwise(item)
     found = rows.select(subject.alias("subject"), item.alias("i")).filter("i is not null")
     return found.select("subject", "i.status", "i.disposition", F.lit(False).alias("automatic"), F.col("i.action").alias("proposed_action"), "i.facts")
 
 
-def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame) -> DataFrame:
+def plan(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame, archive: bool = True) -> DataFrame:
     """``plan_items`` by subject and status."""
-    return plan_items(records, messages, classified, evidence).orderBy("subject", "status")
+    return plan_items(records, messages, classified, evidence, archive).orderBy("subject", "status")
 
 
-def plan_items(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame) -> DataFrame:
+def plan_items(records: DataFrame, messages: DataFrame, classified: DataFrame, evidence: DataFrame, archive: bool = True) -> DataFrame:
     """``subject, status, disposition, automatic, proposed_action, facts``, in no order; what is sound has no item.
 
-    ``records`` as from ``record_inventory``, ``classified`` as from ``classify_frames``. Nothing is ever automatic.
+    ``records`` as from ``record_inventory``, with ``segment`` and ``archive_offset`` or to be joined with ``messages`` for
+    them; ``classified`` as from ``classify_frames``. Without an ``archive``, only records have items. Nothing is ever
+    automatic. Coordinates of any size and sign are compared without overflow.
     """
-    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
-    bad = records.filter("status <> 'available'").join(messages.select("doc_id", "segment", "archive_offset"), "doc_id")
-    contradicting = flag(classified.filter("state = 'inconsistent'").select("segment", F.col("offset").alias("archive_offset")), "contradicted")
+    bad = records.filter("status <> 'available'")
+    if "segment" not in records.columns:
+        bad = bad.join(messages.select("doc_id", "segment", "archive_offset"), "doc_id")
+    contradicting = classified.filter("state = 'inconsistent'").select("segment", F.col("offset").alias("archive_offset")).distinct().withColumn("contradicted", F.lit(True))
     rows = bad.join(contradicting, ["segment", "archive_offset"], "left").join(evidence.drop("identities"), "doc_id", "left").fillna(0, ["refetchable", "deleted", "invalid"])
     counts = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("refetchable", "deleted", "invalid")])
     why = F.array(F.coalesce("reason", F.lit("")))
     missing = F.col("status") == "missing"
-    of_records = _items(rows, F.concat(F.lit("record "), F.col("doc_id").cast("string")), [
-        (missing & F.col("contradicted"), "CataloguedInconsistent", UNSAFE, "inspect", F.array(F.lit("another frame is at the claimed coordinate"))),
-        (missing, "PhysicallyMissing", missing_disposition(), "re-fetch or choose", counts),
-        (F.lit(True), "CataloguedInconsistent", UNSAFE, "inspect", why),
+    of_records = _items(rows, F.concat(F.lit("doc "), F.col("doc_id").cast("string")), [
+        (missing & F.col("contradicted"), "CataloguedInconsistent", UNSAFE, CONTRADICTION, F.array(F.lit("another frame is at the claimed coordinate"))),
+        (missing, "PhysicallyMissing", missing_disposition(), _missing_action(), counts),
+        (F.lit(True), "CataloguedInconsistent", UNSAFE, CANDIDATE if archive else DIAGNOSE, why),
     ])
-    spots = flag(messages.filter("archive_offset >= 0").select("segment", F.col("archive_offset").alias("offset")), "claimed")
-    frame = F.concat(F.lit("frame "), F.col("segment"), F.lit("@"), F.col("offset").cast("string"))
+    if not archive:
+        return of_records
+    frame = F.concat(F.col("segment"), F.lit(" @ "), F.col("offset").cast("string"))
     state = F.col("state")
-    of_frames = _items(classified.filter(state.isin("orphan", "corrupt")).join(spots, ["segment", "offset"], "left"), frame, [
-        (state == "orphan", "OrphanValidated", SALVAGE, "export", F.array(F.concat(F.lit("doc_id="), F.col("doc_id").cast("string")))),
-        (F.col("claimed"), "PhysicalCorruption", UNSAFE, "inspect", why),
-        (F.lit(True), "PhysicalCorruption", LOST, "none", why),
+    of_frames = _items(classified.filter(state.isin("orphan", "corrupt")), frame, [
+        (state == "orphan", "OrphanValidated", SALVAGE, RETAIN, F.array(F.concat(F.lit("doc_id="), F.col("doc_id").cast("string")))),
+        (F.col("claimed"), "PhysicalCorruption", UNSAFE, VERIFIED, why),
+        (F.lit(True), "PhysicalCorruption", LOST, VERIFIED, why),
     ])
-    ranges = messages.filter("archive_offset >= 0 and frame_bytes >= 0").withColumn("end", F.col("archive_offset") + F.col("frame_bytes"))
-    tails = classified.filter("state = 'tail'").withColumn("end", F.col("offset") + F.col("frame_bytes"))
-    overlaps = flag(overlapping(tails, ranges, "segment", ("offset", "end"), ("archive_offset", "end"), CELL).select("segment", "offset"), "claimed")
-    of_tails = _items(tails.join(overlaps, ["segment", "offset"], "left"), frame, [
-        (F.col("claimed"), "IncompleteTail", UNSAFE, "inspect", why),
-        (F.lit(True), "IncompleteTail", CLEANUP, "truncate", why),
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    ranges = messages.filter("archive_offset >= 0 and frame_bytes >= 0").select("segment", wide("archive_offset").alias("start"), (wide("archive_offset") + wide("frame_bytes")).alias("end"))
+    tails = classified.filter("state = 'tail'").select("segment", "offset", "reason", wide("offset").alias("start"), (wide("offset") + wide("frame_bytes")).alias("end"))
+    in_play = ranges.join(tails.select("segment").distinct(), "segment", "left_semi")
+    met = overlapping(tails, in_play, "segment", ("start", "end"), ("start", "end")).select("segment", "offset").distinct().withColumn("met", F.lit(True))
+    of_tails = _items(tails.join(met, ["segment", "offset"], "left"), frame, [
+        (F.col("met"), "IncompleteTail", UNSAFE, TAIL, why),
+        (F.lit(True), "IncompleteTail", CLEANUP, TAIL, why),
     ])
     return of_records.unionByName(of_frames).unionByName(of_tails)
 
@@ -94,8 +119,8 @@ def plan_items(records: DataFrame, messages: DataFrame, classified: DataFrame, e
 def archive_plan(spark: SparkSession, catalogue: str, archive: bool) -> DataFrame:
     """Items for a catalogue that is ``absent`` or ``invalid``, as far as the archive exists; no rows for ``valid``."""
     rows = {
-        "absent": [("catalogue", "CatalogueLost", CHOICE, "rebuild from the archive")],
-        "invalid": [("catalogue", "CatalogueInvalidOrUnreadable", UNSAFE, "inspect")] + ([] if archive else [("archive", "ArchiveRawAbsent", LOST, "none")]),
+        "absent": [("catalogue", "CatalogueLost", CHOICE, NO_CATALOGUE)],
+        "invalid": [("catalogue", "CatalogueInvalidOrUnreadable", UNSAFE, BAD_CATALOGUE)] + ([] if archive else [("archive", "ArchiveRawAbsent", LOST, NO_ARCHIVE)]),
     }.get(catalogue, [])
     return spark.createDataFrame(rows, "subject string, status string, disposition string, proposed_action string")
 

@@ -42,12 +42,12 @@ def fold(value: str) -> str:
 
 
 def address_clause(column: str, value: str) -> Column:
-    """A whole address must be among the values; else all its tokens must be. Nothing to look for: no row."""
+    """A whole address must be among the values; else all its tokens must be. A text without tokens is no clause."""
     address = fold(value.strip().strip("<").strip(">"))
     if "@" in address:
         return F.array_contains(column, address)
     found = [fold(t) for t in "".join(c if c.isalnum() else " " for c in value).split()]
-    return reduce(lambda a, b: a & b, [F.array_contains(column, t) for t in found]) if found else F.lit(False)
+    return reduce(lambda a, b: a & b, [F.array_contains(column, t) for t in found]) if found else F.lit(True)
 
 
 def date_clause(column: str, start: int | None, end: int | None) -> Column:

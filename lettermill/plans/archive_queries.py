@@ -90,7 +90,7 @@ def frame_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", hashes.fnv64_hex(F.encode("c_name", "UTF-8")).alias("checksum"))
 
 
-@query("select 'record ' || doc_id as subject, case when doc_id % 5 = 0 then 'PhysicallyMissing' else 'CataloguedInconsistent' end as status from documents where doc_id % 5 < 2")
+@query("select 'doc ' || doc_id as subject, case when doc_id % 5 = 0 then 'PhysicallyMissing' else 'CataloguedInconsistent' end as status from documents where doc_id % 5 < 2")
 def archive_faults(spark: SparkSession, folder: str) -> DataFrame:
     """A plan over real segments: rows that claim a segment that isn't there, and rows with another digest."""
     path, rows = _archive(spark, folder)
@@ -99,7 +99,7 @@ def archive_faults(spark: SparkSession, folder: str) -> DataFrame:
     frames = kept(segments.read_frames(spark, path).drop("raw"), "frames")
     records = integrity.record_inventory(rows, frames, segments.segment_sizes(spark, path))
     none = spark.createDataFrame([], "doc_id long, refetchable long, deleted long, invalid long, identities array<string>")
-    return recovery.plan_items(records, rows, integrity.classify_frames(frames, rows), none).filter("subject like 'record %'").select("subject", "status")
+    return recovery.plan_items(records, rows, integrity.classify_frames(frames, rows), none).filter("subject like 'doc %'").select("subject", "status")
 
 
 # batches (SRC-10, STR-6, STR-7, STR-20..23)

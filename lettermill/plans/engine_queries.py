@@ -115,36 +115,50 @@ with {ROWS.strip()},
 evidence as (
   select l_orderkey as doc_id, count(*) filter (l_returnflag = 'N') as refetchable, count(*) filter (l_returnflag = 'R') as deleted, count(*) filter (l_returnflag = 'A') as invalid from lineitem group by 1
 ),
+wild_ as (
+  select 10000000000 + doc_id as doc_id, segment, archive_offset + 500 as archive_offset, 4611686018427387904::hugeint as frame_bytes, stored, 'missing' as status from rows_ where doc_id % 31 = 0
+  union all select 20000000000 + doc_id, segment, 4611686018427387909, 4611686018427387904::hugeint, stored, case when stored then 'inconsistent' else 'missing' end from rows_ where doc_id % 37 = 0
+),
+claims_ as (select segment, archive_offset, frame_bytes::hugeint as frame_bytes from rows_ union all select segment, archive_offset, frame_bytes from wild_),
+bad_ as (select doc_id, segment, archive_offset, status from records_ where status <> 'available' union all select doc_id, segment, archive_offset, status from wild_),
 items as (
-  select 'record ' || doc_id as subject, 'CataloguedInconsistent' as status, 'unsafe-automatic-repair' as disposition from records_ r
+  select 'doc ' || doc_id as subject, 'CataloguedInconsistent' as status, 'unsafe-automatic-repair' as disposition, 'diagnose the physical/catalogue contradiction; do not re-link' as proposed_action from bad_ r
   where status = 'missing' and exists (select 1 from states_ s where s.segment = r.segment and s."offset" = r.archive_offset and state = 'inconsistent')
   union all
-  select 'record ' || doc_id, 'PhysicallyMissing', case when coalesce(invalid, 0) > 0 or coalesce(refetchable, 0) > 1 or coalesce(deleted, 0) > 0 and coalesce(refetchable, 0) > 0 then 'unsafe-automatic-repair'
-    when refetchable = 1 then 're-fetchable' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end
-  from records_ r left join evidence using (doc_id)
+  select 'doc ' || doc_id, 'PhysicallyMissing', case when coalesce(invalid, 0) > 0 or coalesce(refetchable, 0) > 1 or coalesce(deleted, 0) > 0 and coalesce(refetchable, 0) > 0 then 'unsafe-automatic-repair'
+    when refetchable = 1 then 'source' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end,
+    case when coalesce(invalid, 0) > 0 or coalesce(refetchable, 0) > 1 or coalesce(deleted, 0) > 0 and coalesce(refetchable, 0) > 0 then 'resolve source identity before any re-fetch'
+    when refetchable = 1 then 'RefetchGmailMessage or RefetchImapMessage (explicit future action)' when deleted > 0 then 'confirm whether an explicit source recovery is still desired' else 'preserve the missing claim and report it' end
+  from bad_ r left join evidence using (doc_id)
   where status = 'missing' and not exists (select 1 from states_ s where s.segment = r.segment and s."offset" = r.archive_offset and state = 'inconsistent')
-  union all select 'record ' || doc_id, 'CataloguedInconsistent', 'unsafe-automatic-repair' from records_ where status = 'inconsistent'
-  union all select 'frame ' || segment || '@' || "offset", 'OrphanValidated', 'salvage' from states_ where state = 'orphan'
-  union all select 'frame ' || segment || '@' || "offset", 'PhysicalCorruption', 'unsafe-automatic-repair' from states_ where state = 'corrupt'
+  union all select 'doc ' || doc_id, 'CataloguedInconsistent', 'unsafe-automatic-repair', 'diagnose and present a candidate only; do not re-link' from bad_ where status = 'inconsistent'
+  union all select segment || ' @ ' || "offset", 'OrphanValidated', 'salvage', 'retain in place and optionally export byte-exactly/manifest it' from states_ where state = 'orphan'
+  union all select segment || ' @ ' || "offset", 'PhysicalCorruption', 'unsafe-automatic-repair', 'preserve evidence; recover only from a verified source or backup' from states_ where state = 'corrupt'
   union all
-  select 'frame ' || segment || '@' || "offset", 'IncompleteTail', case when exists (
-      select 1 from rows_ r where r.segment = s.segment and s."offset" < r.archive_offset + r.frame_bytes and r.archive_offset < s."offset" + s.frame_bytes) then 'unsafe-automatic-repair' else 'cleanup-candidate' end
+  select segment || ' @ ' || "offset", 'IncompleteTail', case when exists (
+      select 1 from claims_ r where r.segment = s.segment and s."offset" < r.archive_offset + r.frame_bytes and r.archive_offset < s."offset" + s.frame_bytes) then 'unsafe-automatic-repair' else 'cleanup-candidate' end,
+    'consider future terminal-tail cleanup only after explicit safety proof'
   from states_ s where state = 'tail'
 )
-select subject, status, disposition, count(*) as n from items group by all
+select subject, status, disposition, proposed_action, count(*) as n from items group by all
 """)
 def recovery_plan(spark: SparkSession, folder: str) -> DataFrame:
-    rows, held = catalogue_rows(spark, folder), frames(spark, folder)
-    records = kept(integrity.record_inventory(rows, held, segment_table(spark, folder)), "records")
+    """With claims of 2**62 bytes, and of ends beyond 64 bits, among the catalogue's rows."""
+    sound, held = catalogue_rows(spark, folder), frames(spark, folder)
+    huge = F.lit(2**62)
+    long = sound.filter("doc_id % 31 = 0").withColumns({"doc_id": F.col("doc_id") + 10_000_000_000, "archive_offset": F.col("archive_offset") + 500, "frame_bytes": huge})
+    beyond = sound.filter("doc_id % 37 = 0").withColumns({"doc_id": F.col("doc_id") + 20_000_000_000, "archive_offset": huge + 5, "frame_bytes": huge})
+    rows = sound.unionByName(long).unionByName(beyond)
+    records = kept(integrity.record_inventory(rows, held, segment_table(spark, folder), ("segment", "archive_offset")), "records")
     classified = kept(integrity.classify_frames(held, rows), "classified")
     plan = recovery.plan_items(records, rows, classified, recovery.source_evidence(*evidence_rows(spark, folder)))
-    return plan.groupBy("subject", "status", "disposition").agg(F.count("*").alias("n"))
+    return plan.groupBy("subject", "status", "disposition", "proposed_action").agg(F.count("*").alias("n"))
 
 
 @query("""
 with g as (select l_orderkey as doc_id, count(*) filter (l_returnflag = 'N') as refetchable, count(*) filter (l_returnflag = 'R') as deleted, count(*) filter (l_returnflag = 'A') as invalid, count(*) as n_identities from lineitem group by 1)
 select doc_id, refetchable, deleted, invalid, n_identities, case when invalid > 0 or refetchable > 1 or deleted > 0 and refetchable > 0 then 'unsafe-automatic-repair'
-  when refetchable = 1 then 're-fetchable' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end as disposition from g
+  when refetchable = 1 then 'source' when deleted > 0 then 'user-choice' else 'unrecoverable-locally' end as disposition from g
 """)
 def recovery_evidence(spark: SparkSession, folder: str) -> DataFrame:
     found = recovery.source_evidence(*evidence_rows(spark, folder))
@@ -186,7 +200,7 @@ def interval_overlap_semi(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", days("l_shipdate")).withColumn("e", F.col("d") + 20)
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 1000).alias("l_suppkey"))
     b = table(spark, folder, "orders").select("o_custkey", days("o_orderdate")).join(customers, "o_custkey").select("l_suppkey", "d", (F.col("d") + 30).alias("e"))
-    return integrity.overlapping(a, b, "l_suppkey", ("d", "e"), ("d", "e"), 32).select("l_orderkey", "l_linenumber")
+    return integrity.overlapping(a, b, "l_suppkey", ("d", "e"), ("d", "e")).select("l_orderkey", "l_linenumber")
 
 
 _DIFF = """

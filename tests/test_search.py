@@ -47,7 +47,10 @@ def docs(spark):
         (SearchRequest(labels=(" ",)), [2, 1, 0]),
         (SearchRequest(recipients="reader", date_from=1000, date_to=2000), [0]),
         (SearchRequest(sender="ali"), []),
-        (SearchRequest(sender="!!"), []),
+        (SearchRequest(sender="!!"), [2, 1, 0]),
+        (SearchRequest(sender="!!", limit=1), [2]),
+        (SearchRequest(text="alpha", recipients="--"), [0]),
+        (SearchRequest(text="alpha"), [0]),
         (SearchRequest(), []),
         (SearchRequest(text="invoice", limit=0), []),
         (SearchRequest(text="-"), []),
