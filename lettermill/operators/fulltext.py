@@ -311,9 +311,15 @@ def search(docs: DataFrame, query: str, start: int | None = None, end: int | Non
     for bound, side in ((start, F.col("timestamp_ms") >= start), (end, F.col("timestamp_ms") <= end)):
         hits = hits if bound is None else hits.filter(side)
     hits = hits.select("doc_id", "length", *[t.alias(f"t{i}") for i, (_, t) in enumerate(times)]).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i, (p, _) in enumerate(times):
-        idf = F.log((F.col("rows_") - F.col(f"n_{of[p]}") + 0.5) / (F.col(f"n_{of[p]}") + 0.5))
+    found = score([(f"t{i}", F.col(f"n_{of[p]}")) for i, (p, _) in enumerate(times)], F.col("rows_"), F.col("mean"))
+    return hits.select("doc_id", F.round(found, 6).alias("score")).orderBy("score", "doc_id").limit(limit)
+
+
+def score(times: list[tuple[str, Column]], rows: Column, mean: Column) -> Column:
+    """The dialect's bm25 of a row: of each phrase the column of how often it is there, and the rows that have it."""
+    found = F.lit(0.0)
+    for name, n in times:
+        idf = F.log((rows - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        score = score - idf * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / F.col("mean")))
-    return hits.select("doc_id", F.round(score, 6).alias("score")).orderBy("score", "doc_id").limit(limit)
+        found = found - idf * F.col(name) * (K1 + 1) / (F.col(name) + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / mean))
+    return found

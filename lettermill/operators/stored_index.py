@@ -1,169 +1,72 @@
-"""The derived index on disk: postings by term bucket, terms, and messages by time, in generations.
-
-A build is generation 0; an update adds a generation with the postings of new and changed messages and the ids that it
-replaces or removes, whose older rows are dead from then on. A generation counts once its row of ``state`` is there, which
-is written last, so an update that fails leaves the index as it was. ``compacted`` writes what is alive as a new index.
-
-A query reads only the buckets of its terms (partition pruning) and of those only row groups that may hold the terms;
-texts are never scanned. Buckets and the files of a bucket grow with the corpus.
-"""
+"""The derived index on disk: ranked search over blocks of postings, with filters over the messages."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
+from ..functions.text import snippet, tokens
 from ..functions.types import ddl
 from ..schemas import SEARCH_DOCS
 from . import ranking
+from .block_index import BlockIndex, _exists
+from .blocks import BLOCK
 from .search import RESULT, SearchRequest, filters, result_columns
 
-#: Tokens of a bucket and of a file, at most, and the fewest and most buckets (enough of them to fill the cores evenly).
-BUCKET_TOKENS, FILE_TOKENS, FEWEST, MOST = 8_000_000, 32_000_000, 32, 4096
 ALL_FIELDS = [*ranking.FIELDS, *ranking.ALSO]
-POSTINGS = ddl("field string, term string, doc_id long, tf int, positions array<int>, dl int")
-MESSAGES = T.StructType([*SEARCH_DOCS.fields, *ddl("lengths array<int>").fields])
-STATE = ddl("field string, n long, tokens long, buckets int, gone long")
+MESSAGES = T.StructType([*SEARCH_DOCS.fields, *ddl("snippet string").fields])
+#: Postings of a query's words from which on blocks are skipped: below, reading all is cheaper than finding a threshold.
+SKIP_FROM = 1 << 20
+#: A score's last decimal.
+STEP = 1e-6
 
 
-class StoredIndex:
-    """An index below a folder, as of its last whole generation. Its state (a row a field) is read when it is first needed."""
+class NothingIndexed(ValueError):
+    """No message could be indexed."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    # writing
+class StoredIndex(BlockIndex):
+    """The index of the search projection, for ``SearchRequest``."""
 
-    @staticmethod
-    def write(docs: DataFrame, folder: str) -> StoredIndex:
-        """Build the index of the search projection ``docs``, over whatever is there."""
-        index = StoredIndex(docs.sparkSession, folder)
-        for part in ("state", "gone", "terms", "postings", "messages"):  # the state goes first: no reader takes a half-written index
-            _removed(index.spark, f"{folder}/{part}")
-        index._add(docs, 0, None, {})
-        return StoredIndex(docs.sparkSession, folder)
-
-    def update(self, changed: DataFrame, removed: DataFrame) -> StoredIndex:
-        """The index after ``changed`` rows of the search projection, new or in place of old ones, and without ``removed(doc_id)``."""
-        ids = changed.select("doc_id").union(removed.select("doc_id")).distinct()
-        self._add(changed, self.generation + 1, self.messages.join(ids, "doc_id", "left_semi").select("doc_id", "lengths"), self.state)
-        return StoredIndex(self.spark, self.folder)
-
-    def _add(self, docs: DataFrame, generation: int, old: DataFrame | None, state: dict[str, dict]) -> None:
-        path = lambda part: f"{self.folder}/{part}/generation={generation}"
-        gone, lost = 0, [0] * (len(ALL_FIELDS) + 1)
-        if old is not None:
-            old.write.mode("overwrite").parquet(path("gone"))
-            lost = _summed(self.spark.read.schema("doc_id long, lengths array<int>").parquet(path("gone")))
-            gone = next(iter(state.values()))["gone"] + lost[0]
-        lengths = F.array(*[F.size(tokens(ranking.field_text(docs, f))) for f in ALL_FIELDS])
-        ordered = docs.repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms")
-        ordered.withColumn("lengths", lengths).select(*MESSAGES.names).write.mode("overwrite").parquet(path("messages"))
-        new = _summed(self.spark.read.schema(MESSAGES).parquet(path("messages")))
-        total = {f: (state[f]["n"] if state else 0) + new[0] - lost[0] for f in ALL_FIELDS}
-        held = {f: (state[f]["tokens"] if state else 0) + new[i + 1] - lost[i + 1] for i, f in enumerate(ALL_FIELDS)}
-        buckets = next(iter(state.values()))["buckets"] if state else max(FEWEST, min(MOST, sum(new[1:]) // BUCKET_TOKENS))
-        files = max(1, sum(new[1:]) // buckets // FILE_TOKENS)
-        rows = ranking.postings(docs).withColumn("bucket", _bucket(F.col("term"), buckets))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-        dealt.select(*POSTINGS.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path("postings"))
-        written = self.spark.read.schema(POSTINGS).parquet(path("postings"))
-        terms = written.groupBy("term", "field").agg(F.count("*").alias("df"))
-        terms.repartitionByRange("term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(path("terms"))
-        rows_ = [(f, total[f], held[f], buckets, gone) for f in ALL_FIELDS]
-        self.spark.createDataFrame(rows_, STATE).coalesce(1).write.mode("overwrite").parquet(path("state"))
-
-    def compacted(self, folder: str) -> StoredIndex:
-        """A new index below another folder with what is alive here, as one generation; nothing is tokenised again."""
-        one = StoredIndex(self.spark, folder)
-        path = lambda part: f"{folder}/{part}/generation=0"
-        for part in ("state", "gone", "terms", "postings", "messages"):
-            _removed(self.spark, f"{folder}/{part}")
-        self.messages.select(*MESSAGES.names).repartitionByRange("timestamp_ms").sortWithinPartitions("timestamp_ms").write.parquet(path("messages"))
-        live = self._alive(self._held)
-        files = max(1, sum(s["tokens"] for s in self.state.values()) // self.buckets // FILE_TOKENS)
-        live = live.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "term", "field", "doc_id")
-        live.select(*POSTINGS.names, "bucket").write.partitionBy("bucket").parquet(path("postings"))
-        terms = self.spark.read.schema(POSTINGS).parquet(path("postings")).groupBy("term", "field").agg(F.count("*").alias("df"))
-        terms.repartitionByRange("term").sortWithinPartitions("term", "field").write.parquet(path("terms"))
-        rows = [(f, s["n"], s["tokens"], s["buckets"], 0) for f, s in self.state.items()]
-        self.spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(path("state"))
-        return one
-
-    # reading
-
-    @cached_property
-    def _states(self) -> dict[int, dict[str, dict]]:
-        out: dict[int, dict[str, dict]] = {}
-        for r in self.spark.read.schema(ddl("field string, n long, tokens long, buckets int, gone long, generation int")).parquet(f"{self.folder}/state").collect():
-            out.setdefault(r["generation"], {})[r["field"]] = r.asDict()
-        return out
+    fields_ = ALL_FIELDS
+    kept_columns = MESSAGES
 
-    @property
-    def generation(self) -> int:
-        return max(self._states)
+    @classmethod
+    def tokens_of(cls, docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", *[tokens(ranking.field_text(docs, f)).alias(f) for f in ALL_FIELDS])
 
-    @property
-    def state(self) -> dict[str, dict]:
-        """Of each field: messages, tokens in all, buckets of the index, dead messages."""
-        return self._states[self.generation]
+    @classmethod
+    def rows_of(cls, docs: DataFrame) -> DataFrame:
+        return docs.withColumn("snippet", snippet("body")).sortWithinPartitions("timestamp_ms")
 
-    @property
-    def buckets(self) -> int:
-        return next(iter(self.state.values()))["buckets"]
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, parsed: Callable[[], tuple[DataFrame, int]]) -> StoredIndex:
+        """The index below a folder; if there is none or it is empty, it is built.
+
+        ``parsed`` gives the search projection of the messages that are present, and how many couldn't be read. An index of
+        nothing is an error, if that is because none could be read.
+        """
+        if _exists(spark, f"{folder}/state"):
+            index = cls(spark, folder)
+            if index._states and index.n:
+                return index
+        docs, failed = parsed()
+        index = cls.write(docs, folder)
+        if not index.n and failed:
+            raise NothingIndexed(f"none of {failed} messages could be read")
+        return index
 
     @property
     def fields(self) -> dict[str, tuple[int, float]]:
         """Messages and mean tokens of each field."""
         return {f: (s["n"], s["tokens"] / s["n"] if s["n"] else 0.0) for f, s in self.state.items()}
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}").filter(F.col("generation") <= self.generation)
-
-    @cached_property
-    def _held(self) -> DataFrame:
-        return self._read("postings", "field string, term string, doc_id long, tf int, positions array<int>, dl int, generation int, bucket int")
-
-    @cached_property
-    def _gone(self) -> DataFrame | None:
-        """``doc_id, until``: the generation below which a message's rows are dead; None if nothing ever was removed."""
-        if not next(iter(self.state.values()))["gone"]:
-            return None
-        return self._read("gone", "doc_id long, generation int").groupBy("doc_id").agg(F.max("generation").alias("until"))
-
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        if self._gone is None:
-            return rows
-        return rows.join(self._gone, "doc_id", "left").filter(F.col("until").isNull() | (F.col("generation") >= F.col("until"))).drop("until")
-
-    @cached_property
-    def messages(self) -> DataFrame:
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MESSAGES)
-        return self._alive(self._read("messages", f"{fields}, generation int"))
-
-    def _of_words(self, rows: DataFrame, words: list[str], fields: list[str]) -> DataFrame:
-        one = reduce(lambda a, b: a | b, [(F.col("bucket") == _bucket(F.lit(w), self.buckets)) & (F.col("term") == w) for w in words])
-        return rows.filter(one & F.col("field").isin(*fields))
-
-    def postings(self, words: list[str], fields: list[str]) -> DataFrame:
-        """Postings of some words in some fields."""
-        return self._alive(self._of_words(self._held, words, fields))
-
-    def _frequencies(self, words: list[str], fields: list[str]) -> Column:
-        """Messages with a row's term in its field: of all generations, less the dead ones. At most a number a word and field."""
-        terms = self._read("terms", "term string, field string, df long, generation int").filter(F.col("term").isin(*words) & F.col("field").isin(*fields))
-        counts = terms.groupBy("term", "field").agg(F.sum("df").alias("df"))
-        if self._gone is not None:
-            dead = self._of_words(self._held, words, fields).join(self._gone, "doc_id").filter("generation < until")
-            counts = counts.unionByName(dead.groupBy("term", "field").agg((-F.count("*")).alias("df"))).groupBy("term", "field").agg(F.sum("df").alias("df"))
-        known = {(r["term"], r["field"]): r["df"] for r in counts.collect()}
-        of = lambda c, k: c.when((F.col("term") == k[0]) & (F.col("field") == k[1]), F.lit(known[k]))
-        return reduce(of, known, F.when(F.lit(False), F.lit(0).cast("long")))
+    # scores
 
     def _of_field(self, value: Callable[[str], float | int]) -> Column:
         return reduce(lambda c, f: c.when(F.col("field") == f, F.lit(value(f))), self.fields, F.when(F.lit(False), F.lit(0.0)))
@@ -174,29 +77,37 @@ class StoredIndex:
         n, avgdl = self._of_field(lambda f: float(self.fields[f][0])), self._of_field(lambda f: float(self.fields[f][1]))
         return self._of_field(lambda f: weights[f]) * ranking.bm25(F.col("tf"), F.col("dl"), n, df, avgdl)
 
+    def _scored_postings(self, words: list[str], fields: list[str], held: DataFrame | None = None, positions: bool = False) -> DataFrame:
+        """Postings with ``df`` and ``score``. Frequencies are broadcast: a row for each word and field of a query."""
+        rows = self.postings(self.blocks_of(words, fields) if held is None else held, positions)
+        return rows.join(F.broadcast(self.frequencies(words, fields)), ["term", "field"]).withColumn("score", self._weighted(F.col("df")))
+
     def term_scores(self, term: ranking.Term) -> DataFrame:
         """``doc_id, score`` of a word or phrase, as by ``ranking.term_scores``."""
         words = list(term.words)
         if not words:
             return self.messages.limit(0).select("doc_id", F.lit(0.0).alias("score"))
         fields = [term.field] if term.field else list(ranking.FIELDS)
-        rows = self.postings(words, fields).withColumn("df", self._frequencies(words, fields))
         if len(words) == 1:
-            return rows.groupBy("doc_id").agg(F.sum(self._weighted(F.col("df"))).alias("score"))
+            return self._scored_postings(words, fields).groupBy("doc_id").agg(F.sum("score").alias("score"))
+        rows = self._scored_postings(words, fields, positions=True)
         one = reduce(lambda a, b: a + b, [self._weighted(F.col(f"df{i}")) for i in range(len(words))])
         return self._phrases(rows, words).groupBy("doc_id").agg(F.sum(one).alias("score"))
 
-    def scored(self, query: str) -> DataFrame:
-        """``doc_id, score`` of the messages that match a query; one pass over postings if no term is a phrase."""
+    def scored(self, query: str, held: DataFrame | None = None) -> DataFrame:
+        """``doc_id, score`` of the messages that match a query; one pass over postings if no term is a phrase.
+
+        ``held``: the blocks to read, if not all.
+        """
         tree = ranking.parse(query)
         found = list(dict.fromkeys(ranking.terms(tree)))
         if not found or any(len(t.words) != 1 for t in found):
             return ranking.combined(tree, self.term_scores, self.messages)
-        words, fields = sorted({t.words[0] for t in found}), list(dict.fromkeys(f for t in found for f in ([t.field] if t.field else ranking.FIELDS)))
-        held = self.postings(words, fields).withColumn("score", self._weighted(self._frequencies(words, fields)))
+        words, fields = _asked(found)
+        rows = self._scored_postings(words, fields, held)
         of = {term: f"t{i}" for i, term in enumerate(found)}
         hit = lambda t: (F.col("term") == t.words[0]) & F.col("field").isin(*([t.field] if t.field else ranking.FIELDS))
-        wide = held.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(hit(t), F.col("score"))), F.lit(0.0)).alias(name) for t, name in of.items()])
+        wide = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(hit(t), F.col("score"))), F.lit(0.0)).alias(name) for t, name in of.items()])
         return ranking.judged(wide, tree, of)
 
     @staticmethod
@@ -210,19 +121,75 @@ class StoredIndex:
         starts = reduce(F.array_intersect, map(moved, range(1, len(words))), F.col("p0"))
         return held.withColumn("tf", F.size(starts)).filter("tf > 0")
 
+    # the best, without reading all
+
+    def best_blocks(self, request: SearchRequest) -> DataFrame | None:
+        """The blocks that can hold one of the best ``request.limit`` messages; None: all, as nothing bounds them.
+
+        For words any of which will do. The best blocks of all words give a first threshold: the score of the last of the
+        messages asked for, among those that they hold and that pass the filters. A block is left out if its bound, with the
+        best that all other words can add, stays below it. So a message of a block that is left out isn't among the best,
+        and what others miss of their scores is too little to matter.
+        """
+        tree = ranking.parse(request.text.strip())
+        found = list(dict.fromkeys(ranking.terms(tree)))
+        if not found or tree.must or tree.never or any(not isinstance(x, ranking.Term) or len(x.words) != 1 for x in tree.should):
+            return None
+        words, fields = _asked(found)
+        times: dict[tuple[str, str], int] = {}  # words may be asked for several times
+        for t in found:
+            for f in [t.field] if t.field else ranking.FIELDS:
+                times[t.words[0], f] = times.get((t.words[0], f), 0) + 1
+        if self.at_most(words) < SKIP_FROM:
+            return None
+        held = self.blocks_of(words, fields)
+        lists = held.groupBy("term", "field", "generation").agg(F.max("impact").alias("impact"), F.sum(F.col("postings").cast("long")).alias("postings")).collect()
+        lists = [r for r in lists if (r["term"], r["field"]) in times]
+        if sum(r["postings"] for r in lists) < SKIP_FROM:
+            return None
+        df = {(r["term"], r["field"]): r["df"] for r in self.frequencies(words, fields).collect()}
+        weights, scale = ranking.FIELDS | ranking.ALSO, {}
+        for r in lists:  # a block's bound is its impact times this: the impact was taken at another mean length, which can't make it more than in proportion
+            n, mean = self.fields[r["field"]]
+            then = self._states[r["generation"]][r["field"]]["mean"] or 1.0
+            have = df[r["term"], r["field"]]
+            idf = math.log(1 + (n - have + 0.5) / (have + 0.5))
+            scale[r["term"], r["field"], r["generation"]] = times[r["term"], r["field"]] * weights[r["field"]] * idf * (ranking.K1 + 1) * max(1.0, mean / then)
+        most: dict[tuple[str, str], float] = {}
+        for r in lists:
+            key = (r["term"], r["field"])
+            most[key] = max(most.get(key, 0.0), r["impact"] * scale[*key, r["generation"]])
+        each = lambda value: reduce(lambda c, k: c.when((F.col("term") == k[0]) & (F.col("field") == k[1]) & (F.col("generation") == k[2]), F.lit(value(k))), scale, F.when(F.lit(False), F.lit(0.0)))
+        bound = F.col("impact") * each(scale.get)
+        wanted = 4 + 2 * -(-request.limit // BLOCK) * len(most)
+        top = [r["bound"] for r in held.select(bound.alias("bound")).orderBy(F.desc("bound")).limit(wanted).collect()]
+        first = self.scored(request.text.strip(), held.filter(bound >= top[-1]))
+        if request.has_filters():
+            first = first.join(self.messages.filter(filters(request)).select("doc_id"), "doc_id")
+        scores = [r["score"] for r in first.select("score").orderBy(F.desc("score")).limit(request.limit).collect()]
+        if len(scores) < request.limit:
+            return None
+        threshold, whole = scores[-1] - 2 * STEP, sum(most.values())
+        least = {k: (threshold - (whole - most[k[:2]])) / scale[k] if scale[k] else 0.0 for k in scale}
+        return held.filter(F.col("impact") >= each(least.get))
+
     def search(self, request: SearchRequest) -> DataFrame:
-        """As ``search.search``, from the index."""
-        return self._best(request, self.scored(request.text.strip()) if request.text.strip() else None)
+        """As ``search.search``, from the index: the same rows in the same order."""
+        text = request.text.strip()
+        if not text or request.limit <= 0:
+            return self._best(request, None)
+        return self._best(request, self.scored(text, self.best_blocks(request)))
 
     def _best(self, request: SearchRequest, scores: DataFrame | None) -> DataFrame:
         docs = self.messages
+        columns = [F.coalesce("snippet", F.lit("")).alias("snippet") if name == "snippet" else c for name, c in zip(RESULT, result_columns(F.lit(0.0)), strict=True)]
         if request.limit <= 0 or scores is None and not request.has_filters():
-            return docs.limit(0).select(*result_columns(F.lit(0.0)))
+            return docs.limit(0).select(*columns)
         matching = docs.filter(filters(request))
         if scores is not None:
-            matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(scores, "doc_id").select(*RESULT)  # snippets, not bodies
+            matching = matching.select(*columns).drop("score").join(scores, "doc_id").select(*RESULT)
             return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
-        return matching.select(*result_columns(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
+        return matching.select(*columns).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
 
     def search_all(self, requests: dict[str, SearchRequest]) -> DataFrame:
         """``request`` and the result rows of several named requests, as one job."""
@@ -230,17 +197,6 @@ class StoredIndex:
         return reduce(lambda a, b: a.unionByName(b), found)
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def _summed(rows: DataFrame) -> list[int]:
-    """Messages, and their tokens in each field."""
-    sums = [F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0)).cast("long") for i in range(len(ALL_FIELDS))]
-    return list(rows.agg(F.count("*"), *sums).first())
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Spark's own file systems."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _asked(found: list[ranking.Term]) -> tuple[list[str], list[str]]:
+    """The words and the fields of single-word terms."""
+    return sorted({t.words[0] for t in found}), list(dict.fromkeys(f for t in found for f in ([t.field] if t.field else ranking.FIELDS)))

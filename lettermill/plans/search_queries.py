@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import fulltext, ranking, search
 from ..operators.search import SearchRequest
+from ..operators.fulltext_index import FulltextIndex
 from ..operators.stored_index import StoredIndex
 from ..session import scratch_folder, table
 from .registry import query
@@ -227,21 +228,41 @@ def _pair_sql(first: str, second: str) -> str:
     return f"len(list_filter(generate_series(1, len(t_body) - 1), lambda i: t_body[i] = '{first}' and t_body[i + 1] = '{second}'))"
 
 
+def _fulltext(spark: SparkSession, folder: str) -> FulltextIndex:
+    return FulltextIndex.write(messages(spark, folder, all_cores=True), scratch_folder(spark))
+
+
 @query(_fulltext_sql("f_a > 0 and f_b > 0", {"a": _word_sql("license"), "b": _word_sql("apache")}))
 def fulltext_and(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.search(messages(spark, folder, all_cores=True), "License AND apache")
+    return _fulltext(spark, folder).search("License AND apache")
 
 
 @query(_fulltext_sql("f_a > 0", {"a": _pair_sql("apache", "license")}))
 def fulltext_phrase(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.search(messages(spark, folder, all_cores=True), 'body : "apache license"')
+    return _fulltext(spark, folder).search('body : "apache license"')
 
 
 @query(_fulltext_sql("(f_a > 0 or f_b > 0)", {"a": "len(list_filter(t_body, lambda x: starts_with(x, 'apach')))", "b": _pair_sql("apache", "license")}, f"timestamp_ms between {START_MS} and {START_MS + 200 * _DAY}"))
 def fulltext_prefix_date(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.search(messages(spark, folder, all_cores=True), "body: (apach* OR apache + license)", START_MS, START_MS + 200 * _DAY)
+    return _fulltext(spark, folder).search("body: (apach* OR apache + license)", START_MS, START_MS + 200 * _DAY)
+
+
+@query(f"""
+with {MESSAGES.strip()}, tok as (select doc_id, list_filter(regexp_split_to_array(strip_accents(lower(body)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as t from messages),
+place as (select doc_id, unnest(range(len(t))) as i, unnest(t) as word from tok)
+select distinct a.doc_id from place a join place b using (doc_id) where a.word = 'apache' and b.word = 'version' and abs(a.i - b.i) <= 4
+""")
+def fulltext_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Words with at most three others between them."""
+    return _fulltext(spark, folder).search("body: NEAR(apache version, 3)", limit=10**6).select("doc_id")
+
+
+@query(_fulltext_sql("f_a > 0 and f_b > 0", {"a": _word_sql("license"), "b": _word_sql("apache")}))
+def fulltext_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without an index, in two passes over the texts."""
+    return fulltext.search(messages(spark, folder, all_cores=True), "License AND apache")
 
 
 @query(_fulltext_sql("f_a > 0 and f_b = 0", {"a": _word_sql("license"), "b": _word_sql("src3", ("account",))}).replace("ln((n - d_b + 0.5) / (d_b + 0.5)) * f_b", "0 * f_b"))
 def fulltext_not(spark: SparkSession, folder: str) -> DataFrame:
-    return fulltext.search(messages(spark, folder, all_cores=True), "license NOT account: src3")
+    return _fulltext(spark, folder).search("license NOT account: src3")

@@ -69,3 +69,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if it comes in fewer partitions: for costly expressions over small files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes of files up to which a written table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A table on disk with the hint to broadcast it, if its files say that it is small; else as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.hint("broadcast") if size <= BROADCAST_BYTES else df

@@ -4,8 +4,11 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lettermill.operators import fulltext
+from lettermill.operators.block_index import _after
+from lettermill.operators.fulltext_index import FulltextIndex
 from lettermill.operators.ranking import QueryError
 
 SCHEMA = "doc_id long, timestamp_ms long, " + ", ".join(f"{c} string" for c in fulltext.COLUMNS)
@@ -46,6 +49,40 @@ def test_equals_the_engine(spark, rows, query):
     assert [r["score"] for r in found] == sorted(r["score"] for r in found)
 
 
+@pytest.fixture(scope="module")
+def indexes(spark, rows, tmp_path_factory):
+    """All rows, as built at once, and after updates that changed and removed some."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = FulltextIndex.write(docs, str(tmp_path_factory.mktemp("whole")))
+    other = docs.withColumn("body", F.lit("alpha other text beta"))
+    updated = FulltextIndex.write(other.filter("doc_id < 140").unionByName(docs.filter("doc_id >= 140").withColumn("doc_id", F.col("doc_id") + 1000)), str(tmp_path_factory.mktemp("updated")))
+    updated = updated.update(docs.filter("doc_id < 70"), docs.select(F.col("doc_id") + 1000)).update(docs.filter("doc_id >= 70"), docs.limit(0).select("doc_id"))
+    return whole, updated
+
+
+@pytest.mark.parametrize("query", [*QUERIES, "^x*", "e*", '"gamma del"*', "NEAR(al* beta, 3)", "-subject: x1 *"])
+def test_index_gives_the_same(spark, rows, indexes, query):
+    want = [tuple(r) for r in fulltext.search(spark.createDataFrame(rows, SCHEMA), query, limit=1000).collect()]
+    for index in indexes:
+        assert [tuple(r) for r in index.search(query, limit=1000).collect()] == want
+    some = [tuple(r) for r in fulltext.search(spark.createDataFrame(rows, SCHEMA), query, 200, 900, limit=5).collect()]
+    assert [tuple(r) for r in indexes[0].search(query, 200, 900, limit=5).collect()] == some
+
+
+def test_index_reads_no_texts(spark, indexes):
+    index = indexes[0]
+    plan = index.blocks_of(["beta"], ["body"], ["alp"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(term,alp)" in plan
+    assert {r["term"] for r in index.blocks_of([], ["body"], ["alp"]).collect()} == {"alpha"}
+    assert index.search(" ").collect() == [] and index.search("nothing").collect() == [] and index.search('""').collect() == []
+    with pytest.raises(QueryError):
+        index.search("(alpha")
+
+
+def test_ends_of_prefixes():
+    assert _after("ab") == "ac" and _after("a\ud7ff") == "a\ue000" and _after("a\U0010ffff") == "b" and _after("\U0010ffff") is None
+
+
 @pytest.mark.parametrize("query", ["zzzz-never-generated", "account:account-1", "nocolumn:x", "(alpha", "alpha)", '"open', "alpha AND", "OR alpha", "NOT alpha", "*", "alpha @ beta", "NEAR(alpha beta, x)", "{subject alpha", "subject:", "- alpha"])
 def test_errors_are_the_engine_s(rows, query):
     with pytest.raises(QueryError):

@@ -1,6 +1,7 @@
 """Search requests over three messages, the query language, dates and text functions."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from lettermill.functions.ranks import nearest_rank, plain_nearest_rank
 from lettermill.functions.types import ddl
 from lettermill.operators import ranking, search
 from lettermill.operators.search import SearchRequest
-from lettermill.operators.stored_index import StoredIndex
+from lettermill.operators.stored_index import NothingIndexed, StoredIndex
 from lettermill.schemas import SEARCH_DOCS, SchemaError, validate
 
 
@@ -76,20 +77,28 @@ def test_requests(docs, request_, ids):
 TEXTS = ["invoice", "gamma OR beta", '"invoice alpha"', "alpha invoice", "subject:alpha", "+invoice -alpha -beta", "(alpha OR gamma) AND label:sent", "nothing", '"body words" -gamma', "sender:alice subject:gamma", "-"]
 
 
+def found(index, request):
+    return [(r["doc_id"], r["score"]) for r in index.search(request).collect()]
+
+
+def wanted(docs, request):
+    return [(r["doc_id"], r["score"]) for r in search.search(docs, request).collect()]
+
+
 def test_stored_index_gives_the_same(spark, docs, tmp_path):
     index = StoredIndex.write(docs, str(tmp_path / "index"))
     again = StoredIndex(spark, str(tmp_path / "index"))
     for text_ in TEXTS:
         request = SearchRequest(text=text_, date_from=0)
-        want = [(r["doc_id"], r["score"]) for r in search.search(docs, request).collect()]
-        assert [(r["doc_id"], r["score"]) for r in index.search(request).collect()] == want, text_
+        assert found(index, request) == wanted(docs, request), text_
     assert [r["doc_id"] for r in again.search(SearchRequest(sender="alice")).collect()] == [2, 0] and again.search(SearchRequest()).count() == 0
     plan = again.scored("alpha")._jdf.queryExecution().toString()
-    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "body:string" not in plan
+    rows = [r.asDict() for r in index.search(SearchRequest(text="alpha invoice")).collect()]
+    assert rows == [r.asDict() for r in search.search(docs, SearchRequest(text="alpha invoice")).collect()]
 
 
 def test_updated_index_equals_a_rebuild(spark, docs, tmp_path):
-    rows = docs.orderBy("doc_id").collect()
     new = docs.filter("doc_id = 0").withColumn("doc_id", F.lit(77).cast("long")).withColumn("body", F.lit("beta words of a new message"))
     changed = docs.filter("doc_id = 1").withColumn("body", F.lit("alpha alpha changed body words")).unionByName(new)
     removed = docs.filter("doc_id = 2").select("doc_id")
@@ -98,18 +107,78 @@ def test_updated_index_equals_a_rebuild(spark, docs, tmp_path):
     again = index.update(docs.filter("doc_id = 1"), docs.filter("doc_id in (77, 3)").select("doc_id").union(spark.createDataFrame([(12345,)], "doc_id long")))
     then = want.filter("doc_id not in (1, 3)").unionByName(docs.filter("doc_id = 1"))
     for held, projection in ((index, want), (again, then)):
-        for one in (held, held.compacted(str(tmp_path / f"compact{held.generation}"))):
+        for one in (held, held.compacted(str(tmp_path / f"compact{held.last}"))):
             assert one.messages.count() == projection.count()
             for text_ in TEXTS + ["changed", "words", "new"]:
-                request = SearchRequest(text=text_)
-                assert [(r["doc_id"], r["score"]) for r in one.search(request).collect()] == [(r["doc_id"], r["score"]) for r in search.search(projection, request).collect()], text_
-    assert len(rows) == docs.count() and StoredIndex(spark, str(tmp_path / "index")).generation == 2
-    os.rename(tmp_path / "index/state/generation=2", tmp_path / "index/unfinished")  # an update that didn't end
-    assert [r["doc_id"] for r in StoredIndex(spark, str(tmp_path / "index")).search(SearchRequest(text="changed")).collect()] == [1]
-    both = again.search_all({"a": SearchRequest(text="alpha"), "b": SearchRequest(sender="alice")}).collect()
+                assert found(one, SearchRequest(text=text_)) == wanted(projection, SearchRequest(text=text_)), text_
+    last = again.last
+    os.rename(tmp_path / f"index/state/generation={last}", tmp_path / "index/unfinished")  # an update that didn't end
+    before = StoredIndex(spark, str(tmp_path / "index"))
+    assert before.last < last and before.search(SearchRequest(text="alpha")).count() > 0
+    both = before.search_all({"a": SearchRequest(text="alpha"), "b": SearchRequest(sender="alice")}).collect()
     assert {r["request"] for r in both} == {"a", "b"}
 
 
+def made(spark, docs, rows):
+    """Messages with these bodies, else like the first of ``docs``."""
+    first = docs.filter("doc_id = 0").drop("doc_id", "body")
+    return spark.createDataFrame(rows, "doc_id long, body string").crossJoin(first).select(docs.columns)
+
+
+def test_generations_stay_few_and_frequencies_exact(spark, docs, tmp_path):
+    rng = random.Random(41)
+    text = lambda: " ".join(rng.choices("alpha beta gamma delta the of and".split(), k=rng.randint(1, 30)))
+    held = {i: text() for i in range(400)}
+    index, most = StoredIndex.write(made(spark, docs, [*held.items()]), str(tmp_path / "index")), 0
+    for step in range(10):
+        changed = {rng.randrange(450): text() for _ in range(12)}
+        removed = [i for i in rng.sample(range(450), 5) if i not in changed]
+        index = index.update(made(spark, docs, [*changed.items()]), spark.createDataFrame([(i,) for i in removed], "doc_id long"))
+        held = {i: t for i, t in held.items() if i not in removed} | changed
+        most = max(most, len(index.live))
+        if step in (0, 4, 9):
+            count = lambda w: sum(w in t.split() for t in held.values())
+            df = {r["term"]: r["df"] for r in index.frequencies(["alpha", "the"], ["body"]).collect()}
+            assert df == {w: count(w) for w in ("alpha", "the")} and index.n == len(held)
+            request = SearchRequest(text="body:alpha body:delta", limit=1000)
+            assert found(index, request) == wanted(made(spark, docs, [*held.items()]), request)
+    assert 2 <= most <= 6, most
+    assert index._gone is not None
+    plan = index.postings(index.blocks_of(["alpha"], ["body"]))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    live = index.live
+    index.vacuum()
+    assert sorted(os.listdir(tmp_path / "index/blocks")) == [f"generation={g}" for g in sorted(live)]
+    assert StoredIndex(spark, str(tmp_path / "index")).frequencies(["the"], ["body"]).first()["df"] == sum("the" in t.split() for t in held.values())
+
+
+@pytest.mark.parametrize("request_", [SearchRequest(text="body:the", limit=20), SearchRequest(text="body:the body:alpha", limit=7), SearchRequest(text="body:the", limit=9, date_from=2000), SearchRequest(text="beta", limit=3), SearchRequest(text="body:the body:the", limit=20), SearchRequest(text="body:the", limit=10**6), SearchRequest(text="+body:the", limit=5), SearchRequest(text='body:"the the"', limit=5)])
+def test_best_blocks_are_enough(spark, docs, tmp_path, monkeypatch, request_):
+    rng = random.Random(42)
+    text = lambda n: " ".join(rng.choices("the of and alpha beta".split(), [30, 20, 10, 2, 1], k=n))
+    rows = [(i, text(rng.randint(1, 60))) for i in range(3000)] + [(i, "the the the") for i in range(5000, 5040)]  # forty that tie
+    projection = made(spark, docs, rows).withColumn("timestamp_ms", F.col("doc_id"))
+    monkeypatch.setattr("lettermill.operators.stored_index.SKIP_FROM", 0)
+    index = StoredIndex.write(projection.filter("doc_id % 9 > 0"), str(tmp_path / "index"))
+    index = index.update(projection.filter("doc_id % 9 = 0"), spark.createDataFrame([(7,), (8,)], "doc_id long"))
+    assert len(index.live) == 2
+    assert found(index, request_) == wanted(projection.filter("doc_id not in (7, 8)"), request_)
+    if request_.text == "body:the" and request_.limit == 20:
+        used, held = index.best_blocks(request_).count(), index.blocks_of(["the"], ["body"]).count()
+        assert 0 < used * 4 < held, (used, held)
+
+
+def test_open_builds_what_is_missing(spark, docs, tmp_path):
+    built = []
+    parsed = lambda rows, failed: lambda: (built.append(1), (rows, failed))[1]
+    folder = str(tmp_path / "index")
+    with pytest.raises(NothingIndexed):
+        StoredIndex.open(spark, folder, parsed(docs.limit(0), 3))
+    assert StoredIndex.open(spark, folder, parsed(docs.limit(0), 0)).n == 0 and len(built) == 2  # an empty archive has an empty index
+    assert StoredIndex.open(spark, folder, parsed(docs, 1)).n == docs.count() and len(built) == 3
+    assert StoredIndex.open(spark, folder, parsed(docs.limit(0), 5)).n == docs.count() and len(built) == 3
+
+
 def test_postings_in_a_row(spark):
     made = spark.createDataFrame([(1, "b a b, c B"), (2, ""), (3, None), (4, "z")], "doc_id long, body string")
     found = {(r["doc_id"], r["term"]): (r["tf"], r["positions"], r["dl"]) for r in ranking.postings(made, ["body"]).collect()}
