@@ -11,8 +11,8 @@ from ..operators import cas, catalogue, index, integrity, recovery, statistics
 from ..operators.search import exists_by_key
 from ..sources import segments, synthetic
 from ..streaming import events as event_windows
-from ..streaming import sync
-from ..session import kept, table
+from ..streaming import feed, sync
+from ..session import kept, scratch_folder, table
 from .registry import query
 
 _DIGEST = "sha256(o_orderkey::varchar)"
@@ -369,7 +369,7 @@ def feed_ambiguous_runs(spark: SparkSession, folder: str) -> DataFrame:
     return sync.ambiguous(sync.runs(_feed(spark, folder), ["event_id"]))
 
 
-@query(_EVENTS + """,
+_FOLD = _EVENTS + """,
 st as (
   select message_id, run, record, case when positive and neg then message_id % 2 = 0 else positive end as present, positive and neg and message_id % 2 <> 0 as cleared from g
 ),
@@ -377,7 +377,10 @@ last_ as (select message_id, arg_max(present, run) as present, arg_max(record, r
 select message_id, case when present and message_id % 3 = 0 then 'repair' when present then 'import' when message_id % 3 = 0 then 'tombstone' when needed then 'import-then-tombstone' else 'ignore' end as action,
   case when present then '' else record end as delete_history
 from last_
-""")
+"""
+
+
+@query(_FOLD)
 def feed_last_run_wins(spark: SparkSession, folder: str) -> DataFrame:
     runs = sync.runs(_feed(spark, folder), ["event_id"])
     ids = table(spark, folder, "events").select(F.col("user_id").alias("message_id")).distinct()
@@ -385,6 +388,24 @@ def feed_last_run_wins(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("message_id", "action", F.coalesce("delete_history", F.lit("")).alias("delete_history"))
 
 
+@query(_FOLD)
+def feed_stateful(spark: SparkSession, folder: str) -> DataFrame:
+    """The same fold as a stream: three pages of the feed and one of answers, each a run of its own from the checkpoint."""
+    rows = _feed(spark, folder).select(F.col("message_id").cast("string").alias("message_id"), "record", F.col("event_id").alias("position"), "kind")
+    last = rows.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+    pages, state = scratch_folder(spark), scratch_folder(spark)
+    for lo, hi in ((-1, last // 3), (last // 3, last // 2), (last // 2, last)):
+        feed.write_page(rows.filter(F.col("position").between(lo + 1, hi)), pages, lo + 1, hi)
+        feed.Feed(spark, pages, state).run()
+    known = rows.filter("message_id % 3 = 0")
+    asked = feed.Feed(spark, pages, state).rows().filter("ask")
+    answer = F.when(F.col("message_id") % 2 == 0, feed.FOUND).otherwise(feed.GONE)
+    feed.write_page(asked.select("message_id", F.lit(None).cast("string").alias("record"), F.lit(last + 1).alias("position"), answer.alias("kind")), pages, last + 1, last + 1)
+    feed.Feed(spark, pages, state).run()
+    found = feed.actions(feed.Feed(spark, pages, state).rows(), known)
+    return found.select(F.col("message_id").cast("long").alias("message_id"), "action", F.coalesce("delete_history", F.lit("")).alias("delete_history"))
+
+
 _HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '<\s*(?:script|style)[^>]*>.*?(?:<\s*/(?:script|style)[^>]*>|$)', '', 'gis'), '<\s*(?:br|/p|/div)[^>]*>', chr(10), 'gi'), '<[^>]*(?:>|$)', '', 'g')"""
 _PLAIN = f"replace(replace(replace(replace({_HTML}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
 
