@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .integrity import overlapping
 
 # The dispositions' stable labels.
@@ -137,3 +140,38 @@ def repair(missing: DataFrame, evidence: DataFrame, messages: DataFrame, fetched
     digest = F.unhex(F.sha2("raw", 256)) == F.col("raw_digest")
     outcome = F.when(F.col("known").isNull(), "refused: not one present identity").when(F.col("raw").isNull(), "unavailable").when(~F.coalesce(same, F.lit(False)), "refused: another identity").when(~digest, "refused: digest differs").otherwise("repaired")
     return rows.select("doc_id", F.when(outcome == "repaired", F.col("raw")).alias("raw"), outcome.alias("outcome"))
+
+
+PUBLISHED, CONFLICT = "published", "conflict"
+
+
+def expected_rows(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, expected``: the catalogue rows of ``wanted(doc_id)`` as they are when a recovery begins."""
+    return messages.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(c) for c in messages.columns]).alias("expected"))
+
+
+def publish(messages: DataFrame, expected: DataFrame, evidence: DataFrame, chosen: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalogue after exact repairs, and ``doc_id, outcome, reason, segment, offset`` of each.
+
+    ``expected`` as from ``expected_rows`` before the bytes were fetched; ``evidence`` as from ``source_evidence`` now;
+    ``chosen(doc_id, kind, source_account, identity)`` the identity that was fetched; ``placed(doc_id, segment, offset,
+    frame_bytes)`` the new frame, which is durable. A record's coordinate is replaced only if exactly one row of the catalogue
+    has its id, that row equals the expected one in every column, and the source's identity is still there and the only one.
+    Otherwise nothing of the catalogue changes, and the frame stays where it is as an orphan.
+    """
+    old = placed.select("doc_id", "segment", "offset", "frame_bytes").join(expected, "doc_id", "left")
+    now = messages.join(placed.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows"), F.first(F.struct(*[F.col(c) for c in messages.columns])).alias("now"))
+    sole = evidence.filter("refetchable = 1 and deleted = 0 and invalid = 0 and size(identities) = 1").select("doc_id", F.col("identities")[0].alias("held"))
+    rows = old.join(now, "doc_id", "left").join(sole, "doc_id", "left").join(chosen.select("doc_id", "kind", "source_account", "identity"), "doc_id", "left")
+    same = reduce(lambda a, b: a & b, [F.col(f"held.{c}").eqNullSafe(F.col(c)) for c in ("kind", "source_account", "identity")], F.lit(True))
+    changed = ~reduce(lambda a, b: a & b, [F.col(f"now.{c}").eqNullSafe(F.col(f"expected.{c}")) for c in messages.columns], F.lit(True))
+    reason = (
+        F.when(F.coalesce("rows", F.lit(0)) != 1, F.concat(F.coalesce("rows", F.lit(0)).cast("string"), F.lit(" catalogue rows")))
+        .when(F.col("expected").isNull() | changed, "the catalogue row changed").when(F.col("held").isNull(), "not one present identity").when(~same, "another identity")
+    )
+    outcome = F.when(reason.isNull(), PUBLISHED).otherwise(CONFLICT)
+    judged = kept(rows.select("doc_id", outcome.alias("outcome"), reason.alias("reason"), "segment", "offset", "frame_bytes"), "judged")
+    new = judged.filter(F.col("outcome") == PUBLISHED).select("doc_id", F.struct("segment", "offset", "frame_bytes").alias("_new"))
+    to = {"segment": "segment", "archive_offset": "offset", "frame_bytes": "frame_bytes"}
+    values = [F.coalesce(F.col(f"_new.{to[c]}"), F.col(c)).alias(c) if c in to else F.col(c) for c in messages.columns]
+    return messages.join(new, "doc_id", "left").select(*values), judged.drop("frame_bytes")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import formatting, hashes
-from ..operators import catalogue, index, integrity, mime, recovery, statistics
+from ..operators import catalogue, index, integrity, mime, reconcile, recovery, statistics
 from ..operators.search import SearchRequest
 from ..operators.stored_index import NothingIndexed, StoredIndex
 from ..schemas import CATALOGUE, INDEXED_DOCS, SEARCH_DOCS, SchemaError, validate
@@ -373,6 +375,83 @@ def recovery_repair(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "outcome", (F.coalesce(F.col("kind") == "imap", F.lit(False)) & (F.col("outcome") == "repaired")).alias("from_mailbox"))
 
 
+@query("""
+with o as (select o_orderkey as doc_id, o_orderkey % 6 as k from orders where o_orderkey % 3 < 2)
+select doc_id, case when k in (0, 1) then 'published' else 'conflict' end as outcome,
+  coalesce(case k when 3 then 'the catalogue row changed' when 4 then 'not one present identity' end, case when k not in (0, 1, 3, 4) then 'odd' end, '') as reason,
+  case when k in (0, 1) then 'validated' else 'orphan' end as state, case when k in (0, 1) then 1 when k = 3 then 5 else 0 end as moved
+from o union all
+select o_orderkey, 'conflict', case when o_orderkey % 6 = 2 then '2 catalogue rows' else '0 catalogue rows' end, 'orphan', 0 from orders where o_orderkey % 3 = 2
+""")
+def recovery_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact repairs against a catalogue that changed meanwhile: rows that moved, doubled or went, identities that were deleted."""
+    k = F.col("doc_id") % 6
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    raw = F.encode(F.concat(F.lit("raw "), F.col("doc_id").cast("string")), "UTF-8")
+    held = orders.select("doc_id", F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">")).alias("message_id"), F.lit("segment-999999.arc").alias("segment"), F.lit(0).cast("long").alias("archive_offset"), F.lit(1).cast("long").alias("frame_bytes"), F.unhex(F.sha2(raw, 256)).alias("raw_digest"))
+    expected = kept(recovery.expected_rows(held, orders), "expected")
+    path = f"{scratch_folder(spark)}/raw"
+    placed = segments.write_segments(orders.withColumn("raw", raw), path, LIMIT)
+    now = held.filter(k != 5).withColumn("archive_offset", F.when(k == 3, 5).otherwise(F.col("archive_offset")).cast("long"))
+    now = kept(now.unionByName(held.filter(k == 2)), "now")
+    state = F.when(k == 4, "deleted").otherwise("present").alias("source_state")
+    gmail = orders.select("doc_id", F.lit("gmail:a").alias("source_account"), F.col("doc_id").cast("string").alias("gmail_message_id"), state)
+    none = gmail.limit(0).select("doc_id", "source_account", F.lit("").alias("mailbox"), F.lit(1).cast("long").alias("uid_validity"), F.lit(1).cast("long").alias("uid"), "source_state")
+    chosen = orders.select("doc_id", F.lit("gmail").alias("kind"), F.lit("gmail:a").alias("source_account"), F.col("doc_id").cast("string").alias("identity"))
+    after, outcomes = recovery.publish(now, expected, recovery.source_evidence(gmail, none), chosen, placed)
+    after = kept(after, "after")
+    states = integrity.classify_frames(kept(segments.read_frames(spark, path).drop("raw"), "frames"), after).select(F.col("doc_id").cast("long").alias("doc_id"), "state")
+    moved = after.groupBy("doc_id").agg(F.max(F.when(F.col("segment") != "segment-999999.arc", 1).otherwise(F.col("archive_offset"))).cast("int").alias("moved"))
+    found = outcomes.select("doc_id", "outcome", F.coalesce("reason", F.lit("")).alias("reason"))
+    return found.join(states, "doc_id").join(moved, "doc_id", "left").select("doc_id", "outcome", "reason", "state", F.coalesce("moved", F.lit(0)).alias("moved"))
+
+
+def _pass_sql(i: int, name: str, key: str) -> str:
+    a, b = f"a{i}", f"b{i}"
+    return f"""
+k{a} as (select *, {key} as k from {a}), k{b} as (select *, {key} as k from {b}),
+both{i} as (select * from (select k, count(*) as n_a, min(id) as a_one from k{a} where k is not null group by k) join (select k, count(*) as n_b, min(id) as b_one from k{b} where k is not null group by k) using (k)),
+out{i} as (
+  select '{name}' as pass, case when n_b = 1 then 'one-to-one' else 'one-to-many' end as kind, a_one as a_id, id as b_id from k{b} join both{i} using (k) where n_a = 1
+  union all select '{name}', 'many-to-one', id, b_one from k{a} join both{i} using (k) where n_a > 1 and n_b = 1
+),
+a{i + 1} as (select x.* exclude (k, met), case when met is not null then met when n_a is not null then '{name}' end as met from k{a} x left join both{i} using (k) where not coalesce(n_a = 1 or n_b = 1, false)),
+b{i + 1} as (select x.* exclude (k, met), case when met is not null then met when n_a is not null then '{name}' end as met from k{b} x left join both{i} using (k) where not coalesce(n_a = 1 or n_b = 1, false))"""
+
+
+@query(f"""
+with seen as (select o_orderkey as key, md5(o_orderkey::varchar || o_orderstatus) as digest, '<' || o_orderkey || '@x>' as message_id, epoch_ms(o_orderdate) as date_ms, o_custkey as size from orders),
+a0 as (select key as id, case when key % 50 = 7 then 'same' else digest end as digest, message_id, date_ms, size, null::varchar as met from seen where key % 11 <> 3),
+b0 as (
+  select key * 10 + copy as id, case when key % 50 = 7 then 'same' when key % 5 = 0 then md5(digest) else digest end as digest, case when key % 10 = 0 then null when key % 50 = 7 then '<swapped>' else message_id end as message_id, date_ms, size, null::varchar as met
+  from seen, (select unnest([0, 1]) as copy) where key % 13 <> 5 and (copy = 0 or key % 17 = 0)
+),{_pass_sql(0, "digest", "digest")},{_pass_sql(1, "message-id", "message_id")},{_pass_sql(2, "date-size", "case when date_ms is not null and size is not null then date_ms::varchar || ' ' || size::varchar end")}
+select * from out0 union all select * from out1 union all select * from out2
+union all select met, case when met is null then 'only-a' else 'ambiguous' end, id, null from a3 union all select met, case when met is null then 'only-b' else 'ambiguous' end, null, id from b3
+""")
+def reconcile_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Two views of one mailbox: rewritten bytes, lost and swapped Message-IDs, messages in two mailboxes, messages of one side."""
+    key, digest = F.col("o_orderkey"), F.md5(F.concat(F.col("o_orderkey").cast("string"), F.col("o_orderstatus")))
+    message_id = F.concat(F.lit("<"), key.cast("string"), F.lit("@x>"))
+    fixed = [F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("date_ms"), F.col("o_custkey").alias("size")]
+    orders = table(spark, folder, "orders")
+    a = orders.filter(key % 11 != 3).select(key.alias("id"), F.when(key % 50 == 7, "same").otherwise(digest).alias("digest"), message_id.alias("message_id"), *fixed)
+    copies = orders.filter(key % 13 != 5).withColumn("copy", F.explode(F.when(key % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    other = F.when(key % 50 == 7, "same").when(key % 5 == 0, F.md5(digest)).otherwise(digest)
+    b = copies.select((key * 10 + F.col("copy")).alias("id"), other.alias("digest"), F.when(key % 10 == 0, None).when(key % 50 == 7, "<swapped>").otherwise(message_id).alias("message_id"), *fixed)
+    return reconcile.reconcile(a, b)
+
+
+@query("select doc_id, md5(text) as digest from documents union all select -1, md5(text) from documents where doc_id % 50 = 3")
+def segment_pushdown(spark: SparkSession, folder: str) -> DataFrame:
+    """All frames by the source; and, below -1, some again by filters that it takes: a segment's name, and offsets in it."""
+    path, rows = _archive(spark, folder)
+    source = lambda: segments.read_segments(spark, path).filter("status = 'valid'")
+    wanted = rows.filter("doc_id % 50 = 3").groupBy("segment").agg(F.collect_list("archive_offset").alias("offsets")).collect()  # a segment has a bounded number of frames
+    some = [source().filter((F.col("segment") == r["segment"]) & F.col("offset").isin(r["offsets"])).select(F.lit(-1).cast("long").alias("doc_id"), F.md5("raw").alias("digest")) for r in wanted]
+    return reduce(lambda x, y: x.unionByName(y), some, source().select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("raw").alias("digest")))
+
+
 @query("select distinct l_orderkey * 10 + l_linenumber as uid from lineitem where l_linenumber % 2 = 0 and l_returnflag = 'N' and l_orderkey not in (select l_orderkey from lineitem where l_linenumber % 2 = 1)")
 def guard_mailbox_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Mailbox rows that are still as expected and whose message no other source claims."""

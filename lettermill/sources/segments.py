@@ -11,15 +11,15 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 from itertools import groupby
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from ..functions.fills import filled
 from ..functions.hashes import fnv64
@@ -257,7 +257,7 @@ def next_segment(on_disk: list[str], claimed: list[str]) -> int:
 
 
 class SegmentSource(DataSource):
-    """``spark.read.format("segments").load(folder)`` for folders that executors can open; one partition a segment."""
+    """``read_segments``: one partition a segment, and only those that the filters leave; a coordinate is read by a seek."""
 
     @classmethod
     def name(cls) -> str:
@@ -270,14 +270,72 @@ class SegmentSource(DataSource):
         return _Reader(self.options["path"])
 
 
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The frames of a folder's segments, on any file system that Arrow opens, with filters on segment and offset pushed down.
+
+    A filter on both by equality reads the bytes of those frames alone. As it doesn't look at what stands before them, it also
+    finds a frame behind a corrupt one, where a scan ends. Spark keeps pushed filters with the loaded source: for two filters
+    in one query, load it twice.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SegmentSource)
+    return spark.read.format("segments").load(folder)
+
+
+@dataclass
+class _Part(InputPartition):
+    segment: str
+    offsets: tuple[int, ...] | None  # frames to seek; None: all
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
+        self.segments: set[str] | None = None
+        self.offsets: set[int] | None = None
+        self.least, self.most = 0, (1 << 63) - 1
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality and membership of segment and offset, and bounds of offset; Spark applies the others."""
+        both = lambda held, new: set(new) if held is None else held & set(new)
+        for one in filters:
+            column = one.attribute if isinstance(one, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) else None
+            values = one.value if isinstance(one, In) else (one.value,) if column else ()
+            if column == ("segment",) and isinstance(one, (EqualTo, In)):
+                self.segments = both(self.segments, values)
+            elif column == ("offset",) and isinstance(one, (EqualTo, In)):
+                self.offsets = both(self.offsets, values)
+            elif column == ("offset",) and isinstance(one, (GreaterThan, GreaterThanOrEqual)):
+                self.least = max(self.least, one.value + isinstance(one, GreaterThan))
+            elif column == ("offset",):
+                self.most = min(self.most, one.value - isinstance(one, LessThan))
+            elif not (isinstance(one, IsNotNull) and one.attribute in (("segment",), ("offset",))):
+                yield one
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.arc"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = Path(partition.value)
-        for row in scan(path.name, path.read_bytes()):
-            yield (*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:])
+        system, root = _opened(self.path)
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith(".arc") and not f.base_name.startswith("."))
+        wanted = [n for n in names if self.segments is None or n in self.segments]
+        spots = None if self.offsets is None else tuple(sorted(x for x in self.offsets if x is not None and self.least <= x <= self.most))
+        return [_Part(n, spots) for n in wanted] if spots is None or spots else []
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        system, root = _opened(self.path)
+        with system.open_input_file(f"{root}/{partition.segment}") as file:
+            for row in self._rows(file, partition):
+                yield (*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:])
+
+    def _rows(self, file, partition: _Part) -> Iterator[tuple]:
+        if partition.offsets is None:
+            yield from (r for r in scan(partition.segment, file.read()) if self.least <= r[1] <= self.most)
+            return
+        size, rest = file.size(), set()
+        for at in partition.offsets:
+            row = _frame_at(file, size, partition.segment, at)
+            if row[5] == "valid":
+                yield row
+            elif row[5] != "missing":
+                rest.add(at)
+        if rest:  # a fault, or no frame's start: a scan tells
+            file.seek(0)
+            yield from (r for r in scan(partition.segment, file.read()) if r[1] in rest)

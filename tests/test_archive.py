@@ -42,8 +42,7 @@ def test_round_trip_and_rotation(spark, archive):
     assigned = {r["doc_id"]: (f"segment-{r['segment_number']:06d}.arc", r["offset"]) for r in segments.assign_segments(sizes, "doc_id", "size", "writer", 200).collect()}
     assert assigned == {i: (s, o) for i, s, o, _ in placed}
     assert segments.next_segment(["segment-000003.arc", "x"], ["segment-000007.arc", "../segment-9.arc"]) == 8
-    spark.dataSource.register(segments.SegmentSource)
-    assert spark.read.format("segments").load(folder).count() == 12
+    assert segments.read_segments(spark, folder).count() == 12
     summary = catalogue.archive_summary(messages, integrity.record_inventory(messages, frames, segments.segment_sizes(spark, folder)), frames).first()
     assert (summary["messages"], summary["available"], summary["missing"]) == (12, 12, 0)
 
@@ -61,6 +60,108 @@ def test_seeks(spark, archive, tmp_path):
     assert segments.read_range(spark, f"file://{folder}", messages, 3, 6).count() == 3
 
 
+class Counting:
+    """A file system that counts the bytes read."""
+
+    def __init__(self, system):
+        self.system, self.bytes, self.opened = system, 0, 0
+
+    def get_file_info(self, what):
+        return self.system.get_file_info(what)
+
+    def open_input_file(self, path):
+        self.opened += 1
+        file, outer = self.system.open_input_file(path), self
+
+        class Reads:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                file.close()
+
+            def read(self, n=None):
+                data = file.read(n)
+                outer.bytes += len(data)
+                return data
+
+            size, seek = file.size, file.seek
+
+        return Reads()
+
+
+def test_filters_reach_the_segment_source(spark, archive, monkeypatch):
+    from pyspark.sql import datasource as D
+
+    folder, messages, raws, placed = archive
+    _, segment, offset, size = placed[7]
+    load = lambda: segments.read_segments(spark, folder)
+    one = load().filter((F.col("segment") == segment) & (F.col("offset") == offset))
+    assert "Filter (" not in one._jdf.queryExecution().executedPlan().toString() and [(int(r["doc_id"]), bytes(r["raw"])) for r in one.collect()] == [(7, raws[7])]
+    every = {(s, o): i for i, s, o, _ in placed}
+    first = placed[0][1]
+    for condition, wanted in (
+        (F.col("segment") == first, {i for i, s, *_ in placed if s == first}), (F.col("segment").isin(first, segment, "none.arc"), {i for i, s, *_ in placed if s in (first, segment)}), (F.col("offset") > 0, {i for i, _, o, _ in placed if o > 0}),
+        ((F.col("offset") >= 10) & (F.col("offset") < 90), {i for i, _, o, _ in placed if 10 <= o < 90}), (F.col("offset").isin(0, 1), {i for i, _, o, _ in placed if o == 0}), ((F.col("offset") == 0) & (F.col("offset") > 0), set()), (F.col("doc_id") == 5, {5}),
+    ):
+        assert {int(r["doc_id"]) for r in load().filter(condition).collect()} == wanted
+    assert len(every) == 12
+    counting = Counting(segments._opened(folder)[0])
+    monkeypatch.setattr(segments, "_opened", lambda path: (counting, path))
+    reader = segments._Reader(folder)
+    rest = [*reader.pushFilters([D.EqualTo(("segment",), segment), D.EqualTo(("offset",), offset), D.IsNotNull(("offset",)), D.EqualTo(("status",), "valid")])]
+    assert rest == [D.EqualTo(("status",), "valid")]
+    (part,) = reader.partitions()
+    assert [r[3] for r in reader.read(part)] == [7] and (counting.opened, counting.bytes) == (1, size)  # the frame and nothing else
+
+
+def test_a_frame_behind_a_corrupt_one(spark, archive):
+    folder, _, raws, placed = archive
+    inside = [p for p in placed if p[1] == placed[-1][1]] if placed[-1][2] else [p for p in placed if p[1] == placed[0][1]]
+    first, last = inside[0], inside[-1]
+    path = f"{folder}/{first[1]}"
+    with open(path, "r+b") as file:
+        file.seek(first[3] - 1)
+        file.write(b"!")
+    load = lambda: segments.read_segments(spark, folder).filter(F.col("segment") == first[1])
+    assert [r["status"] for r in load().collect()] == ["corrupt"]
+    assert [(int(r["doc_id"]), r["status"]) for r in load().filter(F.col("offset") == last[2]).collect()] == [(last[0], "valid")]
+    assert [r["status"] for r in load().filter(F.col("offset") == first[2]).collect()] == ["corrupt"] and load().filter(F.col("offset") == 7).collect() == []
+
+
+def test_publishing_by_compare_and_swap(spark):
+    old = [(i, f"<{i}>", "segment-000000.arc", 100 * i, 50, bytes([i]) * 32) for i in range(1, 7)]
+    schema = "doc_id long, message_id string, segment string, archive_offset long, frame_bytes long, raw_digest binary"
+    before = spark.createDataFrame(old, schema)
+    expected = recovery.expected_rows(before, before.select("doc_id")).cache()
+    expected.count()
+    now = spark.createDataFrame([old[0], old[1], (3, "<3>", "segment-000001.arc", 0, 50, bytes([3]) * 32), old[3], old[3], old[5], (9, "<9>", "s", 0, 1, b"")], schema)
+    gmail = spark.createDataFrame([(i, "gmail:a", f"m{i}", "deleted" if i == 2 else "present") for i in range(1, 7)], "doc_id long, source_account string, gmail_message_id string, source_state string")
+    imap = spark.createDataFrame([], "doc_id long, source_account string, mailbox string, uid_validity long, uid long, source_state string")
+    chosen = spark.createDataFrame([(i, "gmail", "gmail:a", "other" if i == 6 else f"m{i}") for i in range(1, 7)], "doc_id long, kind string, source_account string, identity string")
+    placed = spark.createDataFrame([(i, "segment-000009.arc", 60 * i, 60) for i in range(1, 7)], "doc_id long, segment string, offset long, frame_bytes long")
+    after, outcomes = recovery.publish(now, expected, recovery.source_evidence(gmail, imap), chosen, placed)
+    told = {r["doc_id"]: (r["outcome"], r["reason"]) for r in outcomes.collect()}
+    assert told == {1: ("published", None), 2: ("conflict", "not one present identity"), 3: ("conflict", "the catalogue row changed"), 4: ("conflict", "2 catalogue rows"), 5: ("conflict", "0 catalogue rows"), 6: ("conflict", "another identity")}
+    rows = sorted(map(tuple, after.collect()))
+    assert rows[0] == (1, "<1>", "segment-000009.arc", 60, 60, bytes([1]) * 32) and sorted(map(tuple, now.collect()))[1:] == rows[1:] and after.columns == now.columns
+
+
+def test_reconciliation(spark):
+    from lettermill.operators.reconcile import reconcile
+
+    schema = "id long, digest string, message_id string, date_ms long, size long"
+    a = [(1, "d1", "m1", 1, 1), (2, "d2", "m2", 2, 2), (3, "d3", "m3", 3, 3), (4, "x", "m4", 4, 4), (5, "x", "m5", 5, 5), (6, "d6", None, 6, 6), (7, "y", "y", 7, 7), (8, "y", "y", 7, 7), (9, None, None, None, 9), (10, "z", "z", 8, 8), (11, "z", "z", 8, 8)]
+    b = [(101, "d1", "m1", 1, 1), (102, "d2", "m2", 2, 2), (103, "d2", "m2", 2, 2), (104, "e3", "m3", 0, 0), (105, "x", "m5", 5, 5), (106, "x", "m4", 4, 4), (107, "e6", None, 6, 6), (108, "y", "y", 7, 7), (109, "y", "y", 7, 7), (110, None, None, None, 9), (111, "z", "q", 0, 1)]
+    found = reconcile(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([
+        ("digest", "one-to-one", 1, 101), ("digest", "one-to-many", 2, 102), ("digest", "one-to-many", 2, 103), ("message-id", "one-to-one", 3, 104), ("message-id", "one-to-one", 4, 106), ("message-id", "one-to-one", 5, 105),
+        ("date-size", "one-to-one", 6, 107), ("digest", "ambiguous", 7, None), ("digest", "ambiguous", 8, None), ("digest", "ambiguous", None, 108), ("digest", "ambiguous", None, 109), (None, "only-a", 9, None), (None, "only-b", None, 110),
+        ("digest", "many-to-one", 10, 111), ("digest", "many-to-one", 11, 111),
+    ], key=str)
+    assert reconcile(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).collect() == []
+
+
 def test_writers_fill_their_own_segments(spark, tmp_path):
     folder = str(tmp_path / "many")
     records = spark.createDataFrame([(i, bytes([i % 256]) * (i % 90)) for i in range(300)], "doc_id long, raw binary").repartition(5)
