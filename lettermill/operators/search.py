@@ -89,21 +89,61 @@ def filters(request: SearchRequest) -> Column:
     return reduce(lambda a, b: a & b, clauses + label_clauses(request.labels))
 
 
-def search(docs: DataFrame, request: SearchRequest) -> DataFrame:
+def _filter_terms(request: SearchRequest) -> list[tuple[str, str]]:
+    """Column and value of every filter that looks for a value in a list."""
+    found = []
+    for column, value in (("sender_filter", request.sender), ("recipient_filter", request.recipients)):
+        if value is not None:
+            address = fold(value.strip().strip("<").strip(">"))
+            found += [(column, x) for x in ([address] if "@" in address else [fold(t) for t in "".join(c if c.isalnum() else " " for c in value).split()])]
+    if request.mime is not None and (wanted := fold(request.mime.strip())):
+        found.append(("attachment_family", wanted[:-2]) if wanted.endswith("/*") else ("attachment_mime", wanted))
+    return found + [("labels", label.strip()) for label in request.labels if label.strip()]
+
+
+def filter_scores(docs: DataFrame, request: SearchRequest) -> DataFrame:
+    """``doc_id, extra``: what the filters of a request add to the score of each row that passes them.
+
+    A value in a list counts as a term that is there once in a field as long as the list; whether there is an attachment counts
+    as a term in a field of one; a range of dates counts 1. Frequencies are those of all rows: one pass for them, a row wide.
+    """
+    terms, has = _filter_terms(request), request.attachment != "all"
+    columns = sorted({c for c, _ in terms})
+    wanted = 1 if request.attachment == "with" else 0
+    counts = [F.count("*").alias("n"), F.count_if(F.col("has_attachment") == wanted).alias("df_has")]
+    counts += [F.count_if(F.array_contains(c, v)).alias(f"df{i}") for i, (c, v) in enumerate(terms)] + [F.avg(F.coalesce(F.size(c), F.lit(0))).alias(f"mean_{c}") for c in columns]
+    passing = docs.filter(filters(request)).select("doc_id", *[F.size(c).alias(f"size_{c}") for c in columns])
+    rows = passing.crossJoin(F.broadcast(docs.agg(*counts)))  # one row
+    one = F.lit(1.0)
+    extra = [ranking.bm25(one, F.col(f"size_{c}"), F.col("n"), F.col(f"df{i}"), F.col(f"mean_{c}")) for i, (c, _) in enumerate(terms)]
+    extra += [ranking.bm25(one, one, F.col("n"), F.col("df_has"), one)] * has + [one] * (request.date_from is not None or request.date_to is not None)
+    return rows.select("doc_id", reduce(lambda a, b: a + b, extra, F.lit(0.0)).alias("extra"))
+
+
+def search(docs: DataFrame, request: SearchRequest, strict_scoring: bool = False) -> DataFrame:
     """Rows of the search projection that match, ``request.limit`` at most: by score with text, else newest first.
 
-    Ties go to the smaller doc_id. An empty request or a limit of 0 gives no rows. Filters come before the limit.
+    Ties go to the smaller doc_id. An empty request or a limit of 0 gives no rows. Filters come before the limit. With
+    ``strict_scoring``, filters beside a text add to the score, as clauses of one query do.
     """
     text = request.text.strip()
     if request.limit <= 0 or not text and not request.has_filters():
         return docs.limit(0).select(*result_columns(F.lit(0.0)))
     matching = docs.filter(filters(request))
     if text:
-        matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(ranking.scored(docs, text), "doc_id").select(*RESULT)  # snippets, not bodies
+        scores = ranking.scored(docs, text)
+        if strict_scoring:
+            scores = with_filters(scores, filter_scores(docs, request))
+        matching = matching.select(*result_columns(F.lit(0.0))).drop("score").join(scores, "doc_id").select(*RESULT)  # snippets, not bodies
         return matching.orderBy(F.desc("score"), "doc_id").limit(request.limit)
     return matching.select(*result_columns(F.lit(0.0))).orderBy(F.desc("timestamp_ms"), "doc_id").limit(request.limit)
 
 
+def with_filters(scores: DataFrame, extra: DataFrame) -> DataFrame:
+    """Scores with what the filters add."""
+    return scores.join(extra, "doc_id").select("doc_id", F.round(F.col("score") + F.col("extra"), 6).alias("score"))
+
+
 def result_columns(score: Column) -> list[Column]:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return [

@@ -16,7 +16,7 @@ from ..schemas import SEARCH_DOCS
 from . import ranking
 from .block_index import BlockIndex, _exists
 from .blocks import BLOCK
-from .search import RESULT, SearchRequest, filters, result_columns
+from .search import RESULT, SearchRequest, filter_scores, filters, result_columns, with_filters
 
 ALL_FIELDS = [*ranking.FIELDS, *ranking.ALSO]
 MESSAGES = T.StructType([*SEARCH_DOCS.fields, *ddl("snippet string").fields])
@@ -173,11 +173,13 @@ class StoredIndex(BlockIndex):
         least = {k: (threshold - (whole - most[k[:2]])) / scale[k] if scale[k] else 0.0 for k in scale}
         return held.filter(F.col("impact") >= each(least.get))
 
-    def search(self, request: SearchRequest) -> DataFrame:
+    def search(self, request: SearchRequest, strict_scoring: bool = False) -> DataFrame:
         """As ``search.search``, from the index: the same rows in the same order."""
         text = request.text.strip()
         if not text or request.limit <= 0:
             return self._best(request, None)
+        if strict_scoring:
+            return self._best(request, with_filters(self.scored(text), filter_scores(self.messages, request)))
         return self._best(request, self.scored(text, self.best_blocks(request)))
 
     def _best(self, request: SearchRequest, scores: DataFrame | None) -> DataFrame:

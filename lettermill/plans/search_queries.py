@@ -202,6 +202,19 @@ def stored_search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return _ids(_stored(spark, folder).search(SearchRequest(text='body:"Apache License"')))
 
 
+@query(f"""
+with {MESSAGES.strip()}, tok as (select *, {tokens_sql("body")} as toks from messages),
+t as (select *, len(toks) as dl, len(list_filter(toks, lambda x: x = 'license')) as tf, case when mime is null then 0 else 1 end as n_mime from tok),
+stats as (select count(*) as n, sum(dl) / count(*) as avgdl, count(*) filter (tf > 0) as df, count(*) filter (list_contains(labels, 'STARRED')) as d_label, avg(len(labels)) as m_label, count(*) filter (mime = 'image/png') as d_mime, avg(n_mime) as m_mime from t)
+select doc_id, round(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) + ln(1 + (n - d_label + 0.5) / (d_label + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(labels) / m_label))
+  + ln(1 + (n - d_mime + 0.5) / (d_mime + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n_mime / m_mime)) + 1, 6) as score
+from t, stats where tf > 0 and list_contains(labels, 'STARRED') and mime = 'image/png' and timestamp_ms >= {START_MS} order by score desc, doc_id limit 50
+""")
+def search_strict_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    request = SearchRequest(text="body:license", labels=("STARRED",), mime="image/png", date_from=START_MS)
+    return _ids(search.search(messages(spark, folder, all_cores=True), request, strict_scoring=True))
+
+
 _PLAIN = "strip_accents(lower({x}))"
 
 

@@ -197,6 +197,27 @@ def test_scores(docs):
     assert rows[0]["snippet"] == "Invoice alpha body words"
 
 
+def test_filters_in_the_score(spark, docs, tmp_path):
+    import math
+
+    request = SearchRequest(text="invoice", sender="alice", labels=("INBOX",), attachment="without", date_from=0)
+    plain = {r["doc_id"]: r["score"] for r in search.search(docs, request).collect()}
+    strict = search.search(docs, request, strict_scoring=True).collect()
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    n = len(rows)
+
+    def term(column, value, i):
+        df, mean = sum(value in r[column] for r in rows.values()), sum(len(r[column]) for r in rows.values()) / n
+        return math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(rows[i][column]) / mean))
+
+    without = sum(not r["has_attachment"] for r in rows.values())
+    want = {i: s + term("sender_filter", "alice", i) + term("labels", "INBOX", i) + math.log(1 + (n - without + 0.5) / (without + 0.5)) + 1 for i, s in plain.items()}
+    assert want and {r["doc_id"]: r["score"] for r in strict} == pytest.approx(want, abs=2e-6)
+    index = StoredIndex.write(docs, str(tmp_path / "index"))
+    assert [tuple(r) for r in index.search(request, strict_scoring=True).collect()] == [tuple(r) for r in strict]
+    assert [r["score"] for r in search.search(docs, SearchRequest(text="invoice"), strict_scoring=True).collect()] == [r["score"] for r in search.search(docs, SearchRequest(text="invoice")).collect()]
+
+
 def test_legacy_line():
     request = search.legacy_request("after:2024-01-01 foo from:a from:b to:c before:nonsense bar:x bar")
     assert request == SearchRequest("foo bar:x bar", "b", "c", dates.parse_date_ms("2024-01-01"), None, limit=20)
