@@ -154,12 +154,14 @@ def html_references(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-with t as (select page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) as urls from pages)
-select page_id, count(*) as n from (select page_id, unnest(urls) as url from t) where regexp_matches(url, '^(https?:)?//') group by 1
+with t as (select page_id, regexp_extract_all('<p><a class=x href="' || url || '">this page</a></p>' || html, '<a\s[^>]*href="([^"]*)"', 1) as urls from pages)
+select page_id, replace(url, '&amp;', '&') as url, count(*) as n from (select page_id, unnest(urls) as url from t) where regexp_matches(url, '^(https?:)?//') group by all
 """)
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
-    found = html_evidence.links(html_evidence.with_evidence(table(spark, folder, "pages").select("page_id", "html")), "page_id")
-    return found.groupBy("page_id").agg(F.count("*").alias("n"))
+    """Of whole pages, with a link to themselves in front: links to other places, relative ones aside."""
+    own = F.concat(F.lit('<p><a class=x href="'), F.col("url"), F.lit('">this page</a></p>'), F.col("html")).alias("html")
+    found = html_evidence.links(html_evidence.with_evidence(table(spark, folder, "pages").select("page_id", own)), "page_id")
+    return found.groupBy("page_id", "url").agg(F.count("*").alias("n"))
 
 
 @query(r"""
