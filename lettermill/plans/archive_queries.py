@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formatting, hashes
 from ..operators import catalogue, index, integrity, mime, reconcile, recovery, statistics
-from ..operators.search import SearchRequest
+from ..operators.search import SearchRequest, filters
 from ..operators.stored_index import NothingIndexed, StoredIndex
 from ..schemas import CATALOGUE, INDEXED_DOCS, SEARCH_DOCS, SchemaError, validate
 from ..session import kept, scratch_folder, spread, table
@@ -543,6 +543,19 @@ def benchmark_workloads(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("request").alias("workload"), F.row_number().over(order).alias("place"), "doc_id", "score")
 
 
+def _filters_sql(name: str, where: str) -> str:
+    """How many messages a workload's filters leave, whatever its text."""
+    left = where.replace("the > 0 and ", "") if name.startswith("text_") and " and " in where else "true" if name.startswith("text_") or name == "no_result" else where
+    return f"select '{name}' as workload, {str(WORKLOADS[name].has_filters()).lower()} as has_filters, count(*) filter ({left}) as passing from messages"
+
+
+@query(f"with {MESSAGES.strip()} " + " union all ".join(_filters_sql(name, where) for name, where in _WHERE.items()))
+def workload_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a workload filters, and the messages that its filters leave: one pass for all of them."""
+    counts = [F.struct(F.lit(name).alias("workload"), F.lit(r.has_filters()).alias("has_filters"), F.count_if(filters(r)).alias("passing")) for name, r in WORKLOADS.items()]
+    return messages(spark, folder).agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
+
+
 @query("""
 select * from (values ('built', (select count(*) from documents where text is not null)), ('opened', (select count(*) from documents where text is not null)), ('another schema', 0), ('nothing readable', -1)) as t(step, messages)
 """)
