@@ -36,8 +36,8 @@ SHARE = 20
 #: The filter: bits for each shingle of the benchmark, and least and most bits in all (32 MB); more shingles let more words pass, and
 #: the join drops them. Shifts of a shingle's hash that give its bits.
 BITS, LEAST_BITS, MOST_BITS, SHIFTS = 32, 1 << 15, 1 << 28, (0, 12, 24, 36)
-#: Words that a task remembers the hashes of.
-REMEMBERED = 1 << 20
+#: Words that a task remembers the hashes of, and words of texts that are looked at together (or one long text's).
+REMEMBERED, GROUP = 1 << 20, 1 << 18
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
@@ -58,17 +58,23 @@ class Hashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def shingles(self, document: list[bytes], width: int) -> np.ndarray:
-        """A signed hash of each ``width`` consecutive words."""
-        n = len(document) - width + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        x = np.fromiter(map(self.__getitem__, document), np.uint64, len(document))
-        out = np.full(n, width, np.uint64)
-        for j in range(width):
-            out = (out ^ (out >> np.uint64(29))) * _MIX + x[j : j + n]
-        out = (out ^ (out >> np.uint64(32))) * _MIX
-        return (out ^ (out >> np.uint64(29))).view(np.int64)
+    def of(self, document: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, document), np.uint64, len(document))
+
+
+def shingles(x: np.ndarray, width: int) -> np.ndarray:
+    """A signed hash of each ``width`` consecutive words, from the words' hashes."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out = np.full(n, width, np.uint64)
+    for j in range(width):
+        out ^= out >> np.uint64(29)
+        out *= _MIX
+        out += x[j : j + n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def width(size: int) -> int:
@@ -95,7 +101,7 @@ def _windows():
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
             w = words(text)
-            codes = hashes.shingles(w, width(len(w))) if w else ()
+            codes = shingles(hashes.of(w), width(len(w))) if w else ()
             for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
                 window = w[i : i + WINDOW]
                 rows.append((item, b" ".join(window), len(window), codes[i : i + len(window) - width(len(window)) + 1]))
@@ -117,13 +123,52 @@ class _Filter:
 
     def passing(self, codes: np.ndarray) -> np.ndarray:
         """Positions of the hashes that pass."""
-        at = np.arange(len(codes))
+        at = None
         for shift in SHIFTS:
-            bit = (codes[at].view(np.uint64) >> np.uint64(shift)) & np.uint64(self.bits - 1)
-            at = at[(self.map[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            bit = (codes.view(np.uint64) if at is None else codes[at].view(np.uint64)) >> np.uint64(shift)
+            bit &= np.uint64(self.bits - 1)
+            hit = np.flatnonzero((self.map[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+            at = hit if at is None else at[hit]
         return at
 
 
+class _Words:
+    """The words of some texts in one list, with each text's number and the place where its words end."""
+
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.numbers: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, number: int, found: list[bytes]) -> None:
+        self.words += found
+        self.numbers.append(number)
+        self.ends.append(len(self.words))
+
+    def passing(self, hashes: Hashes, wanted: _Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width where shingles pass, and their hashes; none goes from one text into the next."""
+        x, ends = hashes.of(self.words), np.array(self.ends)
+        for k in wanted.widths:
+            codes = shingles(x, k)
+            at = wanted.passing(codes)
+            at = at[at + k <= ends[np.searchsorted(ends, at, "right")]]
+            yield k, at, codes[at]
+
+
+def _grouped(texts: pa.Array) -> Iterator[_Words]:
+    """The texts of a batch, some at a time."""
+    held = _Words()
+    for i, text in enumerate(as_bytes(texts)):
+        found = words(text)
+        if found:
+            held.add(i, found)
+        if len(held.words) >= GROUP:
+            yield held
+            held = _Words()
+    if held.words:
+        yield held
+
+
 def _filter_of(codes: DataFrame, n: int, widths: list[int]) -> _Filter:
     """A filter of ``codes(code)``, of which there are n. Its bitmaps are made by tasks; at most MOST_BITS come to the driver."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * n - 1).bit_length()))
@@ -141,11 +186,8 @@ def _counted(shared):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [np.empty(0, np.int64)]
-            for text in as_bytes(batch.column(0)):
-                w = words(text)
-                for k in wanted.widths:
-                    codes = hashes.shingles(w, k)
-                    found.append(codes[wanted.passing(codes)])
+            for group in _grouped(batch.column(0)):
+                found += [codes for _, _, codes in group.passing(hashes, wanted)]
             code, n = np.unique(np.concatenate(found), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
@@ -163,13 +205,13 @@ def _placed(shared):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, codes = [], [np.empty(0, np.int64)]
-            for i, text in enumerate(as_bytes(batch.column(2))):
-                w = words(text)
-                for k in wanted.widths:
-                    found = hashes.shingles(w, k)
-                    at = wanted.passing(found)
-                    codes.append(found[at])
-                    rows += [(i, p, min(p, WINDOW - k), b" ".join(w[max(0, p - WINDOW + k) : p + WINDOW])) for p in at.tolist()]
+            for group in _grouped(batch.column(2)):
+                w, starts = group.words, [0, *group.ends]
+                for k, at, held in group.passing(hashes, wanted):
+                    codes.append(held)
+                    for p, text in zip(at.tolist(), np.searchsorted(group.ends, at, "right").tolist(), strict=True):
+                        lo, hi = starts[text], starts[text + 1]
+                        rows.append((group.numbers[text], p - lo, min(p - lo, WINDOW - k), b" ".join(w[max(lo, p - WINDOW + k) : min(hi, p + WINDOW)])))
             row = pa.array([r[0] for r in rows], pa.int64())
             columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(codes))]
             columns += [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())]
