@@ -37,7 +37,7 @@ SHARE = 20
 #: the join drops them. Shifts of a shingle's hash that give its bits.
 BITS, LEAST_BITS, MOST_BITS, SHIFTS = 32, 1 << 15, 1 << 28, (0, 12, 24, 36)
 #: Words that a task remembers the hashes of, and words of texts that are looked at together (or one long text's).
-REMEMBERED, GROUP = 1 << 20, 1 << 18
+REMEMBERED, GROUP = 1 << 17, 1 << 16
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
