@@ -56,7 +56,7 @@ def indexes(spark, rows, tmp_path_factory):
     whole = FulltextIndex.write(docs, str(tmp_path_factory.mktemp("whole")))
     other = docs.withColumn("body", F.lit("alpha other text beta"))
     updated = FulltextIndex.write(other.filter("doc_id < 140").unionByName(docs.filter("doc_id >= 140").withColumn("doc_id", F.col("doc_id") + 1000)), str(tmp_path_factory.mktemp("updated")))
-    updated = updated.update(docs.filter("doc_id < 70"), docs.select(F.col("doc_id") + 1000)).update(docs.filter("doc_id >= 70"), docs.limit(0).select("doc_id"))
+    updated = updated.update(docs.filter("doc_id < 70"), docs.select((F.col("doc_id") + 1000).alias("doc_id"))).update(docs.filter("doc_id >= 70"), docs.limit(0).select("doc_id"))
     return whole, updated
 
 
