@@ -136,8 +136,8 @@ class StoredIndex(BlockIndex):
         if not found or tree.must or tree.never or any(not isinstance(x, ranking.Term) or len(x.words) != 1 for x in tree.should):
             return None
         words, fields = _asked(found)
-        times: dict[tuple[str, str], int] = {}  # words may be asked for several times
-        for t in found:
+        times: dict[tuple[str, str], int] = {}  # a word that is asked for several times counts as often
+        for t in ranking.terms(tree):
             for f in [t.field] if t.field else ranking.FIELDS:
                 times[t.words[0], f] = times.get((t.words[0], f), 0) + 1
         if self.at_most(words) < SKIP_FROM:
