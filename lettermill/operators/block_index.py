@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import ddl
-from ..session import broadcast_if_small, kept
-from .blocks import BLOCKS, MESSAGE_ROWS, RUN_ROWS, batches_of, blocks, runs
+from ..session import broadcast_if_small, is_small, kept, placed, removed
+from .blocks import BLOCKS, MESSAGE_ROWS, RUN_ROWS, batches_of, blocks, purged, runs
 
 #: Tokens of a range of terms, and most ranges of a generation. A generation is merged with all that follow it, if these
 #: have together a GROWTH-th of its tokens or more.
 RANGE_TOKENS, MOST, GROWTH = 8_000_000, 4096, 2
 #: Tokens from which on a generation has a range for each core at least.
 SPREAD_TOKENS = 100_000
+#: How the index and what it is made from are compressed.
+PACKED = {"compression": "zstd"}
 PARTS = ("state", "gone", "lost", "ranges", "blocks", "messages")
 STATE = "field string, n long, tokens long, mean double, held long, live array<int>"
 RANGES = "bucket int, lo string, hi string, postings long"
@@ -64,7 +66,7 @@ class BlockIndex:
         """Build the index of the search projection ``docs``, over whatever is there."""
         index = cls(docs.sparkSession, folder)
         for part in PARTS:  # the state goes first: no reader takes a half-written index
-            _removed(index.spark, f"{folder}/{part}")
+            removed(index.spark, f"{folder}/{part}")
         n, tokens = index._add(docs, 0)
         index._commit(0, n, tokens, index._means(n, tokens), sum(tokens.values()), [0])
         return cls(docs.sparkSession, folder)
@@ -73,6 +75,10 @@ class BlockIndex:
         """The index after ``changed`` rows of the search projection, new or in place of old ones, and without ``removed(doc_id)``."""
         new, state = self.last + 1, self.state
         self._cleared(new)
+        if not self.n:  # nothing is replaced, and what older generations may still hold is dead
+            n, tokens = self._add(changed, new)
+            self._commit(new, n, tokens, self._means(n, tokens), sum(tokens.values()), [new])
+            return type(self)(self.spark, self.folder)
         ids = kept(changed.select("doc_id").union(removed.select("doc_id")).distinct(), "ids")
         old = self.messages.join(broadcast_if_small(ids), "doc_id", "left_semi")
         seen = Observation()
@@ -80,9 +86,9 @@ class BlockIndex:
         sizes = [F.sum(F.size(f)).alias(f) for f in self.fields_]
         found.observe(seen, F.count("*").alias("n"), *sizes).select(
             "doc_id", F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(f).alias("terms")) for f in self.fields_]).alias("held")
-        ).write.mode("overwrite").parquet(self._path("gone", new))
+        ).write.mode("overwrite").options(**PACKED).parquet(self._path("gone", new))
         lost = self.spark.read.parquet(self._path("gone", new)).select(F.inline("held")).select("field", F.explode("terms").alias("term"))
-        lost.groupBy("term", "field").agg(F.count("*").alias("lost")).select("term", "field", "lost").write.mode("overwrite").parquet(self._path("lost", new))
+        lost.groupBy("term", "field").agg(F.count("*").alias("lost")).select("term", "field", "lost").write.mode("overwrite").options(**PACKED).parquet(self._path("lost", new))
         n, tokens = self._add(changed, new)
         gone = seen.get
         total = {f: state[f]["tokens"] + tokens[f] - (gone[f] or 0) for f in self.fields_}
@@ -95,20 +101,21 @@ class BlockIndex:
     def _cleared(self, generation: int) -> None:
         """Nothing is left of an update that failed."""
         for part in PARTS:
-            _removed(self.spark, self._path(part, generation))
+            removed(self.spark, self._path(part, generation))
 
     def _add(self, docs: DataFrame, generation: int) -> tuple[int, dict[str, int]]:
         """Write a generation of these messages; their number, and tokens by field."""
         seen = Observation()
         rows = self.rows_of(docs).observe(seen, F.count("*").alias("n")).select(*self.kept_columns.names)
         with ThreadPoolExecutor(1) as beside, batches_of(self.spark, MESSAGE_ROWS):  # messages and runs don't need each other
-            writing = beside.submit(rows.write.mode("overwrite").parquet, self._path("messages", generation))
-            parts = kept(runs(self.tokens_of(docs), self.fields_, self.whole), "runs")
+            writing = beside.submit(rows.write.mode("overwrite").options(**PACKED).parquet, self._path("messages", generation))
+            parts, place = placed(runs(self.tokens_of(docs), self.fields_, self.whole), "runs", **PACKED)
             writing.result()
         sums = {r["field"]: r["tokens"] for r in parts.groupBy("field").agg(F.sum("tokens").alias("tokens")).collect()}
         tokens = {f: sums.get(f, 0) for f in self.fields_}
         n = seen.get["n"]
         self._deal(parts, generation, tokens, self._means(n, tokens))
+        removed(self.spark, place)
         return n, tokens
 
     def _means(self, n: int, tokens: dict[str, int]) -> dict[str, float]:
@@ -123,7 +130,7 @@ class BlockIndex:
         dealt = parts.repartitionByRange(ranges, "term", "field", "first").sortWithinPartitions("term", "field")  # a frequent term takes several ranges
         made = blocks(dealt, means).withColumn("bucket", F.spark_partition_id())
         with batches_of(self.spark, RUN_ROWS):
-            made.write.mode("overwrite").partitionBy("bucket").parquet(self._path("blocks", generation))
+            made.write.mode("overwrite").options(**PACKED).partitionBy("bucket").parquet(self._path("blocks", generation))
         written = self.spark.read.schema(ddl(f"{BLOCKS}, bucket int")).parquet(self._path("blocks", generation))
         bounds = written.groupBy("bucket").agg(F.min("term").alias("lo"), F.max("term").alias("hi"), F.sum(F.col("postings").cast("long")).alias("postings"))
         bounds.coalesce(1).write.mode("overwrite").parquet(self._path("ranges", generation))
@@ -145,7 +152,7 @@ class BlockIndex:
     def compacted(self, folder: str) -> BlockIndex:
         """A new index below another folder with what is alive here, as one generation; nothing is tokenised again."""
         for part in PARTS:
-            _removed(self.spark, f"{folder}/{part}")
+            removed(self.spark, f"{folder}/{part}")
         return self._merge(0, folder)
 
     def _merge(self, start: int, folder: str) -> BlockIndex:
@@ -155,26 +162,30 @@ class BlockIndex:
         new = self.last + 1
         into._cleared(new)
         of = F.col("generation").isin(*some)
-        self.messages.filter(of).select(*self.kept_columns.names).write.mode("overwrite").parquet(into._path("messages", new))
+        self.messages.filter(of).select(*self.kept_columns.names).write.mode("overwrite").options(**PACKED).parquet(into._path("messages", new))
         parts = self._held.filter(of)
-        purged = None
-        if self._gone is not None:
+        lost_again = None
+        if self._gone is not None and is_small(self._gone):
+            without = lambda *lists: parts.select("term", "field", "generation", "postings", "ids", *lists).mapInArrow(purged(self.spark, self._gone, self.live, lists), _schema(lists))
+            lost_again = without().filter("dead > 0").groupBy("term", "field").agg((-F.sum(F.col("dead").cast("long"))).alias("lost"))
+            parts = without("tf", "dl", "positions").filter("postings > 0").withColumn("first", F.col("ids")[0]).withColumn("positions", F.flatten("positions"))
+        elif self._gone is not None:
             posting = parts.select("term", "field", "generation", F.inline(F.arrays_zip("ids", "tf", "dl", "positions"))).withColumnRenamed("ids", "doc_id")
             marked = kept(posting.join(broadcast_if_small(self._gone), "doc_id", "left").withColumn("dead", self._dead()), "marked")
-            purged = marked.filter("dead").groupBy("term", "field").agg((-F.count("*")).alias("lost"))
+            lost_again = marked.filter("dead").groupBy("term", "field").agg((-F.count("*")).alias("lost"))
             one = lambda c: F.array(c).alias(c)
-            parts = marked.filter("not dead").select("term", "field", F.col("doc_id").alias("first"), F.lit(1).alias("postings"), F.array("doc_id").alias("ids"), one("tf"), one("dl"), one("positions"))
+            parts = marked.filter("not dead").select("term", "field", F.col("doc_id").alias("first"), F.lit(1).alias("postings"), F.array("doc_id").alias("ids"), one("tf"), one("dl"), "positions")
         else:
-            parts = parts.withColumn("first", F.col("ids")[0])
+            parts = parts.withColumn("first", F.col("ids")[0]).withColumn("positions", F.flatten("positions"))
         tokens = {f: self.state[f]["tokens"] for f in self.fields_}
         means = self._means(self.n, tokens)
         into._deal(parts, new, tokens, means)
         if rest:
             before = self._part("gone", "doc_id long, generation int").filter(of)
-            before.select("doc_id").distinct().write.mode("overwrite").parquet(into._path("gone", new))
+            before.select("doc_id").distinct().write.mode("overwrite").options(**PACKED).parquet(into._path("gone", new))
             lost = self._part("lost", f"{LOST}, generation int").filter(of).select("term", "field", "lost")
-            lost = lost if purged is None else lost.unionByName(purged)
-            lost.groupBy("term", "field").agg(F.sum("lost").alias("lost")).filter("lost <> 0").write.mode("overwrite").parquet(into._path("lost", new))
+            lost = lost if lost_again is None else lost.unionByName(lost_again)
+            lost.groupBy("term", "field").agg(F.sum("lost").alias("lost")).filter("lost <> 0").write.mode("overwrite").options(**PACKED).parquet(into._path("lost", new))
         held = sum(self._states[g][self.fields_[0]]["held"] for g in some) if rest else sum(tokens.values())
         into._commit(new, self.n, tokens, means, held, [*rest, new])
         return type(self)(self.spark, folder)
@@ -184,7 +195,7 @@ class BlockIndex:
         for part in PARTS:
             for g in range(self.last + 1):
                 if g not in self.live:
-                    _removed(self.spark, self._path(part, g))
+                    removed(self.spark, self._path(part, g))
 
     # reading
 
@@ -293,6 +304,11 @@ class BlockIndex:
         return counts
 
 
+def _schema(lists: Iterable[str]) -> T.StructType:
+    """What ``purged`` gives."""
+    return T.StructType([f for f in ddl(f"{BLOCKS}, dead int").fields if f.name in ("term", "field", "postings", "ids", "dead", *lists)])
+
+
 def _after(prefix: str) -> str | None:
     """The least text that is greater than all that begin with the prefix, in order of code points; None: there is none."""
     kept_ = prefix.rstrip(chr(0x10FFFF))
@@ -306,8 +322,3 @@ def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
-
-def _removed(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Spark's own file systems."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -23,9 +23,10 @@ from .ranking import K1, B
 BLOCK, TASK_TOKENS, RUN_TOKENS, HELD = 128, 1 << 21, 1 << 12, 1 << 17
 #: Rows of an Arrow batch of messages' tokens, and of runs.
 MESSAGE_ROWS, RUN_ROWS = 1024, 4096
-_LISTS = "ids array<long>, tf array<int>, dl array<int>, positions array<array<int>>"
-RUNS = f"term string, field string, first long, postings int, tokens long, {_LISTS}"
-BLOCKS = f"term string, field string, postings int, tokens long, impact double, {_LISTS}"
+_LISTS = "ids array<long>, tf array<int>, dl array<int>"
+#: Positions of a run follow each other, ``tf`` of each posting: as lists in a list they would be most of what is shuffled.
+RUNS = f"term string, field string, first long, postings int, tokens long, {_LISTS}, positions array<int>"
+BLOCKS = f"term string, field string, postings int, tokens long, impact double, {_LISTS}, positions array<array<int>>"
 
 
 @contextlib.contextmanager
@@ -65,7 +66,7 @@ def _inverted(field: str, tokens: pa.Array, ids: np.ndarray, counts: np.ndarray,
         "term": coded.dictionary.take(pa.array(of[run])), "field": pa.array([field] * len(run), pa.string()), "first": pa.array(ids[row[run]]),
         "postings": pa.array((ends - run).astype(np.int32)), "tokens": pa.array(np.add.reduceat(tf, run)),
         "ids": _nested(pa.array(ids[row]), ends), "tf": _nested(pa.array(tf.astype(np.int32)), ends), "dl": _nested(pa.array(lengths[row].astype(np.int32)), ends),
-        "positions": _nested(_nested(pa.array(place.astype(np.int32)), np.cumsum(tf)), ends),
+        "positions": _nested(pa.array(place.astype(np.int32)), np.cumsum(tf)[ends - 1]),
     }
     return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
@@ -127,7 +128,7 @@ def _cut(table: pa.Table, means: dict[str, float]) -> pa.RecordBatch:
     block = np.flatnonzero(rank % BLOCK == 0)
     ends = np.append(block[1:], len(of))
     times = tf[order].astype(np.int64)
-    spots = flat("positions").flatten().to_numpy()
+    spots = flat("positions").to_numpy()
     source = (np.cumsum(tf) - tf)[order]  # where a posting's positions start
     at = np.repeat(source - (np.cumsum(times) - times), times) + np.arange(times.sum())
     columns = {
@@ -159,9 +160,44 @@ def _blocks(means: dict[str, float]):
     return run
 
 
+def _picked(values: pa.ListArray, keep: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return _nested(values.flatten().filter(pa.array(keep)), ends)
+
+
+def purged(spark: SparkSession, gone: DataFrame, live: list[int], lists: tuple[str, ...]):
+    """For ``mapInArrow``: blocks without the postings of ``gone(doc_id, until)``, which is small and broadcast, and how many these are.
+
+    A block stays whole within its row, so nothing is exploded. ``lists``: those besides the ids.
+    """
+    table = gone.select("doc_id", "until").toArrow()
+    ids = table["doc_id"].to_numpy()
+    order = np.argsort(ids)
+    sent = spark.sparkContext.broadcast((ids[order], table["until"].to_numpy()[order], {g: i for i, g in enumerate(live)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, until, places = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+            held = batch.column("ids").flatten().to_numpy()
+            place = np.repeat([places[g] for g in batch.column("generation").to_pylist()], n)
+            at = np.minimum(np.searchsorted(known, held), max(len(known) - 1, 0))
+            keep = ~((known[at] == held) & (until[at] > place)) if len(known) else np.ones(len(held), bool)
+            row = np.repeat(np.arange(len(n)), n)
+            left = np.bincount(row[keep], minlength=len(n))
+            ends = np.cumsum(left)
+            columns = {"term": batch.column("term"), "field": batch.column("field"), "postings": pa.array(left.astype(np.int32)), "ids": _picked(batch.column("ids"), keep, ends)}
+            columns |= {c: _picked(batch.column(c), keep, ends) for c in lists}
+            columns["dead"] = pa.array((n - left).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return run
+
+
 _NAMES = ["term", "field", "postings", "ids", "tf", "dl", "positions"]
 
 
 def blocks(parts: DataFrame, means: dict[str, float]) -> DataFrame:
-    """Blocks of ``parts`` (runs or blocks), which are in order of term and field within their partitions."""
+    """Blocks of ``parts`` (runs, or blocks with their positions in a row), which are in order of term and field within their partitions."""
     return parts.select(*_NAMES).mapInArrow(_blocks({f: m or 1.0 for f, m in means.items()}), BLOCKS)

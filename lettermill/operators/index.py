@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import address_values, ascii_lower, labels
 from ..schemas import INDEXED_DOCS, SEARCH_DOCS
-from ..session import kept
+from ..session import broadcast_if_small, kept, placed, removed
 from . import mime
+from .block_index import PACKED
 from .stored_index import StoredIndex
 
 #: What makes an indexed row stale when it changes.
@@ -61,11 +62,14 @@ def search_rows(catalogue: DataFrame, raw: DataFrame) -> DataFrame:
     return rows.select(*columns, F.col("parsed.error").alias("error"))
 
 
-def _planned(checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool) -> tuple[DataFrame, DataFrame]:
-    """The actions, and the rows of messages to be indexed; both kept, as they are used several times."""
+def _planned(checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool) -> tuple[DataFrame, DataFrame, str]:
+    """The actions, and the rows of messages to be indexed with their folder; both kept, as they are used several times.
+
+    Few catalogue rows go to RAW by a broadcast, so RAW itself isn't shuffled.
+    """
     actions = kept(with_raw_state(diff(catalogue, checkpoint, rebuild), records), "actions")
-    todo = catalogue.join(actions.filter(F.col("action") == INDEX).select("doc_id"), "doc_id", "left_semi")
-    return actions, kept(search_rows(todo, raw), "rows")
+    todo = kept(catalogue.join(actions.filter(F.col("action") == INDEX).select("doc_id"), "doc_id", "left_semi"), "todo")
+    return actions, *placed(search_rows(broadcast_if_small(todo), raw), "rows", **PACKED)
 
 
 def _marked(checkpoint: DataFrame, catalogue: DataFrame, touched: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def maintain(index: DataFrame, checkpoint: DataFrame, catalogue: DataFrame, reco
 
     Only messages to be indexed are parsed. A message that can't be parsed is removed and counted.
     """
-    actions, rows = _planned(checkpoint, catalogue, records, raw, rebuild)
+    actions, rows, _ = _planned(checkpoint, catalogue, records, raw, rebuild)
     parsed = rows.filter("error is null").drop("error")
     touched = actions.filter(F.col("action") != SKIP).select("doc_id")
     new_index = index.join(touched, "doc_id", "left_anti").select(*SEARCH_DOCS.names).unionByName(parsed.select(*SEARCH_DOCS.names))
@@ -87,11 +91,13 @@ def maintain(index: DataFrame, checkpoint: DataFrame, catalogue: DataFrame, reco
 
 def maintain_stored(index: StoredIndex, checkpoint: DataFrame, catalogue: DataFrame, records: DataFrame, raw: DataFrame, rebuild: bool = False) -> tuple[StoredIndex, DataFrame, DataFrame]:
     """As ``maintain``, for an index on disk: only postings of touched messages are written. A rebuild starts it anew."""
-    actions, rows = _planned(checkpoint, catalogue, records, raw, rebuild)
+    actions, rows, place = _planned(checkpoint, catalogue, records, raw, rebuild)
+    outcome = kept(rows.select("doc_id", "error"), "outcome")
     parsed = rows.filter("error is null").drop("error").select(*SEARCH_DOCS.names)
     touched = actions.filter(F.col("action") != SKIP).select("doc_id")
     updated = StoredIndex.write(parsed, index.folder) if rebuild else index.update(parsed, touched)
-    return updated, _marked(checkpoint, catalogue, touched, parsed), statistics(actions, rows, checkpoint)
+    removed(rows.sparkSession, place)  # the index has them now
+    return updated, _marked(checkpoint, catalogue, touched, outcome.filter("error is null")), statistics(actions, outcome, checkpoint)
 
 
 def statistics(actions: DataFrame, rows: DataFrame, checkpoint: DataFrame) -> DataFrame:

@@ -487,12 +487,13 @@ union all select 'again', (select count(*) from documents where doc_id % 6 = 0 a
 """)
 def stored_index_maintenance(spark: SparkSession, folder: str) -> DataFrame:
     """The maintenance run on an index on disk: everything first, then only what changed or went."""
-    raw = kept(multipart(spark, folder), "raw")
+    raw = multipart(spark, folder)  # made from documents as it is read: a copy on disk would be larger than they are
     digest = F.unhex(F.sha2("raw", 256))
     rows = raw.select(
         "doc_id", F.lit("gmail:a").alias("source_account"), F.lit("present").alias("source_state"), F.lit('["L"]').alias("label_ids"), F.lit(5).cast("long").alias("timestamp_ms"), F.lit("h").alias("message_history_id"),
         digest.alias("raw_digest"), F.lit("m").alias("message_id"), F.lit("").alias("folder"),
     )
+    rows = kept(rows, "catalogue")
     records = rows.select("doc_id", F.lit("available").alias("status"))
     empty = StoredIndex.write(spark.createDataFrame([], SEARCH_DOCS), scratch_folder(spark))
     out = None

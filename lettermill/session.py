@@ -60,9 +60,20 @@ def local_path(folder: str) -> str:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in a scratch folder, read back: computed once, and still there when an executor is lost."""
+    return placed(df, name)[0]
+
+
+def placed(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """As ``kept``, and its folder: for ``removed``, once nothing reads it any more."""
     path = f"{scratch_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -77,5 +88,9 @@ BROADCAST_BYTES = 16 << 20
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """A table on disk with the hint to broadcast it, if its files say that it is small; else as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.hint("broadcast") if size <= BROADCAST_BYTES else df
+    return df.hint("broadcast") if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the files of a table on disk say that it can be broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES

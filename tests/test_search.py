@@ -160,6 +160,43 @@ def test_generations_stay_few_and_frequencies_exact(spark, docs, tmp_path, one_p
     assert StoredIndex(spark, str(tmp_path / "index")).frequencies(["the"], ["body"]).first()["df"] == sum("the" in t.split() for t in held.values())
 
 
+def test_the_first_update_of_an_empty_index_is_a_build(spark, docs, tmp_path, monkeypatch):
+    import tempfile
+
+    (tmp_path / "scratch").mkdir()
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path / "scratch"))
+    none = spark.createDataFrame([], "doc_id long")
+    index = StoredIndex.write(made(spark, docs, []), str(tmp_path / "index"))
+    index = index.update(made(spark, docs, [(i, "alpha beta") for i in range(50)]), none)
+    assert index.live == [1] and index._gone is None and index.n == 50  # written once, not merged with what was empty
+    index = index.update(made(spark, docs, []), made(spark, docs, [(i, "") for i in range(50)]).select("doc_id"))
+    assert index.n == 0 and found(index, SearchRequest(text="alpha")) == []
+    index = index.update(made(spark, docs, [(3, "alpha")]), none)
+    assert index.live == [index.last] and [r[0] for r in found(index, SearchRequest(text="alpha"))] == [3]
+    assert index.frequencies(["alpha", "beta"], ["body"]).collect()[0]["df"] == 1
+    assert not list((tmp_path / "scratch").rglob("runs"))  # runs go once they are blocks
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_merges_drop_dead_postings_inside_blocks(spark, docs, tmp_path, monkeypatch, small):
+    from lettermill.operators import block_index, blocks
+
+    sent = []
+    monkeypatch.setattr(block_index, "is_small", lambda _: small)
+    monkeypatch.setattr(block_index, "purged", lambda *a: sent.append(a) or blocks.purged(*a))
+    index = StoredIndex.write(made(spark, docs, [(i, f"alpha w{i % 7} alpha" if i % 2 else "the") for i in range(600)]), str(tmp_path / "index"))
+    held = {i: f"alpha w{i % 7} alpha" if i % 2 else "the" for i in range(600)}
+    for low, high, text in ((0, 40, "beta beta"), (20, 60, "alpha"), (50, 90, "the beta")):  # the younger ones are merged, with an older one left
+        index = index.update(made(spark, docs, [(i, text) for i in range(low, high)]), spark.createDataFrame([(high + 5,)], "doc_id long"))
+        held = {i: t for i, t in held.items() if i != high + 5} | {i: text for i in range(low, high)}
+    assert len(index.live) == 2 and bool(sent) == small
+    for one in (index, index.compacted(str(tmp_path / "compact"))):
+        rows = {(r["term"], r["doc_id"], r["tf"], r["dl"], tuple(r["positions"])) for r in one.postings(one._held.filter("field = 'body'"), positions=True).collect()}
+        assert rows == {(w, i, t.split().count(w), len(t.split()), tuple(k for k, x in enumerate(t.split()) if x == w)) for i, t in held.items() for w in set(t.split())}
+        df = {r["term"]: r["df"] for r in one.frequencies(["alpha", "the", "beta", "w3"], ["body"]).collect()}
+        assert df == {w: sum(w in t.split() for t in held.values()) for w in ("alpha", "the", "beta", "w3")}
+
+
 @pytest.mark.parametrize("request_", [SearchRequest(text="body:the", limit=20), SearchRequest(text="body:the body:alpha", limit=7), SearchRequest(text="body:the", limit=9, date_from=2000), SearchRequest(text="beta", limit=3), SearchRequest(text="body:the body:the", limit=20), SearchRequest(text="body:the", limit=10**6), SearchRequest(text="+body:the", limit=5), SearchRequest(text='body:"the the"', limit=5)])
 def test_best_blocks_are_enough(spark, docs, tmp_path, monkeypatch, request_):
     rng = random.Random(42)
