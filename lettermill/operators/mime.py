@@ -14,7 +14,7 @@ from email.parser import BytesParser
 from email.policy import compat32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,21 +219,35 @@ def extractions(parts_: DataFrame) -> DataFrame:
     return rows.select("doc_id", "part_id", "mime", F.col("decoded_bytes").alias("bytes"), "found.outcome", F.col("found.text").alias("text"))
 
 
-def synthetic_fields(raw: str = "raw"):
+#: What an attachment of the synthetic format begins with.
+ATTACHED = "\r\n--attachment;"
+
+
+def synthetic_cut(raw: str = "raw") -> dict[str, Column]:
+    """``head`` and ``body`` of a message in the synthetic corpus's format: up to a blank line, and from there to the first attachment.
+
+    Bytes are cut at the marks, which are ASCII, and only what is cut out is made text: attachments are never decoded.
+    """
+    head = F.substring_index(F.col(raw).cast("string"), "\r\n\r\n", 1)
+    rest = F.substring(raw, F.octet_length(head) + 5, F.octet_length(raw)).cast("string")
+    return {"head": F.make_valid_utf8(head), "body": F.make_valid_utf8(F.substring_index(rest, ATTACHED, 1))}
+
+
+def synthetic_fields(raw: str = "raw", cut: dict[str, Column] | None = None):
     """Columns of a message in the synthetic corpus's format: headers up to a blank line, body up to the first attachment.
 
     Names are compared in lower case and the last of a name holds; a missing required header raises an error.
+    ``cut``: columns that hold ``synthetic_cut`` already, so RAW is read once and not for each field.
     """
-    text = F.make_valid_utf8(F.col(raw).cast("string"))
-    head, rest = F.split_part(text, F.lit("\r\n\r\n"), F.lit(1)), F.regexp_extract(text, "(?s)^.*?\r\n\r\n(.*)$", 1)
-    lines = F.filter(F.split(head, "\r?\n"), lambda x: x.contains(":"))
+    cut = cut or synthetic_cut(raw)
+    lines = F.filter(F.split(cut["head"], "\r?\n"), lambda x: x.contains(":"))
 
     def last(name: str):
         found = F.filter(lines, lambda x: F.lower(F.substring_index(x, ":", 1)) == name)
         value = F.trim(F.regexp_replace(F.element_at(found, -1), "^[^:]*:", ""))
         return F.when(F.size(found) > 0, value).otherwise(F.raise_error(F.lit(f"missing archived header {name}")).cast("string"))
 
-    body = F.trim(F.regexp_replace(F.split_part(rest, F.lit("\r\n--attachment;"), F.lit(1)), r"^\s+|\s+$", ""))
+    body = F.trim(F.regexp_replace(cut["body"], r"^\s+|\s+$", ""))
     names = {"timestamp": "date-unix", "sender": "from", "recipients": "to", "subject": "subject", "folder": "x-folder", "account": "x-account"}
     columns = [last(header).alias(name) for name, header in names.items()]
     columns[0] = last("date-unix").cast("long").alias("timestamp")

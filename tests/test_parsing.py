@@ -166,6 +166,27 @@ def test_preview():
     assert html_evidence.rewrite_cids('src="cid:x" src="CID:y"', {"y": "/p"}) == 'src="cid:x" src="/p"'
 
 
+def test_synthetic_attachments_are_not_decoded(spark, tmp_path):
+    """Of RAW only what stands before an attachment is made text, and the query reads RAW in one place."""
+    import os
+    import re
+
+    from lettermill.plans import parsing_queries
+
+    head = "Date-Unix: 5\r\nFrom: a\r\nTo: b\r\nSubject: \u00e9\r\nX-Folder: f\r\nX-Account: c\r\n".encode()
+    odd = b"\r\n--attachment; x\r\n\xff\r\n\r\n\r\n--attachment;"
+    raws = [(0, head + b"\r\nb\xff\xc3dy" + odd), (1, head + b"X: \r\n--attachment; x\r\n\r\n two \r\n\r\nparts " + odd), (2, head + b"\r\n" + odd), (3, head[:-2])]
+    rows = spark.createDataFrame(raws, "doc_id long, raw binary")
+    got = [r["body"] for r in rows.select("doc_id", *mime.synthetic_fields()).orderBy("doc_id").collect()]
+    assert got == ["b\ufffd\ufffddy", "two \r\n\r\nparts", "", ""]
+    os.mkdir(tmp_path / "documents.parquet")
+    spark.range(40).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    done = parsing_queries.synthetic_messages(spark, str(tmp_path))
+    assert len({tuple(r)[1:] for r in done.collect()}) == 1 and done.filter("headers_match and bytes_match and hashes_match").count() == 40
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < len(re.findall(r"\braw#", plan)) < 12, plan  # was read for every header, again and again
+
+
 def test_synthetic_fields(spark):
     raw = b"Date-Unix: 5\r\nFrom: a\r\nTo: b\r\nSubject: s: t\r\nX-Folder: f\r\nX-Account: c\r\nSubject: last\r\n\r\n body \r\n--attachment; filename=x\r\n\xff\xfe"
     df = spark.createDataFrame([(raw,)], "raw binary")
