@@ -22,6 +22,8 @@ from .registry import query
 from .views import MESSAGES, START_MS, messages, tokens_sql
 
 LIMIT = 1 << 20
+#: Segments that a query reads by a filter each.
+FILTERED = 8
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -444,11 +446,18 @@ def reconcile_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select doc_id, md5(text) as digest from documents union all select -1, md5(text) from documents where doc_id % 50 = 3")
 def segment_pushdown(spark: SparkSession, folder: str) -> DataFrame:
-    """All frames by the source; and, below -1, some again by filters that it takes: a segment's name, and offsets in it."""
+    """All frames by the source; and, below -1, some again: of a few segments by filters that it takes, of all others by seeks.
+
+    Each filter needs a source of its own, which Spark plans in Python, so their number may not grow with the archive.
+    """
     path, rows = _archive(spark, folder)
     source = lambda: segments.read_segments(spark, path).filter("status = 'valid'")
-    wanted = rows.filter("doc_id % 50 = 3").groupBy("segment").agg(F.collect_list("archive_offset").alias("offsets")).collect()  # a segment has a bounded number of frames
-    some = [source().filter((F.col("segment") == r["segment"]) & F.col("offset").isin(r["offsets"])).select(F.lit(-1).cast("long").alias("doc_id"), F.md5("raw").alias("digest")) for r in wanted]
+    again = lambda frames: frames.select(F.lit(-1).cast("long").alias("doc_id"), F.md5("raw").alias("digest"))
+    wanted = rows.filter("doc_id % 50 = 3").select("segment", F.col("archive_offset").alias("offset"))
+    names = [r["segment"] for r in wanted.select("segment").distinct().orderBy("segment").limit(FILTERED).collect()]
+    few = wanted.filter(F.col("segment").isin(names)).groupBy("segment").agg(F.collect_list("offset").alias("offsets")).collect()  # a segment has a bounded number of frames
+    some = [again(source().filter((F.col("segment") == r["segment"]) & F.col("offset").isin(r["offsets"]))) for r in few]
+    some.append(again(segments.seek_frames(spark, path, wanted.filter(~F.col("segment").isin(names))).filter("status = 'valid'")))
     return reduce(lambda x, y: x.unionByName(y), some, source().select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("raw").alias("digest")))
 
 

@@ -28,6 +28,8 @@ from ..session import local_path, scratch_folder
 #: The segment format (fixed values).
 MAGIC, HEADER = b"MAARC001", struct.Struct("<8sQQQ")
 SEGMENT_BYTES = 64 * 1024 * 1024
+#: Bytes of segments from which on a partition of the source is full: small segments share a task.
+PART_BYTES = SEGMENT_BYTES // 8
 FRAMES = "segment string, offset long, frame_bytes long, doc_id decimal(20,0), raw binary, raw_digest binary, status string, reason string"
 
 
@@ -257,7 +259,7 @@ def next_segment(on_disk: list[str], claimed: list[str]) -> int:
 
 
 class SegmentSource(DataSource):
-    """``read_segments``: one partition a segment, and only those that the filters leave; a coordinate is read by a seek."""
+    """``read_segments``: whole segments of PART_BYTES together or one a partition, only those that the filters leave; a coordinate is read by a seek."""
 
     @classmethod
     def name(cls) -> str:
@@ -284,8 +286,8 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 @dataclass
 class _Part(InputPartition):
-    segment: str
-    offsets: tuple[int, ...] | None  # frames to seek; None: all
+    segments: tuple[str, ...]
+    offsets: tuple[int, ...] | None  # frames to seek in each; None: all
 
 
 class _Reader(DataSourceReader):
@@ -314,28 +316,36 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, root = _opened(self.path)
-        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith(".arc") and not f.base_name.startswith("."))
-        wanted = [n for n in names if self.segments is None or n in self.segments]
+        sizes = sorted((f.base_name, f.size) for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith(".arc") and not f.base_name.startswith("."))
+        wanted = [x for x in sizes if self.segments is None or x[0] in self.segments]
         spots = None if self.offsets is None else tuple(sorted(x for x in self.offsets if x is not None and self.least <= x <= self.most))
-        return [_Part(n, spots) for n in wanted] if spots is None or spots else []
+        parts, held = [], PART_BYTES
+        for name, size in wanted if spots is None or spots else []:
+            if held >= PART_BYTES:
+                parts.append([])
+                held = 0
+            parts[-1].append(name)
+            held += size or 0
+        return [_Part(tuple(names), spots) for names in parts]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         system, root = _opened(self.path)
-        with system.open_input_file(f"{root}/{partition.segment}") as file:
-            for row in self._rows(file, partition):
-                yield (*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:])
-
-    def _rows(self, file, partition: _Part) -> Iterator[tuple]:
-        if partition.offsets is None:
-            yield from (r for r in scan(partition.segment, file.read()) if self.least <= r[1] <= self.most)
+        for segment in partition.segments:
+            with system.open_input_file(f"{root}/{segment}") as file:
+                for row in self._rows(file, segment, partition.offsets):
+                    yield (*row[:3], None if row[3] is None else Decimal(row[3]), *row[4:])
+
+    def _rows(self, file, segment: str, offsets: tuple[int, ...] | None) -> Iterator[tuple]:
+        if offsets is None:
+            yield from (r for r in scan(segment, file.read()) if self.least <= r[1] <= self.most)
             return
         size, rest = file.size(), set()
-        for at in partition.offsets:
-            row = _frame_at(file, size, partition.segment, at)
+        for at in offsets:
+            row = _frame_at(file, size, segment, at)
             if row[5] == "valid":
                 yield row
             elif row[5] != "missing":
                 rest.add(at)
         if rest:  # a fault, or no frame's start: a scan tells
             file.seek(0)
-            yield from (r for r in scan(partition.segment, file.read()) if r[1] in rest)
+            yield from (r for r in scan(segment, file.read()) if r[1] in rest)

@@ -115,6 +115,26 @@ def test_filters_reach_the_segment_source(spark, archive, monkeypatch):
     assert [r[3] for r in reader.read(part)] == [7] and (counting.opened, counting.bytes) == (1, size)  # the frame and nothing else
 
 
+def test_few_sources_however_many_segments(spark, tmp_path, monkeypatch):
+    """A source is planned for a few segments, and the others' frames are found too; small segments share a partition."""
+    from lettermill.plans import archive_queries
+
+    texts = {i: f"text {i} " + "x" * (i % 40) for i in range(1500)}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(archive_queries, "LIMIT", 1000)
+    loaded, load = [], segments.read_segments
+    monkeypatch.setattr(segments, "read_segments", lambda spark, folder: loaded.append(folder) or load(spark, folder))
+    found = archive_queries.segment_pushdown(spark, str(tmp_path))
+    md5 = lambda i: hashlib.md5(texts[i].encode()).hexdigest()
+    assert sorted(map(tuple, found.collect())) == sorted([(i, md5(i)) for i in texts] + [(-1, md5(i)) for i in texts if i % 50 == 3])
+    assert len(loaded) == 1 + archive_queries.FILTERED  # one for each of the thirty segments before
+    reader, sizes = segments._Reader(loaded[0]), segments.segment_sizes(spark, loaded[0]).count()
+    assert sizes > 60 and len(reader.partitions()) == 1 and len(reader.partitions()[0].segments) == sizes
+    monkeypatch.setattr(segments, "PART_BYTES", 2500)
+    parts = reader.partitions()
+    assert 3 * len(parts) >= sizes > len(parts) and len({n for p in parts for n in p.segments}) == sum(len(p.segments) for p in parts) == sizes
+
+
 def test_a_frame_behind_a_corrupt_one(spark, archive):
     folder, _, raws, placed = archive
     inside = [p for p in placed if p[1] == placed[-1][1]] if placed[-1][2] else [p for p in placed if p[1] == placed[0][1]]
